@@ -45,8 +45,8 @@ DAILY_PARAMS = [
 ]
 # crosstab variables: name → (value column, line numbers turned into "-" / "..")
 CROSSTAB_VARIABLES = [
-    ("Quantity shipped (units)", "l_quantity", 1, 2),
-    ("Tax charged (rate)", "l_tax", 3, 4),
+    ("quantity_units", "l_quantity", 1, 2),
+    ("tax_rate", "l_tax", 3, 4),
 ]
 
 
@@ -133,10 +133,12 @@ def production(spark: SparkSession, sf_dir: str) -> DataFrame:
                      F.sum(F.when(F.col("l_returnflag") != "R", qty).otherwise(F.lit(0).cast("decimal(18,2)"))).alias("harvested"),
                      F.sum(price).alias("price"),
                      F.sum(price * (F.lit(1) - disc)).alias("value")))
-    planted = F.col("planted").cast("double")
-    harvested = F.col("harvested").cast("double")
-    produced_t = (F.col("price") / F.lit(1000)).cast("double")
-    value_kbrl = (F.col("value") / F.lit(1000)).cast("double")
+    # exact decimal → DOUBLE (one correctly rounded conversion), then IEEE
+    # division; Spark's decimal division would cut the scale to 6 digits
+    planted = F.col("planted").cast("decimal(18,2)").cast("double")
+    harvested = F.col("harvested").cast("decimal(18,2)").cast("double")
+    produced_t = F.col("price").cast("decimal(18,2)").cast("double") / F.lit(1000.0)
+    value_kbrl = F.col("value").cast("decimal(18,4)").cast("double") / F.lit(1000.0)
     out = agg.select(
         "site_id", "name", F.col("year").cast("int").alias("year"),
         planted.alias("planted_ha"), harvested.alias("harvested_ha"),
@@ -149,27 +151,29 @@ def production(spark: SparkSession, sf_dir: str) -> DataFrame:
     # (site, year) aggregate, which is tiny next to the line table
     from pyspark.sql import Window
     year_total = F.sum("_value_dec").over(Window.partitionBy("year"))
-    return (out.withColumn("value_share",
-                           F.try_divide(F.col("_value_dec") * F.lit(100), year_total).cast("double"))
-               .drop("_value_dec"))
+    total = year_total.cast("decimal(18,4)").cast("double")
+    share = F.try_divide(F.col("_value_dec").cast("decimal(18,4)").cast("double") * F.lit(100.0), total)
+    return out.withColumn("value_share", share).drop("_value_dec")
 
 
 def crosstab(spark: SparkSession, sf_dir: str, variable: int, years) -> DataFrame:
     """Raw crosstab text for one variable: code, name, one column per year.
 
-    One row per line item (code = order key, name = ``L<line number>``); the
+    One row per line item (code = order-part-supplier key, name =
+    ``L<line number>``; together unique in the line table); the
     cell of its ship year holds the value as text or a dirty marker, the other
     year cells are blank.  Built with projections only (no shuffle).
     """
     name, col, dash_line, dots_line = CROSSTAB_VARIABLES[variable]
-    li = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", col, "l_shipdate")
+    li = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_partkey", "l_suppkey",
+                                                  "l_linenumber", col, "l_shipdate")
     ln = F.col("l_linenumber")
     text = (F.when(ln == dash_line, F.lit("-"))
              .when(ln == dots_line, F.lit(".."))
              .otherwise(F.col(col).cast("string")))
     yr = F.year("l_shipdate")
     return li.select(
-        F.col("l_orderkey").cast("string").alias("code"),
+        F.concat_ws("-", "l_orderkey", "l_partkey", "l_suppkey").alias("code"),
         F.concat(F.lit("L"), ln.cast("string")).alias("name"),
         *[F.when(yr == y, text).alias(str(y)) for y in years],
     )

@@ -18,40 +18,60 @@ def code_sql(expr: str) -> str:
     return f"(CASE WHEN length({t}) < 7 THEN lpad({t}, 7, '0') ELSE {t} END)"
 
 
-NSITE = f"""
-nsite AS (
+CTES: dict[str, tuple[tuple[str, ...], str]] = {}
+
+
+def cte(name: str, deps: tuple[str, ...], body: str) -> None:
+    CTES[name] = (deps, body.strip())
+
+
+def with_(*names: str, extra: str = "") -> str:
+    """WITH clause holding ``names`` and everything they depend on, once each."""
+    order: list[str] = []
+
+    def visit(n):
+        if n in order:
+            return
+        for d in CTES[n][0]:
+            visit(d)
+        order.append(n)
+
+    for n in names:
+        visit(n)
+    parts = [f"{n} AS (\n{CTES[n][1]}\n)" for n in order]
+    if extra:
+        parts.append(extra.strip().lstrip(","))
+    return "WITH " + ",\n".join(parts)
+
+
+cte("nsite", (), f"""
   SELECT {code_sql('n_nationkey')} AS site_id, n_name AS name, n_nationkey,
          n_regionkey AS region_id,
          round(CAST(-22.5 AS DOUBLE) - CAST(n_nationkey AS DOUBLE) * CAST(0.17 AS DOUBLE), 2) AS lat,
          CAST(-48.0 AS DOUBLE) - CAST(((n_nationkey * 7) % 25) AS DOUBLE) * CAST(0.25 AS DOUBLE) AS lon
-  FROM nation)"""
+  FROM nation""")
 
-SITE = NSITE + f""",
-site AS (
+cte("site", ("nsite",), f"""
   SELECT s.site_id, s.name, s.region_id, r.r_name AS region, s.lat, s.lon
   FROM nsite s LEFT JOIN region r ON s.region_id = r.r_regionkey
-  WHERE s.n_nationkey <> {DROPPED_NATION})"""
+  WHERE s.n_nationkey <> {DROPPED_NATION}""")
+
+cte("ssite", ("nsite",), """
+  SELECT s_suppkey, site_id, name, lat, lon FROM supplier JOIN nsite ON s_nationkey = n_nationkey""")
 
-LINES = NSITE + """,
-ssite AS (
-  SELECT s_suppkey, site_id, name, lat, lon FROM supplier JOIN nsite ON s_nationkey = n_nationkey),
-lines AS (
-  SELECT l.*, s.site_id, s.name, s.lat, s.lon FROM lineitem l JOIN ssite s ON l.l_suppkey = s.s_suppkey)"""
+cte("lines", ("ssite",), """
+  SELECT l.*, s.site_id, s.name, s.lat, s.lon FROM lineitem l JOIN ssite s ON l.l_suppkey = s.s_suppkey""")
 
-_daily_parts = " UNION ALL ".join(
+cte("daily_raw", ("lines",), " UNION ALL ".join(
     f"SELECT site_id, name, lat, lon, CAST(l_shipdate AS DATE) AS date, '{p}' AS param, "
     f"CASE WHEN l_linenumber = {SENTINEL_LINE} THEN CAST(-999.0 AS DOUBLE) ELSE CAST({e} AS DOUBLE) END AS value "
     f"FROM lines"
-    for p, e in DAILY_PARAMS)
+    for p, e in DAILY_PARAMS))
 
-DAILY_RAW = LINES + f""",
-daily_raw AS ({_daily_parts})"""
-
-DAILY = DAILY_RAW + """,
-daily AS (
+cte("daily", ("daily_raw",), """
   SELECT site_id, name, lat, lon, date, param,
          CASE WHEN value IS NULL OR isnan(value) OR value = -999 THEN NULL ELSE value END AS value
-  FROM daily_raw)"""
+  FROM daily_raw""")
 
 
 def rule_sql(p: str = "param") -> str:
@@ -62,42 +82,42 @@ def rule_sql(p: str = "param") -> str:
             f"WHEN {lp} LIKE '%range%' THEN 'range' ELSE 'mean' END)")
 
 
-DEKADS = DAILY + f""",
-dk AS (
+cte("dk", ("daily",), """
   SELECT *, CAST(year(date) AS INTEGER) AS year, CAST(month(date) AS INTEGER) AS month,
          CASE WHEN day(date) <= 10 THEN 1 WHEN day(date) <= 20 THEN 2 ELSE 3 END AS dekad
-  FROM daily),
-dagg AS (
+  FROM daily""")
+
+cte("dagg", ("dk",), """
   SELECT site_id, name, lat, lon, year, month, dekad, param,
          sum(value) AS s, avg(value) AS a, max(value) AS mx, min(value) AS mn
   FROM dk
   WHERE site_id IS NOT NULL AND name IS NOT NULL AND lat IS NOT NULL AND lon IS NOT NULL
     AND year IS NOT NULL AND month IS NOT NULL AND dekad IS NOT NULL AND param IS NOT NULL
-  GROUP BY site_id, name, lat, lon, year, month, dekad, param),
-dekads AS (
+  GROUP BY site_id, name, lat, lon, year, month, dekad, param""")
+
+cte("dekads", ("dagg",), f"""
   SELECT * FROM (
     SELECT site_id, name, lat, lon, year, month, dekad, param,
            CASE {rule_sql()} WHEN 'sum' THEN coalesce(s, 0.0) WHEN 'max' THEN mx WHEN 'min' THEN mn
                 WHEN 'range' THEN mx - mn ELSE a END AS value
-    FROM dagg) WHERE value IS NOT NULL)"""
+    FROM dagg) WHERE value IS NOT NULL""")
 
-COLLAPSED = DEKADS + """,
-collapsed AS (
+cte("collapsed", ("dekads",), """
   SELECT site_id, name, year, param, (month - 1) * 3 + dekad AS dekad36, avg(value) AS value
-  FROM dekads GROUP BY site_id, name, year, param, (month - 1) * 3 + dekad)"""
+  FROM dekads GROUP BY site_id, name, year, param, (month - 1) * 3 + dekad""")
 
-SEASON = COLLAPSED + """,
-sy AS (SELECT DISTINCT site_id, year FROM collapsed),
-valid AS (
-  SELECT b.site_id, b.year AS season_year FROM sy a JOIN sy b ON a.site_id = b.site_id AND a.year = b.year - 1),
-season AS (
+cte("sy", ("collapsed",), "SELECT DISTINCT site_id, year FROM collapsed")
+cte("valid", ("sy",), """
+  SELECT b.site_id, b.year AS season_year FROM sy a JOIN sy b ON a.site_id = b.site_id AND a.year = b.year - 1""")
+cte("season", ("collapsed", "valid"), """
   SELECT c.site_id, c.name, v.season_year, 1 AS rel_year, c.dekad36, c.param, c.value
   FROM collapsed c JOIN valid v ON c.site_id = v.site_id AND c.year + 1 = v.season_year
   UNION ALL
   SELECT c.site_id, c.name, v.season_year, 2 AS rel_year, c.dekad36, c.param, c.value
-  FROM collapsed c JOIN valid v ON c.site_id = v.site_id AND c.year = v.season_year)"""
+  FROM collapsed c JOIN valid v ON c.site_id = v.site_id AND c.year = v.season_year""")
 
 WINDOW_EXACT = "((rel_year = 1 AND dekad36 BETWEEN 26 AND 36) OR (rel_year = 2 AND dekad36 BETWEEN 1 AND 15))"
+cte("win", ("season",), f"SELECT * FROM season WHERE {WINDOW_EXACT}")
 
 
 def window_substring_sql() -> str:
@@ -108,28 +128,26 @@ def window_substring_sql() -> str:
             f"OR (contains({nm}, 'ano2') AND ({y2}))))")
 
 
-PRODUCTION = LINES + """,
-pagg AS (
+cte("pagg", ("lines",), """
   SELECT site_id, name, CAST(year(l_shipdate) AS INTEGER) AS year,
          sum(CAST(l_quantity AS DECIMAL(18,2))) AS planted,
          sum(CASE WHEN l_returnflag <> 'R' THEN CAST(l_quantity AS DECIMAL(18,2)) ELSE CAST(0 AS DECIMAL(18,2)) END) AS harvested,
          sum(CAST(l_extendedprice AS DECIMAL(18,2))) AS price,
          sum(CAST(l_extendedprice AS DECIMAL(18,2)) * (1 - CAST(l_discount AS DECIMAL(18,2)))) AS val
-  FROM lines GROUP BY site_id, name, CAST(year(l_shipdate) AS INTEGER)),
-production AS (
-  SELECT site_id, name, year,
-         CAST(planted AS DOUBLE) AS planted_ha, CAST(harvested AS DOUBLE) AS harvested_ha,
-         CAST(price / 1000 AS DOUBLE) AS produced_t,
-         CASE WHEN CAST(harvested AS DOUBLE) = 0 THEN NULL
-              ELSE CAST(price / 1000 AS DOUBLE) * 1000.0 / CAST(harvested AS DOUBLE) END AS yield_kg_ha,
-         CAST(val / 1000 AS DOUBLE) AS value_kbrl,
-         CAST(val * 100 / sum(val) OVER (PARTITION BY year) AS DOUBLE) AS value_share
-  FROM pagg)"""
-
+  FROM lines GROUP BY site_id, name, CAST(year(l_shipdate) AS INTEGER)""")
 
-def with_(*ctes: str) -> str:
-    """Join CTE blocks (each may define several) into one WITH clause."""
-    return "WITH " + ",\n".join(c.strip().lstrip(",") for c in ctes if c)
+cte("production", ("pagg",), """
+  SELECT site_id, name, year,
+         CAST(CAST(planted AS DECIMAL(18,2)) AS DOUBLE) AS planted_ha,
+         CAST(CAST(harvested AS DECIMAL(18,2)) AS DOUBLE) AS harvested_ha,
+         CAST(CAST(price AS DECIMAL(18,2)) AS DOUBLE) / 1000.0 AS produced_t,
+         CASE WHEN CAST(CAST(harvested AS DECIMAL(18,2)) AS DOUBLE) = 0 THEN NULL
+              ELSE CAST(CAST(price AS DECIMAL(18,2)) AS DOUBLE) / 1000.0 * 1000.0
+                   / CAST(CAST(harvested AS DECIMAL(18,2)) AS DOUBLE) END AS yield_kg_ha,
+         CAST(CAST(val AS DECIMAL(18,4)) AS DOUBLE) / 1000.0 AS value_kbrl,
+         CAST(CAST(val AS DECIMAL(18,4)) AS DOUBLE) * 100.0
+           / CAST(CAST(sum(val) OVER (PARTITION BY year) AS DECIMAL(18,4)) AS DOUBLE) AS value_share
+  FROM pagg""")
 
 
 def r6(c: str, alias: str | None = None) -> str:
@@ -155,36 +173,373 @@ def _season_names(exact=True):
 
 ORACLE: dict[str, str] = {}
 
-ORACLE["daily_clean"] = with_(DAILY) + """
+
+def rnd(cols, d=6, prefix=""):
+    return ", ".join(f"round({prefix}{c}, {d}) AS {c}" for c in cols)
+
+
+ORACLE["daily_clean"] = with_("daily") + """
 SELECT site_id, name, round(lat, 6) AS lat, round(lon, 6) AS lon, date, param, round(value, 6) AS value FROM daily"""
 
-ORACLE["dekad_keys"] = with_(DAILY) + """
+ORACLE["dekad_keys"] = with_("daily") + """
 SELECT CAST(year(date) AS INTEGER) AS year, CAST(month(date) AS INTEGER) AS month,
        CASE WHEN day(date) <= 10 THEN 1 WHEN day(date) <= 20 THEN 2 ELSE 3 END AS dekad,
        count(*) AS n_rows,
        (CAST(month(date) AS INTEGER) - 1) * 3 + CASE WHEN day(date) <= 10 THEN 1 WHEN day(date) <= 20 THEN 2 ELSE 3 END AS dekad36
 FROM daily GROUP BY ALL"""
 
-ORACLE["dekad_aggregate"] = with_(DEKADS) + """
+ORACLE["dekad_aggregate"] = with_("dekads") + """
 SELECT site_id, name, round(lat, 6) AS lat, round(lon, 6) AS lon, year, month, dekad, param, round(value, 6) AS value
 FROM dekads"""
 
-ORACLE["dekad36_mean"] = with_(COLLAPSED) + """
+ORACLE["dekad36_mean"] = with_("collapsed") + """
 SELECT site_id, name, year, param, dekad36, round(value, 6) AS value FROM collapsed"""
 
-ORACLE["season_pairs"] = with_(SEASON) + """
+ORACLE["season_pairs"] = with_("season") + """
 SELECT site_id, name, season_year, rel_year, dekad36, param, round(value, 6) AS value FROM season"""
 
-ORACLE["season_window_exact"] = with_(SEASON) + f"""
-SELECT site_id, name, season_year, rel_year, dekad36, param, round(value, 6) AS value FROM season
-WHERE {WINDOW_EXACT}"""
+ORACLE["season_window_exact"] = with_("win") + """
+SELECT site_id, name, season_year, rel_year, dekad36, param, round(value, 6) AS value FROM win"""
 
-ORACLE["season_window_substring"] = with_(SEASON) + f"""
+ORACLE["season_window_substring"] = with_("season") + f"""
 SELECT rel_year, dekad36, count(*) AS n_rows, round(max(value), 6) AS max_value, round(min(value), 6) AS min_value
 FROM season WHERE {window_substring_sql()} GROUP BY rel_year, dekad36"""
 
-ORACLE["season_wide"] = with_(SEASON) + """
+ORACLE["season_wide"] = with_("win") + """
 SELECT site_id, name, season_year, """ + ", ".join(
     f"round(max(CASE WHEN param = '{p}' AND rel_year = {r} AND dekad36 = {d} THEN value END), 6) AS \"{p}_dec{d}_ano{r}\""
-    for p, r, d in _season_names(True)) + f"""
-FROM season WHERE {WINDOW_EXACT} GROUP BY site_id, name, season_year"""
+    for p, r, d in _season_names(True)) + """
+FROM win GROUP BY site_id, name, season_year"""
+
+
+# --- production / panel ------------------------------------------------------
+for _i, (_name, _col, _dash, _dots) in enumerate(CROSSTAB_VARIABLES):
+    cte(f"ct{_i}", (), f"""
+  SELECT concat_ws('-', l_orderkey, l_partkey, l_suppkey) AS code, 'L' || CAST(l_linenumber AS VARCHAR) AS name,
+         CAST(year(l_shipdate) AS INTEGER) AS y,
+         CASE WHEN l_linenumber = {_dash} THEN '-' WHEN l_linenumber = {_dots} THEN '..'
+              ELSE CAST({_col} AS VARCHAR) END AS text
+  FROM lineitem""")
+    cte(f"long{_i}", (f"ct{_i}",), f"""
+  SELECT code, name, CAST(yr AS INTEGER) AS year, CASE WHEN y = yr THEN text END AS raw
+  FROM ct{_i} CROSS JOIN range({YEARS[0]}, {YEARS[-1] + 1}) t(yr)""")
+
+
+def clean_sql(c: str) -> str:
+    return (f"(CASE WHEN regexp_matches({c}, '^\\s*-\\s*$') THEN 0.0 "
+            f"ELSE coalesce(TRY_CAST(trim({c}) AS DOUBLE), 0.0) END)")
+
+
+cte("dpanel", ("production",), """
+  SELECT site_id, name, year, planted_ha, harvested_ha, yield_kg_ha, value_share,
+         planted_ha - harvested_ha AS lost_ha,
+         CASE WHEN planted_ha > 0 THEN (planted_ha - harvested_ha) / planted_ha * 100 ELSE 0.0 END AS loss_pct,
+         produced_t * 1000.0 AS produced_kg, value_kbrl * 1000.0 AS value_brl
+  FROM production""")
+
+cte("pgeo", ("dpanel", "site"), """
+  SELECT p.*, s.region_id, s.region, s.lat, s.lon FROM dpanel p LEFT JOIN site s ON p.site_id = s.site_id""")
+
+DPANEL_COLS = ["planted_ha", "harvested_ha", "yield_kg_ha", "value_share", "lost_ha", "loss_pct",
+               "produced_kg", "value_brl"]
+MEASURES = ["planted_ha", "harvested_ha", "lost_ha", "produced_kg", "value_brl"]
+
+ORACLE["unpivot_years"] = with_("long0") + "\nSELECT code, name, year, raw FROM long0"
+
+ORACLE["clean_dash"] = with_("long0") + f"\nSELECT code, name, year, raw, round({clean_sql('raw')}, 6) AS value FROM long0"
+
+_v = [v[0] for v in CROSSTAB_VARIABLES]
+ORACLE["combine_variables"] = with_("long0", "long1", extra=f"""
+u AS (SELECT code, name, year, '{_v[0]}' AS variable, raw FROM long0
+      UNION ALL SELECT code, name, year, '{_v[1]}' AS variable, raw FROM long1),
+w AS (SELECT code, name, year, {", ".join(f"max(raw) FILTER (WHERE variable = '{v}') AS {v}" for v in _v)}
+      FROM u GROUP BY code, name, year)""") + f"""
+SELECT code, name, year, {", ".join(f"round({clean_sql(v)}, 6) AS {v}" for v in _v)} FROM w"""
+
+ORACLE["production"] = with_("production") + f"""
+SELECT site_id, name, year, {rnd(["planted_ha", "harvested_ha", "produced_t", "yield_kg_ha", "value_kbrl", "value_share"], 8)}
+FROM production"""
+
+ORACLE["loss_pct"] = with_("dpanel") + f"\nSELECT site_id, name, year, {rnd(DPANEL_COLS)} FROM dpanel"
+
+ORACLE["join_geo"] = with_("pgeo") + f"""
+SELECT site_id, name, year, region_id, region, round(lat, 6) AS lat, round(lon, 6) AS lon, {rnd(DPANEL_COLS)} FROM pgeo"""
+
+ORACLE["join_climate"] = with_("pgeo", "win") + f"""
+SELECT p.site_id, p.name, p.year, p.region_id, p.region, round(p.lat, 6) AS lat, round(p.lon, 6) AS lon,
+       {rnd(DPANEL_COLS, prefix="p.")}, w.param, w.rel_year, w.dekad36, round(w.value, 6) AS value
+FROM pgeo p LEFT JOIN win w ON p.site_id = w.site_id AND p.year = w.season_year"""
+
+ORACLE["unmatched"] = with_("dpanel", "site", "win") + """
+SELECT 'no_geography' AS "check", count(*) AS n FROM dpanel p WHERE NOT EXISTS (SELECT 1 FROM site s WHERE s.site_id = p.site_id)
+UNION ALL
+SELECT 'no_climate', count(*) FROM dpanel p WHERE NOT EXISTS (SELECT 1 FROM win w WHERE w.site_id = p.site_id AND w.season_year = p.year)
+UNION ALL
+SELECT 'no_coordinates', count(*) FROM site WHERE lat IS NULL OR lon IS NULL"""
+
+ORACLE["expect_unique"] = with_("daily") + """
+SELECT site_id, date, param, count(*) AS n FROM daily GROUP BY site_id, date, param HAVING count(*) > 1"""
+
+_geo_cols = ["site_id", "name", "year"] + DPANEL_COLS + ["region_id", "region", "lat", "lon"]
+_str_cols = {"site_id", "name", "region"}
+ORACLE["completeness"] = with_("pgeo") + "\nSELECT count(*) AS n_rows, " + ", ".join(
+    f"CAST(sum(CASE WHEN {c} IS NULL{' OR trim(' + c + ') = ' + chr(39) * 2 if c in _str_cols else ''} THEN 1 ELSE 0 END) AS BIGINT) AS missing_{c}"
+    for c in _geo_cols) + " FROM pgeo"
+
+cte("yearly", ("dpanel",), """
+  SELECT year, """ + ", ".join(f"coalesce(sum({m}), 0.0) AS {m}" for m in MEASURES) + """
+  FROM dpanel GROUP BY year""")
+cte("weighted", ("yearly",), """
+  SELECT *, CASE WHEN harvested_ha = 0 THEN NULL ELSE produced_kg / harvested_ha END AS yield_kg_ha,
+         CASE WHEN planted_ha > 0 THEN lost_ha / planted_ha * 100 ELSE 0.0 END AS loss_pct
+  FROM yearly""")
+
+ORACLE["yearly_totals"] = with_("yearly") + f"\nSELECT year, {rnd(MEASURES, 4)} FROM yearly"
+ORACLE["weighted_yield"] = with_("weighted") + f"\nSELECT year, {rnd(MEASURES + ['yield_kg_ha', 'loss_pct'], 4)} FROM weighted"
+
+
+def _kpi(where: str = "") -> str:
+    return with_("dpanel", extra=f"""
+k AS (
+  SELECT year, {", ".join(f"coalesce(sum({m}), 0.0) AS {m}" for m in MEASURES)}
+  FROM dpanel {where} GROUP BY ROLLUP (year))""") + f"""
+SELECT year, {rnd(MEASURES, 4)},
+       round(CASE WHEN harvested_ha > 0 THEN produced_kg / harvested_ha END, 4) AS yield_kg_ha,
+       round(CASE WHEN planted_ha > 0 THEN lost_ha / planted_ha * 100 END, 4) AS loss_pct,
+       year IS NULL AS is_total
+FROM k"""
+
+
+ORACLE["kpi_summary"] = _kpi()
+ORACLE["slice_year"] = _kpi("WHERE year = 1998") + " WHERE year IS NOT NULL"
+
+
+def fmt_br_sql(x: str, d: int, prefix: str = "''", suffix: str = "''") -> str:
+    digits = f"translate(format('{{:,.{d}f}}', {x}), ',.', '.,')"
+    return f"(CASE WHEN {x} IS NULL OR isnan({x}) THEN '-' ELSE trim({prefix} || {digits} || {suffix}) END)"
+
+
+def fmt_scaled_sql(x: str, prefix: str = "''", suffix: str = "''") -> str:
+    sign = f"(CASE WHEN {x} < 0 THEN '- ' ELSE '' END)"
+    a = f"abs({x})"
+
+    def sc(div, unit):
+        return f"trim({sign} || {prefix} || translate(format('{{:,.2f}}', {a} / {div}), ',.', '.,') || '{unit}' || {suffix})"
+    return (f"(CASE WHEN {x} IS NULL OR isnan({x}) THEN '-' WHEN {a} >= 1e9 THEN {sc('1e9', ' bi')} "
+            f"WHEN {a} >= 1e6 THEN {sc('1e6', ' mi')} WHEN {a} >= 1e4 THEN {sc('1e3', ' mil')} "
+            f"ELSE {fmt_br_sql(x, 0, f'({sign} || {prefix})', suffix)} END)")
+
+
+ORACLE["kpi_delta"] = with_("weighted", extra="""
+m AS (
+  SELECT year, 'planted_ha' AS measure, planted_ha AS v, ' ha' AS unit, false AS always_pct, false AS pp FROM weighted
+  UNION ALL SELECT year, 'lost_ha', lost_ha, ' ha', true, false FROM weighted
+  UNION ALL SELECT year, 'produced_kg', produced_kg, ' kg', false, false FROM weighted
+  UNION ALL SELECT year, 'yield_kg_ha', yield_kg_ha, ' kg/ha', false, false FROM weighted
+  UNION ALL SELECT year, 'loss_pct', loss_pct, '', false, true FROM weighted),
+g AS (
+  SELECT measure, unit, always_pct, pp, min(year) AS first_year, max(year) AS last_year,
+         arg_min(v, year) AS first_value, arg_max(v, year) AS last_value, count(DISTINCT year) AS n_years
+  FROM m GROUP BY measure, unit, always_pct, pp HAVING count(DISTINCT year) > 1),
+k AS (
+  SELECT *, last_value - first_value AS diff,
+         CASE WHEN first_value = 0 THEN NULL ELSE (last_value - first_value) / abs(first_value) * 100 END AS pct,
+         CASE WHEN pp THEN 'pp' WHEN first_value IS NULL OR last_value IS NULL THEN 'none'
+              WHEN first_value = 0 AND last_value = 0 THEN 'zero'
+              WHEN first_value = 0 AND always_pct THEN 'inf'
+              WHEN first_value = 0 THEN 'abs' ELSE 'pct' END AS kind
+  FROM g)""") + """
+SELECT measure, first_year, last_year, round(first_value, 4) AS first_value, round(last_value, 4) AS last_value,
+       kind AS delta_kind,
+       round(CASE WHEN kind IN ('pp', 'abs') THEN diff WHEN kind = 'pct' THEN pct END, 4) AS delta_value,
+       CASE WHEN kind = 'pp' THEN (CASE WHEN first_value IS NULL THEN NULL ELSE """ + fmt_br_sql(
+    "diff", 2, "(CASE WHEN diff > 0 THEN '+ ' ELSE '' END)", "' pp'") + """ END)
+            WHEN kind = 'zero' THEN '= 0' WHEN kind = 'inf' THEN '∞ %'
+            WHEN kind = 'abs' THEN """ + fmt_scaled_sql("diff", "(CASE WHEN diff > 0 THEN '+ ' ELSE '' END)", "unit") + """
+            WHEN kind = 'pct' THEN """ + fmt_br_sql("pct", 2, "(CASE WHEN pct > 0 THEN '+ ' ELSE '' END)", "' %'") + """
+       END AS delta_text
+FROM k"""
+
+
+def _period(where: str, label: str) -> str:
+    return f"""
+SELECT min(year) AS first_year, max(year) AS last_year, count(year) AS n_years,
+       max(year) - min(year) + 1 = count(year) AS contiguous,
+       CASE WHEN count(year) = 1 THEN CAST(min(year) AS VARCHAR)
+            WHEN max(year) - min(year) + 1 = count(year) THEN CAST(min(year) AS VARCHAR) || '–' || CAST(max(year) AS VARCHAR)
+            ELSE array_to_string(list_sort(list(CAST(year AS VARCHAR))), ', ') END AS period_label,
+       '{label}' AS selection
+FROM (SELECT DISTINCT year FROM dpanel {where})"""
+
+
+ORACLE["period_label"] = with_("dpanel") + _period("", "all") + " UNION ALL " + _period(
+    "WHERE year IN (1996, 1998, 1999)", "pick")
+
+ORACLE["panel_profile"] = with_("pgeo", "win", extra="""
+lp AS (SELECT p.*, w.param, w.rel_year, w.dekad36, w.value
+       FROM pgeo p LEFT JOIN win w ON p.site_id = w.site_id AND p.year = w.season_year)""") + """
+SELECT count(*) AS n_rows, count(DISTINCT site_id) AS n_sites, count(DISTINCT year) AS n_years,
+       count(DISTINCT region) AS n_regions, count(DISTINCT param) AS n_params,
+       CAST(sum(""" + " + ".join(
+    f"(CASE WHEN {c} IS NULL THEN 1 ELSE 0 END)"
+    for c in _geo_cols + ["param", "rel_year", "dekad36", "value"]) + """) AS BIGINT) AS n_nulls
+FROM lp"""
+
+ORACLE["sites_in_regions"] = with_("site") + """
+SELECT DISTINCT region, site_id, name FROM site WHERE region IN ('AMERICA', 'EUROPE')"""
+
+ORACLE["filter_panel"] = with_("dpanel", "site") + f"""
+SELECT site_id, name, year, {rnd(DPANEL_COLS)} FROM dpanel
+WHERE year IN (1997, 1998, 1999)
+  AND site_id IN (SELECT site_id FROM site WHERE region IN ('AMERICA', 'EUROPE'))"""
+
+ORACLE["format_br"] = with_("weighted") + f"""
+SELECT year,
+       {fmt_br_sql('planted_ha', 0, "''", "' ha'")} AS planted_text,
+       {fmt_br_sql('yield_kg_ha', 2)} AS yield_text,
+       {fmt_scaled_sql('produced_kg', "''", "' kg'")} AS produced_text,
+       {fmt_scaled_sql('(-value_brl)', "'R$ '")} AS value_text,
+       {fmt_scaled_sql('(lost_ha / 1000)', "''", "' ha'")} AS lost_text
+FROM weighted"""
+
+
+# --- analysis --------------------------------------------------------------------
+def pearson_sql(x: str, y: str) -> str:
+    return (f"(CASE WHEN stddev_pop({x}) * stddev_pop({y}) = 0 THEN NULL "
+            f"ELSE covar_pop({x}, {y}) / (stddev_pop({x}) * stddev_pop({y})) END)")
+
+
+def _pairs_cte(name: str, season_cte: str, metric: str) -> None:
+    cte(name, (season_cte, "dpanel"), f"""
+  SELECT s.param, s.rel_year, s.dekad36, s.site_id, s.season_year AS year, s.value AS x,
+         p.{metric} AS y, p.name AS pname, p.produced_kg AS size
+  FROM {season_cte} s JOIN dpanel p ON s.site_id = p.site_id AND s.season_year = p.year""")
+
+
+def _corr_cte(name: str, pairs: str) -> None:
+    cte(name, (pairs,), f"""
+  SELECT * FROM (
+    SELECT param, rel_year, dekad36,
+           param || '_dec' || CAST(dekad36 AS VARCHAR) || '_ano' || CAST(rel_year AS VARCHAR) AS feature,
+           count(*) AS n_pairs, {pearson_sql('x', 'y')} AS r
+    FROM {pairs} WHERE x IS NOT NULL AND y IS NOT NULL
+    GROUP BY param, rel_year, dekad36)
+  WHERE n_pairs > 5 AND r IS NOT NULL""")
+
+
+_pairs_cte("pairs_w", "win", "yield_kg_ha")
+_corr_cte("corr_w", "pairs_w")
+_pairs_cte("pairs_all", "season", "produced_kg")
+_corr_cte("corr_all", "pairs_all")
+
+CORR_OUT = "param, rel_year, dekad36, feature, n_pairs, round(r, 6) AS r, round(abs(r), 6) AS abs_r"
+ORACLE["climate_corr"] = with_("corr_w") + f"\nSELECT {CORR_OUT} FROM corr_w"
+ORACLE["climate_corr_production"] = with_("corr_all") + f"\nSELECT {CORR_OUT} FROM corr_all"
+
+cte("top_w", ("corr_w",), "SELECT * FROM corr_w ORDER BY abs(r) DESC, param, rel_year, dekad36 LIMIT 10")
+ORACLE["top_corr"] = with_("top_w") + f"\nSELECT {CORR_OUT} FROM top_w"
+
+# attribute dictionary: same fixed values as the registry
+from .registry import ATTRIBUTES  # noqa: E402
+
+cte("attrs", (), "SELECT * FROM (VALUES " + ", ".join(
+    "('" + c + "', '" + d.replace("'", "''") + "')" for c, d in ATTRIBUTES) + ") t(code, description)")
+
+
+def label_sql(code: str) -> str:
+    return (f"(SELECT CASE WHEN a.description IS NOT NULL AND a.description <> '' "
+            f"THEN {code} || ' = ' || a.description ELSE {code} END FROM (SELECT 1) LEFT JOIN attrs a ON a.code = {code})")
+
+
+ORACLE["corr_strength"] = with_("top_w", "attrs", extra="""
+ranked AS (SELECT *, row_number() OVER (ORDER BY abs(r) DESC, param, rel_year, dekad36) AS rank FROM top_w),
+lab AS (SELECT r1.*, CASE WHEN a.description IS NOT NULL AND a.description <> ''
+                          THEN r1.param || ' = ' || a.description ELSE r1.param END AS label
+        FROM ranked r1 LEFT JOIN attrs a ON a.code = regexp_replace(trim(r1.param), '_dec.*$', ''))""") + """
+SELECT rank, param, rel_year, dekad36, feature, round(r, 6) AS r, round(abs(r), 6) AS abs_r, label,
+       CASE WHEN abs(r) > 0.7 THEN 'strong' WHEN abs(r) > 0.4 THEN 'moderate' ELSE 'weak' END AS strength,
+       CASE WHEN r > 0 THEN 'positive' ELSE 'negative' END AS direction,
+       'An increase of ' || label || ' is associated with '
+         || CASE WHEN r > 0 THEN 'an increase' ELSE 'a decrease' END || ' of Yield.' AS sentence
+FROM lab WHERE rank <= 3"""
+
+_PC = ["planted_ha", "harvested_ha", "lost_ha", "produced_kg", "yield_kg_ha", "value_brl", "value_share", "loss_pct"]
+_cm = []
+for _i, _a in enumerate(_PC):
+    for _j, _b in enumerate(_PC):
+        _f = f"FILTER (WHERE {_a} IS NOT NULL AND {_b} IS NOT NULL)"
+        _r = (f"CASE WHEN stddev_pop({_a}) {_f} * stddev_pop({_b}) {_f} = 0 THEN NULL "
+              f"ELSE covar_pop({_a}, {_b}) {_f} / (stddev_pop({_a}) {_f} * stddev_pop({_b}) {_f}) END")
+        _cm.append(f"SELECT '{_a}' AS row, '{_b}' AS col, round({_r}, 6) AS r FROM dpanel")
+ORACLE["corr_matrix"] = with_("dpanel") + "\n" + "\nUNION ALL ".join(_cm)
+
+cte("pts_w", ("pairs_w",), """
+  SELECT * FROM pairs_w WHERE x IS NOT NULL AND y IS NOT NULL AND year IS NOT NULL AND pname IS NOT NULL AND size IS NOT NULL""")
+
+ORACLE["scatter"] = with_("pts_w") + """
+SELECT param, rel_year, dekad36, site_id, pname AS name, year, round(x, 6) AS x, round(y, 6) AS y, round(size, 6) AS size
+FROM pts_w"""
+
+ORACLE["trend"] = with_("pts_w", extra="""
+t AS (
+  SELECT param, rel_year, dekad36, count(*) AS n,
+         CASE WHEN var_pop(x) = 0 THEN NULL ELSE covar_pop(y, x) / var_pop(x) END AS slope,
+         avg(x) AS mx, avg(y) AS my, min(x) AS x_min, max(x) AS x_max
+  FROM pts_w GROUP BY param, rel_year, dekad36 HAVING count(*) > 1),
+t2 AS (SELECT *, my - slope * mx AS intercept FROM t)""") + """
+SELECT param, rel_year, dekad36, n, round(slope, 6) AS slope, round(intercept, 6) AS intercept,
+       round(x_min, 6) AS x_min, round(x_max, 6) AS x_max,
+       round(slope * x_min + intercept, 6) AS y_at_min, round(slope * x_max + intercept, 6) AS y_at_max
+FROM t2"""
+
+cte("hparams", ("top_w",), "SELECT DISTINCT param FROM top_w ORDER BY param LIMIT 5")
+cte("win_h", ("win", "hparams"), "SELECT * FROM win WHERE param IN (SELECT param FROM hparams)")
+_pairs_cte("pairs_h", "win_h", "yield_kg_ha")
+_corr_cte("corr_h", "pairs_h")
+cte("heat", ("corr_h",), """
+  SELECT param, rel_year, dekad36, 'Ano' || CAST(rel_year AS VARCHAR) || '_Dec' || CAST(dekad36 AS VARCHAR) AS period,
+         CASE WHEN rel_year = 1 THEN dekad36 - 26 ELSE 11 + dekad36 - 1 END AS period_order, r
+  FROM corr_h""")
+
+ORACLE["heatmap"] = with_("heat") + "\nSELECT param, rel_year, dekad36, period, period_order, round(r, 6) AS r FROM heat"
+
+_periods = [f"Ano1_Dec{d}" for d in range(26, 37)] + [f"Ano2_Dec{d}" for d in range(1, 16)]
+ORACLE["heatmap_wide"] = with_("heat") + "\nSELECT param, " + ", ".join(
+    f"round(max(CASE WHEN period = '{c}' THEN r END), 6) AS {c}" for c in _periods) + " FROM heat GROUP BY param"
+
+ORACLE["phase_mean"] = with_("heat") + """
+SELECT rel_year, round(avg(pm), 6) AS phase_mean, count(*) AS n_periods
+FROM (SELECT rel_year, period, avg(r) AS pm FROM heat GROUP BY rel_year, period) GROUP BY rel_year"""
+
+_RM = ["produced_kg", "yield_kg_ha", "planted_ha", "value_brl"]
+ORACLE["site_means"] = with_("dpanel") + "\nSELECT site_id, name, " + ", ".join(
+    f"round(avg({m}), 4) AS {m}" for m in _RM) + " FROM dpanel GROUP BY site_id, name"
+
+cte("ranked_sites", ("dpanel",), """
+  SELECT * FROM (
+    SELECT name, metric, mean_value,
+           row_number() OVER (PARTITION BY metric ORDER BY mean_value DESC, name ASC) AS rank
+    FROM (""" + " UNION ALL ".join(
+    f"SELECT name, '{m}' AS metric, avg({m}) AS mean_value FROM dpanel GROUP BY name" for m in _RM) + """)
+    WHERE mean_value IS NOT NULL)
+  WHERE rank <= 5""")
+
+ORACLE["rank_sites"] = with_("ranked_sites") + "\nSELECT name, metric, round(mean_value, 4) AS mean_value, rank FROM ranked_sites"
+
+ORACLE["trajectories"] = with_("ranked_sites") + "\n" + " UNION ALL ".join(
+    f"SELECT '{m}' AS metric, name, year, round({m}, 4) AS value FROM dpanel "
+    f"WHERE name IN (SELECT name FROM ranked_sites WHERE metric = '{m}')" for m in _RM)
+
+ORACLE["labels_lookup"] = with_("corr_w", "attrs") + """
+SELECT c.feature, c.param, c.rel_year, c.dekad36,
+       CASE WHEN a.description IS NOT NULL AND a.description <> ''
+            THEN regexp_replace(trim(c.feature), '_dec.*$', '') || ' = ' || a.description
+            ELSE regexp_replace(trim(c.feature), '_dec.*$', '') END AS label,
+       coalesce(a.description, regexp_replace(trim(c.feature), '_dec.*$', '')) AS description
+FROM corr_w c LEFT JOIN attrs a ON a.code = regexp_replace(trim(c.feature), '_dec.*$', '')"""
+
+ORACLE["legend"] = with_("heat", "attrs") + """
+SELECT array_to_string(list_sort(list(DISTINCT entry)), '; ') AS legend, count(*) AS n_entries
+FROM (SELECT h.code || ' = ' || coalesce(a.description, h.code) AS entry
+      FROM (SELECT DISTINCT regexp_replace(trim(param), '_dec.*$', '') AS code FROM heat) h
+      LEFT JOIN attrs a ON a.code = h.code)"""

@@ -96,3 +96,295 @@ def q_season_wide(spark, sf):
     params = [p for p, _ in B.DAILY_PARAMS]
     s = climate.season_window(season(spark, sf), exact=True)
     return finalize(climate.season_wide(s, params, exact=True))
+
+
+# ---------------------------------------------------------------- production / panel
+from ..operators import analysis, panel as P, production as PR, quality as Q  # noqa: E402
+from ..functions.formatting import format_br, format_scaled  # noqa: E402
+
+YEARS = list(range(1995, 2002))
+REGIONS_PICK = ["AMERICA", "EUROPE"]
+YEARS_PICK = [1997, 1998, 1999]
+
+
+def crosstab_long(spark, sf, variable: int) -> DataFrame:
+    return PR.unpivot_years(B.crosstab(spark, sf, variable, YEARS), YEARS)
+
+
+def dpanel(spark, sf) -> DataFrame:
+    """Dashboard panel: production + P5 + P6."""
+    return PR.dashboard_panel(B.production(spark, sf))
+
+
+@register("unpivot_years")
+def q_unpivot_years(spark, sf):
+    """R1."""
+    return crosstab_long(spark, sf, 0)
+
+
+@register("clean_dash")
+def q_clean_dash(spark, sf):
+    """Dash → 0, '..'/blank → NULL → 0."""
+    d = crosstab_long(spark, sf, 0)
+    return finalize(d.withColumn("value", C.clean_number("raw")))
+
+
+@register("combine_variables")
+def q_combine_variables(spark, sf):
+    """Union-long + one pivot instead of N outer joins."""
+    longs = [(B.CROSSTAB_VARIABLES[i][0], crosstab_long(spark, sf, i)) for i in range(len(B.CROSSTAB_VARIABLES))]
+    return finalize(PR.combine_variables(longs, sort=True))
+
+
+@register("production")
+def q_production(spark, sf):
+    """PRODUCTION binding (sums per site-year)."""
+    return finalize(B.production(spark, sf), 8)
+
+
+@register("loss_pct")
+def q_loss_pct(spark, sf):
+    """P5 + P6."""
+    return finalize(dpanel(spark, sf))
+
+
+@register("join_geo")
+def q_join_geo(spark, sf):
+    """J1 (+ Q2 m:1)."""
+    return finalize(P.order_columns(P.join_geo(dpanel(spark, sf), B.sites(spark, sf))))
+
+
+@register("join_climate")
+def q_join_climate(spark, sf):
+    """J2 long: production+geo ⟕ exact-window season cells."""
+    pg = P.join_geo(dpanel(spark, sf), B.sites(spark, sf))
+    s = climate.season_window(season(spark, sf), exact=True)
+    return finalize(P.order_columns(P.join_climate(pg, s)))
+
+
+@register("unmatched")
+def q_unmatched(spark, sf):
+    """Q3: production rows with no geography / no climate; sites with no coordinates."""
+    prod = dpanel(spark, sf)
+    sites = B.sites(spark, sf)
+    s = climate.season_window(season(spark, sf), exact=True).withColumnRenamed("season_year", "year")
+    def n(df, check):
+        return df.agg(F.lit(check).alias("check"), F.count(F.lit(1)).alias("n"))
+    return (n(Q.unmatched(prod, sites, ["site_id"]), "no_geography")
+            .unionByName(n(Q.unmatched(prod, s, ["site_id", "year"]), "no_climate"))
+            .unionByName(n(sites.filter(F.col("lat").isNull() | F.col("lon").isNull()), "no_coordinates")))
+
+
+@register("expect_unique")
+def q_expect_unique(spark, sf):
+    """Q2: duplicated (site, date, param) keys of the daily table with multiplicity."""
+    return Q.duplicate_keys(B.daily(spark, sf), ["site_id", "date", "param"])
+
+
+@register("completeness")
+def q_completeness(spark, sf):
+    """Q1 counts over the joined geography panel."""
+    return Q.completeness(P.join_geo(dpanel(spark, sf), B.sites(spark, sf)))
+
+
+@register("yearly_totals")
+def q_yearly_totals(spark, sf):
+    """A3."""
+    return finalize(PR.yearly_totals(dpanel(spark, sf)), 4)
+
+
+@register("weighted_yield")
+def q_weighted_yield(spark, sf):
+    """A4."""
+    return finalize(PR.weighted_metrics(PR.yearly_totals(dpanel(spark, sf))), 4)
+
+
+@register("kpi_summary")
+def q_kpi_summary(spark, sf):
+    """A5 (rollup: one row per year + the consolidated row)."""
+    return finalize(PR.kpi_summary(dpanel(spark, sf)), 4)
+
+
+@register("kpi_delta")
+def q_kpi_delta(spark, sf):
+    """A6 over the filtered years (first vs last)."""
+    return finalize(PR.kpi_delta(PR.yearly_totals(dpanel(spark, sf))), 4)
+
+
+@register("period_label")
+def q_period_label(spark, sf):
+    """W8 for the full panel and for a non-contiguous pick."""
+    d = dpanel(spark, sf)
+    full = PR.period_label(d).withColumn("selection", F.lit("all"))
+    pick = PR.period_label(P.filter_panel(d, years=[1996, 1998, 1999])).withColumn("selection", F.lit("pick"))
+    return full.unionByName(pick)
+
+
+@register("panel_profile")
+def q_panel_profile(spark, sf):
+    """A7 over the long joined panel."""
+    pg = P.join_geo(dpanel(spark, sf), B.sites(spark, sf))
+    s = climate.season_window(season(spark, sf), exact=True)
+    return P.panel_profile(P.join_climate(pg, s, validate=False))
+
+
+@register("filter_panel")
+def q_filter_panel(spark, sf):
+    """F1 + F2: years and the sites of chosen regions (semi-join)."""
+    sites = B.sites(spark, sf)
+    chosen = P.sites_in_regions(sites, REGIONS_PICK)
+    return finalize(P.filter_panel(dpanel(spark, sf), years=YEARS_PICK, sites=chosen))
+
+
+@register("sites_in_regions")
+def q_sites_in_regions(spark, sf):
+    """F2."""
+    return P.sites_in_regions(B.sites(spark, sf), REGIONS_PICK)
+
+
+@register("slice_year")
+def q_slice_year(spark, sf):
+    """F3 + A5 on one year."""
+    return finalize(PR.kpi_summary(P.slice_year(dpanel(spark, sf), 1998)).filter(F.col("year").isNotNull()), 4)
+
+
+@register("format_br")
+def q_format_br(spark, sf):
+    """X7/X8 on yearly totals."""
+    t = PR.weighted_metrics(PR.yearly_totals(dpanel(spark, sf)))
+    return t.select("year",
+                    format_br("planted_ha", 0, "", " ha").alias("planted_text"),
+                    format_br("yield_kg_ha", 2).alias("yield_text"),
+                    format_scaled("produced_kg", "", " kg").alias("produced_text"),
+                    format_scaled(-F.col("value_brl"), "R$ ").alias("value_text"),
+                    format_scaled(F.col("lost_ha") / 1000, "", " ha").alias("lost_text"))
+
+
+# ---------------------------------------------------------------- analysis
+METRIC = "yield_kg_ha"
+PROD_CORR_COLS = ["planted_ha", "harvested_ha", "lost_ha", "produced_kg", "yield_kg_ha",
+                  "value_brl", "value_share", "loss_pct"]
+
+
+def corr(spark, sf, metric=METRIC) -> DataFrame:
+    s = climate.season_window(season(spark, sf), exact=True)
+    return analysis.climate_correlations(s, dpanel(spark, sf), metric)
+
+
+@register("climate_corr")
+def q_climate_corr(spark, sf):
+    """M1 over the exact window, metric = yield."""
+    return finalize(corr(spark, sf))
+
+
+@register("climate_corr_production")
+def q_climate_corr_production(spark, sf):
+    """M1 against production over all 72 dekads (no window)."""
+    return finalize(analysis.climate_correlations(season(spark, sf), dpanel(spark, sf), "produced_kg"))
+
+
+@register("top_corr")
+def q_top_corr(spark, sf):
+    """Top-10 |r| (flagship)."""
+    return finalize(analysis.top_correlations(corr(spark, sf), 10))
+
+
+@register("corr_strength")
+def q_corr_strength(spark, sf):
+    """W2 + X9 + J8: top-3 detail with labels and interpretation."""
+    top = analysis.top_correlations(corr(spark, sf), 10)
+    return finalize(analysis.top_detail(top, 3, attrs=attributes(spark), metric="Yield (kg per ha)"))
+
+
+@register("corr_matrix")
+def q_corr_matrix(spark, sf):
+    """M2 over the production measures."""
+    return finalize(analysis.corr_matrix(dpanel(spark, sf), PROD_CORR_COLS))
+
+
+@register("trend")
+def q_trend(spark, sf):
+    """M4: OLS trend per feature over the scatter points."""
+    s = climate.season_window(season(spark, sf), exact=True)
+    pts = analysis.scatter_points(s, dpanel(spark, sf), METRIC)
+    return finalize(analysis.trend(pts))
+
+
+@register("scatter")
+def q_scatter(spark, sf):
+    """M5."""
+    s = climate.season_window(season(spark, sf), exact=True)
+    return finalize(analysis.scatter_points(s, dpanel(spark, sf), METRIC))
+
+
+def heat(spark, sf) -> DataFrame:
+    c = corr(spark, sf)
+    params = analysis.heatmap_params(analysis.top_correlations(c, 10), 5)
+    return analysis.season_heatmap(season(spark, sf), dpanel(spark, sf), METRIC, params)
+
+
+@register("heatmap")
+def q_heatmap(spark, sf):
+    """M3 + R6 order."""
+    return finalize(heat(spark, sf))
+
+
+@register("heatmap_wide")
+def q_heatmap_wide(spark, sf):
+    """R6 export."""
+    return finalize(analysis.heatmap_matrix(heat(spark, sf)))
+
+
+@register("phase_mean")
+def q_phase_mean(spark, sf):
+    """A9."""
+    return finalize(analysis.phase_mean(heat(spark, sf)))
+
+
+@register("site_means")
+def q_site_means(spark, sf):
+    """A8."""
+    return finalize(analysis.site_means(dpanel(spark, sf), analysis.RANK_METRICS), 4)
+
+
+@register("rank_sites")
+def q_rank_sites(spark, sf):
+    """Top-5 per metric."""
+    return finalize(analysis.rank_sites(dpanel(spark, sf), 5), 4)
+
+
+@register("trajectories")
+def q_trajectories(spark, sf):
+    """W4 + J9."""
+    d = dpanel(spark, sf)
+    return finalize(analysis.site_trajectories(d, analysis.rank_sites(d, 5)), 4)
+
+
+# fixed values: attribute dictionary for the bound parameter names (one left
+# without a description to exercise the fallback to the code)
+ATTRIBUTES = [
+    ("PREC_QTY", "Shipped quantity, summed per dekad"),
+    ("PRICE_MAX", "Highest extended price"),
+    ("PRICE_MIN", "Lowest extended price"),
+    ("DISC_RANGE", "Range of discounts"),
+    ("TAX", "Mean tax rate"),
+    ("PREC_PROB", "Mean discount"),
+]
+
+
+def attributes(spark) -> DataFrame:
+    return spark.createDataFrame(ATTRIBUTES, "code string, description string")
+
+
+@register("labels_lookup")
+def q_labels_lookup(spark, sf):
+    """Labels of every correlated feature + legend."""
+    c = corr(spark, sf)
+    return finalize(analysis.with_labels(c, attributes(spark), "feature")
+                    .select("feature", "param", "rel_year", "dekad36", "label", "description"))
+
+
+@register("legend")
+def q_legend(spark, sf):
+    """J8 legend over the heatmap parameters."""
+    return analysis.legend(heat(spark, sf), attributes(spark), "param")
