@@ -71,7 +71,10 @@ def dekad_aggregate(daily: DataFrame) -> DataFrame:
     agg = keyed.groupBy(*keys).agg(
         F.sum("value").alias("_s"), F.avg("value").alias("_a"),
         F.max("value").alias("_mx"), F.min("value").alias("_mn"))
-    r = rule_of("param")
+    # the rule is projected once per group; CollapseProject keeps it as its
+    # own projection instead of repeating the string tests in every branch
+    agg = agg.withColumn("_rule", rule_of("param"))
+    r = F.col("_rule")
     value = (F.when(r == RULE_SUM, F.coalesce(F.col("_s"), F.lit(0.0)))
               .when(r == RULE_MAX, F.col("_mx"))
               .when(r == RULE_MIN, F.col("_mn"))
