@@ -4,8 +4,8 @@ The reference loops over up to 8k wide columns and scans the panel once per
 column.  Here the season table is long, so every statistic over every
 feature is **one** grouped aggregate on (param, rel_year, dekad36) after a
 join on (site_id, year).  The production side of that join is one row per
-site-year (bounded by municipalities × years) and is broadcast after a size
-check; the covariance/variance aggregates are algebraic, so partial
+site-year (municipalities × years); AQE broadcasts it when the measured
+stage is small; the covariance/variance aggregates are algebraic, so partial
 aggregation runs map-side and a hot site never reaches a single reducer.
 """
 
@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from ..functions.columns import (base_code, corr_direction, corr_sentence, corr_strength,
                                  feature_name, pair_count, pearson, safe_div)
-from .broadcast import broadcast_if_bounded
+from .broadcast import bounded
 from .climate import WINDOW_Y1, window_exact
 
 FEATURE_KEY = ["param", "rel_year", "dekad36"]
@@ -27,7 +27,8 @@ def _pairs(season: DataFrame, panel: DataFrame, metric: str, extra=()) -> DataFr
     y = panel.select("site_id", "year", F.col(metric).alias("y"), *extra)
     x = season.select("site_id", F.col("season_year").alias("year"), *FEATURE_KEY,
                       F.col("value").alias("x"))
-    return x.join(broadcast_if_bounded(y), ["site_id", "year"])
+    # y is one row per site-year; AQE broadcasts it when measured small
+    return x.join(y, ["site_id", "year"])
 
 
 def climate_correlations(season: DataFrame, panel: DataFrame, metric: str,
@@ -195,7 +196,8 @@ def site_trajectories(panel: DataFrame, ranked: DataFrame) -> DataFrame:
 def with_labels(df: DataFrame, attrs: DataFrame, code_col: str = "param") -> DataFrame:
     """Description lookup by base code; label ``CODE = description`` or the code."""
     a = attrs.select(F.trim("code").alias("_code"), F.trim("description").alias("_desc"))
-    out = df.withColumn("_code", base_code(code_col)).join(broadcast_if_bounded(a), "_code", "left")
+    # the dictionary has one row per parameter code (bounded by the attribute list)
+    out = df.withColumn("_code", base_code(code_col)).join(bounded(a), "_code", "left")
     label = F.when(F.col("_desc").isNotNull() & (F.col("_desc") != ""),
                    F.concat(F.col("_code"), F.lit(" = "), F.col("_desc"))).otherwise(F.col("_code"))
     return out.withColumn("label", label).withColumn("description", F.coalesce("_desc", "_code")).drop("_code", "_desc")
@@ -208,7 +210,7 @@ def legend(df: DataFrame, attrs: DataFrame, code_col: str = "param") -> DataFram
     """
     codes = df.select(base_code(code_col).alias("code")).distinct()
     a = attrs.select(F.trim("code").alias("code"), F.trim("description").alias("description"))
-    lab = codes.join(broadcast_if_bounded(a), "code", "left").select(
+    lab = codes.join(bounded(a), "code", "left").select(
         F.concat(F.col("code"), F.lit(" = "), F.coalesce("description", "code")).alias("entry"))
     return lab.agg(F.array_join(F.array_sort(F.collect_set("entry")), "; ").alias("legend"),
                    F.count(F.lit(1)).alias("n_entries"))

@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .broadcast import broadcast_if_bounded
 from .quality import expect_unique
 
 GEO_COLS = ["region_id", "region", "lat", "lon"]
@@ -15,13 +14,13 @@ DEFAULT_REGION = "Unknown region"
 def join_geo(prod: DataFrame, sites: DataFrame, validate: bool = True) -> DataFrame:
     """Production ⟕ site geography on the code, many-to-one.
 
-    The site table is one row per municipality; it is broadcast only after a
-    bounded size check, and validated unique first (T12).
+    The site table is one row per municipality, validated unique first
+    (T12); AQE broadcasts it from its measured size.
     """
     geo = sites.select("site_id", *GEO_COLS)
     if validate:
         expect_unique(geo, ["site_id"])
-    return prod.join(broadcast_if_bounded(geo), "site_id", "left")
+    return prod.join(geo, "site_id", "left")
 
 
 def join_climate(panel: DataFrame, season: DataFrame, validate: bool = True) -> DataFrame:

@@ -543,3 +543,179 @@ SELECT array_to_string(list_sort(list(DISTINCT entry)), '; ') AS legend, count(*
 FROM (SELECT h.code || ' = ' || coalesce(a.description, h.code) AS entry
       FROM (SELECT DISTINCT regexp_replace(trim(param), '_dec.*$', '') AS code FROM heat) h
       LEFT JOIN attrs a ON a.code = h.code)"""
+
+
+# --- mining ---------------------------------------------------------------------
+cte("pgeo_sy", ("pgeo",), "SELECT DISTINCT site_id, year AS season_year FROM pgeo")
+cte("fidx", ("win",), """
+  SELECT param, rel_year, dekad36, CAST(row_number() OVER (ORDER BY param, rel_year, dekad36) - 1 AS INTEGER) AS idx
+  FROM (SELECT DISTINCT param, rel_year, dekad36 FROM win)""")
+cte("fmeans", ("win", "pgeo_sy"), """
+  SELECT * FROM (
+    SELECT w.site_id, w.param, w.rel_year, w.dekad36, avg(w.value) AS value
+    FROM win w WHERE (w.site_id, w.season_year) IN (SELECT site_id, season_year FROM pgeo_sy)
+    GROUP BY w.site_id, w.param, w.rel_year, w.dekad36) WHERE value IS NOT NULL""")
+cte("targets", ("pgeo",), "SELECT site_id, avg(yield_kg_ha) AS target, max(lat) AS lat, max(lon) AS lon FROM pgeo GROUP BY site_id")
+cte("kept", ("targets", "fmeans", "fidx"), """
+  SELECT * FROM (
+    SELECT t.*, coalesce(c.n, 0) / CAST((SELECT count(*) FROM fidx) AS DOUBLE) AS coverage
+    FROM targets t LEFT JOIN (SELECT site_id, count(*) AS n FROM fmeans GROUP BY site_id) c ON t.site_id = c.site_id)
+  WHERE coverage >= 0.7""")
+cte("imputed", ("kept", "fmeans", "fidx"), """
+  SELECT k.site_id, f.idx, f.param, f.rel_year, f.dekad36, coalesce(m.value, md.med) AS value, m.value IS NULL AS imputed
+  FROM kept k CROSS JOIN fidx f
+  LEFT JOIN fmeans m ON m.site_id = k.site_id AND m.param = f.param AND m.rel_year = f.rel_year AND m.dekad36 = f.dekad36
+  LEFT JOIN (SELECT param, rel_year, dekad36, median(value) AS med FROM fmeans
+             WHERE site_id IN (SELECT site_id FROM kept) GROUP BY ALL) md
+         ON md.param = f.param AND md.rel_year = f.rel_year AND md.dekad36 = f.dekad36""")
+cte("zed", ("imputed",), """
+  SELECT i.*, CASE WHEN s.sd = 0 THEN 0.0 ELSE (i.value - s.mu) / s.sd END AS z
+  FROM imputed i JOIN (SELECT idx, avg(value) AS mu, stddev_pop(value) AS sd FROM imputed GROUP BY idx) s ON s.idx = i.idx""")
+
+
+def qclass_sql(col: str, edges: str) -> str:
+    return (f"CASE WHEN {col} IS NULL THEN NULL WHEN {col} <= {edges}[2] THEN 0 WHEN {col} <= {edges}[3] THEN 1 "
+            f"WHEN {col} <= {edges}[4] THEN 2 ELSE 3 END")
+
+
+cte("classes", ("kept",), f"""
+  SELECT k.*, {qclass_sql('target', 'e.q')} AS y_true
+  FROM kept k, (SELECT quantile_cont(target, [0, 0.25, 0.5, 0.75, 1]) AS q FROM kept) e""")
+cte("classes2", ("classes", "dpanel"), f"""
+  SELECT c.*, {qclass_sql('loss', 'e.q')} AS y_pred
+  FROM (SELECT c.*, d.loss FROM classes c JOIN (SELECT site_id, avg(loss_pct) AS loss FROM dpanel GROUP BY site_id) d
+        ON c.site_id = d.site_id) c,
+       (SELECT quantile_cont(d.loss, [0, 0.25, 0.5, 0.75, 1]) AS q
+        FROM classes c JOIN (SELECT site_id, avg(loss_pct) AS loss FROM dpanel GROUP BY site_id) d ON c.site_id = d.site_id) e""")
+
+_perms = list(__import__("itertools").permutations(range(4)))
+cte("perms", (), "SELECT * FROM (VALUES " + ", ".join(
+    f"({i}, {p[0]}, {p[1]}, {p[2]}, {p[3]})" for i, p in enumerate(_perms)) + ") t(pid, m0, m1, m2, m3)")
+cte("best_perm", ("classes2", "perms"), """
+  SELECT * FROM perms p ORDER BY (
+    SELECT count(*) FROM classes2 c
+    WHERE c.y_true = CASE c.y_pred WHEN 0 THEN p.m0 WHEN 1 THEN p.m1 WHEN 2 THEN p.m2 ELSE p.m3 END) DESC, pid
+  LIMIT 1""")
+cte("aligned", ("classes2", "best_perm"), """
+  SELECT c.*, CAST(CASE c.y_pred WHEN 0 THEN b.m0 WHEN 1 THEN b.m1 WHEN 2 THEN b.m2 WHEN 3 THEN b.m3 END AS INTEGER) AS y_aligned
+  FROM classes2 c, best_perm b""")
+
+ORACLE["coverage"] = with_("kept") + "\nSELECT site_id, round(coverage, 6) AS coverage FROM kept"
+ORACLE["impute_median"] = with_("imputed") + """
+SELECT site_id, idx, param, rel_year, dekad36, round(value, 6) AS value, imputed FROM imputed"""
+ORACLE["standardise"] = with_("zed") + "\nSELECT site_id, idx, param, rel_year, dekad36, round(z, 6) AS z FROM zed"
+ORACLE["quantile_classes"] = with_("classes") + "\nSELECT site_id, round(target, 6) AS target, y_true FROM classes"
+ORACLE["class_distribution"] = with_("classes") + """
+SELECT y_true, count(*) AS n, round(count(*) / sum(count(*)) OVER (), 6) AS share FROM classes GROUP BY y_true"""
+ORACLE["box_stats"] = with_("classes", extra="""
+q AS (SELECT y_true, quantile_cont(target, [0.25, 0.5, 0.75]) AS qq, count(target) AS n, min(target) AS mn, max(target) AS mx
+      FROM classes GROUP BY y_true),
+q2 AS (SELECT y_true, n, mn, mx, qq[1] AS q1, qq[2] AS med, qq[3] AS q3, qq[3] - qq[1] AS iqr,
+              qq[1] - 1.5 * (qq[3] - qq[1]) AS lo, qq[3] + 1.5 * (qq[3] - qq[1]) AS hi FROM q),
+w AS (SELECT c.y_true, min(c.target) FILTER (WHERE c.target >= q2.lo AND c.target <= q2.hi) AS wl,
+             max(c.target) FILTER (WHERE c.target >= q2.lo AND c.target <= q2.hi) AS wh,
+             count(*) FILTER (WHERE NOT (c.target >= q2.lo AND c.target <= q2.hi) AND c.target IS NOT NULL) AS n_out
+      FROM classes c JOIN q2 ON c.y_true = q2.y_true GROUP BY c.y_true)""") + """
+SELECT q2.y_true, n, round(mn, 6) AS min, round(mx, 6) AS max, round(q1, 6) AS q1, round(med, 6) AS median,
+       round(q3, 6) AS q3, round(iqr, 6) AS iqr, round(lo, 6) AS lo_fence, round(hi, 6) AS hi_fence,
+       round(wl, 6) AS whisker_lo, round(wh, 6) AS whisker_hi, n_out AS n_outliers
+FROM q2 JOIN w ON q2.y_true = w.y_true"""
+ORACLE["align_labels"] = with_("aligned") + "\nSELECT site_id, y_true, y_pred, y_aligned FROM aligned"
+
+
+def confusion_sql(src: str, t: str, p: str) -> str:
+    return f"""
+SELECT {t}, {p}, count(*) AS n, round(count(*) / sum(count(*)) OVER (PARTITION BY {t}), 6) AS row_share
+FROM {src} GROUP BY {t}, {p}"""
+
+
+def per_class_sql(src: str, t: str, p: str) -> str:
+    return f"""
+pc AS (
+  SELECT c, sum(is_true) AS support, sum(tp) AS tp, sum(is_pred) AS n_pred
+  FROM (SELECT {t} AS c, 1 AS is_true, CAST({t} = {p} AS INTEGER) AS tp, 0 AS is_pred FROM {src}
+        UNION ALL SELECT {p} AS c, 0, 0, 1 FROM {src}) GROUP BY c),
+pc2 AS (SELECT *, sum(support) OVER () AS n FROM pc),
+cm AS (
+  SELECT c AS cls, support, n_pred, tp,
+         CASE WHEN n_pred > 0 THEN tp / n_pred ELSE 0.0 END AS precision,
+         CASE WHEN support > 0 THEN tp / support ELSE 0.0 END AS recall,
+         CASE WHEN (n - tp - (support - tp) - (n_pred - tp)) + (n_pred - tp) > 0
+              THEN (n - tp - (support - tp) - (n_pred - tp)) / ((n - tp - (support - tp) - (n_pred - tp)) + (n_pred - tp))
+              ELSE 0.0 END AS specificity
+  FROM pc2),
+cm2 AS (SELECT *, CASE WHEN precision + recall > 0 THEN 2 * precision * recall / (precision + recall) ELSE 0.0 END AS f1 FROM cm)"""
+
+
+CM_OUT = ("cls, CAST(support AS BIGINT) AS support, CAST(n_pred AS BIGINT) AS n_pred, CAST(tp AS BIGINT) AS tp, "
+          "round(precision, 6) AS precision, round(recall, 6) AS recall, round(f1, 6) AS f1, "
+          "round(specificity, 6) AS specificity")
+SUMMARY = """
+SELECT round(sum(tp) / sum(support), 6) AS accuracy, round(avg(precision), 6) AS precision_macro,
+       round(avg(recall), 6) AS recall_macro, round(avg(f1), 6) AS f1_macro, round(avg(specificity), 6) AS specificity_macro,
+       round(sum(precision * support) / sum(support), 6) AS precision_weighted,
+       round(sum(recall * support) / sum(support), 6) AS recall_weighted,
+       round(sum(f1 * support) / sum(support), 6) AS f1_weighted
+FROM cm2"""
+
+ORACLE["confusion"] = with_("aligned") + confusion_sql("aligned", "y_true", "y_aligned")
+ORACLE["class_metrics"] = with_("aligned", extra=per_class_sql("aligned", "y_true", "y_aligned")) + f"\nSELECT {CM_OUT} FROM cm2"
+ORACLE["metric_summary"] = with_("aligned", extra=per_class_sql("aligned", "y_true", "y_aligned")) + SUMMARY
+
+cte("doclab", (), "SELECT doc_id, quality AS y_true, toxic AS y_pred FROM labels")
+ORACLE["confusion_labels"] = with_("doclab") + confusion_sql("doclab", "y_true", "y_pred")
+ORACLE["class_metrics_labels"] = with_("doclab", extra=per_class_sql("doclab", "y_true", "y_pred")) + f"\nSELECT {CM_OUT} FROM cm2"
+ORACLE["metric_report"] = with_("doclab", extra=per_class_sql("doclab", "y_true", "y_pred") + """,
+summ AS (""" + SUMMARY.replace("round(", "(").replace(", 6)", ")") + ")") + """
+SELECT scope, metric, round(value, 6) AS value, round(round(value * 100, 6), 2) AS percent FROM (
+  SELECT CAST(cls AS VARCHAR) AS scope, 'precision' AS metric, precision AS value FROM cm2
+  UNION ALL SELECT CAST(cls AS VARCHAR), 'recall', recall FROM cm2
+  UNION ALL SELECT CAST(cls AS VARCHAR), 'f1', f1 FROM cm2
+  UNION ALL SELECT CAST(cls AS VARCHAR), 'specificity', specificity FROM cm2
+  UNION ALL SELECT 'all', 'accuracy', accuracy FROM summ
+  UNION ALL SELECT 'all', 'precision_macro', precision_macro FROM summ
+  UNION ALL SELECT 'all', 'recall_macro', recall_macro FROM summ
+  UNION ALL SELECT 'all', 'f1_macro', f1_macro FROM summ
+  UNION ALL SELECT 'all', 'specificity_macro', specificity_macro FROM summ
+  UNION ALL SELECT 'all', 'precision_weighted', precision_weighted FROM summ
+  UNION ALL SELECT 'all', 'recall_weighted', recall_weighted FROM summ
+  UNION ALL SELECT 'all', 'f1_weighted', f1_weighted FROM summ)"""
+
+cte("emb_long", (), """
+  SELECT vec_id, label, CAST(pos - 1 AS INTEGER) AS pos, CAST(v AS DOUBLE) AS v
+  FROM (SELECT vec_id, label, unnest(embedding) AS v, generate_subscripts(embedding, 1) AS pos FROM embeddings)""")
+cte("emb_cent", ("emb_long",), "SELECT label AS cls, pos, avg(v) AS c FROM emb_long GROUP BY label, pos")
+cte("emb_dist", ("emb_long", "emb_cent"), """
+  SELECT e.vec_id, c.cls, sqrt(sum((e.v - c.c) * (e.v - c.c))) AS dist
+  FROM emb_long e JOIN emb_cent c ON e.pos = c.pos GROUP BY e.vec_id, c.cls""")
+cte("emb_scores", ("emb_dist",), """
+  SELECT d.vec_id, d.cls, d.dist, (1.0 / (d.dist + 1e-9)) / sum(1.0 / (d.dist + 1e-9)) OVER (PARTITION BY d.vec_id) AS score,
+         e.label AS y_true
+  FROM emb_dist d JOIN embeddings e ON d.vec_id = e.vec_id""")
+cte("emb_sc", ("emb_scores",), """
+  SELECT cls, score, sum(CASE WHEN y_true = cls THEN 1 ELSE 0 END) AS pos, sum(CASE WHEN y_true = cls THEN 0 ELSE 1 END) AS neg
+  FROM emb_scores GROUP BY cls, score""")
+cte("emb_pre", ("emb_sc",), """
+  SELECT *, coalesce(sum(pos) OVER w, 0) AS pos_lt, coalesce(sum(neg) OVER w, 0) AS neg_lt,
+         sum(pos) OVER (PARTITION BY cls) AS P, sum(neg) OVER (PARTITION BY cls) AS N
+  FROM emb_sc WINDOW w AS (PARTITION BY cls ORDER BY score ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)""")
+cte("emb_roc", ("emb_pre",), """
+  SELECT cls, score AS threshold, CASE WHEN P > 0 THEN (P - pos_lt) / P END AS tpr,
+         CASE WHEN N > 0 THEN (N - neg_lt) / N END AS fpr FROM emb_pre""")
+
+ORACLE["inverse_distance_scores"] = with_("emb_scores") + """
+SELECT vec_id, y_true, cls, round(dist, 6) AS dist, round(score, 6) AS score FROM emb_scores"""
+ORACLE["auc_ovr"] = with_("emb_pre", extra="""
+a AS (SELECT cls, CASE WHEN max(P) > 0 AND max(N) > 0 THEN sum(pos * (neg_lt + 0.5 * neg)) / (max(P) * max(N)) END AS auc,
+             CAST(max(P) AS BIGINT) AS P, CAST(max(N) AS BIGINT) AS N FROM emb_pre GROUP BY cls)""") + """
+SELECT cls, round(auc, 6) AS auc, P, N FROM a
+UNION ALL SELECT NULL, round(avg(auc), 6), CAST(sum(P) AS BIGINT), CAST(sum(N) AS BIGINT) FROM a"""
+ORACLE["roc_points"] = with_("emb_roc") + """
+SELECT cls, round(threshold, 6) AS threshold, round(tpr, 6) AS tpr, round(fpr, 6) AS fpr FROM emb_roc"""
+ORACLE["youden"] = with_("emb_roc", extra="""
+b AS (SELECT cls, arg_max(threshold, (tpr - fpr, threshold)) AS th, arg_max(tpr, (tpr - fpr, threshold)) AS tp,
+             arg_max(fpr, (tpr - fpr, threshold)) AS fp, max(tpr - fpr) AS j FROM emb_roc GROUP BY cls)""") + """
+SELECT cls, round(CASE WHEN j > 0 THEN th ELSE 'inf'::DOUBLE END, 6) AS threshold,
+       round(CASE WHEN j > 0 THEN tp ELSE 0.0 END, 6) AS tpr, round(CASE WHEN j > 0 THEN fp ELSE 0.0 END, 6) AS fpr,
+       round(greatest(j, 0.0), 6) AS youden_j
+FROM b"""

@@ -388,3 +388,186 @@ def q_labels_lookup(spark, sf):
 def q_legend(spark, sf):
     """J8 legend over the heatmap parameters."""
     return analysis.legend(heat(spark, sf), attributes(spark), "param")
+
+
+# ---------------------------------------------------------------- mining
+from ..operators import clustering as CL, evaluation as EV, features as FE  # noqa: E402
+
+
+def mining_inputs(spark, sf):
+    s = climate.season_window(season(spark, sf), exact=True)
+    pg = P.join_geo(dpanel(spark, sf), B.sites(spark, sf))
+    return s, pg
+
+
+def mining_table(spark, sf):
+    s, pg = mining_inputs(spark, sf)
+    return FE.site_feature_table(s, pg, METRIC)
+
+
+@register("coverage")
+def q_coverage(spark, sf):
+    """per-site feature coverage of kept sites."""
+    s, pg = mining_inputs(spark, sf)
+    feats = FE.feature_index(s)
+    kept = FE.filter_coverage(FE.site_feature_means(s, pg), FE.site_targets(pg, METRIC), feats.count())
+    return finalize(kept.select("site_id", "coverage"))
+
+
+@register("impute_median")
+def q_impute_median(spark, sf):
+    """M6 (long grid of site × feature)."""
+    s, pg = mining_inputs(spark, sf)
+    feats = FE.feature_index(s)
+    means = FE.site_feature_means(s, pg)
+    kept = FE.filter_coverage(means, FE.site_targets(pg, METRIC), feats.count())
+    return finalize(FE.impute_median(means, kept, feats))
+
+
+@register("standardise")
+def q_standardise(spark, sf):
+    """M8."""
+    long, _ = mining_table(spark, sf)
+    return finalize(long.select("site_id", "idx", "param", "rel_year", "dekad36", "z"))
+
+
+def site_classes(spark, sf) -> DataFrame:
+    """y_true = quartile of mean yield; y_pred = quartile of mean loss % (to be aligned)."""
+    _, sites = mining_table(spark, sf)
+    d = dpanel(spark, sf).groupBy("site_id").agg(F.avg("loss_pct").alias("loss"))
+    j = sites.join(d, "site_id")
+    return FE.quantile_classes(j, "loss", out="y_pred")
+
+
+@register("quantile_classes")
+def q_quantile_classes(spark, sf):
+    """M7."""
+    _, sites = mining_table(spark, sf)
+    return finalize(sites.select("site_id", "target", "y_true"))
+
+
+@register("class_distribution")
+def q_class_distribution(spark, sf):
+    """A10."""
+    _, sites = mining_table(spark, sf)
+    return finalize(EV.class_distribution(sites, "y_true"))
+
+
+@register("box_stats")
+def q_box_stats(spark, sf):
+    """Target by class."""
+    _, sites = mining_table(spark, sf)
+    return finalize(EV.box_stats(sites, "y_true", "target"))
+
+
+def aligned(spark, sf) -> DataFrame:
+    return EV.align_labels(site_classes(spark, sf), "y_true", "y_pred", "y_aligned")
+
+
+@register("align_labels")
+def q_align_labels(spark, sf):
+    """M11."""
+    return aligned(spark, sf).select("site_id", "y_true", "y_pred", "y_aligned")
+
+
+@register("confusion")
+def q_confusion(spark, sf):
+    """M12 on aligned site classes."""
+    return finalize(EV.confusion(aligned(spark, sf), "y_true", "y_aligned"))
+
+
+@register("class_metrics")
+def q_class_metrics(spark, sf):
+    """M13 + M14 per class."""
+    return finalize(EV.class_metrics(aligned(spark, sf), "y_true", "y_aligned"))
+
+
+@register("metric_summary")
+def q_metric_summary(spark, sf):
+    """M13 global."""
+    return finalize(EV.summary_metrics(EV.class_metrics(aligned(spark, sf), "y_true", "y_aligned")))
+
+
+def doc_labels(spark, sf) -> DataFrame:
+    return B.table(spark, sf, "labels").select("doc_id", F.col("quality").alias("y_true"),
+                                              F.col("toxic").alias("y_pred"))
+
+
+@register("confusion_labels")
+def q_confusion_labels(spark, sf):
+    """M12 over the labels table (k = 2)."""
+    return finalize(EV.confusion(doc_labels(spark, sf)))
+
+
+@register("class_metrics_labels")
+def q_class_metrics_labels(spark, sf):
+    """M13/M14 over the labels table."""
+    return finalize(EV.class_metrics(doc_labels(spark, sf)))
+
+
+@register("metric_report")
+def q_metric_report(spark, sf):
+    """M18 over the labels table."""
+    pc = EV.class_metrics(doc_labels(spark, sf))
+    return finalize(EV.metric_report(pc, EV.summary_metrics(pc)))
+
+
+def embedding_scores(spark, sf) -> DataFrame:
+    """M15 on embeddings: inverse-distance scores to the per-label mean vectors."""
+    e = B.table(spark, sf, "embeddings")
+    pts = CL.explode_vectors(e.select("vec_id", "label", F.col("embedding").cast("array<double>").alias("embedding")),
+                             "vec_id", "embedding")
+    cents = CL.centroids_long(pts, "label")
+    sc = CL.inverse_distance_long(pts, cents, "vec_id", "label")
+    return sc.join(e.select("vec_id", F.col("label").alias("y_true")), "vec_id")
+
+
+@register("inverse_distance_scores")
+def q_inverse_distance_scores(spark, sf):
+    """M15."""
+    return finalize(embedding_scores(spark, sf).select("vec_id", "y_true", "cls", "dist", "score"))
+
+
+@register("auc_ovr")
+def q_auc_ovr(spark, sf):
+    """M16 per class + macro (cls NULL)."""
+    a = EV.auc_ovr(embedding_scores(spark, sf), "y_true", "cls", "score")
+    macro = a.agg(F.lit(None).cast("int").alias("cls"), F.avg("auc").alias("auc"),
+                  F.sum("P").alias("P"), F.sum("N").alias("N"))
+    return finalize(a.unionByName(macro))
+
+
+@register("roc_points")
+def q_roc_points(spark, sf):
+    """M17 ROC points."""
+    return finalize(EV.roc_points(embedding_scores(spark, sf), "y_true", "cls", "score"))
+
+
+@register("youden")
+def q_youden(spark, sf):
+    """M17 Youden optimum."""
+    return finalize(EV.youden(EV.roc_points(embedding_scores(spark, sf), "y_true", "cls", "score")))
+
+
+@register("pca_variance")
+def q_pca_variance(spark, sf):
+    """M9 + W7 (rows check: signs and solver are the library's)."""
+    long, _ = mining_table(spark, sf)
+    proj, explained, k = CL.pca_reduce(FE.site_vectors(long))
+    return CL.variance_table(spark, explained).withColumn("kept", F.col("component") <= k)
+
+
+@register("kmeans")
+def q_kmeans(spark, sf):
+    """M9 → M10 → M11 → M15 on site features (rows check)."""
+    long, sites = mining_table(spark, sf)
+    proj, _, _ = CL.pca_reduce(FE.site_vectors(long))
+    model, cost = CL.kmeans_best(proj, restarts=CL.KMEANS_RESTARTS)
+    pred = model.transform(proj).join(sites.select("site_id", "y_true"), "site_id")
+    al = EV.align_labels(pred, "y_true", "raw", "y_pred")
+    rows = al.select("raw", "y_pred").distinct().collect()
+    mapping = {r["raw"]: r["y_pred"] for r in rows}
+    d = CL.centroid_distances(al, model.clusterCenters())
+    sc = CL.inverse_distance_scores(d, mapping, CL.KMEANS_K)
+    return sc.select("site_id", "y_true", "raw", "y_pred", F.lit(cost).alias("cost"),
+                     F.transform("scores", lambda v: F.round(v, 6)).alias("scores"))
