@@ -719,3 +719,90 @@ SELECT cls, round(CASE WHEN j > 0 THEN th ELSE 'inf'::DOUBLE END, 6) AS threshol
        round(CASE WHEN j > 0 THEN tp ELSE 0.0 END, 6) AS tpr, round(CASE WHEN j > 0 THEN fp ELSE 0.0 END, 6) AS fpr,
        round(greatest(j, 0.0), 6) AS youden_j
 FROM b"""
+
+
+# --- geo ----------------------------------------------------------------------------------
+def _sq(lon="lon", lat="lat"):
+    pts = [("-", "-"), ("+", "-"), ("+", "+"), ("-", "+"), ("-", "-")]
+    return pts
+
+
+ORACLE["centroid"] = with_("site") + """
+SELECT 'P' || site_id AS code, 'Point' AS type, round(lat, 6) AS lat, round(lon, 6) AS lon FROM site
+UNION ALL
+SELECT 'S' || site_id, 'Polygon',
+       round(((((lat - 0.1) + (lat - 0.1)) + (lat + 0.1)) + (lat + 0.1) + (lat - 0.1)) / 5, 6),
+       round(((((lon - 0.1) + (lon + 0.1)) + (lon + 0.1)) + (lon - 0.1) + (lon - 0.1)) / 5, 6)
+FROM site
+UNION ALL
+SELECT 'R' || region, 'MultiPolygon',
+       round(list_reduce(list(v ORDER BY site_id, k) FILTER (WHERE axis = 'lat'), lambda a, b: a + b) / (5 * count(DISTINCT site_id)), 6),
+       round(list_reduce(list(v ORDER BY site_id, k) FILTER (WHERE axis = 'lon'), lambda a, b: a + b) / (5 * count(DISTINCT site_id)), 6)
+FROM (
+  SELECT region, site_id, k, 'lat' AS axis, CASE WHEN k IN (0, 1, 4) THEN lat - 0.1 ELSE lat + 0.1 END AS v
+  FROM site, range(5) t(k)
+  UNION ALL
+  SELECT region, site_id, k, 'lon', CASE WHEN k IN (0, 3, 4) THEN lon - 0.1 ELSE lon + 0.1 END
+  FROM site, range(5) t(k))
+GROUP BY region"""
+
+cte("bpts", ("site",), "SELECT * FROM site WHERE region IN ('AMERICA', 'ASIA')")
+cte("bverts", ("bpts",), """
+  SELECT x, y, CAST(row_number() OVER (ORDER BY a, x, y) - 1 AS BIGINT) AS seq FROM (
+    SELECT lon AS x, lat AS y,
+           atan2(lat - (SELECT avg(lat) FROM bpts), lon - (SELECT avg(lon) FROM bpts)) AS a FROM bpts)""")
+cte("bring", ("bverts",), """
+  SELECT seq, x, y FROM bverts UNION ALL SELECT (SELECT count(*) FROM bverts), x, y FROM bverts WHERE seq = 0""")
+cte("bedges", ("bring",), """
+  SELECT * FROM (SELECT x AS x1, y AS y1, lead(x) OVER (ORDER BY seq) AS x2, lead(y) OVER (ORDER BY seq) AS y2 FROM bring)
+  WHERE x2 IS NOT NULL""")
+
+
+def pip_sql(points: str, px: str, py: str) -> str:
+    """Per distinct point: crossing parity and on-segment flag against bedges."""
+    return f"""
+SELECT {px} AS _px, {py} AS _py,
+       sum(CASE WHEN (e.y1 > {py}) <> (e.y2 > {py}) AND {px} < e.x1 + ({py} - e.y1) * (e.x2 - e.x1) / (e.y2 - e.y1)
+                THEN 1 ELSE 0 END) % 2 = 1 AS inside,
+       max(CASE WHEN (e.x2 - e.x1) * ({py} - e.y1) - (e.y2 - e.y1) * ({px} - e.x1) = 0
+                 AND {px} >= least(e.x1, e.x2) AND {px} <= greatest(e.x1, e.x2)
+                 AND {py} >= least(e.y1, e.y2) AND {py} <= greatest(e.y1, e.y2) THEN 1 ELSE 0 END) = 1 AS on_border
+FROM (SELECT DISTINCT {px}, {py} FROM {points}) p CROSS JOIN bedges e
+GROUP BY {px}, {py}"""
+
+
+ORACLE["clip_points"] = with_("site", "bedges", extra=f"pip AS ({pip_sql('site', 'lon', 'lat')})") + """
+SELECT s.site_id, s.name, round(s.lat, 6) AS lat, round(s.lon, 6) AS lon
+FROM site s JOIN pip ON s.lon = pip._px AND s.lat = pip._py WHERE pip.inside OR pip.on_border"""
+
+cte("gbox", ("bedges",), """
+  SELECT min(least(x1, x2)) AS minx, min(least(y1, y2)) AS miny, max(greatest(x1, x2)) AS maxx, max(greatest(y1, y2)) AS maxy,
+         CAST(ceil((max(greatest(x1, x2)) - min(least(x1, x2))) / 0.02) AS BIGINT) AS nx,
+         CAST(ceil((max(greatest(y1, y2)) - min(least(y1, y2))) / 0.02) AS BIGINT) AS ny
+  FROM bedges""")
+cte("gcells", ("gbox",), """
+  SELECT i, j, minx + CAST(i AS DOUBLE) * 0.02 AS x, miny + CAST(j AS DOUBLE) * 0.02 AS y
+  FROM gbox, range(0, (SELECT nx FROM gbox)) a(i), range(0, (SELECT ny FROM gbox)) b(j)""")
+cte("gpip", ("gcells", "bedges"), pip_sql("gcells", "x", "y"))
+cte("gmask", ("gcells", "gpip"), """
+  SELECT c.i, c.j, c.x, c.y, coalesce(p.inside AND NOT p.on_border, false) AS inside
+  FROM gcells c LEFT JOIN gpip p ON c.x = p._px AND c.y = p._py""")
+
+ORACLE["grid"] = with_("gmask") + "\nSELECT i, j, round(x, 6) AS x, round(y, 6) AS y, inside FROM gmask"
+
+cte("st_clip", ("site", "bedges"), f"""
+  SELECT s.* FROM site s JOIN ({pip_sql('site', 'lon', 'lat')}) p ON s.lon = p._px AND s.lat = p._py
+  WHERE p.inside OR p.on_border""")
+cte("st_cls", ("st_clip", "dpanel"), f"""
+  SELECT c.lon AS sx, c.lat AS sy, CAST({qclass_sql('c.target', 'e.q')} + 1 AS DOUBLE) AS sz
+  FROM (SELECT s.*, t.target FROM st_clip s JOIN (SELECT site_id, avg(yield_kg_ha) AS target FROM dpanel GROUP BY site_id) t
+        ON s.site_id = t.site_id) c,
+       (SELECT quantile_cont(t.target, [0, 0.25, 0.5, 0.75, 1]) AS q FROM st_clip s
+        JOIN (SELECT site_id, avg(yield_kg_ha) AS target FROM dpanel GROUP BY site_id) t ON s.site_id = t.site_id) e""")
+
+ORACLE["idw_surface"] = with_("gmask", "st_cls") + """
+SELECT i, j, round(CASE WHEN bool_or(d2 = 0) THEN max(CASE WHEN d2 = 0 THEN sz END)
+                        ELSE sum(sz / pow(sqrt(d2), 2.0)) / sum(1.0 / pow(sqrt(d2), 2.0)) END, 6) AS z
+FROM (SELECT g.i, g.j, s.sz, (g.x - s.sx) * (g.x - s.sx) + (g.y - s.sy) * (g.y - s.sy) AS d2
+      FROM gmask g CROSS JOIN st_cls s WHERE g.inside)
+GROUP BY i, j"""

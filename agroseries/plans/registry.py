@@ -571,3 +571,78 @@ def q_kmeans(spark, sf):
     sc = CL.inverse_distance_scores(d, mapping, CL.KMEANS_K)
     return sc.select("site_id", "y_true", "raw", "y_pred", F.lit(cost).alias("cost"),
                      F.transform("scores", lambda v: F.round(v, 6)).alias("scores"))
+
+
+# ---------------------------------------------------------------- geo
+from ..operators import geo as G  # noqa: E402
+
+BOUNDARY_REGIONS = ["AMERICA", "ASIA"]
+
+
+@register("centroid")
+def q_centroid(spark, sf):
+    """G1 on GeoJSON built from the site table: a Point and a square Polygon per
+    site, and per region a MultiPolygon of its sites' squares."""
+    s = B.sites(spark, sf)
+    sq = F.format_string("[[[%s,%s],[%s,%s],[%s,%s],[%s,%s],[%s,%s]]]",
+                         F.col("lon") - 0.1, F.col("lat") - 0.1, F.col("lon") + 0.1, F.col("lat") - 0.1,
+                         F.col("lon") + 0.1, F.col("lat") + 0.1, F.col("lon") - 0.1, F.col("lat") + 0.1,
+                         F.col("lon") - 0.1, F.col("lat") - 0.1)
+    pts = s.select(F.concat(F.lit("P"), "site_id").alias("code"), F.lit("Point").alias("type"),
+                   F.format_string("[%s,%s]", "lon", "lat").alias("coords"))
+    polys = s.select(F.concat(F.lit("S"), "site_id").alias("code"), F.lit("Polygon").alias("type"), sq.alias("coords"))
+    multi = (s.groupBy("region").agg(F.array_sort(F.collect_list(F.struct("site_id", sq.alias("r")))).alias("rs"))
+              .select(F.concat(F.lit("R"), "region").alias("code"), F.lit("MultiPolygon").alias("type"),
+                      F.concat(F.lit("["), F.array_join(F.transform("rs", lambda e: e["r"]), ","), F.lit("]")).alias("coords")))
+    geoms = pts.unionByName(polys).unionByName(multi)
+    return finalize(geoms.select("code", "type", G.centroid("type", "coords").alias("c"))
+                    .select("code", "type", "c.lat", "c.lon"))
+
+
+def boundary_edges(spark, sf) -> DataFrame:
+    s = B.sites(spark, sf).filter(F.col("region").isin(BOUNDARY_REGIONS))
+    return G.ring_edges(G.star_polygon(s))
+
+
+@register("clip_points")
+def q_clip_points(spark, sf):
+    """G2 + F7: sites inside (or on) a boundary built from two regions' sites."""
+    s = G.valid_coords(B.sites(spark, sf))
+    return finalize(G.clip_points(s, boundary_edges(spark, sf)).select("site_id", "name", "lat", "lon"))
+
+
+def boundary_grid(spark, sf):
+    e = boundary_edges(spark, sf)
+    b = e.agg(F.min(F.least("x1", "x2")), F.min(F.least("y1", "y2")),
+              F.max(F.greatest("x1", "x2")), F.max(F.greatest("y1", "y2"))).first()
+    return G.mask_grid(G.make_grid(spark, tuple(float(v) for v in b)), e)
+
+
+@register("grid")
+def q_grid(spark, sf):
+    """G3 + G4: 0.02° grid over the boundary's bbox with the strict-inside mask."""
+    return finalize(boundary_grid(spark, sf))
+
+
+def stations(spark, sf):
+    """Clipped sites with class 1..4 of mean yield (quartiles over the clipped sites)."""
+    e = boundary_edges(spark, sf)
+    s = G.clip_points(G.valid_coords(B.sites(spark, sf)), e)
+    y = dpanel(spark, sf).groupBy("site_id").agg(F.avg(METRIC).alias("target"))
+    c = FE.quantile_classes(s.join(y, "site_id"), "target")
+    return [(r["lon"], r["lat"], float(r["y_true"] + 1))
+            for r in c.orderBy("site_id").select("lon", "lat", "y_true").collect()]
+
+
+@register("idw_surface")
+def q_idw_surface(spark, sf):
+    """G5 (IDW kernel) over inside cells."""
+    g = boundary_grid(spark, sf).filter("inside")
+    return finalize(G.idw_surface(g, stations(spark, sf)).select("i", "j", "z"))
+
+
+@register("rbf_surface")
+def q_rbf_surface(spark, sf):
+    """G5 (multiquadric RBF, smooth 0.1, clipped to [1, 4]) over inside cells (rows check)."""
+    g = boundary_grid(spark, sf).filter("inside")
+    return finalize(G.rbf_surface(g, stations(spark, sf)).select("i", "j", "z"))
