@@ -47,7 +47,8 @@ def climate_correlations(season: DataFrame, panel: DataFrame, metric: str,
                      "n_pairs", "r", F.abs("r").alias("abs_r")))
 
 
-TIE_BREAK = [F.col("param").asc(), F.col("rel_year").asc(), F.col("dekad36").asc()]
+def _tie_break():
+    return [F.col("param").asc(), F.col("rel_year").asc(), F.col("dekad36").asc()]
 
 
 def top_correlations(corr: DataFrame, n: int = 10) -> DataFrame:
@@ -56,13 +57,13 @@ def top_correlations(corr: DataFrame, n: int = 10) -> DataFrame:
     A top-k: Spark plans ``TakeOrderedAndProject`` (per-partition top-n, then
     a single merge of n rows per partition).
     """
-    return corr.orderBy(F.col("abs_r").desc(), *TIE_BREAK).limit(n)
+    return corr.orderBy(F.col("abs_r").desc(), *_tie_break()).limit(n)
 
 
 def top_detail(top: DataFrame, k: int = 3, attrs: DataFrame | None = None,
                metric: str = "yield_kg_ha") -> DataFrame:
     """W2 + X9: rank 1..k of the top list with label, strength, direction, sentence."""
-    w = Window.orderBy(F.col("abs_r").desc(), *TIE_BREAK)
+    w = Window.orderBy(F.col("abs_r").desc(), *_tie_break())
     ranked = top.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
     if attrs is not None:
         ranked = with_labels(ranked, attrs, "param")

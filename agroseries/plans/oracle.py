@@ -806,3 +806,41 @@ SELECT i, j, round(CASE WHEN bool_or(d2 = 0) THEN max(CASE WHEN d2 = 0 THEN sz E
 FROM (SELECT g.i, g.j, s.sz, (g.x - s.sx) * (g.x - s.sx) + (g.y - s.sy) * (g.y - s.sy) AS d2
       FROM gmask g CROSS JOIN st_cls s WHERE g.inside)
 GROUP BY i, j"""
+
+
+# --- sources / sinks / streaming (round trips) --------------------------------------------
+ORACLE["io_daily_csv"] = ORACLE["daily_clean"]
+ORACLE["io_dekads_parquet"] = ORACLE["dekad_aggregate"]
+ORACLE["io_panel_parquet"] = ORACLE["join_geo"]
+ORACLE["io_sites_json"] = with_("site") + "\nSELECT site_id, name, region_id, region FROM site"
+ORACLE["io_sites_csv"] = with_("site") + """
+SELECT site_id, name, region_id, region, round(lat, 6) AS lat, round(lon, 6) AS lon FROM site"""
+ORACLE["io_boundaries"] = with_("site") + """
+SELECT site_id, name,
+       round(((((lat - 0.1) + (lat - 0.1)) + (lat + 0.1)) + (lat + 0.1) + (lat - 0.1)) / 5, 6) AS lat,
+       round(((((lon - 0.1) + (lon + 0.1)) + (lon + 0.1)) + (lon - 0.1) + (lon - 0.1)) / 5, 6) AS lon
+FROM site"""
+ORACLE["io_payloads"] = with_("daily_raw") + f"""
+SELECT site_id, date, param, round(CASE WHEN v = -999 OR isnan(v) THEN NULL ELSE v END, 6) AS value
+FROM (SELECT site_id, date, param, max(value) AS v FROM daily_raw GROUP BY site_id, date, param)
+WHERE site_id <> {code_sql(str(DROPPED_NATION))}"""
+ORACLE["io_payload_quarantine"] = with_("daily_raw") + f"""
+SELECT DISTINCT site_id, 'missing header marker' AS reason FROM daily_raw WHERE site_id = {code_sql(str(DROPPED_NATION))}"""
+ORACLE["io_production"] = with_("production") + f"""
+SELECT site_id AS code, name, year, variable, round(value, 6) AS value FROM (
+  SELECT site_id, name, year, 'Área plantada (Hectares)' AS variable,
+         CASE WHEN site_id = {code_sql(str(DROPPED_NATION))} THEN 0.0 ELSE planted_ha END AS value FROM production
+  UNION ALL
+  SELECT site_id, name, year, 'Quantidade produzida (Toneladas)',
+         CASE WHEN site_id = {code_sql(str(DROPPED_NATION))} THEN 0.0 ELSE produced_t END FROM production)"""
+ORACLE["io_params"] = with_("daily_raw") + "\nSELECT DISTINCT param FROM daily_raw"
+ORACLE["io_wide_csv"] = with_("win") + """
+SELECT site_id, name, CAST(season_year AS VARCHAR) AS season_year, """ + ", ".join(
+    f"printf('%.4f', max(CASE WHEN param = '{p}' AND rel_year = {r} AND dekad36 = {d} THEN value END)) AS \"{p}_dec{d}_ano{r}\""
+    for p, r, d in _season_names(True) if p not in ("TAX", "PREC_PROB")) + """
+FROM win GROUP BY site_id, name, season_year"""
+ORACLE["incremental_ingest"] = """
+SELECT CAST(year(ts) AS INTEGER) AS year, CAST(month(ts) AS INTEGER) AS month,
+       CASE WHEN day(ts) <= 10 THEN 1 WHEN day(ts) <= 20 THEN 2 ELSE 3 END AS dekad, event_type,
+       count(*) AS n, round(round(sum(CASE WHEN value = -999 OR isnan(value) THEN NULL ELSE value END), 4), 4) AS sum_value
+FROM events GROUP BY ALL"""

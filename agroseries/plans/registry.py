@@ -646,3 +646,195 @@ def q_rbf_surface(spark, sf):
     """G5 (multiquadric RBF, smooth 0.1, clipped to [1, 4]) over inside cells (rows check)."""
     g = boundary_grid(spark, sf).filter("inside")
     return finalize(G.rbf_surface(g, stations(spark, sf)).select("i", "j", "z"))
+
+
+# ---------------------------------------------------------------- sources / sinks / streaming
+from ..session import scratch_path  # noqa: E402
+from ..sources import readers as R, sinks as K  # noqa: E402
+from ..streaming import ingest as ST  # noqa: E402
+
+
+@register("io_daily_csv")
+def q_io_daily_csv(spark, sf):
+    """K2 → S5: daily rows written per parameter folder as CSV and read back typed."""
+    path = scratch_path(spark, "daily")
+    K.write_daily(B.daily_raw(spark, sf), path)
+    return finalize(R.read_daily(spark, path))
+
+
+@register("io_dekads_parquet")
+def q_io_dekads_parquet(spark, sf):
+    """K3 → S6: dekads written by year, read back (all years)."""
+    path = scratch_path(spark, "dekads")
+    K.write_by_year(climate.dekad_aggregate(B.daily(spark, sf)), path)
+    return finalize(R.read_dekads(spark, path).select("site_id", "name", "lat", "lon", "year", "month",
+                                                       "dekad", "param", "value"))
+
+
+@register("io_panel_parquet")
+def q_io_panel_parquet(spark, sf):
+    """K6 → S9: joined panel as snappy Parquet."""
+    path = scratch_path(spark, "panel")
+    K.write_panel(P.order_columns(P.join_geo(dpanel(spark, sf), B.sites(spark, sf))), path)
+    return finalize(R.read_panel(spark, path))
+
+
+def registry_json(spark, sf) -> DataFrame:
+    n = B.table(spark, sf, "nation")
+    r = B.table(spark, sf, "region")
+    j = n.join(F.broadcast(r), n.n_regionkey == r.r_regionkey, "left")  # 25 × 5 rows by spec
+    meso = F.struct(F.col("n_regionkey").cast("long").alias("id"), F.col("r_name").alias("nome"))
+    return j.select(F.col("n_nationkey").cast("long").alias("id"), F.col("n_name").alias("nome"),
+                    F.when(F.col("n_nationkey") != B.DROPPED_NATION, F.struct(meso.alias("mesorregiao")))
+                     .alias("microrregiao"))
+
+
+@register("io_sites_json")
+def q_io_sites_json(spark, sf):
+    """Nested registry JSON (one record lacks the region and is skipped)."""
+    path = scratch_path(spark, "sites-json")
+    registry_json(spark, sf).write.mode("overwrite").json(path)
+    return R.read_sites(spark, path, multiline=False)
+
+
+@register("io_sites_csv")
+def q_io_sites_csv(spark, sf):
+    """K1 → S8: site CSV with BOM and fixed field order, read with an explicit schema."""
+    from ..schemas import SITE
+    path = scratch_path(spark, "sites-csv")
+    K.write_sites(B.sites(spark, sf), path)
+    return finalize(R.read_csv(spark, path, SITE))
+
+
+def square_json(lon="lon", lat="lat"):
+    return F.format_string("[[[%s,%s],[%s,%s],[%s,%s],[%s,%s],[%s,%s]]]",
+                           F.col(lon) - 0.1, F.col(lat) - 0.1, F.col(lon) + 0.1, F.col(lat) - 0.1,
+                           F.col(lon) + 0.1, F.col(lat) + 0.1, F.col(lon) - 0.1, F.col(lat) + 0.1,
+                           F.col(lon) - 0.1, F.col(lat) - 0.1)
+
+
+@register("io_boundaries")
+def q_io_boundaries(spark, sf):
+    """S2 → G1 → J5: GeoJSON features per site, centroids attached to the registry."""
+    path = scratch_path(spark, "geojson")
+    s = B.sites(spark, sf)
+    feats = s.select(F.lit("Feature").alias("type"),
+                     F.struct(F.col("site_id").alias("codarea")).alias("properties"),
+                     F.struct(F.lit("Polygon").alias("type"),
+                              F.from_json(square_json(), G.POLYGON_T).alias("coordinates")).alias("geometry"))
+    feats.write.mode("overwrite").json(path)
+    b = R.read_boundaries(spark, path, collection=False)
+    cents = b.select("code", G.centroid("geom_type", "coords").alias("c")).select("code", "c.lat", "c.lon")
+    reg_path = scratch_path(spark, "sites-json")
+    registry_json(spark, sf).write.mode("overwrite").json(reg_path)
+    reg = R.read_sites(spark, reg_path, multiline=False).withColumn("code", C.code_int("site_id"))
+    return finalize(reg.join(cents, "code", "left").select("site_id", "name", "lat", "lon"))
+
+
+@register("io_payloads")
+def q_io_payloads(spark, sf):
+    """S3: one payload file per site (prose, marker, YEAR/DOY CSV); one site's file
+    lacks the marker and lands in quarantine.  Values are the daily maxima."""
+    params = [p for p, _ in B.DAILY_PARAMS]
+    d = (B.daily_raw(spark, sf).groupBy("site_id", "date").pivot("param", params).agg(F.max("value")))
+    line = F.concat_ws(",", F.year("date").cast("string"), F.dayofyear("date").cast("string"),
+                       *[F.col(p).cast("string") for p in params])
+    body = d.select("site_id", F.concat(F.lit("3|"), F.col("date").cast("string")).alias("ord"), line.alias("text"))
+    sites = d.select("site_id").distinct()
+    dropped = C.norm_code(F.lit(B.DROPPED_NATION))
+    head = sites.select("site_id", F.explode(F.array(
+        F.struct(F.lit("0").alias("ord"), F.lit("Daily point series, derived for testing").alias("text")),
+        F.struct(F.lit("1").alias("ord"), F.when(F.col("site_id") != dropped, F.lit(R.END_HEADER))
+                 .otherwise(F.lit("(marker missing)")).alias("text")),
+        F.struct(F.lit("2").alias("ord"), F.lit(",".join(["YEAR", "DOY"] + params)).alias("text")))).alias("h")
+    ).select("site_id", "h.ord", "h.text")
+    path = scratch_path(spark, "payloads")
+    K.write_text_files(head.unionByName(body), path, "site_id", "ord")
+    rows, _ = R.read_point_payloads(spark, path, site_pattern=r"site_id=([^/]+)")
+    return finalize(rows.withColumn("value", C.sentinel_null("value")))
+
+
+@register("io_payload_quarantine")
+def q_io_payload_quarantine(spark, sf):
+    """S3 quarantine: files rejected with a reason (rows check)."""
+    params = [p for p, _ in B.DAILY_PARAMS]
+    d = B.daily_raw(spark, sf).select("site_id").distinct()
+    dropped = C.norm_code(F.lit(B.DROPPED_NATION))
+    txt = d.select("site_id", F.lit("0").alias("ord"),
+                   F.when(F.col("site_id") == dropped, F.lit("no marker here"))
+                    .otherwise(F.concat_ws("\n", F.lit(R.END_HEADER), F.lit(",".join(["YEAR", "DOY"] + params))))
+                    .alias("text"))
+    path = scratch_path(spark, "payloads-q")
+    K.write_text_files(txt, path, "site_id", "ord")
+    _, q = R.read_point_payloads(spark, path, site_pattern=r"site_id=([^/]+)")
+    return q.select(F.regexp_extract("file", r"site_id=([^/]+)", 1).alias("site_id"), "reason")
+
+
+PRODUCTION_SHEETS = [("planted_ha", "Área plantada (Hectares)"), ("produced_t", "Quantidade produzida (Toneladas)")]
+
+
+@register("io_production")
+def q_io_production(spark, sf):
+    """One sheet export per variable (title, "Variável - …", two header rows,
+    rows per site, a nameless footer); the dropped nation's cells are ".."."""
+    prod = B.production(spark, sf)
+    dropped = C.norm_code(F.lit(B.DROPPED_NATION))
+    lines = []
+    for i, (col, title) in enumerate(PRODUCTION_SHEETS):
+        w = prod.groupBy("site_id", "name").pivot("year", YEARS).agg(F.first(col))
+        cells = [F.when(F.col("site_id") == dropped, F.lit("..")).otherwise(F.coalesce(F.col(str(y)).cast("string"), F.lit("-")))
+                 for y in YEARS]
+        data = w.select(F.lit(str(i)).alias("sheet"), F.concat(F.lit("3|"), F.col("site_id")).alias("ord"),
+                        F.concat_ws(",", "site_id", "name", *cells).alias("text"))
+        hdr = w.limit(1).select(F.lit(str(i)).alias("sheet"), F.explode(F.array(
+            F.struct(F.lit("0").alias("ord"), F.lit(f"Tabela {i} - derived production").alias("text")),
+            F.struct(F.lit("1").alias("ord"), F.lit(f"Variável - {title}").alias("text")),
+            F.struct(F.lit("2a").alias("ord"), F.lit("Cód.,Município,Ano" + "," * (len(YEARS) - 1)).alias("text")),
+            F.struct(F.lit("2b").alias("ord"), F.lit(",," + ",".join(str(y) for y in YEARS)).alias("text")),
+            F.struct(F.lit("9").alias("ord"), F.lit("Fonte: derived from the line table").alias("text")))).alias("h")
+        ).select("sheet", "h.ord", "h.text")
+        lines += [hdr, data]
+    from functools import reduce
+    allv = reduce(DataFrame.unionByName, lines)
+    path = scratch_path(spark, "production")
+    K.write_text_files(allv, path, "sheet", "ord")
+    return finalize(R.read_production(spark, path, YEARS).drop("raw"))
+
+
+@register("io_params")
+def q_io_params(spark, sf):
+    """Parameter list written as CSV (header ``Atributo``) and read back distinct."""
+    path = scratch_path(spark, "params")
+    B.daily_raw(spark, sf).select(F.col("param").alias("Atributo")).distinct() \
+        .write.mode("overwrite").option("header", True).csv(path)
+    return R.read_params(spark, path)
+
+
+@register("io_wide_csv")
+def q_io_wide_csv(spark, sf):
+    """K4: season export with ``%.4f`` text, read back as strings.
+
+    Exported parameters are those whose dekad values are exact (sum, max,
+    min, range of the line values); averaged ones can sit on a 5th-decimal
+    tie where the text depends on the summation order of each engine.
+    """
+    params = [p for p, _ in B.DAILY_PARAMS if p not in ("TAX", "PREC_PROB")]
+    path = scratch_path(spark, "wide")
+    wide = climate.season_wide(climate.season_window(season(spark, sf), exact=True), params, exact=True)
+    K.write_wide_csv(wide, path, 4)
+    return spark.read.option("header", True).csv(path)
+
+
+@register("incremental_ingest")
+def q_incremental_ingest(spark, sf):
+    """Events split into one file per day, ingested with an availableNow
+    stream and a checkpoint, then counted per (year, month, dekad, type)."""
+    src = scratch_path(spark, "events-src")
+    ev = B.table(spark, sf, "events").withColumn("day", F.to_date("ts"))
+    ev.repartition("day").write.mode("overwrite").partitionBy("day").parquet(src)
+    out, ck = scratch_path(spark, "events-out"), scratch_path(spark, "events-ckpt")
+    schema = T.StructType([f for f in ev.schema.fields if f.name != "day"] + [T.StructField("day", T.DateType())])
+    ST.ingest_incremental(spark, src, out, ck, schema, ts_col="ts", value_col="value")
+    got = ST.read_ingested(spark, out)
+    return finalize(got.groupBy("year", "month", "dekad", "event_type")
+                       .agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("value"), 4).alias("sum_value")), 4)
