@@ -844,3 +844,49 @@ SELECT CAST(year(ts) AS INTEGER) AS year, CAST(month(ts) AS INTEGER) AS month,
        CASE WHEN day(ts) <= 10 THEN 1 WHEN day(ts) <= 20 THEN 2 ELSE 3 END AS dekad, event_type,
        count(*) AS n, round(round(sum(CASE WHEN value = -999 OR isnan(value) THEN NULL ELSE value END), 4), 4) AS sum_value
 FROM events GROUP BY ALL"""
+
+
+# --- remaining scalar / reshape ---------------------------------------------------------------
+ORACLE["parse_feature_name"] = with_("season") + """
+SELECT feature, regexp_extract(feature, '^(.*)_dec', 1) AS param,
+       CAST(regexp_extract(feature, 'dec([0-9]+)', 1) AS INTEGER) AS dekad,
+       CAST(regexp_extract(feature, 'ano([0-9]+)', 1) AS INTEGER) AS rel_year,
+       regexp_replace(trim(feature), '_dec.*$', '') AS base
+FROM (SELECT DISTINCT param || '_dec' || CAST(dekad36 AS VARCHAR) || '_ano' || CAST(rel_year AS VARCHAR) AS feature FROM season)"""
+
+from ..functions.columns import ACCENTED, UNACCENTED  # noqa: E402
+
+ORACLE["ascii_names"] = f"""
+SELECT doc_id, regexp_replace(regexp_replace(translate(text, '{ACCENTED}', '{UNACCENTED}'), '[^\\x00-\\x7F]', '', 'g'),
+                              '[^A-Za-z0-9_\\-]', '_', 'g') AS safe
+FROM documents"""
+
+cte("dwide", ("daily_raw",), "SELECT site_id, date, " + ", ".join(
+    f"max(value) FILTER (WHERE param = '{p}') AS {p}" for p in PARAMS) + " FROM daily_raw GROUP BY site_id, date")
+ORACLE["melt_params"] = with_("dwide") + "\n" + " UNION ALL ".join(
+    f"SELECT site_id, date, '{p}' AS param, round({p}, 6) AS value FROM dwide" for p in PARAMS)
+ORACLE["pivot_params"] = with_("dekads") + """
+SELECT site_id, name, round(lat, 6) AS lat, round(lon, 6) AS lon, year, month, dekad, """ + ", ".join(
+    f"round(max(value) FILTER (WHERE param = '{p}'), 6) AS {p}" for p in PARAMS) + """
+FROM dekads GROUP BY site_id, name, lat, lon, year, month, dekad"""
+ORACLE["pivot_dekads"] = with_("collapsed") + "\nSELECT site_id, name, year, " + ", ".join(
+    f"round(max(value) FILTER (WHERE param = '{p}' AND dekad36 = {d}), 6) AS {p}_dec{d}"
+    for p in PARAMS for d in range(1, 37)) + " FROM collapsed GROUP BY site_id, name, year"
+
+
+def _n_rules_sql(p="param"):
+    lp = f"lower({p})"
+    fams = [f"(({lp} LIKE '%prec%' AND {lp} NOT LIKE '%prob%') OR {lp} LIKE '%count%')",
+            f"({lp} LIKE '%prec%' AND {lp} LIKE '%prob%')", f"({lp} LIKE '%max%')",
+            f"({lp} LIKE '%min%')", f"({lp} LIKE '%range%')"]
+    return " + ".join(f"CAST({f} AS INTEGER)" for f in fams)
+
+
+ORACLE["param_rules"] = with_("daily_raw") + f"""
+SELECT param, {rule_sql()} AS rule, {_n_rules_sql()} AS n_rules FROM (SELECT DISTINCT param FROM daily_raw)"""
+ORACLE["canonical_panel"] = with_("dpanel") + """
+SELECT site_id, name, year, round(planted_ha, 6) AS area_planted_ha, round(harvested_ha, 6) AS harvested_ha,
+       round(yield_kg_ha, 6) AS yield_kg_ha, round(value_share, 6) AS value_share, round(lost_ha, 6) AS lost_ha,
+       round(loss_pct, 6) AS loss_pct, round(produced_kg, 6) AS produced_kg, round(value_brl, 6) AS production_value,
+       'Unknown region' AS region
+FROM dpanel"""

@@ -838,3 +838,60 @@ def q_incremental_ingest(spark, sf):
     got = ST.read_ingested(spark, out)
     return finalize(got.groupBy("year", "month", "dekad", "event_type")
                        .agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("value"), 4).alias("sum_value")), 4)
+
+
+# ---------------------------------------------------------------- remaining scalar / reshape operators
+@register("parse_feature_name")
+def q_parse_feature_name(spark, sf):
+    """P10: wide names of every season cell parsed back to (param, dekad, rel_year) and base code."""
+    names = season(spark, sf).select(C.feature_name("param", "dekad36", "rel_year").alias("feature")).distinct()
+    p = C.parse_feature_name("feature")
+    return names.select("feature", p["param"].alias("param"), p["dekad"].alias("dekad"),
+                        p["rel_year"].alias("rel_year"), C.base_code("feature").alias("base"))
+
+
+@register("ascii_names")
+def q_ascii_names(spark, sf):
+    """X3 over whole document texts."""
+    d = B.table(spark, sf, "documents")
+    return d.select("doc_id", C.ascii_safe("text").alias("safe"))
+
+
+def daily_wide(spark, sf) -> DataFrame:
+    params = [p for p, _ in B.DAILY_PARAMS]
+    return B.daily_raw(spark, sf).groupBy("site_id", "date").pivot("param", params).agg(F.max("value"))
+
+
+@register("melt_params")
+def q_melt_params(spark, sf):
+    """R2: wide daily maxima melted back to long, only present parameters."""
+    params = [p for p, _ in B.DAILY_PARAMS] + ["NOT_A_PARAM"]
+    return finalize(climate.melt_params(daily_wide(spark, sf), ["site_id", "date"], params))
+
+
+@register("pivot_params")
+def q_pivot_params(spark, sf):
+    """Dekad values with one column per parameter."""
+    params = [p for p, _ in B.DAILY_PARAMS]
+    return finalize(climate.pivot_params(climate.dekad_aggregate(B.daily(spark, sf)), params))
+
+
+@register("pivot_dekads")
+def q_pivot_dekads(spark, sf):
+    """``<P>_dec<N>`` columns per (site, name, year)."""
+    params = [p for p, _ in B.DAILY_PARAMS]
+    return finalize(climate.pivot_dekads(climate.collapse_dekads(climate.dekad_aggregate(B.daily(spark, sf))), params))
+
+
+@register("param_rules")
+def q_param_rules(spark, sf):
+    """The rule chosen per parameter and how many rule families match."""
+    p = B.daily_raw(spark, sf).select("param").distinct()
+    return p.select("param", climate.rule_of("param").alias("rule"), climate.rule_matches("param").alias("n_rules"))
+
+
+@register("canonical_panel")
+def q_canonical_panel(spark, sf):
+    """P7 + P8: renamed production panel with the default region label."""
+    d = dpanel(spark, sf).withColumnsRenamed({"planted_ha": "area_planted_ha", "value_brl": "production_value"})
+    return finalize(P.order_columns(P.canonicalise(d)))
