@@ -68,6 +68,8 @@ def dekad_aggregate(daily: DataFrame) -> DataFrame:
     keyed = with_dekad(daily, "date")
     keys = DEKAD_KEY + ["param"]
     keyed = keyed.filter(F.expr(" AND ".join(f"{k} IS NOT NULL" for k in keys)))
+    # NaN is missing, as in pandas (T2); Spark would let it poison sum/avg/max
+    keyed = keyed.withColumn("value", F.when(~F.isnan("value"), F.col("value")))
     agg = keyed.groupBy(*keys).agg(
         F.sum("value").alias("_s"), F.avg("value").alias("_a"),
         F.max("value").alias("_mx"), F.min("value").alias("_mn"))
