@@ -26,6 +26,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .functions.columns import norm_code, sentinel_null
+from .operators.broadcast import is_bounded
 
 # --------------------------------------------------------------------------
 # fixed values of the binding (shared with the DuckDB oracle)
@@ -50,6 +51,21 @@ CROSSTAB_VARIABLES = [
 ]
 
 
+def spread(df: DataFrame, *keys: str) -> DataFrame:
+    """Round-robin a scan that yields fewer splits than the cluster has cores.
+
+    A small file with a single row group is read by one task; everything
+    fused after the scan (joins, unpivot, partial aggregation) would run on
+    one core.  Large inputs already have many splits and pass through
+    untouched (the check is planning only, no job).  Hash partitioning on a
+    row key is deterministic on retry without the sort that round-robin needs.
+    """
+    par = df.sparkSession.sparkContext.defaultParallelism
+    if df.rdd.getNumPartitions() >= par:
+        return df
+    return df.repartition(par, *keys) if keys else df.repartition(par)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -91,10 +107,25 @@ def _supplier_sites(spark: SparkSession, sf_dir: str) -> DataFrame:
                .select("s_suppkey", "site_id", "name", "lat", "lon"))
 
 
+SUPPLIER_BROADCAST_ROWS = 1_000_000
+
+
 def _lines_with_site(spark: SparkSession, sf_dir: str, cols) -> DataFrame:
-    li = table(spark, sf_dir, "lineitem").select("l_suppkey", *cols)
-    return (li.join(_supplier_sites(spark, sf_dir), li.l_suppkey == F.col("s_suppkey"))
-              .drop("l_suppkey", "s_suppkey"))
+    """Line rows with their site.
+
+    The supplier dimension is broadcast only when a bounded probe of the
+    base supplier scan (at most ``SUPPLIER_BROADCAST_ROWS + 1`` rows read)
+    proves it small.  Without the hint, a small line file can look smaller
+    than the un-estimable supplier⋈nation side and get broadcast itself,
+    leaving the whole probe to the single supplier task.  Beyond the bound
+    no hint is given and AQE plans a sort-merge join with skew splitting.
+    """
+    li = spread(table(spark, sf_dir, "lineitem").select("l_orderkey", "l_suppkey", *cols), "l_orderkey")
+    sup = _supplier_sites(spark, sf_dir)
+    if is_bounded(table(spark, sf_dir, "supplier").select("s_suppkey"), SUPPLIER_BROADCAST_ROWS):
+        sup = F.broadcast(sup)
+    return (li.join(sup, li.l_suppkey == F.col("s_suppkey"))
+              .drop("l_orderkey", "l_suppkey", "s_suppkey"))
 
 
 def daily_raw(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -127,8 +127,33 @@ def pair_seasons(collapsed: DataFrame) -> DataFrame:
 
 
 def season_table(daily: DataFrame) -> DataFrame:
-    """daily → SEASON_OBS (A1 → A2 → J6)."""
-    return pair_seasons(collapse_dekads(dekad_aggregate(daily)))
+    """daily → SEASON_OBS (A1 → J6 → A2) with two shuffles and one scan.
+
+    Each dekad row is emitted for its two seasons first; one hash
+    repartition on (site_id, season_year) then serves the A2 average (its
+    keys contain both columns) and the both-years test (a window on the same
+    partitioning), so neither needs another exchange and the input is read
+    once.  A group holds at most parameters × 72 rows after A1, so a site
+    with a third of the raw rows still spreads over its seasons' partitions.
+    Equal to ``pair_seasons(collapse_dekads(dekad_aggregate(daily)))``.
+    """
+    from pyspark.sql import Window
+    dek = dekad_aggregate(daily).withColumn("dekad36", dekad36("month", "dekad"))
+    both = F.explode(F.array(
+        F.struct((F.col("year") + 1).alias("season_year"), F.lit(1).alias("rel_year")),
+        F.struct(F.col("year").alias("season_year"), F.lit(2).alias("rel_year")),
+    ))
+    rows = (dek.select("site_id", "name", "param", "dekad36", "value", both.alias("_p"))
+               .select("site_id", "name", F.col("_p.season_year").cast("int").alias("season_year"),
+                       F.col("_p.rel_year").cast("int").alias("rel_year"),
+                       F.col("dekad36").cast("int").alias("dekad36"), "param", "value"))
+    coll = (rows.repartition("site_id", "season_year")
+                .groupBy("site_id", "name", "season_year", "rel_year", "param", "dekad36")
+                .agg(F.avg("value").alias("value")))
+    w = Window.partitionBy("site_id", "season_year")
+    return (coll.withColumn("_mn", F.min("rel_year").over(w)).withColumn("_mx", F.max("rel_year").over(w))
+                .filter((F.col("_mn") == 1) & (F.col("_mx") == 2))
+                .select("site_id", "name", "season_year", "rel_year", "dekad36", "param", "value"))
 
 
 def window_exact(rel="rel_year", dek="dekad36") -> Column:

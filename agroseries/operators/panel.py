@@ -23,17 +23,23 @@ def join_geo(prod: DataFrame, sites: DataFrame, validate: bool = True) -> DataFr
     return prod.join(geo, "site_id", "left")
 
 
-def join_climate(panel: DataFrame, season: DataFrame, validate: bool = True) -> DataFrame:
+def join_climate(panel: DataFrame, season: DataFrame, validate: bool = True,
+                 validate_season: bool = True) -> DataFrame:
     """J2 in long form: (production + geo) ⟕ season rows on (site_id, year).
 
     The left side is unique on (site_id, year) and the season side on
     (site_id, season_year, param, rel_year, dekad36); with those the long
     result is the wide 1:1 merge, one row per climate cell.  The join runs
     on the season side's key, so AQE can split a hot site's partition.
+
+    ``validate_season`` re-checks the season side, a full aggregate over the
+    largest table; ``season_table`` output is grouped on that key (unique by
+    construction), so callers passing it may skip the check.
     """
     clim = season.withColumnRenamed("season_year", "year").drop("name")
     if validate:
         expect_unique(panel, ["site_id", "year"])
+    if validate and validate_season:
         expect_unique(clim, ["site_id", "year", "param", "rel_year", "dekad36"])
     return panel.join(clim, ["site_id", "year"], "left")
 

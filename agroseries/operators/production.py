@@ -37,13 +37,18 @@ def combine_variables(longs: list[tuple[str, DataFrame]], sort: bool = True,
     the combination, so combinations missing from a variable become 0 (D5).
     """
     names = [n for n, _ in longs]
+    # cells are cleaned before combining (one cell per key and variable, so
+    # this equals cleaning after the merge); DOUBLE buffers keep the
+    # aggregate a fixed-width hash aggregate (string max would sort)
     union = reduce(DataFrame.unionByName,
                    [df.select("code", "name", "year", F.lit(n).alias("variable"),
-                              F.col("raw").cast("string").alias("raw"))
+                              clean_number(F.col("raw").cast("string"), False).alias("v"))
                     for n, df in longs])
-    wide = union.groupBy("code", "name", "year").pivot("variable", names).agg(F.first("raw"))
-    wide = wide.select("code", "name", "year",
-                       *[clean_number(F.col(f"`{n}`"), missing_as_zero).alias(n) for n in names])
+    # conditional aggregation: one partial+final aggregate (``pivot`` plans two)
+    wide = union.groupBy("code", "name", "year").agg(
+        *[F.max(F.when(F.col("variable") == n, F.col("v"))).alias(n) for n in names])
+    if missing_as_zero:
+        wide = wide.select("code", "name", "year", *[F.coalesce(F.col(n), F.lit(0.0)).alias(n) for n in names])
     return wide.orderBy("code", "name", "year") if sort else wide
 
 

@@ -131,9 +131,13 @@ def q_clean_dash(spark, sf):
 
 @register("combine_variables")
 def q_combine_variables(spark, sf):
-    """Union-long + one pivot instead of N outer joins."""
+    """Union-long + one conditional aggregate instead of N outer joins.
+
+    Unsorted: row order of a DataFrame is not kept downstream; the sorted
+    form (W6) is for file export (``sort=True``).
+    """
     longs = [(B.CROSSTAB_VARIABLES[i][0], crosstab_long(spark, sf, i)) for i in range(len(B.CROSSTAB_VARIABLES))]
-    return finalize(PR.combine_variables(longs, sort=True))
+    return finalize(PR.combine_variables(longs, sort=False))
 
 
 @register("production")
@@ -159,7 +163,8 @@ def q_join_climate(spark, sf):
     """J2 long: production+geo ⟕ exact-window season cells."""
     pg = P.join_geo(dpanel(spark, sf), B.sites(spark, sf))
     s = climate.season_window(season(spark, sf), exact=True)
-    return finalize(P.order_columns(P.join_climate(pg, s)))
+    # season_table output is grouped on its key: unique by construction
+    return finalize(P.order_columns(P.join_climate(pg, s, validate_season=False)))
 
 
 @register("unmatched")
