@@ -890,3 +890,8 @@ SELECT site_id, name, year, round(planted_ha, 6) AS area_planted_ha, round(harve
        round(loss_pct, 6) AS loss_pct, round(produced_kg, 6) AS produced_kg, round(value_brl, 6) AS production_value,
        'Unknown region' AS region
 FROM dpanel"""
+
+ORACLE["union_batches"] = with_("dekads", "season") + """
+SELECT site_id, name, round(lat, 6) AS lat, round(lon, 6) AS lon, year, month, dekad, param, round(value, 6) AS value,
+       season_year, rel_year, dekad36
+FROM (SELECT * FROM dekads UNION ALL BY NAME SELECT * FROM season)"""

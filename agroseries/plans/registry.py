@@ -900,3 +900,12 @@ def q_canonical_panel(spark, sf):
     """P7 + P8: renamed production panel with the default region label."""
     d = dpanel(spark, sf).withColumnsRenamed({"planted_ha": "area_planted_ha", "value_brl": "production_value"})
     return finalize(P.order_columns(P.canonicalise(d)))
+
+
+@register("union_batches")
+def q_union_batches(spark, sf):
+    """Dekad rows and season rows in one table, columns matched by name."""
+    d = B.daily(spark, sf)
+    dek = climate.dekad_aggregate(d)
+    sea = climate.season_table(d)
+    return finalize(climate.union_all([dek, sea]))

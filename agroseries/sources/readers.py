@@ -70,7 +70,7 @@ def read_boundaries(spark: SparkSession, path: str, collection: bool = True) ->
                          F.col("geometry.coordinates").alias("coords")))
 
 
-def read_point_payloads(spark: SparkSession, path: str, site_pattern: str = r"payload_([^/._]+)"):
+def read_point_payloads(spark: SparkSession, path: str, site_pattern: str = r"/payload_([^/]+?)\.[^/.]+$"):
     """S3: climate payload files → (long rows, quarantine).
 
     Prose before ``-END HEADER-`` is dropped; files without the marker or
