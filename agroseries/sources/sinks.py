@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -30,15 +31,29 @@ def write_by_year(df: DataFrame, path: str, col: str = "year") -> None:
     df.write.mode("overwrite").partitionBy(col).parquet(path)
 
 
+def _printf_udf(digits: int):
+    """``%.<digits>f`` with C semantics (the exact binary value is rounded).
+
+    Java's formatters round the shortest decimal repr instead, which differs
+    on ties such as 0.04625 or 0.00005; the export is I/O bound, so an
+    Arrow-batched pandas UDF is used for this text only.
+    """
+    fmt = f"%.{digits}f"
+
+    @F.pandas_udf(T.StringType())
+    def _fmt(s: pd.Series) -> pd.Series:
+        return s.map(lambda v: None if pd.isna(v) else fmt % v)
+
+    return _fmt
+
+
 def fixed_digits(df: DataFrame, digits: int = 4) -> DataFrame:
     """Doubles as text with ``digits`` decimals (``%.4f``), other columns as is."""
+    fmt = _printf_udf(digits)
     cols = []
     for f in df.schema.fields:
         if isinstance(f.dataType, (T.DoubleType, T.FloatType)):
-            # format_number rounds the exact binary value half-even, as C's
-            # printf("%.4f") does (Java's %.4f rounds the shortest repr half-up)
-            c = F.col(f"`{f.name}`")
-            cols.append(F.regexp_replace(F.format_number(c, digits), ",", "").alias(f.name))
+            cols.append(fmt(F.col(f"`{f.name}`").cast("double")).alias(f.name))
         else:
             cols.append(F.col(f"`{f.name}`"))
     return df.select(*cols)
