@@ -117,6 +117,20 @@ def season_heatmap(season: DataFrame, panel: DataFrame, metric: str, params=None
                     period_order().alias("period_order"), "r")
 
 
+def heatmap_from_corr(corr: DataFrame, params=None) -> DataFrame:
+    """M3 from already computed M1 rows: each feature's r depends on its own
+    pairs only, so the heatmap is the exact-window rows of the chosen
+    parameters (no second pass over the season table)."""
+    c = corr.filter(window_exact())
+    if params is not None:
+        if isinstance(params, DataFrame):
+            c = c.join(params.select("param").distinct(), "param", "left_semi")
+        else:
+            c = c.filter(F.col("param").isin(list(params)))
+    return c.select("param", "rel_year", "dekad36", period_label().alias("period"),
+                    period_order().alias("period_order"), "r")
+
+
 def heatmap_params(top: DataFrame, k: int = 5) -> DataFrame:
     """Default heatmap variables: the first ``k`` sorted distinct params of a top list."""
     return top.select("param").distinct().orderBy("param").limit(k)

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..session import cut_lineage
 from .quality import expect_unique
 
 GEO_COLS = ["region_id", "region", "lat", "lon"]
@@ -38,6 +39,9 @@ def join_climate(panel: DataFrame, season: DataFrame, validate: bool = True,
     """
     clim = season.withColumnRenamed("season_year", "year").drop("name")
     if validate:
+        # the site-year panel is bounded (municipalities × years) and read by
+        # the check and by the join: materialise it once in the shared folder
+        panel = cut_lineage(panel)
         expect_unique(panel, ["site_id", "year"])
     if validate and validate_season:
         expect_unique(clim, ["site_id", "year", "param", "rel_year", "dekad36"])

@@ -323,9 +323,12 @@ def q_scatter(spark, sf):
 
 
 def heat(spark, sf) -> DataFrame:
-    c = corr(spark, sf)
+    # the correlation table (one row per feature, bounded) feeds the top list,
+    # the parameter choice and the heat rows: materialise it once
+    from ..session import cut_lineage
+    c = cut_lineage(corr(spark, sf))
     params = analysis.heatmap_params(analysis.top_correlations(c, 10), 5)
-    return analysis.season_heatmap(season(spark, sf), dpanel(spark, sf), METRIC, params)
+    return analysis.heatmap_from_corr(c, params)
 
 
 @register("heatmap")
