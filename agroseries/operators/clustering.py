@@ -59,19 +59,24 @@ def variance_table(spark, explained) -> DataFrame:
 
 def kmeans_best(df: DataFrame, k: int = KMEANS_K, restarts: int = KMEANS_RESTARTS,
                 max_iter: int = KMEANS_MAX_ITER, seed: int = SEED, col: str = "pca"):
-    """``restarts`` fits with consecutive seeds; the lowest training cost wins.
+    """``restarts`` fits with consecutive seeds; the lowest training cost wins
+    (ties: the lowest seed).
 
-    The input is cached once for all fits.
+    The input is cached once; fits are submitted from a few driver threads,
+    so their Spark jobs run concurrently on the cluster.
     """
+    from concurrent.futures import ThreadPoolExecutor
     data = df.select("site_id", col).cache()
-    best = None
-    for r in range(restarts):
+
+    def fit(r):
         m = KMeans(k=k, maxIter=max_iter, seed=seed + r, featuresCol=col, predictionCol="raw").fit(data)
-        cost = m.summary.trainingCost
-        if best is None or cost < best[1]:
-            best = (m, cost)
+        return r, m, m.summary.trainingCost
+
+    with ThreadPoolExecutor(max_workers=min(4, restarts)) as ex:
+        fits = list(ex.map(fit, range(restarts)))
     data.unpersist()
-    return best[0], best[1]
+    _, model, cost = min(fits, key=lambda f: (f[2], f[0]))
+    return model, cost
 
 
 def centroid_distances(df: DataFrame, centers, col: str = "pca", out: str = "dist") -> DataFrame:
