@@ -177,6 +177,8 @@ def idw_surface(grid: DataFrame, stations: list[tuple[float, float, float]], pow
     The station list (bounded: one boundary's municipalities) is a literal
     array; each cell reduces over it — no join, no pair table.
     """
+    if len(stations) > MAX_RBF_STATIONS:
+        raise ValueError(f"station list limited to {MAX_RBF_STATIONS}, got {len(stations)}")
     arr = F.array(*[F.struct(F.lit(float(a)).alias("sx"), F.lit(float(b)).alias("sy"), F.lit(float(c)).alias("sz"))
                     for a, b, c in stations])
     x, y = F.col("x"), F.col("y")

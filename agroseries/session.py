@@ -54,12 +54,13 @@ def ensure_checkpoint_dir(spark: SparkSession, fallback: str | None = None) -> s
     as is.  Only when it is unset (local tests) a scratch folder is created.
     """
     current = spark.conf.get("spark.checkpoint.dir", None)
-    if current:
-        spark.sparkContext.setCheckpointDir(current)
-        return current
-    path = fallback or tempfile.mkdtemp(prefix="agroseries-ckpt-", dir=os.environ.get("TMPDIR", "/tmp"))
-    spark.conf.set("spark.checkpoint.dir", path)
-    spark.sparkContext.setCheckpointDir(path)
+    path = current or fallback or tempfile.mkdtemp(prefix="agroseries-ckpt-", dir=os.environ.get("TMPDIR", "/tmp"))
+    if not current:
+        spark.conf.set("spark.checkpoint.dir", path)
+    try:  # Dataset.checkpoint reads the SparkContext's folder (classic sessions)
+        spark.sparkContext.setCheckpointDir(path)
+    except Exception:  # noqa: BLE001  (Spark Connect: the server's setting applies)
+        pass
     return path
 
 
