@@ -52,6 +52,41 @@ def combine_variables(longs: list[tuple[str, DataFrame]], sort: bool = True,
     return wide.orderBy("code", "name", "year") if sort else wide
 
 
+def combine_crosstabs(wides: list[tuple[str, DataFrame]], years, sort: bool = False,
+                      missing_as_zero: bool = True) -> DataFrame:
+    """J3 for crosstab inputs: combine the sheets on (code, name), then melt.
+
+    Equal to ``combine_variables`` over the melted sheets (a melt emits every
+    year column of its sheet, so the outer key sets agree), but the shuffle
+    carries one row per (code, name) instead of one per year.  Year columns
+    a sheet lacks become NULL → 0 like combinations missing from a variable.
+    """
+    ys = [str(y) for y in years]
+    parts, has_year = [], {}
+    for i, (n, w) in enumerate(wides):
+        present = [y for y in ys if y in w.columns]
+        has_year[n] = set(present)
+        parts.append(w.filter(F.col("name").isNotNull()).select(
+            "code", "name", F.lit(True).alias(f"_in{i}"),
+            *[F.col(f"`{y}`").alias(f"{n}@{y}") for y in present]))
+    wide = reduce(lambda a, b: a.join(b, ["code", "name"], "full"), parts)
+    present_years = sorted({y for s in has_year.values() for y in s}, key=int)
+    structs = []
+    for y in present_years:
+        # the melted key (code, name, y) exists iff a sheet with column y has the row
+        keep = reduce(lambda a, b: a | b, [F.coalesce(F.col(f"_in{i}"), F.lit(False))
+                                           for i, (n, _) in enumerate(wides) if y in has_year[n]])
+        fields = [F.lit(int(y)).alias("year"), keep.alias("_keep")]
+        for n, _ in wides:
+            c = f"{n}@{y}"
+            v = clean_number(F.col(f"`{c}`"), False) if c in wide.columns else F.lit(None).cast("double")
+            fields.append((F.coalesce(v, F.lit(0.0)) if missing_as_zero else v).alias(n))
+        structs.append(F.struct(*fields))
+    out = (wide.select("code", "name", F.explode(F.array(*structs)).alias("_y"))
+               .filter(F.col("_y._keep")).select("code", "name", "_y.year", *[f"_y.{n}" for n, _ in wides]))
+    return out.orderBy("code", "name", "year") if sort else out
+
+
 def with_loss(df: DataFrame) -> DataFrame:
     """P5: lost area and loss % (0 when planted ≤ 0)."""
     lost = F.col("planted_ha") - F.col("harvested_ha")

@@ -895,3 +895,6 @@ ORACLE["union_batches"] = with_("dekads", "season") + """
 SELECT site_id, name, round(lat, 6) AS lat, round(lon, 6) AS lon, year, month, dekad, param, round(value, 6) AS value,
        season_year, rel_year, dekad36
 FROM (SELECT * FROM dekads UNION ALL BY NAME SELECT * FROM season)"""
+
+ORACLE["combine_variables_long"] = ORACLE["combine_variables"]
+ORACLE["io_panel_csv"] = ORACLE["join_geo"]

@@ -136,6 +136,13 @@ def q_combine_variables(spark, sf):
     Unsorted: row order of a DataFrame is not kept downstream; the sorted
     form (W6) is for file export (``sort=True``).
     """
+    wides = [(B.CROSSTAB_VARIABLES[i][0], B.crosstab(spark, sf, i, YEARS)) for i in range(len(B.CROSSTAB_VARIABLES))]
+    return finalize(PR.combine_crosstabs(wides, YEARS, sort=False))
+
+
+@register("combine_variables_long")
+def q_combine_variables_long(spark, sf):
+    """J3 on already-melted inputs: union long + one conditional aggregate."""
     longs = [(B.CROSSTAB_VARIABLES[i][0], crosstab_long(spark, sf, i)) for i in range(len(B.CROSSTAB_VARIABLES))]
     return finalize(PR.combine_variables(longs, sort=False))
 
@@ -912,3 +919,12 @@ def q_union_batches(spark, sf):
     dek = climate.dekad_aggregate(d)
     sea = climate.season_table(d)
     return finalize(climate.union_all([dek, sea]))
+
+
+@register("io_panel_csv")
+def q_io_panel_csv(spark, sf):
+    """K5 → S8: the joined panel as CSV, read back with an explicit schema."""
+    path = scratch_path(spark, "panel-csv")
+    pg = P.order_columns(P.join_geo(dpanel(spark, sf), B.sites(spark, sf)))
+    K.write_panel_csv(pg, path)
+    return finalize(R.read_csv(spark, path, pg.schema))

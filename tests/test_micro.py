@@ -244,3 +244,15 @@ def test_kpi_delta_zero_base(spark):
     assert d["planted_ha"] == ("abs", "+ 10 ha")
     assert d["lost_ha"] == ("zero", "= 0")
     assert d["yield_kg_ha"][0] == "none"
+
+
+def test_combine_crosstabs_equals_long_form(spark):
+    a = spark.createDataFrame([("1", "A", "5", "-"), ("2", "B", "..", "7"), (None, None, "x", "y")],
+                              "code string, name string, `2018` string, `2019` string")
+    b = spark.createDataFrame([("1", "A", "3"), ("3", "C", None)], "code string, name string, `2018` string")
+    wide = PR.combine_crosstabs([("v1", a), ("v2", b)], [2018, 2019])
+    longs = [("v1", PR.unpivot_years(a, [2018, 2019])), ("v2", PR.unpivot_years(b, [2018, 2019]))]
+    lng = PR.combine_variables(longs, sort=False)
+    as_set = lambda df: sorted(tuple(r) for r in df.select("code", "name", "year", "v1", "v2").collect())
+    assert as_set(wide) == as_set(lng)
+    assert ("2", "B", 2019, 7.0, 0.0) in as_set(wide) and ("3", "C", 2018, 0.0, 0.0) in as_set(wide)
