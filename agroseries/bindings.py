@@ -99,16 +99,19 @@ def site_lon(key) -> F.Column:
     return F.lit(-48.0) - ((key * 7) % 25).cast("double") * F.lit(0.25)
 
 
+# the same expressions as SQL text (one JVM parse instead of a call per operator)
+SITE_LAT_SQL = "round(-22.5D - CAST({k} AS DOUBLE) * 0.17D, 2)"
+SITE_LON_SQL = "-48.0D - CAST((({k} * 7) % 25) AS DOUBLE) * 0.25D"
+
+
 def _nation_sites(spark: SparkSession, sf_dir: str) -> DataFrame:
     n = table(spark, sf_dir, "nation")
-    key = F.col("n_nationkey")
-    return n.select(
-        norm_code(key).alias("site_id"),
-        F.col("n_name").alias("name"),
-        key.alias("n_nationkey"),
-        F.col("n_regionkey").alias("region_id"),
-        site_lat(key).alias("lat"),
-        site_lon(key).alias("lon"),
+    t = "trim(CAST(n_nationkey AS STRING))"
+    return n.selectExpr(
+        f"CASE WHEN length({t}) < 7 THEN lpad({t}, 7, '0') ELSE {t} END AS site_id",
+        "n_name AS name", "n_nationkey", "n_regionkey AS region_id",
+        SITE_LAT_SQL.format(k="n_nationkey") + " AS lat",
+        SITE_LON_SQL.format(k="n_nationkey") + " AS lon",
     )
 
 
@@ -162,11 +165,9 @@ def daily_raw(spark: SparkSession, sf_dir: str) -> DataFrame:
     """DAILY_OBS as it would arrive from the files: value still holds −999."""
     cols = ["l_linenumber", "l_quantity", "l_extendedprice", "l_discount", "l_tax", "l_shipdate"]
     lines = _lines_with_site(spark, sf_dir, cols)
-    sentinel = F.col("l_linenumber") == SENTINEL_LINE
-    wide = lines.select(
-        "site_id", "name", "lat", "lon",
-        F.col("l_shipdate").cast("date").alias("date"),
-        *[F.when(sentinel, F.lit(-999.0)).otherwise(F.expr(expr).cast("double")).alias(p)
+    wide = lines.selectExpr(
+        "site_id", "name", "lat", "lon", "CAST(l_shipdate AS DATE) AS date",
+        *[f"CASE WHEN l_linenumber = {SENTINEL_LINE} THEN -999.0D ELSE CAST({expr} AS DOUBLE) END AS {p}"
           for p, expr in DAILY_PARAMS],
     )
     return wide.unpivot(["site_id", "name", "lat", "lon", "date"],
@@ -175,7 +176,8 @@ def daily_raw(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def daily(spark: SparkSession, sf_dir: str) -> DataFrame:
     """DAILY_OBS with the sentinel (and NaN) mapped to NULL."""
-    return daily_raw(spark, sf_dir).withColumn("value", sentinel_null("value"))
+    return daily_raw(spark, sf_dir).select("site_id", "name", "lat", "lon", "date", "param",
+                                           sentinel_null("value").alias("value"))
 
 
 def production(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -190,33 +192,28 @@ def production(spark: SparkSession, sf_dir: str) -> DataFrame:
     """
     cols = ["l_quantity", "l_extendedprice", "l_discount", "l_returnflag", "l_shipdate"]
     lines = _lines_with_site(spark, sf_dir, cols)
-    qty = F.round(F.col("l_quantity") * 100).cast("long")
-    price = F.round(F.col("l_extendedprice") * 100).cast("long")
-    disc = F.round(F.col("l_discount") * 100).cast("long")
-    agg = (lines.groupBy("site_id", "name", F.year("l_shipdate").alias("year"))
-                .agg(F.sum(qty).alias("planted"),
-                     F.sum(F.when(F.col("l_returnflag") != "R", qty).otherwise(F.lit(0).cast("long"))).alias("harvested"),
-                     F.sum(price).alias("price"),
-                     F.sum(price * (F.lit(100) - disc)).alias("value")))
-    planted = F.col("planted").cast("double") / F.lit(100.0)
-    harvested = F.col("harvested").cast("double") / F.lit(100.0)
-    produced_t = F.col("price").cast("double") / F.lit(100.0) / F.lit(1000.0)
-    value = F.col("value").cast("double") / F.lit(10000.0)
-    out = agg.select(
-        "site_id", "name", F.col("year").cast("int").alias("year"),
-        planted.alias("planted_ha"), harvested.alias("harvested_ha"),
-        produced_t.alias("produced_t"),
-        F.try_divide(produced_t * F.lit(1000.0), harvested).alias("yield_kg_ha"),
-        (value / F.lit(1000.0)).alias("value_kbrl"),
-        value.alias("_value"),
-        F.col("value").alias("_value_units"),
-    )
+    units = lines.selectExpr(
+        "site_id", "name", "year(l_shipdate) AS year",
+        "CAST(round(l_quantity * 100) AS BIGINT) AS qty",
+        "CASE WHEN l_returnflag <> 'R' THEN CAST(round(l_quantity * 100) AS BIGINT) ELSE 0L END AS hqty",
+        "CAST(round(l_extendedprice * 100) AS BIGINT) AS price",
+        "CAST(round(l_extendedprice * 100) AS BIGINT) * (100L - CAST(round(l_discount * 100) AS BIGINT)) AS val")
+    agg = units.groupBy("site_id", "name", "year").agg(
+        F.expr("sum(qty) AS planted"), F.expr("sum(hqty) AS harvested"),
+        F.expr("sum(price) AS price"), F.expr("sum(val) AS value"))
+    produced_t = "CAST(price AS DOUBLE) / 100.0D / 1000.0D"
+    harvested = "CAST(harvested AS DOUBLE) / 100.0D"
+    value = "CAST(value AS DOUBLE) / 10000.0D"
     # share of the year's total value; the window runs over the (site, year)
     # aggregate (municipalities × years), not over lines
-    from pyspark.sql import Window
-    total = F.sum("_value_units").over(Window.partitionBy("year")).cast("double") / F.lit(10000.0)
-    share = F.try_divide(F.col("_value") * F.lit(100.0), total)
-    return out.withColumn("value_share", share).drop("_value", "_value_units")
+    total = "CAST(sum(value) OVER (PARTITION BY year) AS DOUBLE) / 10000.0D"
+    return agg.selectExpr(
+        "site_id", "name", "CAST(year AS INT) AS year",
+        "CAST(planted AS DOUBLE) / 100.0D AS planted_ha", f"{harvested} AS harvested_ha",
+        f"{produced_t} AS produced_t",
+        f"try_divide({produced_t} * 1000.0D, {harvested}) AS yield_kg_ha",
+        f"{value} / 1000.0D AS value_kbrl",
+        f"try_divide({value} * 100.0D, {total}) AS value_share")
 
 
 def crosstab(spark: SparkSession, sf_dir: str, variable: int, years) -> DataFrame:

@@ -25,6 +25,16 @@ def _c(x) -> Column:
     return F.col(x) if isinstance(x, str) else x
 
 
+def q(name: str) -> str:
+    """A column name quoted for a SQL expression string."""
+    return "`" + name.replace("`", "``") + "`"
+
+
+# Expressions over plain column names are composed as one SQL string and parsed
+# once on the JVM side (``F.expr``): each Column operator built in Python is a
+# separate round trip to the JVM, which dominates plan-building time.
+
+
 # --- P1 / P2: dekad keys ----------------------------------------------------
 def dekad_of_day(day) -> Column:
     """Day of month → dekad 1 (1–10), 2 (11–20), 3 (21–end)."""
@@ -32,18 +42,20 @@ def dekad_of_day(day) -> Column:
     return F.when(d <= 10, F.lit(1)).when(d <= 20, F.lit(2)).otherwise(F.lit(3))
 
 
+DEKAD_OF_DAY_SQL = "CASE WHEN {d} <= 10 THEN 1 WHEN {d} <= 20 THEN 2 ELSE 3 END"
+
+
 def with_dekad(df: DataFrame, date_col: str = "date") -> DataFrame:
     """Add ``year``, ``month``, ``dekad`` computed from a DATE column."""
-    d = F.col(date_col)
-    return df.withColumns({
-        "year": F.year(d),
-        "month": F.month(d),
-        "dekad": dekad_of_day(F.dayofmonth(d)),
-    })
+    d = q(date_col)
+    return df.selectExpr("*", f"year({d}) AS year", f"month({d}) AS month",
+                         DEKAD_OF_DAY_SQL.format(d=f"dayofmonth({d})") + " AS dekad")
 
 
 def dekad36(month, dekad) -> Column:
     """Position of a dekad in the calendar year, 1..36."""
+    if isinstance(month, str) and isinstance(dekad, str):
+        return F.expr(f"({q(month)} - 1) * 3 + {q(dekad)}")
     return (_c(month) - 1) * 3 + _c(dekad)
 
 
@@ -54,6 +66,9 @@ def norm_code(c) -> Column:
     ``lpad`` cuts strings longer than the width, so it is applied only when the
     trimmed code is shorter (T7).
     """
+    if isinstance(c, str):
+        t = f"trim(CAST({q(c)} AS STRING))"
+        return F.expr(f"CASE WHEN length({t}) < {CODE_WIDTH} THEN lpad({t}, {CODE_WIDTH}, '0') ELSE {t} END")
     t = F.trim(_c(c).cast("string"))
     return F.when(F.length(t) < CODE_WIDTH, F.lpad(t, CODE_WIDTH, "0")).otherwise(t)
 
@@ -74,6 +89,8 @@ FEATURE_RE = r"^(.*)_dec([0-9]+)_ano([0-9]+)"
 
 def feature_name(param, dekad, rel_year) -> Column:
     """Wide-column name ``<P>_dec<N>_ano<M>`` built from long keys."""
+    if all(isinstance(x, str) for x in (param, dekad, rel_year)):
+        return F.expr(f"concat({q(param)}, '_dec', CAST({q(dekad)} AS STRING), '_ano', CAST({q(rel_year)} AS STRING))")
     return F.concat(_c(param), F.lit("_dec"), _c(dekad).cast("string"),
                     F.lit("_ano"), _c(rel_year).cast("string"))
 
@@ -119,6 +136,9 @@ def ascii_safe(c) -> Column:
 # --- X4 / X5 / X6: cleaning ------------------------------------------------------
 def sentinel_null(c, sentinel: float = MISSING_SENTINEL) -> Column:
     """X4 + T2: the sentinel and NaN both become NULL."""
+    if isinstance(c, str):
+        v = f"CAST({q(c)} AS DOUBLE)"
+        return F.expr(f"CASE WHEN {v} IS NULL OR isnan({v}) OR {v} = {sentinel!r} THEN CAST(NULL AS DOUBLE) ELSE {v} END")
     v = _c(c).cast("double")
     return F.when(v.isNull() | F.isnan(v) | (v == F.lit(sentinel)), F.lit(None).cast("double")).otherwise(v)
 
@@ -176,6 +196,8 @@ def safe_div(a, b) -> Column:
 
 def pair_count(x, y) -> Column:
     """Number of rows where both sides are present (pairwise complete)."""
+    if isinstance(x, str) and isinstance(y, str):
+        return F.expr(f"count(CASE WHEN {q(x)} IS NOT NULL AND {q(y)} IS NOT NULL THEN 1 END)")
     return F.count(F.when(_c(x).isNotNull() & _c(y).isNotNull(), F.lit(1)))
 
 
@@ -186,6 +208,10 @@ def pearson(x, y) -> Column:
     coefficient is assembled from population moments over complete pairs.
     All parts are algebraic aggregates: partial aggregation happens map-side.
     """
+    if isinstance(x, str) and isinstance(y, str):
+        xs = f"CASE WHEN {q(y)} IS NOT NULL THEN {q(x)} END"
+        ys = f"CASE WHEN {q(x)} IS NOT NULL THEN {q(y)} END"
+        return F.expr(f"try_divide(covar_pop({xs}, {ys}), stddev_pop({xs}) * stddev_pop({ys}))")
     xs = F.when(_c(y).isNotNull(), _c(x))
     ys = F.when(_c(x).isNotNull(), _c(y))
     return F.try_divide(F.covar_pop(xs, ys), F.stddev_pop(xs) * F.stddev_pop(ys))

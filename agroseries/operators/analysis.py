@@ -25,8 +25,7 @@ MIN_PAIRS = 5  # strictly more pairs than this are needed for a coefficient
 
 def _pairs(season: DataFrame, panel: DataFrame, metric: str, extra=()) -> DataFrame:
     y = panel.select("site_id", "year", F.col(metric).alias("y"), *extra)
-    x = season.select("site_id", F.col("season_year").alias("year"), *FEATURE_KEY,
-                      F.col("value").alias("x"))
+    x = season.selectExpr("site_id", "season_year AS year", *FEATURE_KEY, "value AS x")
     # y is one row per site-year; AQE broadcasts it when measured small
     return x.join(y, ["site_id", "year"])
 
@@ -42,9 +41,10 @@ def climate_correlations(season: DataFrame, panel: DataFrame, metric: str,
     p = _pairs(season, panel, metric)
     g = p.groupBy(*FEATURE_KEY).agg(pair_count("x", "y").alias("n_pairs"),
                                     pearson("x", "y").alias("r"))
-    return (g.filter((F.col("n_pairs") > min_pairs) & F.col("r").isNotNull())
-             .select(*FEATURE_KEY, feature_name("param", "dekad36", "rel_year").alias("feature"),
-                     "n_pairs", "r", F.abs("r").alias("abs_r")))
+    return (g.filter(f"n_pairs > {int(min_pairs)} AND r IS NOT NULL")
+             .selectExpr(*FEATURE_KEY,
+                         "concat(param, '_dec', CAST(dekad36 AS STRING), '_ano', CAST(rel_year AS STRING)) AS feature",
+                         "n_pairs", "r", "abs(r) AS abs_r"))
 
 
 def _tie_break():

@@ -25,6 +25,12 @@ WINDOW_Y1 = (26, 36)
 WINDOW_Y2 = (1, 15)
 
 
+RULE_SQL = ("CASE WHEN (lower({p}) LIKE '%prec%' AND lower({p}) NOT LIKE '%prob%') OR lower({p}) LIKE '%count%' "
+            "THEN 'sum' WHEN lower({p}) LIKE '%prec%' AND lower({p}) LIKE '%prob%' THEN 'mean' "
+            "WHEN lower({p}) LIKE '%max%' THEN 'max' WHEN lower({p}) LIKE '%min%' THEN 'min' "
+            "WHEN lower({p}) LIKE '%range%' THEN 'range' ELSE 'mean' END")
+
+
 def rule_of(param) -> Column:
     """A1 rule for a parameter name.
 
@@ -32,6 +38,8 @@ def rule_of(param) -> Column:
     "prob" → mean; "max" → max; "min" → min; "range" → max − min; else mean.
     A name matching several rules takes the first (D6; see ``ambiguous_params``).
     """
+    if isinstance(param, str):
+        return F.expr(RULE_SQL.format(p=f"`{param}`"))
     p = F.lower(param if isinstance(param, Column) else F.col(param))
     has = p.contains
     return (F.when((has("prec") & ~has("prob")) | has("count"), F.lit(RULE_SUM))
@@ -65,29 +73,25 @@ def dekad_aggregate(daily: DataFrame) -> DataFrame:
     All-missing groups: the sum rule gives 0, the others give no row (T1).
     Null grouping keys are dropped as pandas does (T14).
     """
-    keyed = with_dekad(daily, "date")
+    d = "`date`"
     keys = DEKAD_KEY + ["param"]
-    keyed = keyed.filter(F.expr(" AND ".join(f"{k} IS NOT NULL" for k in keys)))
     # NaN is missing, as in pandas (T2); Spark would let it poison sum/avg/max
-    keyed = keyed.withColumn("value", F.when(~F.isnan("value"), F.col("value")))
-    agg = keyed.groupBy(*keys).agg(
-        F.sum("value").alias("_s"), F.avg("value").alias("_a"),
-        F.max("value").alias("_mx"), F.min("value").alias("_mn"))
+    keyed = (daily.selectExpr("site_id", "name", "lat", "lon", "param",
+                              "CASE WHEN NOT isnan(value) THEN value END AS value",
+                              f"year({d}) AS year", f"month({d}) AS month",
+                              f"CASE WHEN dayofmonth({d}) <= 10 THEN 1 WHEN dayofmonth({d}) <= 20 THEN 2 ELSE 3 END AS dekad")
+                  .filter(" AND ".join(f"{k} IS NOT NULL" for k in keys)))
+    agg = keyed.groupBy(*keys).agg(F.expr("sum(value) AS _s"), F.expr("avg(value) AS _a"),
+                                   F.expr("max(value) AS _mx"), F.expr("min(value) AS _mn"))
     # the rule is projected once per group; CollapseProject keeps it as its
     # own projection instead of repeating the string tests in every branch
-    agg = agg.withColumn("_rule", rule_of("param"))
-    r = F.col("_rule")
-    value = (F.when(r == RULE_SUM, F.coalesce(F.col("_s"), F.lit(0.0)))
-              .when(r == RULE_MAX, F.col("_mx"))
-              .when(r == RULE_MIN, F.col("_mn"))
-              .when(r == RULE_RANGE, F.col("_mx") - F.col("_mn"))
-              .otherwise(F.col("_a")))
-    return (agg.select(*keys, value.alias("value"))
-               .filter(F.col("value").isNotNull())
-               .select("site_id", "name", "lat", "lon",
-                       F.col("year").cast("int").alias("year"),
-                       F.col("month").cast("int").alias("month"),
-                       F.col("dekad").cast("int").alias("dekad"), "param", "value"))
+    agg = agg.selectExpr("*", RULE_SQL.format(p="param") + " AS _rule")
+    value = ("CASE _rule WHEN 'sum' THEN coalesce(_s, 0.0) WHEN 'max' THEN _mx WHEN 'min' THEN _mn "
+             "WHEN 'range' THEN _mx - _mn ELSE _a END")
+    return (agg.selectExpr(*keys, f"{value} AS value")
+               .filter("value IS NOT NULL")
+               .selectExpr("site_id", "name", "lat", "lon", "CAST(year AS INT) AS year",
+                           "CAST(month AS INT) AS month", "CAST(dekad AS INT) AS dekad", "param", "value"))
 
 
 def collapse_dekads(dekads: DataFrame) -> DataFrame:
@@ -137,26 +141,25 @@ def season_table(daily: DataFrame) -> DataFrame:
     with a third of the raw rows still spreads over its seasons' partitions.
     Equal to ``pair_seasons(collapse_dekads(dekad_aggregate(daily)))``.
     """
-    from pyspark.sql import Window
-    dek = dekad_aggregate(daily).withColumn("dekad36", dekad36("month", "dekad"))
-    both = F.explode(F.array(
-        F.struct((F.col("year") + 1).alias("season_year"), F.lit(1).alias("rel_year")),
-        F.struct(F.col("year").alias("season_year"), F.lit(2).alias("rel_year")),
-    ))
-    rows = (dek.select("site_id", "name", "param", "dekad36", "value", both.alias("_p"))
-               .select("site_id", "name", F.col("_p.season_year").cast("int").alias("season_year"),
-                       F.col("_p.rel_year").cast("int").alias("rel_year"),
-                       F.col("dekad36").cast("int").alias("dekad36"), "param", "value"))
+    rows = (dekad_aggregate(daily)
+            .selectExpr("site_id", "name", "param", "value", "CAST((month - 1) * 3 + dekad AS INT) AS dekad36",
+                        "explode(array(named_struct('season_year', CAST(year + 1 AS INT), 'rel_year', 1), "
+                        "named_struct('season_year', CAST(year AS INT), 'rel_year', 2))) AS _p")
+            .selectExpr("site_id", "name", "_p.season_year AS season_year", "_p.rel_year AS rel_year",
+                        "dekad36", "param", "value"))
     coll = (rows.repartition("site_id", "season_year")
                 .groupBy("site_id", "name", "season_year", "rel_year", "param", "dekad36")
-                .agg(F.avg("value").alias("value")))
-    w = Window.partitionBy("site_id", "season_year")
-    return (coll.withColumn("_mn", F.min("rel_year").over(w)).withColumn("_mx", F.max("rel_year").over(w))
-                .filter((F.col("_mn") == 1) & (F.col("_mx") == 2))
+                .agg(F.expr("avg(value) AS value")))
+    return (coll.selectExpr("*", "min(rel_year) OVER (PARTITION BY site_id, season_year) AS _mn",
+                            "max(rel_year) OVER (PARTITION BY site_id, season_year) AS _mx")
+                .filter("_mn = 1 AND _mx = 2")
                 .select("site_id", "name", "season_year", "rel_year", "dekad36", "param", "value"))
 
 
 def window_exact(rel="rel_year", dek="dekad36") -> Column:
+    if isinstance(rel, str) and isinstance(dek, str):
+        return F.expr(f"(`{rel}` = 1 AND `{dek}` BETWEEN {WINDOW_Y1[0]} AND {WINDOW_Y1[1]}) OR "
+                      f"(`{rel}` = 2 AND `{dek}` BETWEEN {WINDOW_Y2[0]} AND {WINDOW_Y2[1]})")
     r, d = F.col(rel), F.col(dek)
     return (((r == 1) & d.between(*WINDOW_Y1)) | ((r == 2) & d.between(*WINDOW_Y2)))
 

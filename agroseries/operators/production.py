@@ -66,9 +66,12 @@ def combine_crosstabs(wides: list[tuple[str, DataFrame]], years, sort: bool = Fa
     for i, (n, w) in enumerate(wides):
         present = [y for y in ys if y in w.columns]
         has_year[n] = set(present)
-        parts.append(w.filter(F.col("name").isNotNull()).select(
-            "code", "name", F.lit(True).alias(f"_in{i}"),
-            *[F.col(f"`{y}`").alias(f"{n}@{y}") for y in present]))
+        # cells cleaned first; a repeated (code, name) keeps the largest cell,
+        # as the long form's aggregate does.  The aggregate also leaves each
+        # side hash-partitioned on the join key (no further exchange).
+        parts.append(w.filter(F.col("name").isNotNull()).groupBy("code", "name").agg(
+            F.lit(True).alias(f"_in{i}"),
+            *[F.max(clean_number(F.col(f"`{y}`"), False)).alias(f"{n}@{y}") for y in present]))
     wide = reduce(lambda a, b: a.join(b, ["code", "name"], "full"), parts)
     present_years = sorted({y for s in has_year.values() for y in s}, key=int)
     structs = []
@@ -79,7 +82,7 @@ def combine_crosstabs(wides: list[tuple[str, DataFrame]], years, sort: bool = Fa
         fields = [F.lit(int(y)).alias("year"), keep.alias("_keep")]
         for n, _ in wides:
             c = f"{n}@{y}"
-            v = clean_number(F.col(f"`{c}`"), False) if c in wide.columns else F.lit(None).cast("double")
+            v = F.col(f"`{c}`") if c in wide.columns else F.lit(None).cast("double")
             fields.append((F.coalesce(v, F.lit(0.0)) if missing_as_zero else v).alias(n))
         structs.append(F.struct(*fields))
     out = (wide.select("code", "name", F.explode(F.array(*structs)).alias("_y"))
@@ -89,11 +92,8 @@ def combine_crosstabs(wides: list[tuple[str, DataFrame]], years, sort: bool = Fa
 
 def with_loss(df: DataFrame) -> DataFrame:
     """P5: lost area and loss % (0 when planted ≤ 0)."""
-    lost = F.col("planted_ha") - F.col("harvested_ha")
-    return df.withColumns({
-        "lost_ha": lost,
-        "loss_pct": F.when(F.col("planted_ha") > 0, lost / F.col("planted_ha") * 100).otherwise(F.lit(0.0)),
-    })
+    return df.selectExpr("*", "planted_ha - harvested_ha AS lost_ha",
+                         "CASE WHEN planted_ha > 0 THEN (planted_ha - harvested_ha) / planted_ha * 100 ELSE 0.0D END AS loss_pct")
 
 
 # fixed values: unit conversion factors (t → kg, thousand currency → currency)
@@ -102,8 +102,9 @@ UNIT_SPEC = {"produced_kg": ("produced_t", 1000.0), "value_brl": ("value_kbrl",
 
 def convert_units(df: DataFrame, spec: dict = UNIT_SPEC) -> DataFrame:
     """Scaled copies of measures; the source columns are dropped."""
-    out = df.withColumns({new: F.col(src) * F.lit(f) for new, (src, f) in spec.items()})
-    return out.drop(*[src for src, _ in spec.values()])
+    drop = {src for src, _ in spec.values()}
+    keep = [f"`{c}`" for c in df.columns if c not in drop]
+    return df.selectExpr(*keep, *[f"`{src}` * {float(f)!r}D AS `{new}`" for new, (src, f) in spec.items()])
 
 
 def dashboard_panel(production: DataFrame) -> DataFrame:

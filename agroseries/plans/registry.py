@@ -30,11 +30,12 @@ def register(name: str):
 def finalize(df: DataFrame, digits: int = 6) -> DataFrame:
     out = []
     for f in df.schema.fields:
+        n = "`" + f.name.replace("`", "``") + "`"
         if isinstance(f.dataType, (T.DoubleType, T.FloatType)):
-            out.append(F.round(F.col(f.name), digits).alias(f.name))
+            out.append(f"round({n}, {int(digits)}) AS {n}")
         else:
-            out.append(F.col(f.name))
-    return df.select(*out)
+            out.append(n)
+    return df.selectExpr(*out)
 
 
 # ---------------------------------------------------------------- climate
