@@ -88,10 +88,11 @@ def corr_matrix(df: DataFrame, cols) -> DataFrame:
     one = df.agg(*exprs)
     cells = []
     for i, j in pairs:
-        cells.append(F.struct(F.lit(cols[i]).alias("row"), F.lit(cols[j]).alias("col"), F.col(f"r_{i}_{j}").alias("r")))
+        cells.append(f"'{cols[i]}', '{cols[j]}', r_{i}_{j}")
         if i != j:
-            cells.append(F.struct(F.lit(cols[j]).alias("row"), F.lit(cols[i]).alias("col"), F.col(f"r_{i}_{j}").alias("r")))
-    return one.select(F.explode(F.array(*cells)).alias("c")).select("c.*")
+            cells.append(f"'{cols[j]}', '{cols[i]}', r_{i}_{j}")
+    # one SQL ``stack`` unpivots the single aggregate row into (row, col, r)
+    return one.selectExpr(f"stack({len(cells)}, {', '.join(cells)}) AS (row, col, r)")
 
 
 def period_label(rel="rel_year", dek="dekad36"):
