@@ -256,3 +256,37 @@ def test_combine_crosstabs_equals_long_form(spark):
     as_set = lambda df: sorted(tuple(r) for r in df.select("code", "name", "year", "v1", "v2").collect())
     assert as_set(wide) == as_set(lng)
     assert ("2", "B", 2019, 7.0, 0.0) in as_set(wide) and ("3", "C", 2018, 0.0, 0.0) in as_set(wide)
+
+
+def brute_inside(px, py, ring):
+    inside = False
+    for (x1, y1), (x2, y2) in zip(ring, ring[1:]):
+        if (y1 > py) != (y2 > py) and px < x1 + (py - y1) * (x2 - x1) / (y2 - y1):
+            inside = not inside
+    return inside
+
+
+def test_band_join_matches_brute_force(spark):
+    rng = np.random.default_rng(3)
+    ang = np.sort(rng.random(12) * 2 * np.pi)
+    rad = 1 + rng.random(12) * 2
+    ring = [(float(r * np.cos(a)), float(r * np.sin(a))) for a, r in zip(ang, rad)]
+    ring.append(ring[0])
+    verts = spark.createDataFrame([(0, i, x, y) for i, (x, y) in enumerate(ring)], "ring_id int, seq int, x double, y double")
+    pts = [(float(x), float(y)) for x, y in rng.uniform(-3.5, 3.5, size=(400, 2))]
+    df = spark.createDataFrame(pts, "x double, y double")
+    for bands in (1, 7, 64):
+        got = {(r.x, r.y): r.inside for r in G.point_in_polygon(df, G.ring_edges(verts), n_bands=bands).collect()}
+        assert all(got[p] == brute_inside(p[0], p[1], ring) for p in pts)
+
+
+def test_roc_buckets_match_brute_force(spark):
+    rng = np.random.default_rng(11)
+    rows = [(int(rng.integers(0, 3)), c, float(np.round(rng.random(), 2))) for _ in range(300) for c in range(3)]
+    df = spark.createDataFrame(rows, "y_true int, cls int, score double")
+    roc = {(r.cls, r.threshold): (r.tpr, r.fpr) for r in EV.roc_points(df, rows_per_bucket=20).collect()}
+    for (c, t), (tpr, fpr) in list(roc.items())[:40]:
+        pos = [s for y, k, s in rows if k == c and y == c]
+        neg = [s for y, k, s in rows if k == c and y != c]
+        assert tpr == pytest.approx(sum(s >= t for s in pos) / len(pos))
+        assert fpr == pytest.approx(sum(s >= t for s in neg) / len(neg))
