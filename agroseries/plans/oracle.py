@@ -452,7 +452,7 @@ def label_sql(code: str) -> str:
 
 
 ORACLE["corr_strength"] = with_("top_w", "attrs", extra="""
-ranked AS (SELECT *, row_number() OVER (ORDER BY abs(r) DESC, param, rel_year, dekad36) AS rank FROM top_w),
+ranked AS (SELECT *, CAST(row_number() OVER (ORDER BY abs(r) DESC, param, rel_year, dekad36) AS INTEGER) AS rank FROM top_w),
 lab AS (SELECT r1.*, CASE WHEN a.description IS NOT NULL AND a.description <> ''
                           THEN r1.param || ' = ' || a.description ELSE r1.param END AS label
         FROM ranked r1 LEFT JOIN attrs a ON a.code = regexp_replace(trim(r1.param), '_dec.*$', ''))""") + """
@@ -518,7 +518,7 @@ ORACLE["site_means"] = with_("dpanel") + "\nSELECT site_id, name, " + ", ".join(
 cte("ranked_sites", ("dpanel",), """
   SELECT * FROM (
     SELECT name, metric, mean_value,
-           row_number() OVER (PARTITION BY metric ORDER BY mean_value DESC, name ASC) AS rank
+           CAST(row_number() OVER (PARTITION BY metric ORDER BY mean_value DESC, name ASC) AS INTEGER) AS rank
     FROM (""" + " UNION ALL ".join(
     f"SELECT name, '{m}' AS metric, avg({m}) AS mean_value FROM dpanel GROUP BY name" for m in _RM) + """)
     WHERE mean_value IS NOT NULL)
