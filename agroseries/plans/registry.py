@@ -802,7 +802,7 @@ def q_io_production(spark, sf):
                  for y in YEARS]
         data = w.select(F.lit(str(i)).alias("sheet"), F.concat(F.lit("3|"), F.col("site_id")).alias("ord"),
                         F.concat_ws(",", "site_id", "name", *cells).alias("text"))
-        hdr = w.limit(1).select(F.lit(str(i)).alias("sheet"), F.explode(F.array(
+        hdr = w.agg(F.count(F.lit(1)).alias("_n")).select(F.lit(str(i)).alias("sheet"), F.explode(F.array(
             F.struct(F.lit("0").alias("ord"), F.lit(f"Tabela {i} - derived production").alias("text")),
             F.struct(F.lit("1").alias("ord"), F.lit(f"Variável - {title}").alias("text")),
             F.struct(F.lit("2a").alias("ord"), F.lit("Cód.,Município,Ano" + "," * (len(YEARS) - 1)).alias("text")),
