@@ -46,3 +46,26 @@ def format_scaled(x, prefix="", suffix="") -> Column:
         scaled = F.trim(F.concat(sign, _lit(prefix), br_digits(a / divisor, 2), F.lit(unit), _lit(suffix)))
         out = F.when(a >= threshold, scaled).otherwise(out)
     return F.when(v.isNull() | F.isnan(v), F.lit(MISSING_TEXT)).otherwise(out)
+
+
+# --- the same formats as Spark SQL text (one JVM parse per expression) ---------
+def sql_str(text: str) -> str:
+    return "'" + text.replace("\\", "\\\\").replace("'", "\\'") + "'"
+
+
+def br_sql(x: str, decimals: int = 0, prefix: str = "''", suffix: str = "''") -> str:
+    """X7 as SQL: ``x``/``prefix``/``suffix`` are SQL expressions."""
+    digits = f"translate(format_number({x}, {int(decimals)}), ',.', '.,')"
+    return f"(CASE WHEN {x} IS NULL OR isnan({x}) THEN '{MISSING_TEXT}' ELSE trim(concat({prefix}, {digits}, {suffix})) END)"
+
+
+def scaled_sql(x: str, prefix: str = "''", suffix: str = "''") -> str:
+    """X8 as SQL."""
+    sign = f"(CASE WHEN {x} < 0 THEN '- ' ELSE '' END)"
+    a = f"abs({x})"
+    out = br_sql(x, 0, f"concat({sign}, {prefix})", suffix)
+    for threshold, divisor, unit in reversed(SCALE_LADDER):
+        digits = f"translate(format_number({a} / {divisor!r}D, 2), ',.', '.,')"
+        scaled = f"trim(concat({sign}, {prefix}, {digits}, '{unit}', {suffix}))"
+        out = f"CASE WHEN {a} >= {threshold!r}D THEN {scaled} ELSE {out} END"
+    return f"(CASE WHEN {x} IS NULL OR isnan({x}) THEN '{MISSING_TEXT}' ELSE {out} END)"

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.columns import cast_year, clean_number, safe_div
-from ..functions.formatting import format_br, format_scaled
+from ..functions.formatting import br_sql, scaled_sql, sql_str
 
 MEASURE_COLS = ["planted_ha", "harvested_ha", "lost_ha", "produced_kg", "value_brl"]
 
@@ -121,11 +121,8 @@ def yearly_totals(panel: DataFrame, measures=MEASURE_COLS) -> DataFrame:
 
 def weighted_metrics(totals: DataFrame) -> DataFrame:
     """A4: yield = Σproduction / Σharvested; loss % over the totals."""
-    return totals.withColumns({
-        "yield_kg_ha": safe_div("produced_kg", "harvested_ha"),
-        "loss_pct": F.when(F.col("planted_ha") > 0,
-                           F.col("lost_ha") / F.col("planted_ha") * 100).otherwise(F.lit(0.0)),
-    })
+    return totals.selectExpr("*", "try_divide(produced_kg, harvested_ha) AS yield_kg_ha",
+                             "CASE WHEN planted_ha > 0 THEN lost_ha / planted_ha * 100 ELSE 0.0D END AS loss_pct")
 
 
 def kpi_summary(panel: DataFrame, measures=MEASURE_COLS) -> DataFrame:
@@ -160,39 +157,32 @@ def kpi_delta(totals: DataFrame) -> DataFrame:
     No row when only one year is present.
     """
     w = weighted_metrics(totals)
-    rows = []
-    for m, unit, always_pct in DELTA_SPEC:
-        rows.append(F.struct(F.lit(m).alias("measure"), F.col(m).cast("double").alias("v"),
-                             F.lit(unit).alias("unit"), F.lit(always_pct).alias("always_pct"),
-                             F.lit(False).alias("pp")))
-    rows.append(F.struct(F.lit("loss_pct").alias("measure"), F.col("loss_pct").cast("double").alias("v"),
-                         F.lit("").alias("unit"), F.lit(False).alias("always_pct"), F.lit(True).alias("pp")))
-    long = w.select("year", F.explode(F.array(*rows)).alias("m")).select("year", "m.*")
-    g = long.groupBy("measure", "unit", "always_pct", "pp").agg(
-        F.min("year").alias("first_year"), F.max("year").alias("last_year"),
-        F.min_by("v", "year").alias("first_value"), F.max_by("v", "year").alias("last_value"),
-        F.countDistinct("year").alias("n_years"))
-    g = g.filter(F.col("n_years") > 1)
-    cur, ref = F.col("last_value"), F.col("first_value")
-    diff = cur - ref
-    pct = diff / F.abs(ref) * 100
-    sign_pct = F.when(pct > 0, F.lit("+ ")).otherwise(F.lit(""))
-    sign_diff = F.when(diff > 0, F.lit("+ ")).otherwise(F.lit(""))
-    kind = (F.when(F.col("pp"), F.lit("pp"))
-             .when(ref.isNull() | cur.isNull(), F.lit("none"))
-             .when((ref == 0) & (cur == 0), F.lit("zero"))
-             .when((ref == 0) & F.col("always_pct"), F.lit("inf"))
-             .when(ref == 0, F.lit("abs"))
-             .otherwise(F.lit("pct")))
-    value = (F.when(kind == "pp", diff).when(kind == "abs", diff).when(kind == "pct", pct))
-    text = (F.when(kind == "pp", F.when(ref.isNull(), F.lit(None))
-                   .otherwise(format_br(diff, 2, sign_diff, F.lit(" pp"))))
-             .when(kind == "zero", F.lit("= 0"))
-             .when(kind == "inf", F.lit("∞ %"))
-             .when(kind == "abs", format_scaled(diff, sign_diff, F.col("unit")))
-             .when(kind == "pct", format_br(pct, 2, sign_pct, F.lit(" %"))))
-    return g.select("measure", "first_year", "last_year", "first_value", "last_value",
-                    kind.alias("delta_kind"), value.alias("delta_value"), text.alias("delta_text"))
+    cells = [f"named_struct('measure', '{m}', 'v', CAST({m} AS DOUBLE), 'unit', {sql_str(unit)}, "
+             f"'always_pct', {str(always_pct).lower()}, 'pp', false)" for m, unit, always_pct in DELTA_SPEC]
+    cells.append("named_struct('measure', 'loss_pct', 'v', CAST(loss_pct AS DOUBLE), 'unit', '', "
+                 "'always_pct', false, 'pp', true)")
+    long = w.selectExpr("year", f"explode(array({', '.join(cells)})) AS m").selectExpr("year", "m.*")
+    g = (long.groupBy("measure", "unit", "always_pct", "pp")
+             .agg(F.expr("min(year) AS first_year"), F.expr("max(year) AS last_year"),
+                  F.expr("min_by(v, year) AS first_value"), F.expr("max_by(v, year) AS last_value"),
+                  F.expr("count(DISTINCT year) AS n_years"))
+             .filter("n_years > 1"))
+    d = g.selectExpr("*", "last_value - first_value AS diff",
+                     "try_divide(last_value - first_value, abs(first_value)) * 100 AS pct",
+                     "CASE WHEN pp THEN 'pp' WHEN first_value IS NULL OR last_value IS NULL THEN 'none' "
+                     "WHEN first_value = 0 AND last_value = 0 THEN 'zero' "
+                     "WHEN first_value = 0 AND always_pct THEN 'inf' WHEN first_value = 0 THEN 'abs' "
+                     "ELSE 'pct' END AS delta_kind")
+    sign_diff = "CASE WHEN diff > 0 THEN '+ ' ELSE '' END"
+    sign_pct = "CASE WHEN pct > 0 THEN '+ ' ELSE '' END"
+    text = ("CASE delta_kind "
+            f"WHEN 'pp' THEN CASE WHEN first_value IS NULL THEN NULL ELSE {br_sql('diff', 2, sign_diff, chr(39) + ' pp' + chr(39))} END "
+            "WHEN 'zero' THEN '= 0' WHEN 'inf' THEN '∞ %' "
+            f"WHEN 'abs' THEN {scaled_sql('diff', sign_diff, 'unit')} "
+            f"WHEN 'pct' THEN {br_sql('pct', 2, sign_pct, chr(39) + ' %' + chr(39))} END")
+    return d.selectExpr("measure", "first_year", "last_year", "first_value", "last_value", "delta_kind",
+                        "CASE WHEN delta_kind IN ('pp', 'abs') THEN diff WHEN delta_kind = 'pct' THEN pct END AS delta_value",
+                        f"{text} AS delta_text")
 
 
 def period_label(panel: DataFrame) -> DataFrame:
