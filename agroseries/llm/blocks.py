@@ -192,15 +192,42 @@ def text_bytes(docs: DataFrame, text: str = "text") -> int:
     return docs.select(F.coalesce(F.sum(F.octet_length(text)), F.lit(0)).alias("n")).first()["n"]
 
 
-def blocked(docs: DataFrame, key: str, text: str, bytes_in_all: int, block_bytes: int = BLOCK_BYTES) -> tuple[DataFrame, int]:
+def alone(method):
+    """A method as a function of one table; Spark counts arguments, self too."""
+    def of_table(table):
+        return method(table)
+    return of_table
+
+
+def paired(method):
+    """A method as a function of two tables."""
+    def of_tables(left, right):
+        return method(left, right)
+    return of_tables
+
+
+def fresh(docs: DataFrame, name: str) -> str:
+    """A column name that the frame does not have yet."""
+    taken = {c.lower() for c in docs.columns}
+    while name in taken:
+        name += "_"
+    return name
+
+
+def blocked(docs: DataFrame, key: str, text: str, bytes_in_all: int, block_bytes: int = BLOCK_BYTES) -> tuple[DataFrame, str]:
     """``docs`` dealt into blocks of about ``block_bytes`` by a hash of key and
     text, each block in one partition; plans that use the result several times
-    share its one shuffle.  Returns the frame and the number of blocks."""
+    share its one shuffle.  Returns the frame and the name of its block column."""
     blocks = max(1, -(-bytes_in_all // block_bytes))
-    spark = docs.sparkSession
-    partitions = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-blocks // 4))
+    name = fresh(docs, "block")
+    partitions = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-blocks // 4))
     block = F.pmod(F.xxhash64(key, text), F.lit(blocks)).cast("int")
-    return docs.withColumn("block", block).repartition(partitions, "block"), blocks
+    return docs.withColumn(name, block).repartition(partitions, name), name
+
+
+def arrow_schema(schema) -> pa.Schema:
+    from pyspark.sql.pandas.types import to_arrow_schema
+    return to_arrow_schema(schema)
 
 
 def grouped(order: np.ndarray) -> np.ndarray:
@@ -221,8 +248,94 @@ def bucket_of(hashes: np.ndarray, buckets: int) -> np.ndarray:
     return ((hashes >> _U(32)) * _U(buckets) >> _U(32)).astype(np.int64)
 
 
-def cut_by_bucket(sorted_hashes: np.ndarray, buckets: int) -> tuple[np.ndarray, np.ndarray]:
-    """The buckets that occur and the cuts of a sorted array between them."""
+def by_bucket(sorted_hashes: np.ndarray, buckets: int) -> list[tuple[int, int, int]]:
+    """(bucket, from, to) of a sorted array."""
     owner = bucket_of(sorted_hashes, buckets)
     cuts = grouped(owner)
-    return owner[cuts[:-1]], cuts
+    return list(zip(owner[cuts[:-1]].tolist(), cuts[:-1].tolist(), cuts[1:].tolist()))
+
+
+def planes(values: np.ndarray, width: int = 8) -> bytes:
+    """The upper ``width`` bytes of 64-bit values, byte plane by byte plane: the
+    planes of sorted values or small numbers compress well in a shuffle."""
+    return values.astype(">u8").view(np.uint8).reshape(-1, 8)[:, :width].T.tobytes()
+
+
+def from_planes(data: bytes, width: int = 8) -> np.ndarray:
+    own = np.frombuffer(data, np.uint8).reshape(width, -1)
+    out = np.zeros((own.shape[1], 8), np.uint8)
+    out[:, :width] = own.T
+    return out.view(">u8").ravel().astype(_U)
+
+
+def bits(flags: np.ndarray) -> bytes:
+    return np.packbits(flags).tobytes()
+
+
+def from_bits(data: bytes, n: int) -> np.ndarray:
+    return np.unpackbits(np.frombuffer(data, np.uint8), count=n).astype(bool)
+
+
+def least(keys: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Different keys in order, and each one's least value."""
+    order = np.lexsort((values, keys))
+    keys = keys[order]
+    first = grouped(keys)[:-1]
+    return keys[first], values[order][first]
+
+
+def buckets_for(bytes_in_all: int) -> int:
+    """Ranges of hashes: each holds what some 8 MB of text ask."""
+    return max(64, bytes_in_all // (8 << 20))
+
+
+def flags_for(keys: np.ndarray, buckets: int, answers: dict[int, tuple], shift: int = 0) -> np.ndarray:
+    """Answered bits of sorted different keys; no answer is no."""
+    out = np.zeros(len(keys), bool)
+    for b, lo, hi in by_bucket(keys, buckets):
+        found = answers.get(b + shift)
+        if found is not None:
+            out[lo:hi] = from_bits(found[0], hi - lo)
+    return out
+
+
+def within(known: np.ndarray, values: np.ndarray) -> np.ndarray:
+    """Which values occur in a sorted array."""
+    if not len(known):
+        return np.zeros(len(values), bool)
+    return known[np.minimum(np.searchsorted(known, values), len(known) - 1)] == values
+
+
+def runs(flags: np.ndarray, at: np.ndarray) -> list[tuple[int, int, int]]:
+    """(document, start, end) of the runs of true flags, cut at documents' ends;
+    ``at`` holds the documents' offsets and places count from a document's start."""
+    change = np.ones(len(flags) + 1, bool)
+    change[1:-1] = flags[1:] != flags[:-1]
+    change[at] = True
+    edges = np.flatnonzero(change)
+    lo, hi = edges[:-1], edges[1:]
+    lo, hi = lo[flags[lo]], hi[flags[lo]]
+    doc = np.searchsorted(at, lo, side="right") - 1
+    return list(zip(doc.tolist(), (lo - at[doc]).tolist(), (hi - at[doc]).tolist()))
+
+
+def without(data: bytes, spans: list[tuple[int, int]]) -> bytes:
+    """``data`` without the (start, length) spans, which are in order."""
+    if not spans:
+        return data
+    ends = [0, *(a + n for a, n in spans)]
+    return b"".join(data[a:b] for a, b in zip(ends, [*(a for a, _ in spans), len(data)]))
+
+
+def character(data: bytes, at: int) -> int:
+    """The first start of a UTF-8 character from ``at`` on."""
+    while at < len(data) and data[at] & 0xC0 == 0x80:
+        at += 1
+    return at
+
+
+def character_before(data: bytes, at: int) -> int:
+    """The last start of a UTF-8 character up to ``at``."""
+    while 0 < at < len(data) and data[at] & 0xC0 == 0x80:
+        at -= 1
+    return at
