@@ -163,21 +163,6 @@ class Words:
     def __len__(self) -> int:
         return len(self.start)
 
-    def joined(self, keep: np.ndarray) -> list[bytes]:
-        """Per document, its kept words joined by one space."""
-        size = (self.end - self.start + 1)[keep]
-        starts = self.start[keep]
-        out = np.full(int(size.sum()), 32, np.uint8)
-        ends = np.cumsum(size)
-        place = np.arange(len(out)) - np.repeat(ends - size, size)
-        source = np.repeat(starts, size) + place
-        word = place < np.repeat(size - 1, size)
-        out[word] = self.raw[source[word]]
-        per_doc = np.bincount(self.doc[keep], size, len(self.range) - 1).astype(np.int64)
-        cuts = np.concatenate([[0], np.cumsum(per_doc)])
-        data = out.tobytes()
-        return [data[a : max(a, b - 1)] for a, b in zip(cuts[:-1], cuts[1:])]
-
 
 def windows(values: np.ndarray, doc: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
     """Start and hash of every run of k values that lies within one document."""
@@ -187,6 +172,21 @@ def windows(values: np.ndarray, doc: np.ndarray, k: int) -> tuple[np.ndarray, np
     return start, rolling(prefix(values), k)[start]
 
 
+def lowest(hashes: np.ndarray, wide: int) -> np.ndarray:
+    """Place of the least of every ``wide`` neighbouring hashes, the leftmost of
+    equal ones (by the bits that remain beside a place)."""
+    n = len(hashes)
+    if n < wide:
+        return np.zeros(0, np.int64)
+    room = _U(max(n.bit_length(), 1))
+    low, span = (hashes >> room << room) | np.arange(n, dtype=_U), 1
+    while span * 2 <= wide:
+        low, span = np.minimum(low[span:], low[:-span]), span * 2
+    if span < wide:
+        low = np.minimum(low[: len(low) - (wide - span)], low[wide - span :])
+    return (low & ((_U(1) << room) - _U(1))).astype(np.int64)
+
+
 def text_bytes(docs: DataFrame, text: str = "text") -> int:
     """Bytes of text in a table: one number from one aggregate."""
     return docs.select(F.coalesce(F.sum(F.octet_length(text)), F.lit(0)).alias("n")).first()["n"]

@@ -105,3 +105,22 @@ def suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", F.coalesce(F.octet_length("text"), F.lit(0)).cast("long").alias("n_bytes"),
         F.aggregate("removed", F.lit(0).cast("long"), lambda n, s: n + s["length"]).alias("n_removed"),
         F.size("removed").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
+
+
+@register("op4_substring_dedup", oracle=r"""
+WITH w AS (SELECT doc_id, list_filter(string_split_regex(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS words FROM documents),
+p AS (SELECT doc_id, unnest(range(len(words) - 19)) AS s, words FROM w WHERE len(words) >= 20),
+g AS (SELECT doc_id, s, md5(array_to_string(words[s + 1 : s + 20], ' ')) AS h FROM p),
+r AS (SELECT doc_id, s, row_number() OVER (PARTITION BY h ORDER BY doc_id, s) AS n FROM g),
+gone AS (SELECT DISTINCT doc_id, unnest(range(s + 1, s + 21)) AS i FROM r WHERE n > 1),
+k AS (SELECT w.doc_id, i, words[i] AS word FROM (SELECT doc_id, words, unnest(range(1, len(words) + 1)) AS i FROM w) w ANTI JOIN gone USING (doc_id, i)),
+t AS (SELECT doc_id, count(*) AS n, string_agg(word, ' ' ORDER BY i) AS text FROM k GROUP BY doc_id)
+SELECT w.doc_id, len(words)::BIGINT AS n_words, (len(words) - coalesce(n, 0))::BIGINT AS n_removed, sha256(coalesce(text, '')) AS kept_sha256
+FROM w LEFT JOIN t ON t.doc_id = w.doc_id""")
+def substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The words of every text that no 20-word window of an earlier place covers."""
+    from . import substring
+    out = substring.remove_repeats(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return out.select(
+        "doc_id", "n_words", F.aggregate("removed", F.lit(0).cast("long"), lambda n, s: n + s["length"]).alias("n_removed"),
+        F.sha2("kept", 256).alias("kept_sha256"))

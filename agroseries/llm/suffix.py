@@ -61,17 +61,8 @@ class Parse:
             start = low = np.zeros(0, np.int64)
             hashes = np.zeros(0, np.uint64)
         else:
-            width = max(n.bit_length(), 1)
             hashes = B.rolling(sums, gram)
-            places = np.arange(len(hashes), dtype=np.uint64)
-            low = (hashes >> np.uint64(width) << np.uint64(width)) | places
-            span, wanted = 1, length - gram + 1
-            while span * 2 <= wanted:
-                low = np.minimum(low[span:], low[:-span])
-                span *= 2
-            if span < wanted:
-                low = np.minimum(low[: len(low) - (wanted - span)], low[wanted - span :])
-            low = (low & np.uint64((1 << width) - 1)).astype(np.int64)
+            low = B.lowest(hashes, length - gram + 1)
             start = np.flatnonzero(doc[: n - length + 1] == doc[length - 1 :])
             low = low[start]
         if len(start):
@@ -314,13 +305,17 @@ def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", len
     told_as = "step int, bucket int, block int, data binary"
     own = dealt.select(block, key, text)
     by_block = lambda told: own.groupBy(block).cogroup(told.groupBy("block"))
-    told = own.groupBy(block).applyInArrow(B.alone(d.ask_triggers), asked).groupBy("bucket").applyInArrow(B.alone(d.tell_triggers), told_as)
+    told = own.groupBy(block).applyInArrow(B.alone(d.ask_triggers), asked).groupBy("bucket").applyInArrow(B.alone(d.tell_triggers), told_as).repartition("block")
     for ask, tell in ((d.ask_phrases, d.tell_phrases), (d.ask_suffixes, d.tell_suffixes)):
-        answers = by_block(told).applyInArrow(B.paired(ask), asked).groupBy("bucket").applyInArrow(B.alone(tell), told_as)
+        answers = by_block(told).applyInArrow(B.paired(ask), asked).groupBy("bucket").applyInArrow(B.alone(tell), told_as).repartition("block")
         told = told.unionByName(answers)
     schema = docs.withColumns({"removed": F.lit(None).cast("array<struct<start:bigint,length:bigint>>"), "kept": F.lit(None).cast("binary")}).schema
     out = B.arrow_schema(schema)
-    return dealt.groupBy(block).cogroup(told.groupBy("block")).applyInArrow(lambda t, a: d.decide(t, a, out), schema)
+
+    def decide(table, told):
+        return d.decide(table, told, out)
+
+    return dealt.groupBy(block).cogroup(told.groupBy("block")).applyInArrow(decide, schema)
 
 
 def whole_characters(docs: DataFrame, text: str = "text") -> DataFrame:
