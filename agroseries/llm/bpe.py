@@ -28,7 +28,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-CACHE_ENTRIES = 600_000  # pre-tokens and cuts that one Python worker remembers, each; then it starts anew
+CACHE_ENTRIES = 400_000  # pre-tokens and cuts that one Python worker remembers, each; then it starts anew
 
 
 class Vocabulary:
@@ -38,6 +38,7 @@ class Vocabulary:
         import ahocorasick
         self.tokens = tokens
         self.size = [len(t) for t in tokens]
+        self.most = max(self.size, default=0)
         self.rank = {t: i for i, t in enumerate(tokens)}
         self.automaton = ahocorasick.Automaton(ahocorasick.STORE_INTS)
         for t, i in self.rank.items():
@@ -102,35 +103,39 @@ class Vocabulary:
         latin = piece.decode("latin-1")
         # the walk without a step back: longest matches one after the other
         ids = [token for _, token in self.automaton.iter_long(latin)]
-        memo, before = self.memo, ids[0]
-        for token in ids[1:]:
-            stays = memo.get((before, token))
+        known, before = self.memo.get, ids[0]
+        for i in range(1, len(ids)):
+            token = ids[i]
+            stays = known((before, token))
             if not (self.adjacent(before, token) if stays is None else stays):
-                break
+                return self._walk(piece, latin, ids[:i], token)
             before = token
-        else:
-            return ids
-        return self._walk(latin)
-
-    def _walk(self, latin: str) -> list[int]:
-        n, size, shorter, adjacent = len(latin), self.size, self.shorter, self.adjacent
-        longest = [0] * n
-        for end, token in self.automaton.iter(latin):
-            longest[end + 1 - size[token]] = token  # later ends are longer
-        dead = bytearray(n + 1)
-        ids: list[int] = []
-        at, token = 0, longest[0]
+        return ids
+
+    def _longest(self, piece: bytes, latin: str, at: int) -> int:
+        """The longest token that starts here; the trie bounds its length."""
+        n = self.automaton.longest_prefix(latin[at : at + self.most])
+        rank = self.rank.get
+        while (token := rank(piece[at : at + n])) is None:
+            n -= 1
+        return token
+
+    def _walk(self, piece: bytes, latin: str, ids: list[int], token: int) -> list[int]:
+        """Go on from compatible ``ids`` and a token that may not follow them."""
+        n, size, shorter, adjacent = len(piece), self.size, self.shorter, self.adjacent
+        at = sum(size[i] for i in ids)
+        dead = set()
         while True:
             end = at + size[token]
-            if not dead[end] and (not ids or adjacent(ids[-1], token)):
+            if end not in dead and (not ids or adjacent(ids[-1], token)):
                 ids.append(token)
                 if end == n:
                     return ids
-                at, token = end, longest[end]
+                at, token = end, self._longest(piece, latin, end)
                 continue
             token = shorter[token]
             while token < 0:
-                dead[at] = 1
+                dead.add(at)
                 token = ids.pop()
                 at -= size[token]
                 token = shorter[token]
@@ -149,46 +154,50 @@ def load(path: str) -> Vocabulary:
 #: A single blank between two visible characters always starts a pre-token, so
 #: text can be cut there and the cuts remembered.
 CUT = re.compile(r"(?<=\S) (?=\S)")
+WIDE = re.compile(r"\s\s")
+
+
+class Remembered(dict):
+    """Ids by text, made when missing; starts anew when full."""
+
+    def __init__(self, make):
+        self.make = make
+
+    def __missing__(self, text: str) -> bytes:
+        ids = self.make(text)
+        if len(text) <= 32:
+            if len(self) >= CACHE_ENTRIES:
+                self.clear()
+            self[text] = ids
+        return ids
 
 
 class Encoder:
-    """Text to ids; remembers the ids of recent cuts."""
+    """Text to ids, as 32-bit integers of the machine's byte order."""
 
     def __init__(self, path: str, pattern: str):
         import regex
         self.vocabulary, self.pieces = load(path), regex.compile(pattern).findall
-        self.known: dict[str, bytes] = {}
-        self.known_pieces: dict[str, bytes] = {}
+        self.piece, self.cut = Remembered(self._piece), Remembered(self._cut)
+
+    def _piece(self, piece: str) -> bytes:
+        return array("i", self.vocabulary.encode_piece(piece.encode())).tobytes()
 
     def _ids(self, text: str) -> bytes:
-        known, out = self.known_pieces, []
-        for piece in self.pieces(text):
-            ids = known.get(piece)
-            if ids is None:
-                ids = array("i", self.vocabulary.encode_piece(piece.encode())).tobytes()
-                if len(piece) <= 64:
-                    if len(known) >= CACHE_ENTRIES:
-                        known.clear()
-                    known[piece] = ids
-            out.append(ids)
-        return b"".join(out)
+        return b"".join([self.piece[p] for p in self.pieces(text)])
+
+    def _cut(self, cut: str) -> bytes:
+        """Ids of a blank and what follows it up to the next cut."""
+        if cut[:-1].isalpha() and cut[-1] in ".,":  # what the pattern does with most words
+            return self.piece[" " + cut[:-1]] + self.piece[cut[-1]]
+        return self._ids(" " + cut)
 
     def encode(self, text: str | None) -> bytes:
-        """Ids as 32-bit integers of the machine's byte order."""
         if not text:
             return b""
-        first, *rest = CUT.split(text)
-        known, out = self.known, [self._ids(first)]
-        for cut in rest:
-            ids = known.get(cut)
-            if ids is None:
-                ids = self._ids(" " + cut)
-                if len(cut) <= 64:
-                    if len(known) >= CACHE_ENTRIES:
-                        known.clear()
-                    known[cut] = ids
-            out.append(ids)
-        return b"".join(out)
+        # without neighbouring white space, all blanks inside are such places
+        first, *rest = text.split(" ") if WIDE.search(text) is None else CUT.split(text)
+        return self._ids(first) + b"".join(map(self.cut.__getitem__, rest))
 
 
 @lru_cache(maxsize=2)
@@ -213,7 +222,9 @@ def decode(ids: Column, path: str) -> Column:
     @F.arrow_udf(T.BinaryType())
     def bpe_decode(lists: pa.Array) -> pa.Array:
         token = load(path).tokens.__getitem__
-        return pa.array([None if x is None else b"".join(map(token, x)) for x in lists.to_pylist()], pa.binary())
+        values, ends = lists.values.to_numpy(), lists.offsets.to_numpy()
+        known = lists.is_valid().to_pylist()
+        return pa.array([b"".join(map(token, values[a:b].tolist())) if k else None for k, a, b in zip(known, ends[:-1], ends[1:])], pa.binary())
 
     return bpe_decode(ids)
 
