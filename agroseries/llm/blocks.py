@@ -19,6 +19,8 @@ import pyarrow.compute  # noqa: F401
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..session import ensure_checkpoint_dir, scratch_path
+
 SLICE_BYTES = 1 << 20
 BLOCK_BYTES = 4 << 20
 
@@ -192,6 +194,23 @@ def text_bytes(docs: DataFrame, text: str = "text") -> int:
     return docs.select(F.coalesce(F.sum(F.octet_length(text)), F.lit(0)).alias("n")).first()["n"]
 
 
+def kept(df: DataFrame) -> DataFrame:
+    """Cut the lineage of a small or middling frame in the shared folder."""
+    ensure_checkpoint_dir(df.sparkSession)
+    return df.checkpoint()
+
+
+def written(df: DataFrame) -> DataFrame:
+    """Cut the lineage of a large frame: a compressed table in the shared folder."""
+    path = scratch_path(df.sparkSession, "llm")
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def as_table(rows: list[tuple], schema: pa.Schema) -> pa.Table:
+    return pa.table([pa.array(c, f.type) for c, f in zip(zip(*rows), schema)], schema=schema) if rows else schema.empty_table()
+
+
 def alone(method):
     """A method as a function of one table; Spark counts arguments, self too."""
     def of_table(table):

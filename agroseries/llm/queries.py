@@ -124,3 +124,21 @@ def substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select(
         "doc_id", "n_words", F.aggregate("removed", F.lit(0).cast("long"), lambda n, s: n + s["length"]).alias("n_removed"),
         F.sha2("kept", 256).alias("kept_sha256"))
+
+
+@register("op5_ngram_jaccard", oracle=r"""
+WITH RECURSIVE w AS (SELECT doc_id, list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS words FROM documents),
+g AS (SELECT DISTINCT doc_id, CASE WHEN len(words) < 5 THEN array_to_string(words, ' ') ELSE array_to_string(words[s + 1 : s + 5], ' ') END AS h
+  FROM (SELECT doc_id, words, unnest(range(greatest(len(words) - 4, 1))) AS s FROM w WHERE len(words) > 0)),
+n AS (SELECT doc_id, count(*) AS n FROM g GROUP BY doc_id),
+p AS (SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS o FROM g a JOIN g b ON a.h = b.h AND a.doc_id < b.doc_id GROUP BY 1, 2),
+e AS (SELECT x, y FROM p JOIN n a ON a.doc_id = x JOIN n b ON b.doc_id = y WHERE 100 * o >= 75 * (a.n + b.n - o)),
+b AS (SELECT x, y FROM e UNION ALL SELECT y, x FROM e),
+r AS (SELECT doc_id AS node, doc_id AS other FROM w UNION SELECT r.node, b.y FROM r JOIN b ON b.x = r.other)
+SELECT w.doc_id, coalesce(n.n, 0)::BIGINT AS n_shingles, min(r.other) AS component_id
+FROM w LEFT JOIN n ON n.doc_id = w.doc_id JOIN r ON r.node = w.doc_id GROUP BY ALL""")
+def ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Components of documents whose sets of five words overlap by 75 percent."""
+    from . import jaccard
+    found = jaccard.join(table(spark, sf_dir, "documents"))
+    return found.select(F.col("key").alias("doc_id"), "n_shingles", F.col("component").alias("component_id"))

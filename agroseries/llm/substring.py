@@ -140,7 +140,7 @@ class Graph:
         known, first = self.documents(parts)
         for b, lo, hi in B.by_bucket(known, self.buckets):
             rows.append((b + self.buckets, block, B.planes(known[lo:hi]), packed(first[lo:hi])))
-        return as_table(rows, ASKED)
+        return B.as_table(rows, ASKED)
 
     def tell_anchors(self, table: pa.Table) -> pa.Table:
         bucket, blocks, data, more = columns(table)
@@ -153,7 +153,7 @@ class Graph:
             keys, ids = [B.from_planes(x) for x in data], [unpacked(x, 1)[0].astype(np.int64) for x in more]
             known, first = B.least(np.concatenate(keys), np.concatenate(ids))
             flags = [first[np.searchsorted(known, k)] < i for k, i in zip(keys, ids)]
-        return as_table([(1, bucket, b, B.bits(f)) for b, f in zip(blocks, flags) if f.any()], TOLD)
+        return B.as_table([(1, bucket, b, B.bits(f)) for b, f in zip(blocks, flags) if f.any()], TOLD)
 
     def ask_edges(self, table: pa.Table, told: pa.Table) -> pa.Table:
         if not len(table) or not len(told):
@@ -171,7 +171,7 @@ class Graph:
             at.append(s.start[chosen] - s.words.range[doc])
         found = summary(joined(edge), joined(after), joined(ids, np.int64), joined(at, np.int64))
         block = table.column(self.block)[0].as_py()
-        return as_table([(b, block, B.planes(found[0][lo:hi]), packed(*(x[lo:hi] for x in found[1:])))
+        return B.as_table([(b, block, B.planes(found[0][lo:hi]), packed(*(x[lo:hi] for x in found[1:])))
                          for b, lo, hi in B.by_bucket(found[0], self.buckets)], ASKED)
 
     def repeated(self, table: pa.Table) -> pa.Table:
@@ -197,7 +197,7 @@ class Graph:
             mine = B.within(B.from_planes(x), head)
             if mine.any():
                 out.append((2, bucket, b, packed(head[mine], *(r[mine] for r in rest))))
-        return as_table(out, TOLD)
+        return B.as_table(out, TOLD)
 
     # ---- the result
 
@@ -254,10 +254,6 @@ def joined(parts: list[np.ndarray], kind=np.uint64) -> np.ndarray:
     return np.concatenate(parts) if parts else np.zeros(0, kind)
 
 
-def as_table(rows: list[tuple], schema: pa.Schema) -> pa.Table:
-    return pa.table([pa.array(c, f.type) for c, f in zip(zip(*rows), schema)], schema=schema) if rows else schema.empty_table()
-
-
 def columns(table: pa.Table) -> tuple[int, list, list, list]:
     return (table.column("bucket")[0].as_py(), *(table.column(c).to_pylist() for c in ("block", "data", "more")))
 
