@@ -142,3 +142,11 @@ def ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     from . import jaccard
     found = jaccard.join(table(spark, sf_dir, "documents"))
     return found.select(F.col("key").alias("doc_id"), "n_shingles", F.col("component").alias("component_id"))
+
+
+@register("op6_decontaminate")
+def decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Passages of benchmark items in the documents, exact or nearly so."""
+    from . import decontam
+    found = decontam.matches(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return found.select(F.col("key").alias("doc_id"), F.col("item").alias("item_id"), F.col("start").alias("start_word"), "n_words", "similarity")
