@@ -150,3 +150,11 @@ def decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     from . import decontam
     found = decontam.matches(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
     return found.select(F.col("key").alias("doc_id"), F.col("item").alias("item_id"), F.col("start").alias("start_word"), "n_words", "similarity")
+
+
+@register("op9_html_extract")
+def html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The article text of every page."""
+    from . import extract
+    out = extract.extract(table(spark, sf_dir, "pages").select("page_id", "url", "html"))
+    return out.select("page_id", "url", "text", F.char_length("text").cast("long").alias("n_chars"))
