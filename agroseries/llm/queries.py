@@ -158,3 +158,14 @@ def html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
     from . import extract
     out = extract.extract(table(spark, sf_dir, "pages").select("page_id", "url", "html"))
     return out.select("page_id", "url", "text", F.char_length("text").cast("long").alias("n_chars"))
+
+
+@register("op8_pitman_yor")
+def pitman_yor(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """log10 probability of every text by a model of the documents not held out."""
+    from . import pitmanyor
+    remainder = F.crc32(F.col("doc_id").cast("string")) % 7
+    scores, shared = pitmanyor.score(table(spark, sf_dir, "documents"), remainder != 2)
+    return scores.select(
+        F.col("key").alias("doc_id"), F.coalesce(F.crc32(F.col("key").cast("string")) % 7 == 2, F.lit(False)).alias("held_out"),
+        "n_tokens", "n_known", F.lit(shared.tokens).cast("long").alias("train_tokens"), "base_score", "score")

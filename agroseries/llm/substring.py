@@ -93,7 +93,7 @@ class Graph:
             start, edge = B.windows(words.hash, words.doc, self.k)
             grams = B.rolling(sums, self.gram)
             place = B.lowest(grams, self.k - self.gram + 1)[start] if len(start) else start
-            out.append(Slice(words, ids[a : a + n], places[a : a + n], whole, start, edge, grams[place], place))
+            out.append(Slice(words, ids[a : a + n], places[a : a + n], whole, start, edge, B.mix(grams[place]), place))  # least hashes are small: spread them
         return out
 
     def long_enough(self, s: Slice) -> np.ndarray:

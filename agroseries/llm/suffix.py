@@ -74,7 +74,7 @@ class Parse:
         self.start = start[first]  # of the phrase's first window
         self.windows = np.diff(np.append(first, len(start)))
         self.doc = doc[self.start]
-        self.key = hashes[low[first]] if len(first) else hashes[:0]
+        self.key = B.mix(hashes[low[first]]) if len(first) else hashes[:0]  # least hashes are small: spread them again
         if detail:
             self.sums = sums
             self.content = B.span(sums, self.start, self.start + self.windows + length - 1)
