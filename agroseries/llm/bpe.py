@@ -142,13 +142,18 @@ class Vocabulary:
 
 
 @lru_cache(maxsize=2)
-def load(path: str) -> Vocabulary:
-    """The vocabulary of a rank file: a base64 token and its rank on each line."""
+def token_bytes(path: str) -> list[bytes]:
+    """The tokens of a rank file: a base64 token and its rank on each line."""
     with open(path, "rb") as lines:
         ranked = sorted((int(rank), base64.b64decode(token)) for token, rank in map(bytes.split, lines))
     if [rank for rank, _ in ranked] != list(range(len(ranked))):
         raise ValueError("ranks must run from 0 without gaps")
-    return Vocabulary([token for _, token in ranked])
+    return [token for _, token in ranked]
+
+
+@lru_cache(maxsize=2)
+def load(path: str) -> Vocabulary:
+    return Vocabulary(token_bytes(path))
 
 
 #: A single blank between two visible characters always starts a pre-token, so
@@ -214,14 +219,15 @@ def encode(text: Column, path: str, pattern: str) -> Column:
         ends = np.cumsum([0, *(len(p) // 4 for p in parts)]).astype(np.int32)
         return pa.ListArray.from_arrays(pa.array(ends), pa.array(np.frombuffer(b"".join(parts), np.int32)))
 
-    return bpe_encode(text)
+    # else Catalyst would write it once more into each expression that uses its result
+    return bpe_encode.asNondeterministic()(text)
 
 
 def decode(ids: Column, path: str) -> Column:
     """The bytes of a column of token ids; null for null."""
     @F.arrow_udf(T.BinaryType())
     def bpe_decode(lists: pa.Array) -> pa.Array:
-        token = load(path).tokens.__getitem__
+        token = token_bytes(path).__getitem__
         values, ends = lists.values.to_numpy(), lists.offsets.to_numpy()
         known = lists.is_valid().to_pylist()
         return pa.array([b"".join(map(token, values[a:b].tolist())) if k else None for k, a, b in zip(known, ends[:-1], ends[1:])], pa.binary())

@@ -20,9 +20,10 @@
 Components are found by alternating star contraction.
 
 Defined results: null text and text without words have no n-grams and link with
-nothing; rows without a key have no component (null); rows that share a key are one
-document of that key for the components; a text shorter than ``n`` words has its whole
-sequence as its one n-gram.
+nothing; rows without a key take no part (component null); rows that share a key are
+documents of their own that have that number; a text shorter than ``n`` words has its
+whole sequence as its one n-gram.  n-grams and classes are told apart by 64-bit
+fingerprints.
 """
 
 from __future__ import annotations
@@ -44,7 +45,7 @@ PIVOT_ROUNDS = 2
 KEY_BYTES = 6
 ASKED = pa.schema([("bucket", pa.int32()), ("block", pa.int32()), ("data", pa.binary()), ("more", pa.binary())])
 TOLD = pa.schema([("bucket", pa.int32()), ("block", pa.int32()), ("data", pa.binary())])
-SETS = pa.schema([("key", pa.int64()), ("n", pa.int64()), ("sum", pa.int64()), ("xor", pa.int64()), ("grams", pa.list_(pa.int64()))])
+SETS = pa.schema([("key", pa.int64()), ("row", pa.int64()), ("n", pa.int64()), ("sum", pa.int64()), ("xor", pa.int64()), ("grams", pa.list_(pa.int64()))])
 
 
 def gram_sets(texts: pa.Array, n: int) -> list[np.ndarray]:
@@ -109,7 +110,7 @@ class Sets(NamedTuple):
         offsets = np.cumsum([0, *(0 if x is None else len(x) for x in kept)])
         values = np.concatenate([np.zeros(0, np.uint64), *(x for x in kept if x is not None)]).view(np.int64)
         lists = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(values), mask=pa.array([x is None for x in kept]))
-        return pa.table([keys.combine_chunks(), pa.array(sizes, pa.int64()), pa.array(sums.view(np.int64)), pa.array(xors.view(np.int64)), lists], schema=SETS)
+        return pa.table([keys.combine_chunks(), table.column("row").combine_chunks(), pa.array(sizes, pa.int64()), pa.array(sums.view(np.int64)), pa.array(xors.view(np.int64)), lists], schema=SETS)
 
 
 def reaches(overlap: Column, left: Column, right: Column, percent: int) -> Column:
@@ -120,9 +121,10 @@ def reaches(overlap: Column, left: Column, right: Column, percent: int) -> Colum
 def ordered(sets: DataFrame, percent: int) -> DataFrame:
     """One row per class that can link: rep, n, own (n-grams no other class has),
     grams (struct of number of classes and hash, in the global order)."""
-    classes = sets.where("grams IS NOT NULL").groupBy("n", "sum", "xor").agg(F.min("key").alias("key"))
-    reps = sets.where("grams IS NOT NULL").join(classes, ["n", "sum", "xor", "key"]).dropDuplicates(["n", "sum", "xor"])
-    grams = reps.select(F.col("key").alias("rep"), "n", F.explode("grams").alias("g"))
+    alike = ["rep", "n"]
+    classes = sets.where("grams IS NOT NULL").groupBy(alike).agg(F.min("key").alias("key"))
+    reps = sets.join(classes, [*alike, "key"], "left_semi").dropDuplicates(alike)
+    grams = reps.select("rep", "n", F.explode("grams").alias("g"))
     often = grams.groupBy("g").agg(F.count("*").alias("df")).where("df > 1")
     rows = grams.join(often, "g").groupBy("rep", "n").agg(F.sort_array(F.collect_list(F.struct("df", "g"))).alias("grams"))
     return rows.where(100 * F.size("grams") >= percent * F.col("n")).withColumn("own", F.col("n") - F.size("grams"))
@@ -237,16 +239,36 @@ def link_components(classes: DataFrame, percent: int = PERCENT) -> DataFrame:
 
 
 def join(docs: DataFrame, key: str = "doc_id", text: str = "text", n: int = N, percent: int = PERCENT) -> DataFrame:
-    """key, n_shingles, component of every row."""
+    """For every row: key, row (hash of its text), n_shingles, component (the least
+    key that links reach) and, where it may link, group (the component's own number)."""
     size = B.text_bytes(docs, text)
-    dealt, block = B.blocked(docs.select(F.col(key).cast("long").alias("key"), F.col(text).alias("text")), "key", "text", size)
+    own = docs.select(F.col(key).cast("long").alias("key"), F.xxhash64(text).alias("row"), F.col(text).alias("text"))
+    dealt, block = B.blocked(own, "key", "text", size)
     s = Sets("key", "text", block, n, percent, B.buckets_for(size))
     told = dealt.groupBy(block).applyInArrow(B.alone(s.ask), "bucket int, block int, data binary, more binary").groupBy("bucket").applyInArrow(B.alone(s.tell), "bucket int, block int, data binary")
-    sets = B.written(dealt.groupBy(block).cogroup(told.groupBy("block")).applyInArrow(B.paired(s.sets), "key bigint, n bigint, sum bigint, xor bigint, grams array<bigint>"))
-    classes = B.written(ordered(sets, percent))
-    found = link_components(classes, percent)
-    members = sets.where("grams IS NOT NULL").groupBy("n", "sum", "xor").agg(F.min("key").alias("rep"))
-    labelled = members.join(found.withColumnRenamed("node", "rep"), "rep", "left").select("n", "sum", "xor", F.coalesce("component", "rep").alias("component"))
-    out = sets.select("key", "n", "sum", "xor").join(labelled, ["n", "sum", "xor"], "left")
-    # rows that share a key share a component
-    return out.select("key", F.col("n").alias("n_shingles"), F.when((F.col("n") > 0) & F.col("key").isNotNull(), F.least(F.coalesce("component", "key"), "key")).otherwise(F.col("key")).alias("component"))
+    sets = dealt.groupBy(block).cogroup(told.groupBy("block")).applyInArrow(B.paired(s.sets), "key bigint, row bigint, n bigint, sum bigint, xor bigint, grams array<bigint>")
+    sets = B.written(sets.withColumn("rep", F.when(F.col("grams").isNotNull(), F.xxhash64("n", "sum", "xor"))).drop("sum", "xor"))
+    found = link_components(B.written(ordered(sets, percent)), percent)
+    members = sets.where("rep IS NOT NULL").groupBy("rep").agg(F.min("key").alias("key"))
+    grouped = members.join(found.withColumnRenamed("node", "rep"), "rep", "left").select("rep", "key", F.coalesce("component", "rep").alias("group"))
+    least = grouped.groupBy("group").agg(F.min("key").alias("component"))
+    labelled = grouped.select("rep", "group").join(least, "group")
+    out = sets.select("key", "row", "n", "rep").join(labelled, "rep", "left")
+    return out.select("key", "row", F.col("n").alias("n_shingles"), F.coalesce("component", "key").alias("component"), "group")
+
+
+def one_of_each(docs: DataFrame, key: str = "doc_id", text: str = "text", n: int = N, percent: int = PERCENT) -> DataFrame:
+    """``docs`` with one row of each component, the one of the least key (and least
+    hash of its text); rows without a key stay."""
+    found = B.kept(join(docs, key, text, n, percent).where(F.col("group").isNotNull()).select("key", "row", "group"))
+    best = found.groupBy("group").agg(F.min(F.struct("key", "row")).alias("best"))
+    others = found.join(best, "group").where(F.struct("key", "row") != F.col("best")).select("key", "row").distinct()
+    number, place = B.fresh(docs, "row"), B.fresh(docs, "place")
+    others = others.select(F.col("key").alias(B.fresh(docs, "key_of")), F.col("row").alias(B.fresh(docs, "row_of")))
+    a, b = others.columns
+    marked = docs.withColumn(number, F.xxhash64(text))
+    left = marked.join(others, (F.col(key).cast("long") == F.col(a)) & (F.col(number) == F.col(b)), "left_anti")
+    if found.groupBy("key", "row").count().where("count > 1").limit(1).count():  # a row that occurs twice
+        order = Window.partitionBy(key, number).orderBy(number)
+        left = left.withColumn(place, F.row_number().over(order)).where(F.col(key).isNull() | (F.col(place) == 1)).drop(place)
+    return left.drop(number)
