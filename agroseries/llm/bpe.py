@@ -28,7 +28,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-CACHE_ENTRIES = 400_000  # pre-tokens and cuts that one Python worker remembers, each; then it starts anew
+CACHE_ENTRIES = 250_000  # pre-tokens and cuts that one Python worker remembers, each; then it starts anew
 
 
 class Vocabulary:
@@ -47,7 +47,7 @@ class Vocabulary:
         self.shorter = [self._shorter(t) for t in tokens]
         self.halves: list[tuple[int, int] | None] = [None] * len(tokens)
         self.merged: dict[tuple[int, int], int] = {}
-        self.memo: dict[tuple[int, int], bool] = {}
+        self.memo: dict[int, bool] = {}
         for i, t in enumerate(tokens):
             self._split(i, t)
         self.memo.clear()  # pairs judged while merges were still missing
@@ -72,11 +72,12 @@ class Vocabulary:
 
     def adjacent(self, left: int, right: int) -> bool:
         """Whether BPE can leave these two tokens next to each other."""
-        known = self.memo.get((left, right))
+        pair = left << 32 | right
+        known = self.memo.get(pair)
         if known is None:
-            if len(self.memo) > 2_000_000:
+            if len(self.memo) >= CACHE_ENTRIES:
                 self.memo.clear()
-            known = self.memo[left, right] = self._stays(left, right)
+            known = self.memo[pair] = self._stays(left, right)
         return known
 
     def _stays(self, left: int, right: int) -> bool:
@@ -106,7 +107,7 @@ class Vocabulary:
         known, before = self.memo.get, ids[0]
         for i in range(1, len(ids)):
             token = ids[i]
-            stays = known((before, token))
+            stays = known(before << 32 | token)
             if not (self.adjacent(before, token) if stays is None else stays):
                 return self._walk(piece, latin, ids[:i], token)
             before = token
