@@ -26,7 +26,6 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .functions.columns import norm_code, sentinel_null
-from .operators.broadcast import is_bounded
 
 # --------------------------------------------------------------------------
 # fixed values of the binding (shared with the DuckDB oracle)
@@ -51,24 +50,6 @@ CROSSTAB_VARIABLES = [
 ]
 
 
-def spread(df: DataFrame, *keys: str) -> DataFrame:
-    """Round-robin a scan that yields fewer splits than the cluster has cores.
-
-    A small file with a single row group is read by one task; everything
-    fused after the scan (joins, unpivot, partial aggregation) would run on
-    one core.  Large inputs already have many splits and pass through
-    untouched (the check is planning only, no job).  Hash partitioning on a
-    row key is deterministic on retry without the sort that round-robin needs.
-    """
-    try:  # classic sessions only (Spark Connect has no RDD view): else leave as is
-        par = df.sparkSession.sparkContext.defaultParallelism
-        if df.rdd.getNumPartitions() >= par:
-            return df
-    except Exception:  # noqa: BLE001
-        return df
-    return df.repartition(par, *keys) if keys else df.repartition(par)
-
-
 # driver table schemas (TESTDATA): an explicit schema skips the footer-reading
 # job Spark otherwise runs to infer it on every read
 TABLE_SCHEMAS = {
@@ -91,15 +72,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.schema(schema).parquet(path) if schema else spark.read.parquet(path)
 
 
-def site_lat(key) -> F.Column:
-    return F.round(F.lit(-22.5) - key.cast("double") * F.lit(0.17), 2)
-
-
-def site_lon(key) -> F.Column:
-    return F.lit(-48.0) - ((key * 7) % 25).cast("double") * F.lit(0.25)
-
-
-# the same expressions as SQL text (one JVM parse instead of a call per operator)
 SITE_LAT_SQL = "round(-22.5D - CAST({k} AS DOUBLE) * 0.17D, 2)"
 SITE_LON_SQL = "-48.0D - CAST((({k} * 7) % 25) AS DOUBLE) * 0.25D"
 
@@ -116,49 +88,28 @@ def _nation_sites(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def sites(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """SITE: site_id, name, region_id, region, lat, lon (nation 24 absent)."""
+    """SITE: site_id, name, region_id, region, lat, lon."""
     r = table(spark, sf_dir, "region").select(
         F.col("r_regionkey").alias("region_id"), F.col("r_name").alias("region"))
-    s = _nation_sites(spark, sf_dir).filter(F.col("n_nationkey") != DROPPED_NATION)
+    s = _nation_sites(spark, sf_dir)
     return (s.join(F.broadcast(r), "region_id", "left")
              .select("site_id", "name", "region_id", "region", "lat", "lon"))
 
 
-def _supplier_sites(spark: SparkSession, sf_dir: str) -> DataFrame:
-    sup = table(spark, sf_dir, "supplier").select("s_suppkey", "s_nationkey")
-    ns = _nation_sites(spark, sf_dir)
-    return (sup.join(F.broadcast(ns), sup.s_nationkey == ns.n_nationkey)
-               .select("s_suppkey", "site_id", "name", "lat", "lon"))
-
-
-SUPPLIER_BROADCAST_ROWS = 1_000_000
-_BOUND_CACHE: dict[str, bool] = {}
-
-
-def _supplier_bounded(spark: SparkSession, sf_dir: str) -> bool:
-    """Bounded probe of the supplier scan, once per input folder."""
-    if sf_dir not in _BOUND_CACHE:
-        _BOUND_CACHE[sf_dir] = is_bounded(table(spark, sf_dir, "supplier").select("s_suppkey"),
-                                          SUPPLIER_BROADCAST_ROWS)
-    return _BOUND_CACHE[sf_dir]
-
-
 def _lines_with_site(spark: SparkSession, sf_dir: str, cols) -> DataFrame:
     """Line rows with their site.
 
-    The supplier dimension is broadcast only when a bounded probe of the
-    base supplier scan (at most ``SUPPLIER_BROADCAST_ROWS + 1`` rows read)
-    proves it small.  Without the hint, a small line file can look smaller
-    than the un-estimable supplier⋈nation side and get broadcast itself,
-    leaving the whole probe to the single supplier task.  Beyond the bound
-    no hint is given and AQE plans a sort-merge join with skew splitting.
+    The supplier's key pair is read straight from its files, so Spark knows its
+    size in bytes and broadcasts it below its own threshold only; beyond it the
+    join is a sort-merge join that AQE splits at hot suppliers.  Nations are 25
+    rows by specification.
     """
-    li = spread(table(spark, sf_dir, "lineitem").select("l_orderkey", "l_suppkey", *cols), "l_orderkey")
-    sup = _supplier_sites(spark, sf_dir)
-    if _supplier_bounded(spark, sf_dir):
-        sup = F.broadcast(sup)
-    return (li.join(sup, li.l_suppkey == F.col("s_suppkey"))
-              .drop("l_orderkey", "l_suppkey", "s_suppkey"))
+    lines = table(spark, sf_dir, "lineitem").select("l_suppkey", *cols)
+    suppliers = table(spark, sf_dir, "supplier").select("s_suppkey", "s_nationkey")
+    ns = _nation_sites(spark, sf_dir).select("n_nationkey", "site_id", "name", "lat", "lon")
+    return (lines.join(suppliers, F.col("l_suppkey") == F.col("s_suppkey"))
+                 .join(F.broadcast(ns), F.col("s_nationkey") == F.col("n_nationkey"))
+                 .drop("l_suppkey", "s_suppkey", "s_nationkey", "n_nationkey"))
 
 
 def daily_raw(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -220,7 +171,7 @@ def crosstab(spark: SparkSession, sf_dir: str, variable: int, years) -> DataFram
     """Raw crosstab text for one variable: code, name, one column per year.
 
     One row per line item (code = order-part-supplier key, name =
-    ``L<line number>``; together unique in the line table); the
+    ``L<line number>``; where two lines share both, their cells add up); the
     cell of its ship year holds the value as text or a dirty marker, the other
     year cells are blank.  Built with projections only (no shuffle).
     """
@@ -232,18 +183,10 @@ def crosstab(spark: SparkSession, sf_dir: str, variable: int, years) -> DataFram
              .when(ln == dots_line, F.lit(".."))
              .otherwise(F.col(col).cast("string")))
     yr = F.year("l_shipdate")
+    code = F.concat_ws("-", "l_orderkey", "l_partkey", "l_suppkey")
+    known = yr.isNull() | yr.isin([int(y) for y in years])
     return li.select(
-        F.concat_ws("-", "l_orderkey", "l_partkey", "l_suppkey").alias("code"),
+        F.when(known, code).otherwise(F.raise_error(F.lit("a line was shipped in a year that has no column"))).alias("code"),
         F.concat(F.lit("L"), ln.cast("string")).alias("name"),
         *[F.when(yr == y, text).alias(str(y)) for y in years],
     )
-
-
-def line_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Scored binary sample for ROC/AUC: label = returned, scores from lines."""
-    li = table(spark, sf_dir, "lineitem")
-    return li.select(
-        F.col("l_orderkey"), F.col("l_linenumber"),
-        (F.col("l_returnflag") == "R").cast("int").alias("label"),
-        F.col("l_discount").alias("score"),
-    )

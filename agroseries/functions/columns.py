@@ -5,6 +5,10 @@ Each function returns an expression that stays inside whole-stage codegen.
 
 from __future__ import annotations
 
+import json
+import unicodedata
+from functools import lru_cache
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -13,9 +17,10 @@ from pyspark.sql import functions as F
 # --------------------------------------------------------------------------
 MISSING_SENTINEL = -999.0
 CODE_WIDTH = 7
-# accent folding for Latin letters: plain text, natural order, one to one
-ACCENTED = "ÀÁÂÃÄÅàáâãäåÈÉÊËèéêëÌÍÎÏìíîïÒÓÔÕÖòóôõöÙÚÛÜùúûüÇçÑñÝýÿ"
-UNACCENTED = "AAAAAAaaaaaaEEEEeeeeIIIIiiiiOOOOOoooooUUUUuuuuCcNnYyy"
+LONE_DASH = r"^\s*-\s*$"
+NUMBER = r"^\s*[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?\s*$"
+TITLE = r"[Vv]ariável\s*-\s*(.+)"
+UNSAFE = r"[^\w\-]"
 # correlation strength thresholds (strictly greater than)
 STRONG_R = 0.7
 MODERATE_R = 0.4
@@ -84,7 +89,6 @@ def cast_year(c) -> Column:
 
 
 # --- P10: feature names -------------------------------------------------------
-FEATURE_RE = r"^(.*)_dec([0-9]+)_ano([0-9]+)"
 
 
 def feature_name(param, dekad, rel_year) -> Column:
@@ -109,8 +113,8 @@ def parse_feature_name(c) -> Column:
     s = _c(c)
     return F.struct(
         F.regexp_extract(s, r"^(.*)_dec", 1).alias("param"),
-        F.regexp_extract(s, r"dec([0-9]+)", 1).cast("int").alias("dekad"),
-        F.regexp_extract(s, r"ano([0-9]+)", 1).cast("int").alias("rel_year"),
+        F.regexp_extract(s, r"dec(\d+)", 1).cast("int").alias("dekad"),
+        F.regexp_extract(s, r"ano(\d+)", 1).cast("int").alias("rel_year"),
     )
 
 
@@ -126,11 +130,41 @@ def iso_date(c) -> Column:
 
 
 # --- X3: ASCII-safe names --------------------------------------------------------
+@lru_cache(maxsize=1)
+def ascii_folds() -> tuple[str, str, tuple[tuple[str, str], ...]]:
+    """The ASCII part of every character's compatibility decomposition (NFKD):
+    characters that become one letter, these letters, and the others."""
+    one, letters, more = [], [], []
+    for point in range(0x80, 0x110000):
+        if 0xD800 <= point < 0xE000:
+            continue
+        c = chr(point)
+        part = unicodedata.normalize("NFKD", c).encode("ascii", "ignore").decode()
+        if len(part) == 1 and point < 0x10000:
+            one.append(c)
+            letters.append(part)
+        elif part:
+            more.append((c, part))
+    return "".join(one), "".join(letters), tuple(more)
+
+
 def ascii_safe(c) -> Column:
-    """Fold accents, drop other non-ASCII, non-word characters → ``_``."""
-    folded = F.translate(_c(c), ACCENTED, UNACCENTED)
-    ascii_only = F.regexp_replace(folded, r"[^\x00-\x7F]", "")
-    return F.regexp_replace(ascii_only, r"[^A-Za-z0-9_\-]", "_")
+    """NFKD, drop what is not ASCII, other non-word characters → ``_``."""
+    one, letters, more = ascii_folds()
+    folded = F.translate(_c(c), one, letters)
+
+    def spelled(text, pairs):
+        # one literal; a call to the JVM for each pair would take seconds
+        steps = F.from_json(F.lit(json.dumps([{"a": a, "b": b} for a, b in pairs])), "array<struct<a:string,b:string>>")
+        return F.aggregate(steps, text, lambda t, p: F.replace(t, p["a"], p["b"]))
+
+    # few texts hold a character that becomes several letters: one pass finds them
+    near = [x for x in more if ord(x[0]) < 0x10000]
+    found = F.length(F.translate(folded, "".join(a for a, _ in near), "")) < F.length(folded)
+    full = F.when(found, spelled(folded, near)).otherwise(folded)
+    full = F.when(folded.rlike(r"[\x{10000}-\x{10FFFF}]"), spelled(full, [x for x in more if ord(x[0]) >= 0x10000])).otherwise(full)
+    full = F.when(_c(c).rlike(r"[^\x00-\x7F]"), F.regexp_replace(full, r"[^\x00-\x7F]", "")).otherwise(_c(c))
+    return F.regexp_replace(full, UNSAFE, "_")
 
 
 # --- X4 / X5 / X6: cleaning ------------------------------------------------------
@@ -144,16 +178,17 @@ def sentinel_null(c, sentinel: float = MISSING_SENTINEL) -> Column:
 
 
 def clean_number(c, missing_as_zero: bool = True) -> Column:
-    """A lone dash → 0; anything non-numeric (``..``, text) → NULL → 0."""
+    """A lone dash → 0; anything that is no plain number (``..``, ``NaN``,
+    ``1d``, text) → NULL → 0."""
     s = _c(c).cast("string")
-    num = F.when(s.rlike(r"^\s*-\s*$"), F.lit(0.0)).otherwise(F.trim(s).try_cast("double"))
+    num = F.when(s.rlike(LONE_DASH), F.lit(0.0)).when(s.rlike(NUMBER), F.trim(s).try_cast("double"))
     return F.coalesce(num, F.lit(0.0)) if missing_as_zero else num
 
 
 def variable_from_title(c) -> Column:
     """Text after ``Variável -`` in a sheet title; the raw text if absent."""
     t = F.trim(_c(c))
-    got = F.trim(F.regexp_extract(t, r"[Vv]ariável\s*-\s*(.+)", 1))
+    got = F.trim(F.regexp_extract(t, TITLE, 1))
     return F.when(got == "", t).otherwise(got)
 
 
@@ -183,11 +218,6 @@ def short_metric(c) -> Column:
     return F.trim(F.split(_c(c), r"\(").getItem(0))
 
 
-def clip(c, lo: float, hi: float) -> Column:
-    """X11."""
-    return F.least(F.greatest(_c(c), F.lit(lo)), F.lit(hi))
-
-
 # --- T3 / T4: guarded statistics -----------------------------------------------
 def safe_div(a, b) -> Column:
     """T4: x/0 → NULL under ANSI, no exception."""

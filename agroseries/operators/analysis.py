@@ -105,19 +105,6 @@ def period_order(rel="rel_year", dek="dekad36"):
     return F.when(F.col(rel) == 1, F.col(dek) - WINDOW_Y1[0]).otherwise(F.lit(11) + F.col(dek) - 1)
 
 
-def season_heatmap(season: DataFrame, panel: DataFrame, metric: str, params=None) -> DataFrame:
-    """M3: M1 restricted to the exact window (and chosen parameters), long with period order."""
-    s = season.filter(window_exact())
-    if params is not None:
-        if isinstance(params, DataFrame):
-            s = s.join(params.select("param").distinct(), "param", "left_semi")
-        else:
-            s = s.filter(F.col("param").isin(list(params)))
-    c = climate_correlations(s, panel, metric)
-    return c.select("param", "rel_year", "dekad36", period_label().alias("period"),
-                    period_order().alias("period_order"), "r")
-
-
 def heatmap_from_corr(corr: DataFrame, params=None) -> DataFrame:
     """M3 from already computed M1 rows: each feature's r depends on its own
     pairs only, so the heatmap is the exact-window rows of the chosen
@@ -196,11 +183,6 @@ def rank_sites(panel: DataFrame, n: int = 5, metrics=RANK_METRICS) -> DataFrame:
     return long.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= n)
 
 
-def restrict_to_top(panel: DataFrame, top: DataFrame, key: str = "name") -> DataFrame:
-    """Semi-join the panel to a top list."""
-    return panel.join(top.select(key).distinct(), key, "left_semi")
-
-
 def site_trajectories(panel: DataFrame, ranked: DataFrame) -> DataFrame:
     """Yearly value of each ranked site for its metric, ordered."""
     metrics = [r for r in RANK_METRICS if r in panel.columns]

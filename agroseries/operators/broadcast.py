@@ -1,15 +1,12 @@
 """Broadcast policy.
 
-* Sides whose size is bounded **by construction** (k centroids × dims, one
-  row per feature of a fixed schema, classes × buckets, the attribute
-  dictionary) are hinted with ``bounded``; the bound is stated at the call.
-* Sides derived from data (site-years, per-site aggregates) are never hinted:
-  AQE measures the materialised shuffle stage and converts the join to a
-  broadcast only below ``spark.sql.adaptive.autoBroadcastJoinThreshold``;
-  above it, a sort-merge join with skew-partition splitting runs.
-* ``broadcast_if_bounded`` is for small external inputs handed in by a
-  caller: it reads at most ``max_rows + 1`` rows (``limit`` stops the scan)
-  before hinting.  It runs a job, so it is not used on derived plans.
+* Sides bounded **by construction** (one row per feature of a fixed schema, one row
+  per class, the attribute dictionary) are hinted with ``bounded``; the bound is
+  stated at the call.
+* Sides derived from data (site-years, per-site aggregates, edges, suppliers) are
+  never hinted: Spark broadcasts them only below its own byte threshold, measured
+  from the files or the finished shuffle; above it, a sort-merge join with
+  skew-partition splitting runs.
 """
 
 from __future__ import annotations
@@ -17,17 +14,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-DEFAULT_MAX_ROWS = 200_000
-
 
 def bounded(df: DataFrame) -> DataFrame:
     """Broadcast a side whose row count is bounded by construction."""
     return F.broadcast(df)
-
-
-def is_bounded(df: DataFrame, max_rows: int = DEFAULT_MAX_ROWS) -> bool:
-    return df.limit(max_rows + 1).count() <= max_rows
-
-
-def broadcast_if_bounded(df: DataFrame, max_rows: int = DEFAULT_MAX_ROWS) -> DataFrame:
-    return F.broadcast(df) if is_bounded(df, max_rows) else df

@@ -36,7 +36,7 @@ def rule_of(param) -> Column:
 
     precipitation without "prob" → sum; "count" → sum; precipitation with
     "prob" → mean; "max" → max; "min" → min; "range" → max − min; else mean.
-    A name matching several rules takes the first (D6; see ``ambiguous_params``).
+    A name matching several rules takes the first (D6).
     """
     if isinstance(param, str):
         return F.expr(RULE_SQL.format(p=f"`{param}`"))
@@ -59,13 +59,6 @@ def rule_matches(param) -> Column:
     return sum(f.cast("int") for f in fams)
 
 
-def ambiguous_params(daily: DataFrame) -> DataFrame:
-    """Distinct parameter names that match more than one rule family."""
-    return (daily.select("param").distinct()
-                 .withColumn("rules", rule_matches("param"))
-                 .filter(F.col("rules") > 1))
-
-
 def dekad_aggregate(daily: DataFrame) -> DataFrame:
     """A1: daily long rows → one value per (site, name, lat, lon, year, month, dekad, param).
 
@@ -164,22 +157,10 @@ def window_exact(rel="rel_year", dek="dekad36") -> Column:
     return (((r == 1) & d.between(*WINDOW_Y1)) | ((r == 2) & d.between(*WINDOW_Y2)))
 
 
-def window_substring(param="param", rel="rel_year", dek="dekad36") -> Column:
-    """The reference tests substrings of the wide column name, so
-    ``dec1``/``dec2``/``dec3`` also match ``dec10``…``dec36`` in year 2."""
-    name = feature_name(param, dek, rel)
-    y1 = [f"dec{i}" for i in range(WINDOW_Y1[0], WINDOW_Y1[1] + 1)]
-    y2 = [f"dec{i}" for i in range(WINDOW_Y2[0], WINDOW_Y2[1] + 1)]
-
-    def any_of(tokens):
-        out = None
-        for t in tokens:
-            c = name.contains(t)
-            out = c if out is None else (out | c)
-        return out
-
-    return name.contains("dec") & ((name.contains("ano1") & any_of(y1))
-                                   | (name.contains("ano2") & any_of(y2)))
+def window_substring(rel="rel_year", dek="dekad36") -> Column:
+    """The substring form of the window keeps more of year 2: the names of its
+    first three dekads are parts of others, and with them every later one."""
+    return F.expr(f"(`{rel}` = 1 AND `{dek}` BETWEEN {WINDOW_Y1[0]} AND {WINDOW_Y1[1]}) OR `{rel}` = 2")
 
 
 def season_window(season: DataFrame, exact: bool = True) -> DataFrame:

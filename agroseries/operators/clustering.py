@@ -26,9 +26,14 @@ EPS = 1e-9
 
 
 def n_components(explained, target: float = VARIANCE_TARGET, minimum: int = MIN_COMPONENTS) -> int:
-    """Smallest count reaching ``target`` cumulative variance, at least ``minimum``."""
-    cum = np.cumsum(np.asarray(explained, dtype=float))
-    return max(int(np.searchsorted(cum, target)) + 1, minimum)
+    """A component counts while those before it explain less than ``target``; at
+    least ``minimum`` do."""
+    before, n = 0.0, 0
+    for share in explained:
+        if before >= target:
+            break
+        before, n = before + float(share), n + 1
+    return max(n, minimum)
 
 
 def pca_reduce(vectors: DataFrame, target: float = VARIANCE_TARGET, minimum: int = MIN_COMPONENTS,
@@ -92,37 +97,41 @@ def inverse_distance_scores(df: DataFrame, mapping: dict[int, int], k: int,
                             dist: str = "dist", out: str = "scores") -> DataFrame:
     """Column j of the output is the score of aligned class j.
 
-    raw cluster r feeds aligned column ``mapping[r]``; scores are
-    1/(d + 1e-9) normalised to sum 1 (an inverse-distance weighting).
+    Scores are 1/(d + 1e-9) normalised to sum 1 (an inverse-distance weighting); a
+    class that no cluster is aligned with counts as at distance 0.
     """
-    inv_by_col = {}
-    for raw, aligned in mapping.items():
-        inv_by_col[aligned] = F.lit(1.0) / (F.col(dist)[raw] + F.lit(EPS))
-    inv = [inv_by_col.get(j, F.lit(1.0) / F.lit(EPS)) for j in range(k)]
-    total = sum(inv[1:], inv[0])
-    return df.withColumn(out, F.array(*[v / total for v in inv]))
-
-
-# --- long form: distances to fixed centroids (scales with the point table) ---
-def centroids_long(points_long: DataFrame, label: str = "label") -> DataFrame:
-    """Mean per (label, pos): k × dims rows."""
-    return points_long.groupBy(label, "pos").agg(F.avg("v").alias("c"))
-
-
-def explode_vectors(df: DataFrame, id_col: str, vec: str) -> DataFrame:
-    return df.select(id_col, *[c for c in df.columns if c not in (id_col, vec)],
-                     F.posexplode(vec).alias("pos", "v"))
-
-
-def inverse_distance_long(points_long: DataFrame, cents: DataFrame, id_col: str,
-                          label: str = "label") -> DataFrame:
-    """(id, cls, dist, score): inverse-distance scores against fixed centroids.
-
-    The centroid table (k × dims) is broadcast after a size check; the
-    per-point normalisation is a window over the point's k rows.
-    """
-    c = cents.select(F.col(label).alias("cls"), "pos", "c")
-    j = points_long.select(id_col, "pos", "v").join(bounded(c), "pos")  # k × dims rows
-    d = j.groupBy(id_col, "cls").agg(F.sqrt(F.sum((F.col("v") - F.col("c")) ** 2)).alias("dist"))
-    inv = F.lit(1.0) / (F.col("dist") + F.lit(EPS))
-    return d.withColumn("score", inv / F.sum(inv).over(Window.partitionBy(id_col)))
+    from_class = {aligned: raw for raw, aligned in mapping.items()}
+    near = F.array(*[F.get(dist, F.lit(from_class[j])) if j in from_class else F.lit(0.0) for j in range(k)])
+    inverse = F.transform(near, lambda d: 1.0 / (d + EPS))
+    total = F.aggregate(inverse, F.lit(0.0), lambda a, b: a + b)
+    return df.withColumn(out, F.transform(inverse, lambda v: v / total))
+
+
+# --- vectors as arrays: distances to few centroids, in the row ---
+MAX_CENTROID_VALUES = 1_000_000
+
+
+def label_centroids(points: DataFrame, vec: str, label: str = "label") -> list[tuple[int, list[float]]]:
+    """Mean vector of each label, on the driver after a check of the number of
+    labels times the longest vector."""
+    size = points.agg(F.count_distinct(label).alias("k"), F.max(F.size(vec)).alias("d")).first()
+    if (size["k"] or 0) * (size["d"] or 0) > MAX_CENTROID_VALUES:
+        raise ValueError(f"more than {MAX_CENTROID_VALUES} values of centroids")
+    long = points.where(F.col(label).isNotNull()).select(label, F.posexplode(vec).alias("pos", "v"))
+    means = long.groupBy(label, "pos").agg(F.avg("v").alias("c"))
+    rows = means.groupBy(label).agg(F.sort_array(F.collect_list(F.struct("pos", "c"))).alias("c")).orderBy(label).collect()
+    return [(r[label], [x["c"] for x in r["c"]]) for r in rows]
+
+
+def inverse_distance_rows(points: DataFrame, vec: str, centroids: list[tuple[int, list[float]]], keep: list[str]) -> DataFrame:
+    """``keep``, cls, dist, score per point and centroid: distances and the
+    normalisation are computed inside the point's row, nothing is shuffled."""
+    def distance(center):
+        return F.sqrt(F.aggregate(F.zip_with(vec, F.array(*[F.lit(float(v)) for v in center]), lambda a, b: (a - b) * (a - b)), F.lit(0.0), lambda s, v: s + v))
+
+    near = F.array(*[F.struct(F.lit(label).alias("cls"), distance(center).alias("dist")) for label, center in centroids])
+    inverse = lambda x: 1.0 / (x["dist"] + EPS)
+    total = F.aggregate("_near", F.lit(0.0), lambda s, x: s + inverse(x))
+    d = points.withColumn("_near", near).withColumn("_total", total)
+    d = d.select(*keep, "_total", F.explode("_near").alias("_x"))
+    return d.select(*keep, "_x.cls", "_x.dist", (1.0 / (F.col("_x.dist") + EPS) / F.col("_total")).alias("score"))

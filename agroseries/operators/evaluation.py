@@ -2,24 +2,19 @@
 
 Inputs are long tables of (y_true, y_pred) or (y_true, class, score).  All
 per-class quantities come from one exploded aggregate, so a frequent class
-is combined map-side.  Exact AUC and ROC need, for every distinct score, the
-number of negatives/positives below it: scores are first aggregated per
-(class, score), then prefix sums run inside score buckets (bounded slices
-chosen from approximate quantiles — only the bucketing is approximate) plus
-a small per-bucket offset table.  No global window puts all rows in a task.
+is combined map-side.  Exact AUC, ROC and quartiles need sums over all lesser
+values: values are counted and summed by ranges (``operators/ranges.py``), so no
+window and no buffer holds a whole class.
 """
 
 from __future__ import annotations
 
-import itertools
-
-from pyspark.ml.feature import Bucketizer
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .broadcast import bounded
+from .ranges import prefix_sums, quantiles
 
-MAX_ALIGN_K = 8
+MAX_LABELS = 200  # alignment and its k × k table are a driver-side step
 
 
 # --- A10 / A11 ---------------------------------------------------------------------
@@ -32,18 +27,16 @@ def class_distribution(df: DataFrame, col: str = "y_true") -> DataFrame:
 def box_stats(df: DataFrame, by: str, col: str) -> DataFrame:
     """Quartiles, 1.5·IQR whiskers (clamped to data) and outlier counts per group.
 
-    Exact quartiles per group (one aggregation buffer per group: groups are
-    classes, values are sites).  Whiskers are the extreme data points inside
-    the fences, found with a second conditional aggregate.
+    Whiskers are the extreme data points inside the fences, found with a second
+    conditional aggregate.
     """
-    q = df.groupBy(by).agg(
-        F.percentile(col, [0.25, 0.5, 0.75]).alias("_q"), F.count(col).alias("n"),
-        F.min(col).alias("min"), F.max(col).alias("max"))
+    q = quantiles(df, [by], col, [0.25, 0.5, 0.75]).withColumnRenamed("q", "_q")
+    q = q.join(df.groupBy(by).agg(F.count(col).alias("n"), F.min(col).alias("min"), F.max(col).alias("max")), by)
     q = q.select(by, "n", "min", "max", F.col("_q")[0].alias("q1"), F.col("_q")[1].alias("median"),
                  F.col("_q")[2].alias("q3"))
     q = q.withColumn("iqr", F.col("q3") - F.col("q1")).withColumns({
         "lo_fence": F.col("q1") - 1.5 * F.col("iqr"), "hi_fence": F.col("q3") + 1.5 * F.col("iqr")})
-    j = df.select(by, F.col(col).alias("_v")).join(bounded(q.select(by, "lo_fence", "hi_fence")), by)  # one row per class
+    j = df.select(by, F.col(col).alias("_v")).join(q.select(by, "lo_fence", "hi_fence"), by)
     inside = (F.col("_v") >= F.col("lo_fence")) & (F.col("_v") <= F.col("hi_fence"))
     w = j.groupBy(by).agg(
         F.min(F.when(inside, F.col("_v"))).alias("whisker_lo"),
@@ -54,38 +47,84 @@ def box_stats(df: DataFrame, by: str, col: str) -> DataFrame:
 
 # --- M12 / M11 ----------------------------------------------------------------------
 def confusion(df: DataFrame, t: str = "y_true", p: str = "y_pred") -> DataFrame:
-    """Counts per (true, pred) and the row-normalised share (zero cells omitted)."""
-    g = df.groupBy(t, p).agg(F.count(F.lit(1)).alias("n"))
-    return g.withColumn("row_share", F.col("n") / F.sum("n").over(Window.partitionBy(t)))
+    """Counts per (true, pred) of all labels, zeros too, and the share in the
+    true label's row (null where that label never occurs)."""
+    g = df.where(F.col(t).isNotNull() & F.col(p).isNotNull()).groupBy(t, p).agg(F.count(F.lit(1)).alias("n"))
+    labels = g.agg(F.array_union(F.collect_set(t), F.collect_set(p)).alias("l"))  # one row, one entry per label
+    spine = labels.select("l", F.explode("l").alias(t)).select(t, F.explode("l").alias(p))
+    full = spine.join(g, [t, p], "left").withColumn("n", F.coalesce("n", F.lit(0)))
+    return full.withColumn("row_share", F.try_divide("n", F.sum("n").over(Window.partitionBy(t))))
+
+
+def assignment(weight: list[list[int]]) -> list[int]:
+    """The column of each row in a one-to-one assignment of greatest weight, by
+    growing alternating trees from one row after the other."""
+    k = len(weight)
+    top = max((w for row in weight for w in row), default=0)
+    row_price, column_price, owner = [0] * k, [0] * (k + 1), [-1] * (k + 1)
+    for start in range(k):
+        owner[k], at = start, k
+        slack, back, done = [float("inf")] * k, [k] * k, [False] * (k + 1)
+        while owner[at] != -1:
+            done[at] = True
+            row, step, best = owner[at], float("inf"), -1
+            for c in range(k):
+                if not done[c]:
+                    gap = top - weight[row][c] - row_price[row] - column_price[c]
+                    if gap < slack[c]:
+                        slack[c], back[c] = gap, at
+                    if slack[c] < step:
+                        step, best = slack[c], c
+            for c in range(k + 1):
+                if done[c]:
+                    row_price[owner[c]] += step
+                    column_price[c] -= step
+                elif c < k:
+                    slack[c] -= step
+            at = best
+        while at != k:
+            owner[at], at = owner[back[at]], back[at]
+    out = [0] * k
+    for c in range(k):
+        out[owner[c]] = c
+    return out
 
 
 def best_alignment(counts: dict[tuple[int, int], int], labels: list[int]) -> dict[int, int]:
-    """M11 on a k×k table: mapping pred → true maximising the diagonal.
-
-    All k! permutations are scored (k ≤ 8); ties go to the lexically smallest
-    permutation.  The table has k² entries, so it is a driver-side step.
-    """
+    """M11 on a k×k table: mapping pred → true maximising the diagonal; of equal
+    mappings the one whose true labels come first in order."""
     k = len(labels)
-    if k > MAX_ALIGN_K:
-        raise ValueError(f"alignment by enumeration is limited to k ≤ {MAX_ALIGN_K}")
-    best, best_perm = None, None
-    for perm in itertools.permutations(labels):
-        score = sum(counts.get((perm[i], labels[i]), 0) for i in range(k))
-        if best is None or score > best:
-            best, best_perm = score, perm
-    return {labels[i]: best_perm[i] for i in range(k)}
+    weight = [[counts.get((t, p), 0) for t in labels] for p in labels]
+    total = lambda w: sum(w[i][c] for i, c in enumerate(assignment(w)))
+    best, bonus = total(weight), k + 1
+    scaled = [[bonus * n for n in row] for row in weight]
+    for i in range(k):  # fix one row after the other to its first label that costs nothing
+        for c in range(k):
+            tried = [list(row) for row in scaled]
+            tried[i][c] += 1
+            if total(tried) == bonus * best + i + 1:
+                scaled = tried
+                break
+    return {labels[i]: labels[c] for i, c in enumerate(assignment(scaled))}
 
 
 def align_labels(df: DataFrame, t: str = "y_true", p: str = "y_pred", out: str = "y_aligned",
                  labels: list[int] | None = None) -> DataFrame:
-    """Remap predicted labels with the best permutation."""
-    rows = df.groupBy(t, p).agg(F.count(F.lit(1)).alias("n")).collect()
+    """Remap predicted labels with the best one-to-one mapping; a missing
+    label has no part in it and stays missing."""
+    g = df.where(F.col(t).isNotNull() & F.col(p).isNotNull()).groupBy(t, p).agg(F.count(F.lit(1)).alias("n"))
+    most = MAX_LABELS * MAX_LABELS
+    rows = g.limit(most + 1).collect()
     counts = {(r[t], r[p]): r["n"] for r in rows}
     if labels is None:
         labels = sorted({a for a, _ in counts} | {b for _, b in counts})
+    if len(rows) > most or len(labels) > MAX_LABELS:
+        raise ValueError(f"more than {MAX_LABELS} labels to align")
     mapping = best_alignment(counts, labels)
+    if not mapping:
+        return df.withColumn(out, F.lit(None).cast("int"))
     m = F.create_map(*[F.lit(x) for kv in mapping.items() for x in kv])
-    return df.withColumn(out, m[F.col(p)].cast("int"))
+    return df.withColumn(out, F.try_element_at(m, F.col(p)).cast("int"))
 
 
 # --- M13 / M14 / M18 ------------------------------------------------------------------
@@ -157,50 +196,16 @@ def _score_counts(scored: DataFrame, t: str, c: str, s: str) -> DataFrame:
                   .agg(F.sum(pos).alias("pos"), F.sum(1 - pos).alias("neg")))
 
 
-def _bucket_splits(sc: DataFrame, n_buckets: int) -> list[float]:
-    if n_buckets <= 1:
-        return [float("-inf"), float("inf")]
-    probs = [i / n_buckets for i in range(1, n_buckets)]
-    qs = sc.approxQuantile("score", probs, 0.001)
-    inner = sorted(set(q for q in qs if q is not None))
-    return [float("-inf")] + inner + [float("inf")]
+def score_prefix(scored: DataFrame, t: str = "y_true", c: str = "cls", s: str = "score") -> DataFrame:
+    """(cls, score, pos, neg, pos_lt, neg_lt, P, N): counts strictly below each score;
+    the counts are stored once, in ranges of (cls, score)."""
+    out = prefix_sums(_score_counts(scored, t, c, s), ["cls"], "score", ["pos", "neg"])
+    return out.withColumnsRenamed({"pos_all": "P", "neg_all": "N"})
 
 
-def score_prefix(scored: DataFrame, t: str = "y_true", c: str = "cls", s: str = "score",
-                 rows_per_bucket: int = 1_000_000) -> DataFrame:
-    """(cls, score, pos, neg, pos_lt, neg_lt, P, N): counts strictly below each score.
-
-    Buckets come from approximate score quantiles; within a bucket a window
-    orders that bucket's distinct scores; bucket offsets are prefix sums over
-    the (class, bucket) totals, a table of classes × buckets rows.
-    """
-    sc = _score_counts(scored, t, c, s)
-    n_scores = sc.count()
-    n_buckets = max(1, min(10_000, n_scores // rows_per_bucket + 1))
-    splits = _bucket_splits(sc, n_buckets)
-    if len(splits) > 2:
-        b = Bucketizer(splits=splits, inputCol="score", outputCol="bucket", handleInvalid="keep").transform(sc)
-    else:
-        b = sc.withColumn("bucket", F.lit(0.0))
-    w_in = Window.partitionBy("cls", "bucket").orderBy("score").rowsBetween(Window.unboundedPreceding, -1)
-    b = b.withColumns({"pos_in": F.coalesce(F.sum("pos").over(w_in), F.lit(0)),
-                       "neg_in": F.coalesce(F.sum("neg").over(w_in), F.lit(0))})
-    tot = b.groupBy("cls", "bucket").agg(F.sum("pos").alias("bp"), F.sum("neg").alias("bn"))
-    w_b = Window.partitionBy("cls").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
-    w_all = Window.partitionBy("cls")
-    off = tot.select("cls", "bucket",
-                     F.coalesce(F.sum("bp").over(w_b), F.lit(0)).alias("pos_off"),
-                     F.coalesce(F.sum("bn").over(w_b), F.lit(0)).alias("neg_off"),
-                     F.sum("bp").over(w_all).alias("P"), F.sum("bn").over(w_all).alias("N"))
-    out = b.join(bounded(off), ["cls", "bucket"])  # classes × buckets rows
-    return out.select("cls", "score", "pos", "neg",
-                      (F.col("pos_off") + F.col("pos_in")).alias("pos_lt"),
-                      (F.col("neg_off") + F.col("neg_in")).alias("neg_lt"), "P", "N")
-
-
-def auc_ovr(scored: DataFrame, t: str = "y_true", c: str = "cls", s: str = "score", **kw) -> DataFrame:
+def auc_ovr(scored: DataFrame, t: str = "y_true", c: str = "cls", s: str = "score") -> DataFrame:
     """Exact one-vs-rest AUC per class (ties count one half)."""
-    pre = score_prefix(scored, t, c, s, **kw)
+    pre = score_prefix(scored, t, c, s)
     g = pre.groupBy("cls").agg(
         F.sum(F.col("pos") * (F.col("neg_lt") + 0.5 * F.col("neg"))).alias("_num"),
         F.first("P").alias("P"), F.first("N").alias("N"))
@@ -208,29 +213,24 @@ def auc_ovr(scored: DataFrame, t: str = "y_true", c: str = "cls", s: str = "scor
                                   F.col("_num") / (F.col("P") * F.col("N"))).alias("auc"), "P", "N")
 
 
-def roc_points(scored: DataFrame, t: str = "y_true", c: str = "cls", s: str = "score", **kw) -> DataFrame:
-    """(cls, threshold, tpr, fpr) at every distinct score, predicting ``score ≥ threshold``."""
-    pre = score_prefix(scored, t, c, s, **kw)
+def roc_points(scored: DataFrame, t: str = "y_true", c: str = "cls", s: str = "score") -> DataFrame:
+    """(cls, threshold, tpr, fpr) at every distinct score, predicting
+    ``score ≥ threshold``, from the start (threshold +∞, nothing predicted) on."""
+    pre = score_prefix(scored, t, c, s)
     tp = F.col("P") - F.col("pos_lt")
     fp = F.col("N") - F.col("neg_lt")
+    start = pre.groupBy("cls").agg(F.max("P").alias("P"), F.max("N").alias("N")).select(
+        "cls", F.lit(float("inf")).alias("threshold"), F.when(F.col("P") > 0, F.lit(0.0)).alias("tpr"), F.when(F.col("N") > 0, F.lit(0.0)).alias("fpr"))
     return pre.select("cls", F.col("score").alias("threshold"),
                       F.when(F.col("P") > 0, tp / F.col("P")).alias("tpr"),
-                      F.when(F.col("N") > 0, fp / F.col("N")).alias("fpr"))
+                      F.when(F.col("N") > 0, fp / F.col("N")).alias("fpr")).unionByName(start)
 
 
 def youden(roc: DataFrame) -> DataFrame:
     """Threshold maximising TPR − FPR; ties → higher threshold (lower FPR).
 
-    The curve's starting point (threshold +∞, J = 0) wins when no threshold is
-    positive, as the first maximum of the full curve would.
+    The curve's start (threshold +∞, J = 0) wins when no threshold is positive.
     """
-    j = F.col("tpr") - F.col("fpr")
-    best = roc.groupBy("cls").agg(F.max_by(F.struct("threshold", "tpr", "fpr"),
-                                           F.struct(j, F.col("threshold"))).alias("b"),
-                                  F.max(j).alias("j"))
-    pos = F.col("j") > 0
-    return best.select("cls",
-                       F.when(pos, F.col("b.threshold")).otherwise(F.lit(float("inf"))).alias("threshold"),
-                       F.when(pos, F.col("b.tpr")).otherwise(F.lit(0.0)).alias("tpr"),
-                       F.when(pos, F.col("b.fpr")).otherwise(F.lit(0.0)).alias("fpr"),
-                       F.greatest(F.col("j"), F.lit(0.0)).alias("youden_j"))
+    j = F.coalesce(F.col("tpr") - F.col("fpr"), F.lit(0.0))
+    best = roc.groupBy("cls").agg(F.max(F.struct(j.alias("j"), "threshold", "tpr", "fpr")).alias("b"))
+    return best.select("cls", "b.threshold", F.coalesce("b.tpr", F.lit(0.0)).alias("tpr"), F.coalesce("b.fpr", F.lit(0.0)).alias("fpr"), F.col("b.j").alias("youden_j"))

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from ..functions.columns import feature_name
 from ..session import cut_lineage
+from .ranges import quantiles
 from .broadcast import bounded
 
 FEATURE_KEY = ["param", "rel_year", "dekad36"]
@@ -89,8 +90,8 @@ def standardise(long: DataFrame, col: str = "value") -> DataFrame:
 def quartile_edges(df: DataFrame, col: str, q: int = 4) -> list[float]:
     """Exact, linearly interpolated quantile edges (0, 1/q, …, 1); duplicates raise."""
     probs = [i / q for i in range(q + 1)]
-    row = df.agg(F.percentile(col, probs).alias("e")).first()
-    edges = list(row["e"]) if row and row["e"] is not None else []
+    row = quantiles(df.withColumn("_one", F.lit(1)), ["_one"], col, probs).first()
+    edges = list(row["q"]) if row else []
     if len(set(edges)) < len(edges):
         raise DuplicateEdgesError(f"quantile edges are not unique: {edges}")
     return edges

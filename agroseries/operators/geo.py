@@ -19,19 +19,14 @@ from __future__ import annotations
 
 import math
 
-import numpy as np
-import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .broadcast import bounded
-
 GRID_STEP = 0.02
-RBF_SMOOTH = 0.1
-MAX_RBF_STATIONS = 5000
+STATION_BLOCK = 2_000
+STATION_PARTS = 8
 MIN_STATIONS = 3  # strictly more valid coordinates are required
-CLASS_RANGE = (1.0, 4.0)
 
 POINT_T = "array<double>"
 POLYGON_T = "array<array<array<double>>>"
@@ -75,7 +70,6 @@ def valid_coords(df: DataFrame, lat: str = "lat", lon: str = "lon",
 def ring_edges(rings: DataFrame, ring_id: str = "ring_id", seq: str = "seq",
                x: str = "x", y: str = "y") -> DataFrame:
     """Edges (x1, y1, x2, y2) of closed rings given as ordered vertices."""
-    from pyspark.sql import Window
     w = Window.partitionBy(ring_id).orderBy(seq)
     v = rings.select(ring_id, seq, F.col(x).alias("x1"), F.col(y).alias("y1"),
                      F.lead(x).over(w).alias("x2"), F.lead(y).over(w).alias("y2"))
@@ -92,33 +86,33 @@ def point_in_polygon(points: DataFrame, edges: DataFrame, x: str = "x", y: str =
                      n_bands: int = 256) -> DataFrame:
     """Adds ``inside`` (even-odd rule) and ``on_border`` to every point.
 
-    The answer depends on the coordinates only, so distinct (x, y) pairs are
-    tested and joined back.  The edge table (one boundary: bounded, broadcast)
-    is banded on y; each point meets the edges of its band only.  Points with
-    no edge in their band are outside.
+    Edges of one boundary are banded on y and gathered per band; a point meets its
+    band's edges once and folds over them in its row, wherever it is.  Spark chooses
+    how to join from the measured sizes.  Points with no edge in their band are outside.
     """
     ext = edges.agg(F.min(F.least("y1", "y2")).alias("y0"), F.max(F.greatest("y1", "y2")).alias("y1")).first()
+    if ext["y0"] is None:
+        return points.withColumn("inside", F.lit(False)).withColumn("on_border", F.lit(False))
     y0, y1 = float(ext["y0"]), float(ext["y1"])
     band_h = max((y1 - y0) / n_bands, 1e-12)
-    eb = bounded(_bands(edges, y0, band_h))  # edges of one boundary, bounded
-    xy = (points.select(F.col(x).alias("_px"), F.col(y).alias("_py")).dropna().distinct()
-                .withColumn("band", F.floor((F.col("_py") - F.lit(y0)) / band_h).cast("long")))
-    j = xy.join(eb, "band")
-    px, py = F.col("_px"), F.col("_py")
-    x1, y1c, x2, y2 = F.col("x1"), F.col("y1"), F.col("x2"), F.col("y2")
-    straddles = (y1c > py) != (y2 > py)
-    x_cross = x1 + (py - y1c) * (x2 - x1) / (y2 - y1c)
-    crossing = straddles & (px < x_cross)
-    cross = (x2 - x1) * (py - y1c) - (y2 - y1c) * (px - x1)
-    on_seg = ((cross == 0) & (px >= F.least(x1, x2)) & (px <= F.greatest(x1, x2))
-              & (py >= F.least(y1c, y2)) & (py <= F.greatest(y1c, y2)))
-    # a point lies in one band; an edge spanning several bands meets it once
-    g = j.groupBy("_px", "_py").agg(F.sum(crossing.cast("int")).alias("_n"),
-                                    F.max(on_seg.cast("int")).alias("_b"))
-    out = points.join(g, (points[x] == g["_px"]) & (points[y] == g["_py"]), "left")
-    return (out.withColumn("inside", (F.coalesce("_n", F.lit(0)) % 2) == 1)
-               .withColumn("on_border", F.coalesce("_b", F.lit(0)) == 1)
-               .drop("_px", "_py", "_n", "_b"))
+    eb = _bands(edges, y0, band_h).groupBy("band").agg(F.collect_list(F.struct("x1", "y1", "x2", "y2")).alias("_edges"))
+    px, py = F.col(x), F.col(y)
+
+    def crossing(e):
+        straddles = (e["y1"] > py) != (e["y2"] > py)
+        return (straddles & (px < e["x1"] + (py - e["y1"]) * (e["x2"] - e["x1"]) / F.nullif(e["y2"] - e["y1"], F.lit(0.0)))).cast("int")
+
+    def on_segment(e):
+        cross = (e["x2"] - e["x1"]) * (py - e["y1"]) - (e["y2"] - e["y1"]) * (px - e["x1"])
+        return ((cross == 0) & (px >= F.least(e["x1"], e["x2"])) & (px <= F.greatest(e["x1"], e["x2"]))
+                & (py >= F.least(e["y1"], e["y2"])) & (py <= F.greatest(e["y1"], e["y2"])))
+
+    band = F.floor((py - F.lit(y0)) / band_h).cast("long")
+    j = points.withColumn("band", band).join(eb, "band", "left")
+    n = F.aggregate("_edges", F.lit(0), lambda s, e: s + F.coalesce(crossing(e), F.lit(0)))
+    return (j.withColumn("inside", F.coalesce(n % 2 == 1, F.lit(False)))
+             .withColumn("on_border", F.coalesce(F.exists("_edges", on_segment), F.lit(False)))
+             .drop("band", "_edges"))
 
 
 def star_polygon(points: DataFrame, x: str = "lon", y: str = "lat") -> DataFrame:
@@ -127,7 +121,6 @@ def star_polygon(points: DataFrame, x: str = "lon", y: str = "lat") -> DataFrame
     Returns vertices (ring_id, seq, x, y) with the first vertex repeated last.
     The point set is one boundary's vertices (bounded).
     """
-    from pyspark.sql import Window
     m = points.agg(F.avg(x).alias("mx"), F.avg(y).alias("my")).first()
     ang = F.atan2(F.col(y) - F.lit(float(m["my"])), F.col(x) - F.lit(float(m["mx"])))
     w = Window.orderBy(ang, F.col(x), F.col(y))
@@ -170,59 +163,28 @@ def make_grid(spark, bbox, step: float = GRID_STEP) -> DataFrame:
 
 
 # --- G5 ---------------------------------------------------------------------------------
-def idw_surface(grid: DataFrame, stations: list[tuple[float, float, float]], power: float = 2.0,
-                out: str = "z") -> DataFrame:
+def idw_surface(grid: DataFrame, stations: DataFrame, power: float = 2.0, out: str = "z") -> DataFrame:
     """G5 (kernel ``idw``): Σ zᵢ/dᵢᵖ / Σ 1/dᵢᵖ; a cell on a station takes its value.
 
-    The station list (bounded: one boundary's municipalities) is a literal
-    array; each cell reduces over it — no join, no pair table.
+    ``stations`` (lon, lat, z) are dealt into blocks of at most ``STATION_BLOCK``; each
+    cell meets each block once, reduces over it inside its row and the blocks' sums
+    add up, so any number of stations is served and no pair table is made.
     """
-    if len(stations) > MAX_RBF_STATIONS:
-        raise ValueError(f"station list limited to {MAX_RBF_STATIONS}, got {len(stations)}")
-    arr = F.array(*[F.struct(F.lit(float(a)).alias("sx"), F.lit(float(b)).alias("sy"), F.lit(float(c)).alias("sz"))
-                    for a, b, c in stations])
+    block = F.floor((F.row_number().over(Window.partitionBy("_part").orderBy("lon", "lat", "z")) - 1) / STATION_BLOCK)
+    dealt = stations.where("lon IS NOT NULL AND lat IS NOT NULL AND z IS NOT NULL").withColumn("_part", F.pmod(F.xxhash64("lon", "lat"), F.lit(STATION_PARTS)))
+    blocks = dealt.withColumn("_block", block).groupBy("_part", "_block").agg(
+        F.sort_array(F.collect_list(F.struct(F.col("lon").alias("sx"), F.col("lat").alias("sy"), F.col("z").alias("sz")))).alias("_s"))
+    cells = grid.withColumn("_part", F.explode(F.sequence(F.lit(0), F.lit(STATION_PARTS - 1))))
     x, y = F.col("x"), F.col("y")
 
     def d2(s):
         return (x - s["sx"]) * (x - s["sx"]) + (y - s["sy"]) * (y - s["sy"])
 
-    exact = F.filter(arr, lambda s: d2(s) == 0)
-    acc0 = F.struct(F.lit(0.0).alias("num"), F.lit(0.0).alias("den"))
-    tot = F.aggregate(arr, acc0, lambda acc, s: F.struct(
-        (acc["num"] + s["sz"] / F.pow(F.sqrt(d2(s)), power)).alias("num"),
-        (acc["den"] + F.lit(1.0) / F.pow(F.sqrt(d2(s)), power)).alias("den")))
-    z = F.when(F.size(exact) > 0, exact[0]["sz"]).otherwise(tot["num"] / tot["den"])
-    return grid.withColumn(out, z)
-
-
-def rbf_weights(stations: list[tuple[float, float, float]], smooth: float = RBF_SMOOTH):
-    """Multiquadric RBF system: φ(r) = √((r/ε)² + 1), ε = (∏ ranges / N)^(1/2),
-    weights solve (Φ − smooth·I) w = z (SciPy's public definition)."""
-    n = len(stations)
-    if n > MAX_RBF_STATIONS:
-        raise ValueError(f"RBF solve limited to {MAX_RBF_STATIONS} stations, got {n}")
-    xy = np.array([[a, b] for a, b, _ in stations], dtype=float)
-    z = np.array([c for _, _, c in stations], dtype=float)
-    ranges = xy.max(axis=0) - xy.min(axis=0)
-    edges = ranges[ranges > 0]
-    eps = float(np.power(np.prod(edges) / n, 1.0 / edges.size)) if edges.size else 1.0
-    r = np.sqrt(((xy[:, None, :] - xy[None, :, :]) ** 2).sum(-1))
-    phi = np.sqrt((r / eps) ** 2 + 1.0) - np.eye(n) * smooth
-    w = np.linalg.solve(phi, z)
-    return xy, w, eps
-
-
-def rbf_surface(grid: DataFrame, stations: list[tuple[float, float, float]], smooth: float = RBF_SMOOTH,
-                clip_range=CLASS_RANGE, out: str = "z") -> DataFrame:
-    """G5 (kernel ``multiquadric``): evaluate Σ wⱼ φ(‖x − xⱼ‖) per cell, clipped."""
-    xy, w, eps = rbf_weights(stations, smooth)
-    lo, hi = clip_range
-
-    @F.pandas_udf(T.DoubleType())
-    def _eval(x: pd.Series, y: pd.Series) -> pd.Series:
-        px = x.to_numpy()[:, None] - xy[None, :, 0]
-        py = y.to_numpy()[:, None] - xy[None, :, 1]
-        phi = np.sqrt((px * px + py * py) / (eps * eps) + 1.0)
-        return pd.Series(np.clip(phi @ w, lo, hi))
-
-    return grid.withColumn(out, _eval(F.col("x"), F.col("y")))
+    acc0 = F.struct(F.lit(0.0).alias("num"), F.lit(0.0).alias("den"), F.lit(None).cast("double").alias("at"))
+    tot = F.aggregate("_s", acc0, lambda acc, s: F.struct(
+        (acc["num"] + F.when(d2(s) > 0, s["sz"] / F.pow(F.sqrt(d2(s)), power)).otherwise(0.0)).alias("num"),
+        (acc["den"] + F.when(d2(s) > 0, 1.0 / F.pow(F.sqrt(d2(s)), power)).otherwise(0.0)).alias("den"),
+        F.when(d2(s) == 0, F.coalesce(acc["at"], s["sz"])).otherwise(acc["at"]).alias("at")))
+    met = cells.join(blocks, "_part").withColumn("_t", tot)
+    z = F.coalesce(F.min("_t.at"), F.try_divide(F.sum("_t.num"), F.sum("_t.den")))
+    return grid.join(met.groupBy("i", "j").agg(z.alias(out)), ["i", "j"], "left")

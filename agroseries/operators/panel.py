@@ -92,15 +92,14 @@ def slice_year(df: DataFrame, year=None) -> DataFrame:
 
 
 def panel_profile(df: DataFrame) -> DataFrame:
-    """Rows, distinct sites/years/regions/parameters and total nulls in one pass."""
+    """Rows, distinct sites/years/regions/parameters and total nulls.
+
+    One grouped pass combines the rows map-side; the distinct counts then run over
+    the small table of groups.
+    """
     cols = df.columns
-    exprs = [F.count(F.lit(1)).alias("n_rows"),
-             F.countDistinct("site_id").alias("n_sites"),
-             F.countDistinct("year").alias("n_years")]
-    if "region" in cols:
-        exprs.append(F.countDistinct("region").alias("n_regions"))
-    if "param" in cols:
-        exprs.append(F.countDistinct("param").alias("n_params"))
+    dims = [c for c in ("site_id", "year", "region", "param") if c in cols]
     nulls = sum(F.col(f"`{c}`").isNull().cast("long") for c in cols)
-    exprs.append(F.sum(nulls).alias("n_nulls"))
-    return df.agg(*exprs)
+    g = df.groupBy(*dims).agg(F.count(F.lit(1)).alias("_n"), F.sum(nulls).alias("_nulls"))
+    names = {"site_id": "n_sites", "year": "n_years", "region": "n_regions", "param": "n_params"}
+    return g.agg(F.coalesce(F.sum("_n"), F.lit(0)).alias("n_rows"), *[F.count_distinct(d).alias(names[d]) for d in dims], F.sum("_nulls").alias("n_nulls"))

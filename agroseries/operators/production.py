@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.columns import cast_year, clean_number, safe_div
+from ..functions.columns import cast_year, clean_number
 from ..functions.formatting import br_sql, scaled_sql, sql_str
 
 MEASURE_COLS = ["planted_ha", "harvested_ha", "lost_ha", "produced_kg", "value_brl"]
@@ -22,7 +22,7 @@ def unpivot_years(crosstab: DataFrame, years, id_cols=("code", "name"),
     """
     present = [str(y) for y in years if str(y) in crosstab.columns]
     if not present:
-        return None
+        raise ValueError("the sheet has no column of the wanted years")
     df = crosstab.filter(F.col(id_cols[1]).isNotNull())
     return (df.unpivot(list(id_cols), present, "year", value_name)
               .withColumn("year", cast_year("year")))
@@ -37,16 +37,15 @@ def combine_variables(longs: list[tuple[str, DataFrame]], sort: bool = True,
     the combination, so combinations missing from a variable become 0 (D5).
     """
     names = [n for n, _ in longs]
-    # cells are cleaned before combining (one cell per key and variable, so
-    # this equals cleaning after the merge); DOUBLE buffers keep the
-    # aggregate a fixed-width hash aggregate (string max would sort)
+    # cells are cleaned before combining; cells of a repeated key add up, so
+    # none is lost; DOUBLE buffers keep the aggregate a fixed-width hash aggregate
     union = reduce(DataFrame.unionByName,
                    [df.select("code", "name", "year", F.lit(n).alias("variable"),
                               clean_number(F.col("raw").cast("string"), False).alias("v"))
                     for n, df in longs])
     # conditional aggregation: one partial+final aggregate (``pivot`` plans two)
     wide = union.groupBy("code", "name", "year").agg(
-        *[F.max(F.when(F.col("variable") == n, F.col("v"))).alias(n) for n in names])
+        *[F.sum(F.when(F.col("variable") == n, F.col("v"))).alias(n) for n in names])
     if missing_as_zero:
         wide = wide.select("code", "name", "year", *[F.coalesce(F.col(n), F.lit(0.0)).alias(n) for n in names])
     return wide.orderBy("code", "name", "year") if sort else wide
@@ -57,32 +56,34 @@ def combine_crosstabs(wides: list[tuple[str, DataFrame]], years, sort: bool = Fa
     """J3 for crosstab inputs: combine the sheets on (code, name), then melt.
 
     Equal to ``combine_variables`` over the melted sheets (a melt emits every
-    year column of its sheet, so the outer key sets agree), but the shuffle
-    carries one row per (code, name) instead of one per year.  Year columns
-    a sheet lacks become NULL → 0 like combinations missing from a variable.
+    year column of its sheet, so the outer key sets agree), with one shuffle that
+    carries a row per (code, name) and sheet instead of one per year.  Year columns
+    a sheet lacks become NULL → 0 like combinations missing from a variable; cells
+    of a repeated key add up.
     """
     ys = [str(y) for y in years]
-    parts, has_year = [], {}
-    for i, (n, w) in enumerate(wides):
-        present = [y for y in ys if y in w.columns]
-        has_year[n] = set(present)
-        # cells cleaned first; a repeated (code, name) keeps the largest cell,
-        # as the long form's aggregate does.  The aggregate also leaves each
-        # side hash-partitioned on the join key (no further exchange).
-        parts.append(w.filter(F.col("name").isNotNull()).groupBy("code", "name").agg(
-            F.lit(True).alias(f"_in{i}"),
-            *[F.max(clean_number(F.col(f"`{y}`"), False)).alias(f"{n}@{y}") for y in present]))
-    wide = reduce(lambda a, b: a.join(b, ["code", "name"], "full"), parts)
-    present_years = sorted({y for s in has_year.values() for y in s}, key=int)
+    has_year = {n: {y for y in ys if y in w.columns} for n, w in wides}
+    present = [y for y in ys if any(y in s for s in has_year.values())]
+    if not present:
+        raise ValueError("no sheet has a column of the wanted years")
+    # one union, one aggregate: a row keeps its sheet's number and its cells.
+    # Grouping lets NULL codes meet, which a join would not
+    rows = reduce(DataFrame.unionByName, [
+        w.filter(F.col("name").isNotNull()).select(
+            "code", "name", F.lit(i).alias("_sheet"),
+            *[(clean_number(F.col(f"`{y}`"), False) if y in has_year[n] else F.lit(None).cast("double")).alias(y) for y in present])
+        for i, (n, w) in enumerate(wides)])
+    sheet = F.col("_sheet")
+    cells = [F.sum(F.when(sheet == i, F.col(f"`{y}`"))).alias(f"{n}@{y}")
+             for i, (n, _) in enumerate(wides) for y in present if y in has_year[n]]
+    wide = rows.groupBy("code", "name").agg(*[F.max(sheet == i).alias(f"_in{i}") for i in range(len(wides))], *cells)
     structs = []
-    for y in present_years:
+    for y in present:
         # the melted key (code, name, y) exists iff a sheet with column y has the row
-        keep = reduce(lambda a, b: a | b, [F.coalesce(F.col(f"_in{i}"), F.lit(False))
-                                           for i, (n, _) in enumerate(wides) if y in has_year[n]])
+        keep = reduce(lambda a, b: a | b, [F.col(f"_in{i}") for i, (n, _) in enumerate(wides) if y in has_year[n]])
         fields = [F.lit(int(y)).alias("year"), keep.alias("_keep")]
         for n, _ in wides:
-            c = f"{n}@{y}"
-            v = F.col(f"`{c}`") if c in wide.columns else F.lit(None).cast("double")
+            v = F.col(f"`{n}@{y}`") if y in has_year[n] else F.lit(None).cast("double")
             fields.append((F.coalesce(v, F.lit(0.0)) if missing_as_zero else v).alias(n))
         structs.append(F.struct(*fields))
     out = (wide.select("code", "name", F.explode(F.array(*structs)).alias("_y"))
@@ -131,12 +132,12 @@ def kpi_summary(panel: DataFrame, measures=MEASURE_COLS) -> DataFrame:
     The consolidated row has ``year`` NULL; ratios use the sums and are
     missing when the denominator is ≤ 0.
     """
-    agg = panel.rollup("year").agg(*[F.coalesce(F.sum(m), F.lit(0.0)).alias(m) for m in measures])
+    agg = panel.rollup("year").agg(F.grouping("year").alias("_total"), *[F.coalesce(F.sum(m), F.lit(0.0)).alias(m) for m in measures])
     return agg.withColumns({
         "yield_kg_ha": F.when(F.col("harvested_ha") > 0, F.col("produced_kg") / F.col("harvested_ha")),
         "loss_pct": F.when(F.col("planted_ha") > 0, F.col("lost_ha") / F.col("planted_ha") * 100),
-        "is_total": F.col("year").isNull(),
-    })
+        "is_total": F.col("_total") == 1,  # a missing year is a group of its own
+    }).drop("_total")
 
 
 # Which measures are compared, the unit of the absolute fallback, and
@@ -201,8 +202,3 @@ def period_label(panel: DataFrame) -> DataFrame:
               .when(F.col("last_year") - F.col("first_year") + 1 == F.col("n_years"),
                     F.concat(F.col("first_year").cast("string"), F.lit("–"), F.col("last_year").cast("string")))
               .otherwise(F.col("_list")).alias("period_label"))
-
-
-def value_share(df: DataFrame, col: str = "value_kbrl") -> DataFrame:
-    """Share of each row in its year's total, percent."""
-    return df.withColumn("value_share", safe_div(F.col(col) * 100, F.sum(col).over(Window.partitionBy("year"))))

@@ -27,8 +27,11 @@ def completeness(df: DataFrame, cols=None) -> DataFrame:
     return df.agg(*exprs)
 
 
-def expect_complete(df: DataFrame, cols=None) -> DataFrame:
-    """Q1: raise when any listed column has a null/empty value."""
+def expect_complete(df: DataFrame, cols=None, n_fields: int | None = None) -> DataFrame:
+    """Q1: raise when any listed column has a null/empty value, or when the table
+    has not the expected number of fields."""
+    if n_fields is not None and len(df.columns) != n_fields:
+        raise ExpectationError(f"{len(df.columns)} fields instead of {n_fields}")
     row = completeness(df, cols).first().asDict()
     bad = {k[len("missing_"):]: v for k, v in row.items() if k.startswith("missing_") and v}
     if bad:
@@ -55,7 +58,3 @@ def unmatched(left: DataFrame, right: DataFrame, keys) -> DataFrame:
     """Q3: rows of ``left`` with no partner in ``right`` (a real anti-join)."""
     keys = list(keys)
     return left.join(right.select(*keys).distinct(), keys, "left_anti")
-
-
-def unmatched_count(left: DataFrame, right: DataFrame, keys) -> int:
-    return unmatched(left, right, keys).count()

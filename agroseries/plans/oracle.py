@@ -54,7 +54,7 @@ cte("nsite", (), f"""
 cte("site", ("nsite",), f"""
   SELECT s.site_id, s.name, s.region_id, r.r_name AS region, s.lat, s.lon
   FROM nsite s LEFT JOIN region r ON s.region_id = r.r_regionkey
-  WHERE s.n_nationkey <> {DROPPED_NATION}""")
+  """)
 
 cte("ssite", ("nsite",), """
   SELECT s_suppkey, site_id, name, lat, lon FROM supplier JOIN nsite ON s_nationkey = n_nationkey""")
@@ -226,7 +226,7 @@ for _i, (_name, _col, _dash, _dots) in enumerate(CROSSTAB_VARIABLES):
 
 
 def clean_sql(c: str) -> str:
-    return (f"(CASE WHEN regexp_matches({c}, '^\\s*-\\s*$') THEN 0.0 "
+    return (f"(CASE WHEN regexp_matches({c}, '^\\s*-\\s*$') THEN 0.0 WHEN isnan(TRY_CAST(trim({c}) AS DOUBLE)) THEN 0.0 "
             f"ELSE coalesce(TRY_CAST(trim({c}) AS DOUBLE), 0.0) END)")
 
 
@@ -252,9 +252,9 @@ _v = [v[0] for v in CROSSTAB_VARIABLES]
 ORACLE["combine_variables"] = with_("long0", "long1", extra=f"""
 u AS (SELECT code, name, year, '{_v[0]}' AS variable, raw FROM long0
       UNION ALL SELECT code, name, year, '{_v[1]}' AS variable, raw FROM long1),
-w AS (SELECT code, name, year, {", ".join(f"max(raw) FILTER (WHERE variable = '{v}') AS {v}" for v in _v)}
+w AS (SELECT code, name, year, {", ".join(f"sum({clean_sql('raw')}) FILTER (WHERE variable = '{v}') AS {v}" for v in _v)}
       FROM u GROUP BY code, name, year)""") + f"""
-SELECT code, name, year, {", ".join(f"round({clean_sql(v)}, 6) AS {v}" for v in _v)} FROM w"""
+SELECT code, name, year, {", ".join(f"round(coalesce({v}, 0.0), 6) AS {v}" for v in _v)} FROM w"""
 
 ORACLE["production"] = with_("production") + f"""
 SELECT site_id, name, year, {rnd(["planted_ha", "harvested_ha", "produced_t", "yield_kg_ha", "value_kbrl", "value_share"], 8)}
@@ -270,12 +270,12 @@ SELECT p.site_id, p.name, p.year, p.region_id, p.region, round(p.lat, 6) AS lat,
        {rnd(DPANEL_COLS, prefix="p.")}, w.param, w.rel_year, w.dekad36, round(w.value, 6) AS value
 FROM pgeo p LEFT JOIN win w ON p.site_id = w.site_id AND p.year = w.season_year"""
 
-ORACLE["unmatched"] = with_("dpanel", "site", "win") + """
-SELECT 'no_geography' AS "check", count(*) AS n FROM dpanel p WHERE NOT EXISTS (SELECT 1 FROM site s WHERE s.site_id = p.site_id)
+ORACLE["unmatched"] = with_("dpanel", "site", "win", extra=f"site1 AS (SELECT * FROM site WHERE site_id <> {code_sql(str(DROPPED_NATION))})") + """
+SELECT 'no_geography' AS "check", count(*) AS n FROM dpanel p WHERE NOT EXISTS (SELECT 1 FROM site1 s WHERE s.site_id = p.site_id)
 UNION ALL
 SELECT 'no_climate', count(*) FROM dpanel p WHERE NOT EXISTS (SELECT 1 FROM win w WHERE w.site_id = p.site_id AND w.season_year = p.year)
 UNION ALL
-SELECT 'no_coordinates', count(*) FROM site WHERE lat IS NULL OR lon IS NULL"""
+SELECT 'no_coordinates', count(*) FROM site1 WHERE lat IS NULL OR lon IS NULL"""
 
 ORACLE["expect_unique"] = with_("daily") + """
 SELECT site_id, date, param, count(*) AS n FROM daily GROUP BY site_id, date, param HAVING count(*) > 1"""
@@ -624,9 +624,10 @@ ORACLE["align_labels"] = with_("aligned") + "\nSELECT site_id, y_true, y_pred, y
 
 
 def confusion_sql(src: str, t: str, p: str) -> str:
-    return f"""
-SELECT {t}, {p}, count(*) AS n, round(count(*) / sum(count(*)) OVER (PARTITION BY {t}), 6) AS row_share
-FROM {src} GROUP BY {t}, {p}"""
+    return f""",
+lab AS (SELECT {t} AS l FROM {src} WHERE {t} IS NOT NULL AND {p} IS NOT NULL UNION SELECT {p} FROM {src} WHERE {t} IS NOT NULL AND {p} IS NOT NULL),
+cnt AS (SELECT a.l AS {t}, b.l AS {p}, (SELECT count(*) FROM {src} s WHERE s.{t} = a.l AND s.{p} = b.l) AS n FROM lab a, lab b)
+SELECT {t}, {p}, n, round(CASE WHEN sum(n) OVER (PARTITION BY {t}) > 0 THEN n / sum(n) OVER (PARTITION BY {t}) END, 6) AS row_share FROM cnt"""
 
 
 def per_class_sql(src: str, t: str, p: str) -> str:
@@ -701,7 +702,8 @@ cte("emb_pre", ("emb_sc",), """
   FROM emb_sc WINDOW w AS (PARTITION BY cls ORDER BY score ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)""")
 cte("emb_roc", ("emb_pre",), """
   SELECT cls, score AS threshold, CASE WHEN P > 0 THEN (P - pos_lt) / P END AS tpr,
-         CASE WHEN N > 0 THEN (N - neg_lt) / N END AS fpr FROM emb_pre""")
+         CASE WHEN N > 0 THEN (N - neg_lt) / N END AS fpr FROM emb_pre
+  UNION ALL SELECT DISTINCT cls, 'inf'::DOUBLE, CASE WHEN P > 0 THEN 0.0 END, CASE WHEN N > 0 THEN 0.0 END FROM emb_pre""")
 
 ORACLE["inverse_distance_scores"] = with_("emb_scores") + """
 SELECT vec_id, y_true, cls, round(dist, 6) AS dist, round(score, 6) AS score FROM emb_scores"""
@@ -722,11 +724,6 @@ FROM b"""
 
 
 # --- geo ----------------------------------------------------------------------------------
-def _sq(lon="lon", lat="lat"):
-    pts = [("-", "-"), ("+", "-"), ("+", "+"), ("-", "+"), ("-", "-")]
-    return pts
-
-
 ORACLE["centroid"] = with_("site") + """
 SELECT 'P' || site_id AS code, 'Point' AS type, round(lat, 6) AS lat, round(lon, 6) AS lon FROM site
 UNION ALL
@@ -822,22 +819,19 @@ SELECT site_id, name,
 FROM site"""
 ORACLE["io_payloads"] = with_("daily_raw") + f"""
 SELECT site_id, date, param, round(CASE WHEN v = -999 OR isnan(v) THEN NULL ELSE v END, 6) AS value
-FROM (SELECT site_id, date, param, max(value) AS v FROM daily_raw GROUP BY site_id, date, param)
-WHERE site_id <> {code_sql(str(DROPPED_NATION))}"""
+FROM (SELECT site_id, date, param, max(value) AS v FROM daily_raw GROUP BY site_id, date, param)"""
 ORACLE["io_payload_quarantine"] = with_("daily_raw") + f"""
 SELECT DISTINCT site_id, 'missing header marker' AS reason FROM daily_raw WHERE site_id = {code_sql(str(DROPPED_NATION))}"""
-ORACLE["io_production"] = with_("production") + f"""
+ORACLE["io_production"] = with_("production") + """
 SELECT site_id AS code, name, year, variable, round(value, 6) AS value FROM (
-  SELECT site_id, name, year, 'Área plantada (Hectares)' AS variable,
-         CASE WHEN site_id = {code_sql(str(DROPPED_NATION))} THEN 0.0 ELSE planted_ha END AS value FROM production
+  SELECT site_id, name, year, 'Área plantada (Hectares)' AS variable, planted_ha AS value FROM production
   UNION ALL
-  SELECT site_id, name, year, 'Quantidade produzida (Toneladas)',
-         CASE WHEN site_id = {code_sql(str(DROPPED_NATION))} THEN 0.0 ELSE produced_t END FROM production)"""
+  SELECT site_id, name, year, 'Quantidade produzida (Toneladas)', produced_t FROM production)"""
 ORACLE["io_params"] = with_("daily_raw") + "\nSELECT DISTINCT param FROM daily_raw"
 ORACLE["io_wide_csv"] = with_("win") + """
 SELECT site_id, name, CAST(season_year AS VARCHAR) AS season_year, """ + ", ".join(
-    f"printf('%.4f', max(CASE WHEN param = '{p}' AND rel_year = {r} AND dekad36 = {d} THEN value END)) AS \"{p}_dec{d}_ano{r}\""
-    for p, r, d in _season_names(True) if p not in ("TAX", "PREC_PROB")) + """
+    f"printf('%.4f', round(max(CASE WHEN param = '{p}' AND rel_year = {r} AND dekad36 = {d} THEN value END), 8)) AS \"{p}_dec{d}_ano{r}\""
+    for p, r, d in _season_names(True)) + """
 FROM win GROUP BY site_id, name, season_year"""
 ORACLE["incremental_ingest"] = """
 SELECT CAST(year(ts) AS INTEGER) AS year, CAST(month(ts) AS INTEGER) AS month,
@@ -854,11 +848,8 @@ SELECT feature, regexp_extract(feature, '^(.*)_dec', 1) AS param,
        regexp_replace(trim(feature), '_dec.*$', '') AS base
 FROM (SELECT DISTINCT param || '_dec' || CAST(dekad36 AS VARCHAR) || '_ano' || CAST(rel_year AS VARCHAR) AS feature FROM season)"""
 
-from ..functions.columns import ACCENTED, UNACCENTED  # noqa: E402
-
-ORACLE["ascii_names"] = f"""
-SELECT doc_id, regexp_replace(regexp_replace(translate(text, '{ACCENTED}', '{UNACCENTED}'), '[^\\x00-\\x7F]', '', 'g'),
-                              '[^A-Za-z0-9_\\-]', '_', 'g') AS safe
+ORACLE["ascii_names"] = """
+SELECT doc_id, regexp_replace(regexp_replace(strip_accents(text), '[^\\x00-\\x7F]', '', 'g'), '[^A-Za-z0-9_\\-]', '_', 'g') AS safe
 FROM documents"""
 
 cte("dwide", ("daily_raw",), "SELECT site_id, date, " + ", ".join(
@@ -898,3 +889,16 @@ FROM (SELECT * FROM dekads UNION ALL BY NAME SELECT * FROM season)"""
 
 ORACLE["combine_variables_long"] = ORACLE["combine_variables"]
 ORACLE["io_panel_csv"] = ORACLE["join_geo"]
+
+ORACLE["io_attributes"] = with_("daily_raw") + """
+SELECT param AS code, count(*) AS n_rows, any_value(CASE param WHEN 'PREC_QTY' THEN 'Shipped quantity, summed per dekad'
+  WHEN 'PRICE_MAX' THEN 'Highest extended price' WHEN 'PRICE_MIN' THEN 'Lowest extended price' WHEN 'DISC_RANGE' THEN 'Range of discounts'
+  WHEN 'TAX' THEN 'Mean tax rate' WHEN 'PREC_PROB' THEN 'Mean discount' END) AS description
+FROM daily_raw GROUP BY param"""
+ORACLE["mining_report"] = with_("classes") + """
+SELECT 'sites' AS "check", count(*)::DOUBLE AS value FROM classes
+UNION ALL SELECT 'confusion cells sum to sites', count(*) FROM classes
+UNION ALL SELECT 'sites in boxes', count(*) FROM classes
+UNION ALL SELECT 'sites whose scores sum to one', count(*) FROM classes
+UNION ALL SELECT 'aucs within 0 and 1', 1 UNION ALL SELECT 'metrics within 0 and 1', 1 UNION ALL SELECT 'aligned not below unaligned', 1
+UNION ALL SELECT 'true sites of class ' || c, (SELECT count(*) FROM classes WHERE y_true = c) FROM range(4) t(c)"""

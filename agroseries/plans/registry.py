@@ -100,6 +100,7 @@ def q_season_wide(spark, sf):
 
 
 # ---------------------------------------------------------------- production / panel
+from ..session import scratch_path  # noqa: E402
 from ..operators import analysis, panel as P, production as PR, quality as Q  # noqa: E402
 from ..functions.formatting import format_br, format_scaled  # noqa: E402
 
@@ -132,7 +133,7 @@ def q_clean_dash(spark, sf):
 
 @register("combine_variables")
 def q_combine_variables(spark, sf):
-    """Union-long + one conditional aggregate instead of N outer joins.
+    """J3 over crosstab sheets: one union, one conditional aggregate, then the melt.
 
     Unsorted: row order of a DataFrame is not kept downstream; the sorted
     form (W6) is for file export (``sort=True``).
@@ -179,7 +180,8 @@ def q_join_climate(spark, sf):
 def q_unmatched(spark, sf):
     """Q3: production rows with no geography / no climate; sites with no coordinates."""
     prod = dpanel(spark, sf)
-    sites = B.sites(spark, sf)
+    # one nation is left out of the site table, so that something is unmatched
+    sites = B.sites(spark, sf).where(F.col("site_id") != C.norm_code(F.lit(B.DROPPED_NATION)))
     s = climate.season_window(season(spark, sf), exact=True).withColumnRenamed("season_year", "year")
     def n(df, check):
         return df.agg(F.lit(check).alias("check"), F.count(F.lit(1)).alias("n"))
@@ -389,7 +391,20 @@ ATTRIBUTES = [
 
 
 def attributes(spark) -> DataFrame:
-    return spark.createDataFrame(ATTRIBUTES, "code string, description string")
+    """The dictionary as a file (BOM, quoted commas), read back."""
+    from ..sources import readers, sinks
+    path = scratch_path(spark, "attributes")
+    rows = spark.createDataFrame([(0, "\ufeffAtributo", "Descrição"), *((i + 1, *x) for i, x in enumerate(ATTRIBUTES))], "ord int, code string, description string")
+    quoted = F.when(F.col("description").contains(","), F.concat(F.lit('"'), "description", F.lit('"'))).otherwise(F.col("description"))
+    sinks.write_text_files(rows.select(F.lit("0").alias("file"), "ord", F.concat_ws(",", "code", quoted).alias("text")), path, "file", "ord")
+    return readers.read_attributes(spark, f"{path}/file=0")
+
+
+@register("io_attributes")
+def q_io_attributes(spark, sf):
+    """S10 → J8: the attribute dictionary of the parameters that occur."""
+    used = B.daily_raw(spark, sf).groupBy(F.col("param").alias("code")).agg(F.count(F.lit(1)).alias("n_rows"))
+    return used.join(attributes(spark), "code", "left")
 
 
 @register("labels_lookup")
@@ -408,6 +423,7 @@ def q_legend(spark, sf):
 
 # ---------------------------------------------------------------- mining
 from ..operators import clustering as CL, evaluation as EV, features as FE  # noqa: E402
+from ..session import cut_lineage  # noqa: E402
 
 
 def mining_inputs(spark, sf):
@@ -531,11 +547,8 @@ def q_metric_report(spark, sf):
 def embedding_scores(spark, sf) -> DataFrame:
     """M15 on embeddings: inverse-distance scores to the per-label mean vectors."""
     e = B.table(spark, sf, "embeddings")
-    pts = CL.explode_vectors(e.select("vec_id", "label", F.col("embedding").cast("array<double>").alias("embedding")),
-                             "vec_id", "embedding")
-    cents = CL.centroids_long(pts, "label")
-    sc = CL.inverse_distance_long(pts, cents, "vec_id", "label")
-    return sc.join(e.select("vec_id", F.col("label").alias("y_true")), "vec_id")
+    pts = e.select("vec_id", F.col("label").alias("y_true"), F.col("embedding").cast("array<double>").alias("embedding"))
+    return CL.inverse_distance_rows(pts, "embedding", CL.label_centroids(pts, "embedding", "y_true"), ["vec_id", "y_true"])
 
 
 @register("inverse_distance_scores")
@@ -646,8 +659,7 @@ def stations(spark, sf):
     s = G.clip_points(G.valid_coords(B.sites(spark, sf)), e)
     y = dpanel(spark, sf).groupBy("site_id").agg(F.avg(METRIC).alias("target"))
     c = FE.quantile_classes(s.join(y, "site_id"), "target")
-    return [(r["lon"], r["lat"], float(r["y_true"] + 1))
-            for r in c.orderBy("site_id").select("lon", "lat", "y_true").collect()]
+    return c.select("lon", "lat", (F.col("y_true") + 1).cast("double").alias("z"))
 
 
 @register("idw_surface")
@@ -657,15 +669,7 @@ def q_idw_surface(spark, sf):
     return finalize(G.idw_surface(g, stations(spark, sf)).select("i", "j", "z"))
 
 
-@register("rbf_surface")
-def q_rbf_surface(spark, sf):
-    """G5 (multiquadric RBF, smooth 0.1, clipped to [1, 4]) over inside cells (rows check)."""
-    g = boundary_grid(spark, sf).filter("inside")
-    return finalize(G.rbf_surface(g, stations(spark, sf)).select("i", "j", "z"))
-
-
 # ---------------------------------------------------------------- sources / sinks / streaming
-from ..session import scratch_path  # noqa: E402
 from ..sources import readers as R, sinks as K  # noqa: E402
 from ..streaming import ingest as ST  # noqa: E402
 
@@ -695,6 +699,35 @@ def q_io_panel_parquet(spark, sf):
     return finalize(R.read_panel(spark, path))
 
 
+@register("mining_report")
+def q_mining_report(spark, sf):
+    """M10 → M11 → M12/M13 → M15 → M16 → M18 and A11 of the predicted classes: what
+    does not depend on where K-Means starts."""
+    long, sites = mining_table(spark, sf)
+    proj, _, _ = CL.pca_reduce(FE.site_vectors(long))
+    model, _ = CL.kmeans_best(proj, restarts=CL.KMEANS_RESTARTS)
+    pred = model.transform(proj).join(sites.select("site_id", "y_true", "target"), "site_id")
+    al = cut_lineage(EV.align_labels(pred, "y_true", "raw", "y_pred"))
+    mapping = {r["raw"]: r["y_pred"] for r in al.select("raw", "y_pred").distinct().collect()}
+    scored = CL.inverse_distance_scores(CL.centroid_distances(al, model.clusterCenters()), mapping, CL.KMEANS_K)
+    rows = scored.select("site_id", "y_true", F.posexplode("scores").alias("cls", "score"))
+    auc = EV.auc_ovr(rows)
+    per_class = EV.class_metrics(al, "y_true", "y_pred")
+    report = EV.metric_report(per_class, EV.summary_metrics(per_class), auc)
+    full = EV.confusion(al, "y_true", "y_pred")
+    boxes = EV.box_stats(al, "y_pred", "target")
+    one = lambda df, check, value: df.agg(F.lit(check).alias("check"), value.cast("double").alias("value"))
+    in_unit = lambda c: F.coalesce(F.bool_and(F.col(c).between(0, 1) | F.col(c).isNull()), F.lit(True)).cast("int")
+    parts = [
+        one(al, "sites", F.count("*")), one(full, "confusion cells sum to sites", F.sum("n")),
+        one(boxes, "sites in boxes", F.sum("n")), one(rows.groupBy("site_id").agg(F.round(F.sum("score"), 9).alias("s")), "sites whose scores sum to one", F.count(F.when(F.col("s") == 1, 1))),
+        one(auc, "aucs within 0 and 1", in_unit("auc")), one(report.where("metric <> 'auc'"), "metrics within 0 and 1", in_unit("value")),
+        one(al, "aligned not below unaligned", (F.sum((F.col("y_true") == F.col("y_pred")).cast("int")) >= F.sum((F.col("y_true") == F.col("raw")).cast("int"))).cast("int")),
+        *[one(per_class.where(F.col("cls") == i), f"true sites of class {i}", F.coalesce(F.sum("support"), F.lit(0))) for i in range(CL.KMEANS_K)]]
+    from functools import reduce
+    return reduce(DataFrame.unionByName, parts)
+
+
 def registry_json(spark, sf) -> DataFrame:
     n = B.table(spark, sf, "nation")
     r = B.table(spark, sf, "region")
@@ -749,19 +782,17 @@ def q_io_boundaries(spark, sf):
 
 @register("io_payloads")
 def q_io_payloads(spark, sf):
-    """S3: one payload file per site (prose, marker, YEAR/DOY CSV); one site's file
-    lacks the marker and lands in quarantine.  Values are the daily maxima."""
+    """S3: one payload file per site (prose, marker, YEAR/DOY CSV).  Values are the
+    daily maxima."""
     params = [p for p, _ in B.DAILY_PARAMS]
     d = (B.daily_raw(spark, sf).groupBy("site_id", "date").pivot("param", params).agg(F.max("value")))
     line = F.concat_ws(",", F.year("date").cast("string"), F.dayofyear("date").cast("string"),
                        *[F.col(p).cast("string") for p in params])
     body = d.select("site_id", F.concat(F.lit("3|"), F.col("date").cast("string")).alias("ord"), line.alias("text"))
     sites = d.select("site_id").distinct()
-    dropped = C.norm_code(F.lit(B.DROPPED_NATION))
     head = sites.select("site_id", F.explode(F.array(
         F.struct(F.lit("0").alias("ord"), F.lit("Daily point series, derived for testing").alias("text")),
-        F.struct(F.lit("1").alias("ord"), F.when(F.col("site_id") != dropped, F.lit(R.END_HEADER))
-                 .otherwise(F.lit("(marker missing)")).alias("text")),
+        F.struct(F.lit("1").alias("ord"), F.lit(R.END_HEADER).alias("text")),
         F.struct(F.lit("2").alias("ord"), F.lit(",".join(["YEAR", "DOY"] + params)).alias("text")))).alias("h")
     ).select("site_id", "h.ord", "h.text")
     path = scratch_path(spark, "payloads")
@@ -791,30 +822,32 @@ PRODUCTION_SHEETS = [("planted_ha", "Área plantada (Hectares)"), ("produced_t",
 
 @register("io_production")
 def q_io_production(spark, sf):
-    """One sheet export per variable (title, "Variável - …", two header rows,
-    rows per site, a nameless footer); the dropped nation's cells are ".."."""
+    """One sheet export per variable (padded title rows, "Variável - …", two
+    header rows over 51 years, quoted names, rows per site, a nameless footer) and a
+    sheet of notes, which is skipped."""
     prod = B.production(spark, sf)
-    dropped = C.norm_code(F.lit(B.DROPPED_NATION))
+    every = list(range(1960, 2011))
     lines = []
+    pad = "," * len(every)
     for i, (col, title) in enumerate(PRODUCTION_SHEETS):
         w = prod.groupBy("site_id", "name").pivot("year", YEARS).agg(F.first(col))
-        cells = [F.when(F.col("site_id") == dropped, F.lit("..")).otherwise(F.coalesce(F.col(str(y)).cast("string"), F.lit("-")))
-                 for y in YEARS]
-        data = w.select(F.lit(str(i)).alias("sheet"), F.concat(F.lit("3|"), F.col("site_id")).alias("ord"),
-                        F.concat_ws(",", "site_id", "name", *cells).alias("text"))
-        hdr = w.agg(F.count(F.lit(1)).alias("_n")).select(F.lit(str(i)).alias("sheet"), F.explode(F.array(
-            F.struct(F.lit("0").alias("ord"), F.lit(f"Tabela {i} - derived production").alias("text")),
-            F.struct(F.lit("1").alias("ord"), F.lit(f"Variável - {title}").alias("text")),
-            F.struct(F.lit("2a").alias("ord"), F.lit("Cód.,Município,Ano" + "," * (len(YEARS) - 1)).alias("text")),
-            F.struct(F.lit("2b").alias("ord"), F.lit(",," + ",".join(str(y) for y in YEARS)).alias("text")),
-            F.struct(F.lit("9").alias("ord"), F.lit("Fonte: derived from the line table").alias("text")))).alias("h")
+        cells = [F.coalesce(F.col(str(y)).cast("string"), F.lit("-")) if y in YEARS else F.lit("..") for y in every]
+        data = w.select(F.lit(f"Tabela {i}").alias("sheet"), F.concat(F.lit("3|"), F.col("site_id")).alias("ord"),
+                        F.concat_ws(",", "site_id", F.concat(F.lit('"'), "name", F.lit('"')), *cells).alias("text"))
+        hdr = w.agg(F.count(F.lit(1)).alias("_n")).select(F.lit(f"Tabela {i}").alias("sheet"), F.explode(F.array(
+            F.struct(F.lit("0").alias("ord"), F.lit(f'"Tabela {i}, derived production"{pad},').alias("text")),
+            F.struct(F.lit("1").alias("ord"), F.lit(f"Variável - {title}{pad},").alias("text")),
+            F.struct(F.lit("2a").alias("ord"), F.lit("Cód.,Município,Ano" + "," * (len(every) - 1)).alias("text")),
+            F.struct(F.lit("2b").alias("ord"), F.lit(",," + ",".join(str(y) for y in every)).alias("text")),
+            F.struct(F.lit("9").alias("ord"), F.lit("Fonte: derived from the line table" + pad + ",").alias("text")))).alias("h")
         ).select("sheet", "h.ord", "h.text")
         lines += [hdr, data]
+    notes = lines[0].where("ord < '3'").withColumn("sheet", F.lit("Notas"))
     from functools import reduce
-    allv = reduce(DataFrame.unionByName, lines)
+    allv = reduce(DataFrame.unionByName, [*lines, notes])
     path = scratch_path(spark, "production")
     K.write_text_files(allv, path, "sheet", "ord")
-    return finalize(R.read_production(spark, path, YEARS).drop("raw"))
+    return finalize(R.read_production(spark, path, every).where(F.col("year").isin(YEARS)).drop("raw"))
 
 
 @register("io_params")
@@ -828,16 +861,15 @@ def q_io_params(spark, sf):
 
 @register("io_wide_csv")
 def q_io_wide_csv(spark, sf):
-    """K4: season export with ``%.4f`` text, read back as strings.
+    """K4: season export with fixed decimals, read back as strings.
 
-    Exported parameters are those whose dekad values are exact (sum, max,
-    min, range of the line values); averaged ones can sit on a 5th-decimal
-    tie where the text depends on the summation order of each engine.
+    Means are rounded to 8 digits first: their last bits depend on the order of
+    summation, and would decide the text on a tie.
     """
-    params = [p for p, _ in B.DAILY_PARAMS if p not in ("TAX", "PREC_PROB")]
+    params = [p for p, _ in B.DAILY_PARAMS]
     path = scratch_path(spark, "wide")
     wide = climate.season_wide(climate.season_window(season(spark, sf), exact=True), params, exact=True)
-    K.write_wide_csv(wide, path, 4)
+    K.write_wide_csv(finalize(wide, 8), path, 4)
     return spark.read.option("header", True).csv(path)
 
 

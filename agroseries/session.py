@@ -3,13 +3,13 @@
 Everything here is ordinary ``SparkSession`` configuration: AQE on (runtime
 coalescing, skew-join splitting, runtime broadcast conversion driven by
 measured sizes), the Spark UI off, UTC session time.  The checkpoint folder is
-read from the session (``spark.checkpoint.dir``); a local default is set only
-when the cluster did not name one (tests, laptops).
+read from the session (``spark.checkpoint.dir``); a default is set on a local
+master only, elsewhere a missing setting is an error.
 """
 
 from __future__ import annotations
 
-import os
+import re
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
@@ -48,19 +48,20 @@ def build_session(master: str | None = None, app: str = "agroseries",
 
 
 def ensure_checkpoint_dir(spark: SparkSession, fallback: str | None = None) -> str:
-    """Return the shared checkpoint folder named by the cluster.
+    """The shared folder that the cluster names in ``spark.checkpoint.dir``.
 
-    On a cluster ``spark.checkpoint.dir`` points at shared storage and is used
-    as is.  Only when it is unset (local tests) a scratch folder is created.
+    Where it is unset, a scratch folder is made on a local master only (tests,
+    laptops); on a cluster the query fails, as a folder of one machine would
+    be lost to the others.
     """
-    current = spark.conf.get("spark.checkpoint.dir", None)
-    path = current or fallback or tempfile.mkdtemp(prefix="agroseries-ckpt-", dir=os.environ.get("TMPDIR", "/tmp"))
-    if not current:
+    path = spark.conf.get("spark.checkpoint.dir", None) or fallback
+    if not path:
+        if not re.fullmatch(r"local(\[[^,\]]*(,[^\]]*)?\])?", spark.sparkContext.master):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+        path = tempfile.mkdtemp(prefix="agroseries-ckpt-")
         spark.conf.set("spark.checkpoint.dir", path)
-    try:  # Dataset.checkpoint reads the SparkContext's folder (classic sessions)
+    if spark.sparkContext.getCheckpointDir() is None:
         spark.sparkContext.setCheckpointDir(path)
-    except Exception:  # noqa: BLE001  (Spark Connect: the server's setting applies)
-        pass
     return path
 
 

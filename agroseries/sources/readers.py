@@ -1,15 +1,14 @@
 """Readers for the raw inputs.
 
 All readers use explicit schemas (no inference) and return long DataFrames.
-Files that carry their own header text (climate payloads, production sheet
-exports) are read one file per row with ``wholetext``; each such file holds
-one site's series or one sheet, so a row is bounded by the file, and files
-are spread over tasks.
+Climate payloads carry their own header text and are read one file per row with
+``wholetext``: a file holds one site's series.  Production sheets are parsed as CSV
+of any width; header rows are found by their place, columns by their names.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -123,13 +122,19 @@ DAILY_CSV = T.StructType([
 ])
 
 
+def by_name(spark: SparkSession, schema: T.StructType):
+    """A CSV reader that checks the header against the schema's names and fails
+    on a value that does not fit its type."""
+    return spark.read.schema(schema).option("header", True).option("enforceSchema", False).option("mode", "FAILFAST")
+
+
 def read_daily(spark: SparkSession, path: str, partitioned_by_param: bool = True) -> DataFrame:
     """Long daily CSVs (typed, −999/NaN → NULL, ISO date).
 
     When written by ``write_daily`` the parameter is the partition column.
     """
     schema = DAILY_CSV if partitioned_by_param else T.StructType(DAILY_CSV.fields + [T.StructField("param", T.StringType())])
-    df = spark.read.schema(schema).option("header", True).csv(path)
+    df = by_name(spark, schema).csv(path)
     if partitioned_by_param and "param" not in df.columns:
         raise ValueError("expected a param=… partitioned layout")
     return df.select("site_id", "name", "lat", "lon", iso_date("date").alias("date"), "param",
@@ -142,46 +147,52 @@ def read_dekads(spark: SparkSession, path: str, years=None) -> DataFrame:
     return df if years is None else df.filter(F.col("year").isin(list(years)))
 
 
-def read_production(spark: SparkSession, path: str, years) -> DataFrame:
+def sheet_rows(spark: SparkSession, path: str) -> DataFrame:
+    """Rows of CSV sheets of any width: file, id (ascending within a file), cells.
+
+    The greatest number of separators in a line bounds the number of columns;
+    quoted cells may hold separators and line breaks, so rows are parsed, not
+    split, and a sheet is streamed, not held in one row.
+    """
+    widest = spark.read.text(path).agg(F.max(F.length("value") - F.length(F.replace("value", F.lit(","), F.lit(""))))).first()[0]
+    cells = [f"c{i}" for i in range((widest or 0) + 2)]
+    rows = (spark.read.schema(", ".join(f"{c} string" for c in cells)).option("multiLine", True)
+                 .option("quote", '"').option("escape", '"').csv(path))
+    return rows.select(F.col("_metadata.file_path").alias("file"), F.monotonically_increasing_id().alias("id"), F.array(*cells).alias("cells"))
+
+
+def read_production(spark: SparkSession, path: str, years, sheet_prefix: str | None = "tabela") -> DataFrame:
     """Production sheet exports (one CSV per sheet) → long (code, name, year, variable, value).
 
-    Per file: the variable name comes from the second line ("Variável - …",
-    X6), lines 3–4 are a two-row header (the lower cell wins unless empty),
-    data rows follow; nameless rows (footers) are dropped; only the wanted year
-    columns are kept; a sheet without any is skipped.  Cells are cleaned (X5).
+    Sheets whose name (``sheet=…`` folder, else the file) does not start with
+    ``sheet_prefix`` are notes and skipped.  Per sheet: the variable name is the
+    second row's first cell ("Variável - …", X6), rows 3–4 are a two-row header
+    (the lower cell wins unless empty), data rows follow; nameless rows (footers) are
+    dropped; the wanted years are found by name, wherever their columns stand; a
+    sheet without any is skipped.  Cells are cleaned (X5).
     """
-    files = (spark.read.text(path, wholetext=True)
-                  .select(F.col("_metadata.file_path").alias("file"),
-                          F.split(F.regexp_replace("value", "\r", ""), "\n").alias("lines")))
-    width = 2 + len(list(years))
-    csv_schema = ", ".join(f"c{i} STRING" for i in range(width + 8))
-    opts = {"header": "false"}
-    f = files.select("file", variable_from_title(F.col("lines")[1]).alias("variable"),
-                     F.from_csv(F.col("lines")[2], csv_schema, opts).alias("h1"),
-                     F.from_csv(F.col("lines")[3], csv_schema, opts).alias("h2"),
-                     F.posexplode("lines").alias("ln", "line"))
-    data = f.filter((F.col("ln") >= PRODUCTION_HEADER_ROWS) & (F.trim("line") != ""))
-    row = F.from_csv(F.col("line"), csv_schema, opts)
-    names = [F.coalesce(F.nullif(F.trim(F.col("h2")[f"c{i}"]), F.lit("")), F.trim(F.col("h1")[f"c{i}"]))
-             for i in range(width + 8)]
-    cells = data.select("file", "variable", row.alias("r"), F.array(*names).alias("names"))
-    ycells = []
-    for y in years:
-        ys = str(y)
-        idx = F.array_position("names", ys)
-        ycells.append(F.struct(F.lit(int(y)).alias("year"), (idx > 0).alias("present"),
-                               F.when(idx > 0, F.element_at(F.array(*[F.col("r")[f"c{i}"] for i in range(width + 8)]),
-                                                            F.greatest(idx, F.lit(1)).cast("int"))).alias("raw")))
-    long = cells.select("file", "variable", F.trim(F.col("r.c0")).alias("code"),
-                        F.trim(F.col("r.c1")).alias("name"), F.explode(F.array(*ycells)).alias("y"))
-    long = long.filter(F.col("name").isNotNull() & (F.col("name") != "") & F.col("y.present"))
-    return long.select("code", "name", F.col("y.year").alias("year"), "variable",
-                       F.col("y.raw").alias("raw"), clean_number(F.col("y.raw")).alias("value"))
+    rows = sheet_rows(spark, path)
+    if sheet_prefix:
+        sheet = F.coalesce(F.nullif(F.regexp_extract("file", r"sheet=([^/]*)/", 1), F.lit("")), F.regexp_extract("file", r"([^/]*)$", 1))
+        rows = rows.where(F.startswith(F.lower(F.trim(sheet)), F.lit(sheet_prefix)))
+    place = F.row_number().over(Window.partitionBy("file").orderBy("id"))
+    row = lambda i: F.max(F.when(F.col("place") == i, F.col("cells")))
+    top = (rows.withColumn("place", place).where(F.col("place") <= PRODUCTION_HEADER_ROWS).groupBy("file")
+               .agg(F.max("id").alias("last"), row(2).alias("title"), row(3).alias("upper"), row(4).alias("lower")))
+    names = F.zip_with("upper", "lower", lambda a, b: F.coalesce(F.nullif(F.trim(b), F.lit("")), F.trim(a)))
+    top = top.select("file", "last", variable_from_title(F.col("title")[0]).alias("variable"), names.alias("names"))
+    wanted = F.filter(F.transform("names", lambda n, i: F.struct(n.alias("year"), i.alias("i"))), lambda x: x["year"].isin([str(y) for y in years]))
+    top = top.select("file", "last", "variable", wanted.alias("wanted"))
+    data = rows.join(top, "file").where(F.col("id") > F.col("last"))
+    code, name = F.trim(F.col("cells")[0]), F.trim(F.col("cells")[1])
+    long = data.where(name.isNotNull() & (name != "")).select("variable", "cells", code.alias("code"), name.alias("name"), F.explode("wanted").alias("y"))
+    raw = F.get("cells", F.col("y.i"))
+    return long.select("code", "name", F.col("y.year").cast("int").alias("year"), "variable", raw.alias("raw"), clean_number(raw).alias("value"))
 
 
 def read_csv(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
     """CSV with an explicit schema (keys declared as strings stay strings)."""
-    return spark.read.schema(schema).option("header", True).csv(path)
+    return by_name(spark, schema).csv(path)
 
 
 def read_panel(spark: SparkSession, path: str) -> DataFrame:
