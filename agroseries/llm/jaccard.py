@@ -40,6 +40,7 @@ from . import blocks as B
 N = 5
 PERCENT = 75
 FRAGMENTS = 4
+BITMAP = 16  # words of 64 bits
 PAIRS_IN_CELL = 40_000
 PIVOT_ROUNDS = 2
 KEY_BYTES = 6
@@ -127,7 +128,18 @@ def ordered(sets: DataFrame, percent: int) -> DataFrame:
     grams = reps.select("rep", "n", F.explode("grams").alias("g"))
     often = grams.groupBy("g").agg(F.count("*").alias("df")).where("df > 1")
     rows = grams.join(often, "g").groupBy("rep", "n").agg(F.sort_array(F.collect_list(F.struct("df", "g"))).alias("grams"))
-    return rows.where(100 * F.size("grams") >= percent * F.col("n")).withColumn("own", F.col("n") - F.size("grams"))
+    rows = rows.where(100 * F.size("grams") >= percent * F.col("n")).withColumn("own", F.col("n") - F.size("grams"))
+
+    @F.arrow_udf("array<bigint>")
+    def bitmap(lists: pa.Array) -> pa.Array:
+        out = np.zeros((len(lists), BITMAP), np.uint64)
+        values, ends = lists.values.to_numpy().view(np.uint64), lists.offsets.to_numpy()
+        for i, (a, b) in enumerate(zip(ends[:-1], ends[1:])):
+            own = B.mix(values[a:b])
+            np.bitwise_xor.at(out[i], (own >> np.uint64(6)).astype(np.int64) % BITMAP, np.uint64(1) << (own & np.uint64(63)))
+        return pa.ListArray.from_arrays(pa.array(np.arange(len(lists) + 1, dtype=np.int32) * BITMAP), pa.array(out.ravel().view(np.int64)))
+
+    return rows.withColumn("bits", bitmap(F.col("grams")["g"]))
 
 
 def prefixes(classes: DataFrame, percent: int) -> DataFrame:
@@ -135,15 +147,19 @@ def prefixes(classes: DataFrame, percent: int) -> DataFrame:
     least = F.ceil(F.col("n") * percent / 100.0)
     room = (F.col("n") - least + 1 - F.col("own")).cast("int")
     band = F.floor(F.log(F.col("n").cast("double")) / F.log(F.lit(100.0 / percent)) + 1e-9).cast("int")
-    taken = classes.where(room > 0).select("rep", "n", "own", band.alias("band"), F.posexplode(F.slice("grams", 1, F.greatest(room, F.lit(1)))).alias("i", "x"))
-    return taken.select(F.col("x.g").alias("g"), "rep", "n", (F.col("own") + F.col("i")).alias("place"), "band")
+    taken = classes.where(room > 0).select("rep", "n", "own", "bits", band.alias("band"), F.posexplode(F.slice("grams", 1, F.greatest(room, F.lit(1)))).alias("i", "x"))
+    return taken.select(F.col("x.g").alias("g"), "rep", "n", (F.col("own") + F.col("i")).alias("place"), "band", "own", "bits")
 
 
 def may_link(percent: int) -> Column:
-    """Of two entries x and y under one n-gram, taken as the first that they share."""
+    """Of two entries x and y under one n-gram, taken as the first that they share:
+    bounds by size, by place and by the number of n-grams that only one of them has."""
     most = F.least(F.col("x.n") - F.col("x.place"), F.col("y.n") - F.col("y.place"))
     sizes = (100 * F.least("x.n", "y.n") >= percent * F.greatest("x.n", "y.n"))
-    return sizes & reaches(most, F.col("x.n"), F.col("y.n"), percent)
+    # n-grams of which only one has an odd number in a bit of the bitmap are not shared
+    apart = " + ".join(["x.own", "y.own", *(f"bit_count(x.bits[{i}] ^ y.bits[{i}])" for i in range(BITMAP))])
+    differ = F.expr(f"{100 + percent} * ({apart}) <= {100 - percent} * (x.n + y.n)")
+    return sizes & reaches(most, F.col("x.n"), F.col("y.n"), percent) & differ
 
 
 def fragment_overlap(right: pa.Table, left: pa.Table) -> pa.Table:
@@ -168,10 +184,9 @@ def between(low: int | None, high: int | None) -> Column:
     return F.transform(F.filter("grams", inside), lambda s: s["g"])
 
 
-def links(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
-    """The pairs (x, y, with sizes nx, ny) that reach the threshold."""
-    pairs = B.kept(pairs)
-    cells = max(1, -(-pairs.count() // PAIRS_IN_CELL))
+def links(pairs: DataFrame, n: int, classes: DataFrame, percent: int) -> DataFrame:
+    """Those of n pairs (x, y, with sizes nx, ny) that reach the threshold."""
+    cells = max(1, -(-n // PAIRS_IN_CELL))
     # cuts of the global order: quantiles of its leading term, the number of classes
     cuts = classes.select(F.explode("grams.df").alias("df")).agg(F.percentile_approx("df", [i / FRAGMENTS for i in range(1, FRAGMENTS)]).alias("q")).first()["q"] or []
     cuts = sorted(set(cuts))
@@ -189,20 +204,23 @@ def links(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
 def components(edges: DataFrame) -> DataFrame:
     """node, component (its least node), of all nodes that have an edge; by
     alternating large-star and small-star steps until every node hangs on its root."""
-    def star(e, both):
-        near = e.union(e.select(F.col("y"), F.col("x"))).toDF("u", "v") if both else e.select(F.greatest("x", "y").alias("u"), F.least("x", "y").alias("v"))
+    def least(near):
         low = near.groupBy("u").agg(F.min("v").alias("m")).withColumn("m", F.least("u", "m"))
-        moved = near.join(low, "u")
-        out = moved.where("v > u").select(F.col("v").alias("x"), F.col("m").alias("y")) if both else moved.select(F.col("v").alias("x"), F.col("m").alias("y")).union(low.select("u", "m"))
-        return out.where("x <> y").distinct()
+        return near.join(low, "u"), low
+
+    def star(e):
+        moved, _ = least(e.union(e.select("y", "x")).toDF("u", "v"))
+        large = moved.where("v > u").select(F.col("v").alias("x"), F.col("m").alias("y")).where("x <> y")
+        moved, low = least(large.select(F.greatest("x", "y").alias("u"), F.least("x", "y").alias("v")))
+        return moved.select(F.col("v").alias("x"), F.col("m").alias("y")).union(low.select("u", "m")).where("x <> y").distinct()
 
-    state, sign = B.kept(edges.where("x <> y").select(F.greatest("x", "y").alias("x"), F.least("x", "y").alias("y")).distinct()), None
+    state = B.kept(edges.where("x <> y").select(F.greatest("x", "y").alias("x"), F.least("x", "y").alias("y")).distinct())
     while True:
-        state = B.kept(star(star(state, True), False))
-        now = state.agg(F.count("*"), F.bit_xor(F.xxhash64("x", "y"))).first()
-        if now == sign:
+        state = B.kept(star(state))
+        # done when no parent is a child and every child has one parent
+        twice = state.groupBy("x").agg(F.count("*").alias("n"), F.lit(False).alias("p")).union(state.select("y", F.lit(0).alias("n"), F.lit(True)).distinct())
+        if not twice.groupBy("x").agg(F.sum("n").alias("n"), F.max("p").alias("p")).where("n > 1 OR (n > 0 AND p)").limit(1).count():
             break
-        sign = now
     roots = state.select(F.col("y").alias("node")).distinct()
     return state.select(F.col("x").alias("node"), F.col("y").alias("component")).union(roots.select("node", F.col("node").alias("component")))
 
@@ -215,27 +233,29 @@ def with_components(index: DataFrame, found: DataFrame | None) -> DataFrame:
 
 def link_components(classes: DataFrame, percent: int = PERCENT) -> DataFrame:
     """node, component of all classes that have a link."""
-    index, found, edges = B.kept(prefixes(classes, percent)), None, None
+    index, found = B.kept(prefixes(classes, percent)), None
     for step in range(PIVOT_ROUNDS + 1):
         here = with_components(index, found)
         # only n-grams under which different components still meet
         open_grams = here.groupBy("g").agg(F.min("component").alias("a"), F.max("component").alias("b")).where("a <> b").select("g")
         here = here.join(open_grams, "g")
         if step < PIVOT_ROUNDS:
-            # one pivot for each n-gram and size band; another choice in each round
-            pick = F.struct(F.xxhash64("rep", F.lit(step)).alias("o") if step else F.col("rep").alias("o"), "rep", "n", "place", "component")
-            pivots = here.groupBy("g", "band").agg(F.min(pick).alias("p")).select("g", F.explode(F.sequence(F.col("band") - 1, F.col("band") + 1)).alias("band"), "p.rep", "p.n", "p.place", "p.component")
+            # one pivot for each n-gram and size band: first one for many, then each its own
+            pick = F.struct(F.xxhash64("rep", "g").alias("o") if step else F.col("rep").alias("o"), "rep", "n", "place", "component", "own", "bits")
+            pivots = here.groupBy("g", "band").agg(F.min(pick).alias("p")).select("g", F.explode(F.sequence(F.col("band") - 1, F.col("band") + 1)).alias("band"), "p.rep", "p.n", "p.place", "p.component", "p.own", "p.bits")
             met = here.alias("x").join(pivots.alias("y"), ["g", "band"])
         else:
             met = here.alias("x").join(here.alias("y"), "g").where("x.rep < y.rep")
         met = met.where(F.col("x.component") != F.col("y.component")).where(may_link(percent))
         low = F.col("x.rep") < F.col("y.rep")
-        pairs = met.select(F.least("x.rep", "y.rep").alias("x"), F.greatest("x.rep", "y.rep").alias("y"),
-                           F.when(low, F.col("x.n")).otherwise(F.col("y.n")).alias("nx"), F.when(low, F.col("y.n")).otherwise(F.col("x.n")).alias("ny")).distinct()
-        fresh = links(pairs, classes, percent)
-        edges = fresh if edges is None else found.select(F.col("node").alias("x"), F.col("component").alias("y")).union(fresh)
-        found = B.kept(components(edges))
-    return found
+        pairs = B.kept(met.select(F.least("x.rep", "y.rep").alias("x"), F.greatest("x.rep", "y.rep").alias("y"),
+                                  F.when(low, F.col("x.n")).otherwise(F.col("y.n")).alias("nx"), F.when(low, F.col("y.n")).otherwise(F.col("x.n")).alias("ny")).distinct())
+        n = pairs.count()
+        fresh = B.kept(links(pairs, n, classes, percent)) if n else None
+        if fresh is not None and fresh.limit(1).count():
+            edges = fresh if found is None else found.select(F.col("node").alias("x"), F.col("component").alias("y")).union(fresh)
+            found = B.kept(components(edges))
+    return found if found is not None else classes.sparkSession.createDataFrame([], "node bigint, component bigint")
 
 
 def join(docs: DataFrame, key: str = "doc_id", text: str = "text", n: int = N, percent: int = PERCENT) -> DataFrame:
