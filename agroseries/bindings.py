@@ -25,7 +25,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .functions.columns import norm_code, sentinel_null
+from .functions.columns import sentinel_null
 
 # --------------------------------------------------------------------------
 # fixed values of the binding (shared with the DuckDB oracle)

@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.columns import (base_code, corr_direction, corr_sentence, corr_strength,
-                                 feature_name, pair_count, pearson, safe_div)
+                                 pair_count, pearson, safe_div)
 from .broadcast import bounded
 from .climate import WINDOW_Y1, window_exact
 

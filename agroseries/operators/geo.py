@@ -21,7 +21,6 @@ import math
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 GRID_STEP = 0.02
 STATION_BLOCK = 2_000

@@ -150,10 +150,6 @@ cte("production", ("pagg",), """
   FROM pagg""")
 
 
-def r6(c: str, alias: str | None = None) -> str:
-    return f"round({c}, 6) AS {alias or c}"
-
-
 # ---------------------------------------------------------------------------
 # per-query oracle SQL
 # ---------------------------------------------------------------------------
@@ -446,11 +442,6 @@ cte("attrs", (), "SELECT * FROM (VALUES " + ", ".join(
     "('" + c + "', '" + d.replace("'", "''") + "')" for c, d in ATTRIBUTES) + ") t(code, description)")
 
 
-def label_sql(code: str) -> str:
-    return (f"(SELECT CASE WHEN a.description IS NOT NULL AND a.description <> '' "
-            f"THEN {code} || ' = ' || a.description ELSE {code} END FROM (SELECT 1) LEFT JOIN attrs a ON a.code = {code})")
-
-
 ORACLE["corr_strength"] = with_("top_w", "attrs", extra="""
 ranked AS (SELECT *, CAST(row_number() OVER (ORDER BY abs(r) DESC, param, rel_year, dekad36) AS INTEGER) AS rank FROM top_w),
 lab AS (SELECT r1.*, CASE WHEN a.description IS NOT NULL AND a.description <> ''

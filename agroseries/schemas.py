@@ -57,8 +57,3 @@ PRODUCTION = T.StructType(
 
 # Raw production crosstab as exported one CSV per sheet: code, name, one text
 # column per year.  Cells may hold numbers, "-", "..", or be blank.
-def crosstab_schema(years):
-    return T.StructType(
-        [T.StructField("code", T.StringType()), T.StructField("name", T.StringType())]
-        + [T.StructField(str(y), T.StringType()) for y in years]
-    )

@@ -6,7 +6,6 @@ import re
 import unicodedata
 
 import pytest
-from pyspark.sql import functions as F
 
 
 def sheet(folder, name, lines):
