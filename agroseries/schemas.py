@@ -54,6 +54,3 @@ PRODUCTION = T.StructType(
      T.StructField("year", T.IntegerType())]
     + [T.StructField(m, T.DoubleType()) for m in PRODUCTION_MEASURES]
 )
-
-# Raw production crosstab as exported one CSV per sheet: code, name, one text
-# column per year.  Cells may hold numbers, "-", "..", or be blank.
