@@ -22,6 +22,7 @@ from pyspark.sql import functions as F
 from ..session import ensure_checkpoint_dir, scratch_path
 
 SLICE_BYTES = 1 << 20
+BATCH_BYTES = 8 << 20
 BLOCK_BYTES = 4 << 20
 
 _U = np.uint64
@@ -30,7 +31,9 @@ _BYTES = np.random.default_rng(20240229).integers(1, 2**63, 256, dtype=np.uint64
 
 
 def ship(spark: SparkSession) -> None:
-    """Let Spark hand this package to the Python workers, once a context."""
+    """Let Spark hand this package to the Python workers, once a context, and texts
+    in batches that are small beside a worker's memory."""
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
     context = spark.sparkContext
     if getattr(context, "_agroseries_shipped", False):
         return
