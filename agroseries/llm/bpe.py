@@ -28,7 +28,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-CACHE_ENTRIES = 150_000  # pre-tokens and cuts that one Python worker remembers, each; then it starts anew
+CACHE_ENTRIES = 300_000  # pre-tokens and cuts that one Python worker remembers, each; then it starts anew
 
 
 class Vocabulary:
