@@ -119,6 +119,45 @@ def test_pitman_yor_uses_contexts(shipped):
     assert abs(known + rest + (shared.vocabulary + 1) * shared.base(m.SWEEPS) - 1) < 1e-9
 
 
+def test_pitman_yor_contexts_are_whole_hashes(shipped):
+    """Two previous words whose hashes agree in their upper 18 bits keep apart."""
+    import pyarrow as pa
+    from agroseries.llm import blocks as B, pitmanyor as m
+    names = [f"w{i}" for i in range(4000)]
+    upper = B.mix(B.Words(pa.array([" ".join(names).encode()], pa.large_binary()), lower=True).hash) >> np.uint64(46)
+    order = np.argsort(upper, kind="stable")
+    i = int(np.flatnonzero(np.diff(upper[order].astype(np.int64)) == 0)[0])
+    u, v = (names[j] for j in order[i : i + 2])
+    rows = [(0, f"{u} a {v} b " * 40), (1, f"{u} a"), (2, f"{u} b"), (3, f"{v} a"), (4, f"{v} b")]
+    frame = shipped.createDataFrame(rows, "doc_id bigint, text string")
+    got = {r["key"]: r["score"] for r in m.score(frame, F.col("doc_id") == 0)[0].collect()}
+    assert got[1] - got[2] > 1 and got[4] - got[3] > 1
+
+
+def test_pitman_yor_sums_of_contexts(documents):
+    """Customers and tables of every context, as the owners of its pairs have them."""
+    from agroseries.llm import pitmanyor as m
+    known, shared = m.train(documents.select("text"), "text", F.lit(True), 1)
+    routing, rows = shared.routing, known.collect()
+    for sweep in m.AVERAGED:
+        customers, tables, told = Counter(), Counter(), Counter(dict(zip(routing.frequent.tolist(), shared.contexts[sweep].tolist())))
+        for r in rows:
+            if r["kind"] == m.FULL:
+                own = m.read_owned(r, routing)
+                for c, n in zip(own.context.tolist(), own.count.tolist()):
+                    customers[c] += n
+                    tables[c] += n == 1
+                told.update({w: t for w, t, x in zip(own.words.tolist(), own.totals.tolist(), routing.whole(own.words)) if x < 0})
+            elif r["kind"] == sweep:
+                seats = m.Seats.read(r, routing)
+                for c, t in zip(seats.context.tolist(), seats.tables.tolist()):
+                    tables[c] += t
+            elif r["kind"] == m.LESS + sweep:
+                told.subtract(dict(zip(m.B.from_planes(r["words"]).tolist(), m.from_small(r["counts"]).tolist())))
+        assert tables == told and sum(tables.values()) == shared.parent[sweep][0] and sum(customers.values()) == shared.tokens
+        assert any(tables[c] < customers[c] for c in customers)
+
+
 def test_seating():
     from agroseries.llm import pitmanyor as m
     n = np.array([0, 1, 2, 50, 5000])
