@@ -9,6 +9,9 @@ fingerprints within the radius.  The weighted Jaccard similarity of the shingle
 counts, sum of least over sum of greatest, is then computed exactly; of overlapping
 windows that match one item, the best stays (the first of equal ones).
 
+A document of fewer words than the item is one window as a whole.  Its similarity is
+computed exactly for every item of which it may hold enough shingles, without SimHash.
+
 At a similarity of 0.75 two fingerprints of 128 bits differ in 22 bits on average, with a
 deviation of 4.3; the radius of 47 leaves out fewer than one in 10**8 of such pairs.
 
@@ -71,6 +74,7 @@ class SizeClass:
         self.shingles = len(grams[0])
         self.known = B.unique(np.concatenate(grams))
         self.prints = np.concatenate([fingerprints(signs(g).sum(axis=0, keepdims=True)) for g in grams])
+        self.postings = None  # made when a short document needs them
         self.near = [near_values(self.prints[:, b], radius // HAMMING_BLOCKS) for b in range(self.prints.shape[1])]
 
     def matches(self, hashes: np.ndarray, starts: np.ndarray, hit: np.ndarray, percent: int) -> list[tuple[int, int, float]]:
@@ -91,6 +95,25 @@ class SizeClass:
                     out.append((int(starts[w]), int(item), same / (2 * self.shingles - same)))
         return out
 
+    def whole(self, hashes: np.ndarray, hits: int, percent: int) -> list[tuple[int, float]]:
+        """(item, similarity) for a document shorter than the items: all its shingles,
+        of which ``hits`` are known here."""
+        least = percent * (len(hashes) + self.shingles)
+        if (100 + percent) * min(hits, len(hashes)) < least:
+            return []
+        if self.postings is None:
+            every = np.concatenate(self.grams)
+            order = np.argsort(every, kind="stable")  # of one shingle, the items stay in order
+            self.postings = every[order], np.repeat(np.arange(len(self.grams)), self.shingles)[order]
+        gram, item = self.postings
+        same = np.zeros(len(self.grams), np.int64)
+        for value, n in zip(*np.unique(hashes, return_counts=True)):
+            lo, hi = np.searchsorted(gram, value, "left"), np.searchsorted(gram, value, "right")
+            holders = item[lo:hi]
+            cuts = B.grouped(holders)
+            same[holders[cuts[:-1]]] += np.minimum(n, np.diff(cuts))
+        return [(int(i), int(same[i]) / (len(hashes) + self.shingles - int(same[i]))) for i in np.flatnonzero((100 + percent) * same >= least)]
+
 
 def overlap(a: np.ndarray, b: np.ndarray) -> int:
     """Size of the common part of two sorted multisets."""
@@ -142,6 +165,10 @@ class Index:
             doc = words.doc[start[hits]]
             for d in np.unique(doc):
                 own = hits[doc == d] - at[d]
+                n_words = int(words.range[d + 1] - words.range[d])
+                if n_words < c.n_words:
+                    best += [(int(d), c.ids[i], 0, n_words, v) for i, v in c.whole(grams[at[d] : at[d + 1]], len(own), self.percent)]
+                    continue
                 last = int(at[d + 1] - at[d]) - c.shingles
                 marked = np.zeros(max(last, -1) + 2, np.int64)  # windows with a hit
                 lo, hi = np.maximum(own - c.shingles + 1, 0), np.minimum(own, last)

@@ -74,6 +74,28 @@ def test_decontaminate(shipped, empty):
     assert decontam.clean(docs, bench.limit(0)).count() == docs.count()
 
 
+def test_decontaminate_documents_shorter_than_the_item(shipped):
+    from agroseries.llm import decontam
+    rng = random.Random(9)
+    line = lambda n, of=300: [f"t{rng.randrange(of)}" for _ in range(n)]
+    items = [line(40), line(40), line(41), line(12), line(5), line(200), ["x", "y"] * 30, line(30, 2)]
+    rows = []
+    for w in items:
+        rows += [w[:-1], w[1:], w[:-3], w[2:-2], w[: len(w) * 3 // 4], w[: len(w) * 4 // 5 + 1], [*w[:5], "new", *w[6:-1]], [*w[:-2], "new"][1:], w[:4], w[:-1] + line(30)]
+    docs = shipped.createDataFrame([(i, " ".join(w)) for i, w in enumerate(rows)], "doc_id bigint, text string")
+    bench = shipped.createDataFrame([(i, " ".join(w)) for i, w in enumerate(items)], "item_id bigint, text string")
+    grams = lambda w: Counter(tuple(w[i : i + 5]) for i in range(len(w) - 4)) if len(w) >= 5 else Counter([tuple(w)])
+    want = {}
+    for i, w in enumerate(rows):
+        for k, item in enumerate(items):
+            a, b = grams(w), grams(item)
+            if len(w) < len(item) and 100 * sum((a & b).values()) >= 75 * sum((a | b).values()):
+                want[i, k] = (0, len(w), sum((a & b).values()) / sum((a | b).values()))
+    got = {(r["key"], r["item"]): (r["start"], r["n_words"], r["similarity"]) for r in decontam.matches(docs, bench).collect()}
+    assert {p: v for p, v in got.items() if len(rows[p[0]]) < len(items[p[1]])} == want and (0, 0) in want and len(want) > 20
+    assert not {r["doc_id"] for r in decontam.clean(docs, bench).collect()} & {i for i, _ in want}
+
+
 def test_near_values_finds_all():
     from agroseries.llm import decontam
     near = decontam.near_values(np.array([0, 0xF0F0], np.uint16), 3)
