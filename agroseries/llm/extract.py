@@ -11,10 +11,16 @@ Both are normalised to 0..1 by the number of pages.  The composite importance of
 branch mixes its own presentation (weight 1 - GAMMA ** leaves) with the mean content of
 its leaves.  A branch that looks and reads the same on all pages has low importance and
 is removed from every page.  Hosts with few pages say little, so only nodes on at
-least ``MIN_PAGES`` pages are judged; elements whose name, role, class or id marks them
-as a menu, header, footer, sidebar, notice, advert, form or comments have importance 0
-anywhere; and a branch that holds most of a page's article stays.  Where a page has an
-``article`` or ``main`` element, its text is taken from there.
+least ``MIN_PAGES`` pages are judged; and a branch that holds most of a page's article
+stays.
+
+Names weigh where the tree is silent.  Hidden elements, and those whose element or role
+is a menu, header, footer, aside or the like, have importance 0.  So have forms and
+containers with a class or id that is as a whole a name of sidebars, notices, adverts,
+comments and so on (``cookie-notice``, but not ``has-sidebar``), unless they hold most of
+the page's text and no ``article`` or ``main`` lies outside them; headings never have, and a
+section's id inside ``article`` or ``main`` is a place to jump to and says nothing.  Where one
+``article`` or ``main`` holds most of the text that is left, the text is taken from there.
 
 Statistics are two levels of sums over (host, node, hash), combined before they are
 shuffled, so a host with a third of all pages is no hot group.  The list of low
@@ -50,7 +56,7 @@ SALTS = 32
 INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q ruby rt rp s samp small span strike strong sub sup time tt u var wbr".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style textarea title noscript template iframe object svg math".split())
-NOT_TEXT = frozenset("nav footer aside form button select dialog menu fieldset".split())
+NOT_TEXT = frozenset("nav footer aside button select dialog menu fieldset".split())
 ROLES = frozenset("navigation banner contentinfo complementary search form dialog alertdialog alert menu menubar".split())
 MARKED = frozenset("""ad ads adv advert advertisement advertising adsense sponsor sponsored promo promotion banner cookie cookies consent gdpr
 notice notices notification alert sidebar aside menu nav navbar navigation breadcrumb breadcrumbs comment comments respond replies disqus share
@@ -58,21 +64,24 @@ sharing social related recommended newsletter subscribe subscription signup logi
 CLOSED_BY = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr"}, "td": {"td", "th", "tr"}, "th": {"td", "th", "tr"}, "option": {"option"}}
 TAG = re.compile(r"""<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']|"[^"]*"|'[^']*')*+)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)>|<[!?/][^>]*(?:>|\Z)|<[a-zA-Z][^>]*\Z""", re.S)
 ATTRIBUTE = re.compile(r"""([^\s=/"'>]+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""")
-WORDS = re.compile(r"[a-z]+")
+PARTS = re.compile(r"[-_]+")
+UNNAMED = frozenset("html body h1 h2 h3 h4 h5 h6".split())  # whose class and id say nothing
 
 
 class Block(NamedTuple):
     path: str
     text: str
-    marked: bool   # inside an element that is no main text by its name
-    article: bool  # inside article or main
+    marked: bool             # hidden, or inside an element that is no main text
+    named: tuple[int, ...]   # numbers of the elements around that are none by class or id
+    article: int             # number of the outermost article or main that no such name is on or inside of, or 0
 
 
 class Open(NamedTuple):
     name: str
     path: str
     marked: bool
-    article: bool
+    named: tuple[int, ...]
+    article: int
     children: list
 
 
@@ -80,9 +89,15 @@ def attributes(text: str) -> dict[str, str]:
     return {m[1].lower(): references.unescape(m[2] or m[3] or m[4] or "") for m in ATTRIBUTE.finditer(text)}
 
 
+def is_marked(token: str) -> bool:
+    """A class or id that is one of the names, or is made of them alone."""
+    parts = [x for x in PARTS.split(token.lower()) if x]
+    return bool(parts) and MARKED.issuperset(parts)
+
+
 def parse(html: str) -> tuple[list[Block], list[tuple[str, str]]]:
     """Text blocks in page order; (path, names of its children) of every block element."""
-    stack = [Open("", "", False, False, [])]
+    stack = [Open("", "", False, (), 0, [])]
     blocks: list[Block] = []
     shapes: list[tuple[str, str]] = []
     pending: list[str] = []
@@ -93,14 +108,14 @@ def parse(html: str) -> tuple[list[Block], list[tuple[str, str]]]:
             pending.clear()
             if text:
                 top = stack[-1]
-                blocks.append(Block(top.path, text, top.marked, top.article))
+                blocks.append(Block(top.path, text, top.marked, top.named, top.article))
 
     def close():
         top = stack.pop()
         if top.name not in INLINE:
             shapes.append((top.path, " ".join(top.children)))
 
-    at, n = 0, len(html)
+    at, n, number = 0, len(html), 0
     while at < n:
         m = TAG.search(html, at)
         if m is None:
@@ -138,33 +153,57 @@ def parse(html: str) -> tuple[list[Block], list[tuple[str, str]]]:
         while stack[-1].name in CLOSED_BY.get(name, ()):
             close()
         own = attributes(inside) if inside else {}
-        words = set(WORDS.findall(f"{own.get('class', '')} {own.get('id', '')}".lower()))
         label = name + "".join("." + c for c in own.get("class", "").split()[:1]) + ("#" + own["id"] if own.get("id") and "class" not in own else "")
         top = stack[-1]
-        article = top.article or name in ("article", "main") or own.get("role") in ("main", "article")
+        number += 1
+        named, article = top.named, top.article
+        if name == "form" or (own and name not in UNNAMED and any(map(is_marked, [*own.get("class", "").split(), *([] if article and name == "section" else own.get("id", "").split())]))):
+            named = (*named, number)
+        if not article and (not named or named == top.named) and (name in ("article", "main") or own.get("role") in ("main", "article")):
+            article = number
         hidden = "hidden" in own or own.get("aria-hidden") == "true" or "display:none" in own.get("style", "").replace(" ", "").lower()
-        marked = top.marked or hidden or name in NOT_TEXT or own.get("role") in ROLES or (name == "header" and not article) or (bool(words & MARKED) and name not in ("html", "body", "article", "main"))
+        marked = top.marked or hidden or name in NOT_TEXT or own.get("role") in ROLES or (name == "header" and not article)
         top.children.append(label)
-        stack.append(Open(name, f"{top.path}/{label}", marked, article, []))
+        stack.append(Open(name, f"{top.path}/{label}", marked, named, article, []))
     flush()
     while len(stack) > 1:
         close()
     return blocks, shapes
 
 
+def unmarked(blocks: list[Block]) -> list[Block]:
+    """The blocks that names leave."""
+    own = [b for b in blocks if not b.marked]
+    held: dict[int, int] = {}
+    for b in own:
+        for x in b.named:
+            held[x] = held.get(x, 0) + len(b.text)
+    if not held:
+        return own
+    total = sum(len(b.text) for b in own)
+    large = {x for x, n in held.items() if 2 * n > total}
+    articles = [b for b in own if b.article and large.issuperset(b.named)]
+    most = {x for x in large if all(x in b.named for b in articles)}
+    return [b for b in own if most.issuperset(b.named)]
+
+
 def main_text(html: str | None, low: frozenset[str]) -> str:
     """The blocks that stay, joined by one space."""
     if not html:
         return ""
     blocks, _ = parse(html)
-    own = [b for b in blocks if not b.marked]
-    if any(b.article for b in own):
-        own = [b for b in own if b.article]
+    own = unmarked(blocks)
     if low:
         kept = [b for b in own if not any(b.path == x or b.path.startswith(x + "/") for x in low)]
         # what holds most of the text is the article itself
         if 2 * sum(len(b.text) for b in kept) > sum(len(b.text) for b in own):
             own = kept
+    held: dict[int, int] = {}
+    for b in own:
+        held[b.article] = held.get(b.article, 0) + len(b.text)
+    for x, n in held.items():
+        if x and 2 * n > sum(held.values()):
+            own = [b for b in own if b.article == x]
     return " ".join(b.text for b in own)
 
 
@@ -182,7 +221,7 @@ def style_nodes(pages: DataFrame) -> DataFrame:
                 part = batch.slice(a, n)
                 for name, html in zip(part.column("host").to_pylist(), part.column("html").to_pylist()):
                     texts, shapes = parse(html or "")
-                    for row in {*((name, b.path, 0, hash64(b.text)) for b in texts if not b.marked), *((name, p, 1, hash64(c)) for p, c in shapes)}:
+                    for row in {*((name, b.path, 0, hash64(b.text)) for b in unmarked(texts)), *((name, p, 1, hash64(c)) for p, c in shapes)}:
                         out[row] = out.get(row, 0) + 1
                 if out:
                     columns = list(zip(*out))

@@ -215,6 +215,24 @@ def test_extract(shipped):
     assert extract.extract(pages.limit(0)).collect() == []
 
 
+def test_extract_weighs_names_and_articles():
+    from agroseries.llm.extract import main_text
+    story, page = "The story of the day is told here at some length, for all to read.", "<html><body>%s<footer>us</footer></body></html>"
+    cases = [  # cards beside a story; a comment that is an article
+        (f"<div class=story><p>{story}</p></div><article><p>Card</p></article><article><p>Card two</p></article>", f"{story} Card Card two"),
+        (f"<div class=story><p>{story}</p></div><article class=comment><p>I agree</p></article>", story),
+        (f"<article><p>{story}</p></article><article class=comment><p>{story} Yes</p><p>{story} No</p></article>", story),
+        # names inside longer names, on wrappers, headings and places to jump to
+        (f"<div class='content has-sidebar'><p>{story}</p><div class=sidebar>links</div></div>", story),
+        (f"<div class=menu><article><p>{story}</p></article></div>", story),
+        (f"<form><p>{story}</p><div class=cookie-notice>We use</div></form>", story),
+        (f"<article><h1>On</h1><p>{story}</p><h2 id=related-work class=related>Related work</h2><section id=search><p>Search</p></section><div class=share>tweet</div></article>", f"On {story} Related work Search"),
+        (f"<p>teaser</p><main><p>{story}</p></main><p>more</p>", story),
+        (f"<article><p>Short.</p></article><div class=comments><p>{story}</p><p>{story}</p></div>", "Short.")]
+    for html, want in cases:
+        assert main_text(page % html, frozenset()) == want, html
+
+
 def test_style_tree_removes_what_all_pages_share(shipped):
     """No name gives the box away, its sameness over the host does; another host's
     box that differs from page to page stays."""
