@@ -145,6 +145,15 @@ _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[ord("A") : ord("Z") + 1] += 32
 
 
+def is_space(raw: np.ndarray) -> np.ndarray:
+    return _SPACE[raw]
+
+
+def lower(raw: np.ndarray) -> np.ndarray:
+    """A-Z in lower case."""
+    return _LOWER[raw]
+
+
 class Words:
     """Words ``[^\\x20\\x09-\\x0D]+`` of a slice of texts: where each starts and
     ends in ``raw``, its document, its 64-bit hash and each document's range."""
@@ -207,7 +216,20 @@ def written(df: DataFrame) -> DataFrame:
     """Cut the lineage of a large frame: a compressed table in the shared folder."""
     path = scratch_path(df.sparkSession, "llm")
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out._scratch = path
+    return out
+
+
+def discard(*frames: DataFrame | None) -> None:
+    """Remove tables of ``written`` that nothing reads any more."""
+    for frame in frames:
+        path = getattr(frame, "_scratch", None)
+        if path:
+            spark = frame.sparkSession
+            place = spark._jvm.org.apache.hadoop.fs.Path(path)
+            place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
+            frame._scratch = None
 
 
 def as_table(rows: list[tuple], schema: pa.Schema) -> pa.Table:
