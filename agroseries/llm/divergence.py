@@ -41,7 +41,7 @@ SCALE_STEPS = 3  # a thousand, three times
 LEADING = 8
 CHUNK = 1 << 16
 SOURCES_IN_BLOCK = 32
-ROWS_HELD = 1_500_000
+ROWS_HELD = 500_000
 COUNTED = pa.schema([("lang", pa.string()), ("source", pa.string()), ("term", pa.string()), ("count", pa.int64()), ("docs", pa.int64())])
 COLUMN = pa.schema([("lang", pa.string()), ("source", pa.string()), ("chunk", pa.int32()), ("starts", pa.list_(pa.int32())), ("counts", pa.list_(pa.int64()))])
 PAIRS = pa.schema([("lang", pa.string()), ("x", pa.string()), ("y", pa.string()), ("value", pa.int64())])
