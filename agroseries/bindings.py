@@ -112,17 +112,28 @@ def _lines_with_site(spark: SparkSession, sf_dir: str, cols) -> DataFrame:
                  .drop("l_suppkey", "s_suppkey", "s_nationkey", "n_nationkey"))
 
 
-def daily_raw(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """DAILY_OBS as it would arrive from the files: value still holds −999."""
+def daily_wide_raw(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Daily rows with one column per parameter; −999 where a value is missing."""
     cols = ["l_linenumber", "l_quantity", "l_extendedprice", "l_discount", "l_tax", "l_shipdate"]
     lines = _lines_with_site(spark, sf_dir, cols)
-    wide = lines.selectExpr(
+    return lines.selectExpr(
         "site_id", "name", "lat", "lon", "CAST(l_shipdate AS DATE) AS date",
         *[f"CASE WHEN l_linenumber = {SENTINEL_LINE} THEN -999.0D ELSE CAST({expr} AS DOUBLE) END AS {p}"
           for p, expr in DAILY_PARAMS],
     )
-    return wide.unpivot(["site_id", "name", "lat", "lon", "date"],
-                        [p for p, _ in DAILY_PARAMS], "param", "value")
+
+
+def daily_wide(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``daily_wide_raw`` with the sentinel (and NaN) mapped to NULL."""
+    return daily_wide_raw(spark, sf_dir).selectExpr(
+        "site_id", "name", "lat", "lon", "date",
+        *[f"CASE WHEN {p} <> -999.0D AND NOT isnan({p}) THEN {p} END AS {p}" for p, _ in DAILY_PARAMS])
+
+
+def daily_raw(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """DAILY_OBS as it would arrive from the files: value still holds −999."""
+    return daily_wide_raw(spark, sf_dir).unpivot(["site_id", "name", "lat", "lon", "date"],
+                                                 [p for p, _ in DAILY_PARAMS], "param", "value")
 
 
 def daily(spark: SparkSession, sf_dir: str) -> DataFrame:

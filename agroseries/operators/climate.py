@@ -59,32 +59,81 @@ def rule_matches(param) -> Column:
     return sum(f.cast("int") for f in fams)
 
 
-def dekad_aggregate(daily: DataFrame) -> DataFrame:
+PARTIAL = ["n", "total", "high", "low"]
+DEKAD_COLUMNS = ["site_id", "name", "lat", "lon", "CAST(year AS INT) AS year", "CAST(month AS INT) AS month",
+                 "CAST(dekad AS INT) AS dekad", "param", "value"]
+
+
+def _keyed(daily: DataFrame, columns: list[str], keys: list[str]) -> DataFrame:
+    d = "`date`"
+    return (daily.selectExpr("site_id", "name", "lat", "lon", *columns, f"year({d}) AS year", f"month({d}) AS month",
+                             f"CASE WHEN dayofmonth({d}) <= 10 THEN 1 WHEN dayofmonth({d}) <= 20 THEN 2 ELSE 3 END AS dekad")
+                 .filter(" AND ".join(f"{k} IS NOT NULL" for k in keys)))
+
+
+def dekad_partials(daily: DataFrame) -> DataFrame:
+    """Mergeable parts of A1: per dekad key and parameter the number of values, their
+    sum, maximum and minimum (null where there is none).
+
+    Null keys are dropped (T14); NaN is missing (T2).
+    """
+    keys = DEKAD_KEY + ["param"]
+    keyed = _keyed(daily, ["param", "CASE WHEN NOT isnan(value) THEN value END AS value"], keys)
+    return keyed.groupBy(*keys).agg(F.expr("count(value) AS n"), F.expr("sum(value) AS total"),
+                                    F.expr("max(value) AS high"), F.expr("min(value) AS low"))
+
+
+def merge_partials(partials: DataFrame) -> DataFrame:
+    """Parts of the same key added up; any split of the days gives the same parts."""
+    return partials.groupBy(*DEKAD_KEY, "param").agg(F.expr("sum(n) AS n"), F.expr("sum(total) AS total"),
+                                                     F.expr("max(high) AS high"), F.expr("min(low) AS low"))
+
+
+def finish_partials(partials: DataFrame, rules: DataFrame | None = None) -> DataFrame:
+    """One value per key from its parts, by ``rules`` (default: the fixed ones).
+
+    All-missing groups: the sum rule gives 0, the others give no row (T1).
+    """
+    if rules is None:
+        ruled = partials.withColumn("rule", rule_of("param"))
+    else:
+        from . import rules as R
+        R.expect_unambiguous(partials, rules)
+        ruled = partials.join(R.resolve(partials, rules).select("param", "rule"), "param")
+    from .rules import value_of
+    value = value_of(F.col("rule"), F.col("n"), F.col("total"), F.col("high"), F.col("low"))
+    return ruled.withColumn("value", value).filter("value IS NOT NULL").selectExpr(*DEKAD_COLUMNS)
+
+
+def dekad_aggregate(daily: DataFrame, rules: DataFrame | None = None) -> DataFrame:
     """A1: daily long rows → one value per (site, name, lat, lon, year, month, dekad, param).
 
-    One ``groupBy`` computes sum/avg/max/min together; the rule picks one.
+    One ``groupBy`` computes count/sum/max/min together; the rule picks one.
     All-missing groups: the sum rule gives 0, the others give no row (T1).
     Null grouping keys are dropped as pandas does (T14).
     """
-    d = "`date`"
-    keys = DEKAD_KEY + ["param"]
-    # NaN is missing, as in pandas (T2); Spark would let it poison sum/avg/max
-    keyed = (daily.selectExpr("site_id", "name", "lat", "lon", "param",
-                              "CASE WHEN NOT isnan(value) THEN value END AS value",
-                              f"year({d}) AS year", f"month({d}) AS month",
-                              f"CASE WHEN dayofmonth({d}) <= 10 THEN 1 WHEN dayofmonth({d}) <= 20 THEN 2 ELSE 3 END AS dekad")
-                  .filter(" AND ".join(f"{k} IS NOT NULL" for k in keys)))
-    agg = keyed.groupBy(*keys).agg(F.expr("sum(value) AS _s"), F.expr("avg(value) AS _a"),
-                                   F.expr("max(value) AS _mx"), F.expr("min(value) AS _mn"))
-    # the rule is projected once per group; CollapseProject keeps it as its
-    # own projection instead of repeating the string tests in every branch
-    agg = agg.selectExpr("*", RULE_SQL.format(p="param") + " AS _rule")
-    value = ("CASE _rule WHEN 'sum' THEN coalesce(_s, 0.0) WHEN 'max' THEN _mx WHEN 'min' THEN _mn "
-             "WHEN 'range' THEN _mx - _mn ELSE _a END")
-    return (agg.selectExpr(*keys, f"{value} AS value")
-               .filter("value IS NOT NULL")
-               .selectExpr("site_id", "name", "lat", "lon", "CAST(year AS INT) AS year",
-                           "CAST(month AS INT) AS month", "CAST(dekad AS INT) AS dekad", "param", "value"))
+    return finish_partials(dekad_partials(daily), rules)
+
+
+def dekad_aggregate_wide(daily: DataFrame, params: list[str], rules: dict[str, str] | None = None) -> DataFrame:
+    """A1 for daily rows with one column per parameter, as payloads deliver them.
+
+    The wide rows are aggregated first, each parameter by its own rule only, and the
+    dekads are unpivoted after: one row per site and day goes into the hash
+    aggregate, not one per parameter.  Equal to ``dekad_aggregate`` of the melted rows.
+    """
+    rules = rules or {p: default_rule(p) for p in params}
+    value = lambda p: f"CASE WHEN NOT isnan(`{p}`) THEN `{p}` END AS `{p}`"
+    form = {"sum": "coalesce(sum(`{p}`), 0.0D)", "mean": "avg(`{p}`)", "max": "max(`{p}`)", "min": "min(`{p}`)", "range": "max(`{p}`) - min(`{p}`)"}
+    wide = _keyed(daily, [value(p) for p in params], DEKAD_KEY).groupBy(*DEKAD_KEY).agg(*[F.expr(form[rules[p]].format(p=p) + f" AS `{p}`") for p in params])
+    return wide.unpivot(DEKAD_KEY, params, "param", "value").filter("value IS NOT NULL").selectExpr(*DEKAD_COLUMNS)
+
+
+def default_rule(param: str) -> str:
+    """The default rule of one parameter's name."""
+    import re
+    from .rules import DEFAULT_RULES
+    return next((rule for pattern, rule, _ in DEFAULT_RULES if re.search(pattern, param.lower())), RULE_MEAN)
 
 
 def collapse_dekads(dekads: DataFrame) -> DataFrame:
@@ -134,7 +183,12 @@ def season_table(daily: DataFrame) -> DataFrame:
     with a third of the raw rows still spreads over its seasons' partitions.
     Equal to ``pair_seasons(collapse_dekads(dekad_aggregate(daily)))``.
     """
-    rows = (dekad_aggregate(daily)
+    return seasons_of(dekad_aggregate(daily))
+
+
+def seasons_of(dekads: DataFrame) -> DataFrame:
+    """``season_table`` from dekads that are there already."""
+    rows = (dekads
             .selectExpr("site_id", "name", "param", "value", "CAST((month - 1) * 3 + dekad AS INT) AS dekad36",
                         "explode(array(named_struct('season_year', CAST(year + 1 AS INT), 'rel_year', 1), "
                         "named_struct('season_year', CAST(year AS INT), 'rel_year', 2))) AS _p")

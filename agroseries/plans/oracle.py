@@ -866,6 +866,19 @@ def _n_rules_sql(p="param"):
 
 ORACLE["param_rules"] = with_("daily_raw") + f"""
 SELECT param, {rule_sql()} AS rule, {_n_rules_sql()} AS n_rules FROM (SELECT DISTINCT param FROM daily_raw)"""
+ORACLE["dekad_aggregate_long"] = ORACLE["dekad_aggregate"]
+ORACLE["dekad_rules"] = with_("dagg") + """
+SELECT site_id, name, round(lat, 6) AS lat, round(lon, 6) AS lon, year, month, dekad, param, round(value, 6) AS value
+FROM (SELECT *, CASE WHEN param IN ('PRICE_MAX', 'PRICE_MIN') THEN mx - mn WHEN param IN ('TAX', 'DISC_RANGE') THEN mx ELSE a END AS value FROM dagg)
+WHERE value IS NOT NULL"""
+ORACLE["rule_conflicts"] = with_("daily_raw") + """
+SELECT param, coalesce(split_part(candidates, '/', 1), 'mean') AS rule, CASE WHEN candidates = '' THEN 0 ELSE len(string_split(candidates, '/')) END::INTEGER AS n_rules, candidates
+FROM (SELECT param, concat_ws('/', CASE WHEN param LIKE '%MIN' THEN 'min' END,
+        CASE WHEN param LIKE 'PRICE%' OR param LIKE '%MAX' THEN 'range' END,
+        CASE WHEN param LIKE 'TAX%' OR param LIKE 'DISC%' THEN 'max' END,
+        CASE WHEN param LIKE '%COUNT' OR param LIKE '%QTY' THEN 'mean' END,
+        CASE WHEN param LIKE '%PROB%' THEN 'min' END) AS candidates
+      FROM (SELECT DISTINCT param FROM daily_raw))"""
 ORACLE["canonical_panel"] = with_("dpanel") + """
 SELECT site_id, name, year, round(planted_ha, 6) AS area_planted_ha, round(harvested_ha, 6) AS harvested_ha,
        round(yield_kg_ha, 6) AS yield_kg_ha, round(value_share, 6) AS value_share, round(lost_ha, 6) AS lost_ha,

@@ -15,7 +15,7 @@ from pyspark.sql import types as T
 
 from .. import bindings as B
 from ..functions import columns as C
-from ..operators import climate
+from ..operators import climate, rules as RU
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 
@@ -57,17 +57,47 @@ def q_dekad_keys(spark, sf):
 @register("dekad_aggregate")
 def q_dekad_aggregate(spark, sf):
     """A1."""
-    return finalize(climate.dekad_aggregate(B.daily(spark, sf)))
+    return finalize(dekads(spark, sf))
+
+
+@register("dekad_aggregate_long")
+def q_dekad_aggregate_long(spark, sf):
+    """A1 on melted rows, the default rules given as a table."""
+    return finalize(climate.dekad_aggregate(B.daily(spark, sf), RU.default_rules(spark)))
+
+
+# fixed values: another rule set; two rules fit PRICE_MAX and agree, two fit
+# PRICE_MIN and are told apart by precedence in ``rule_conflicts``
+OTHER_RULES = [("^price", "range", 1), ("max$", "range", 2), ("^(tax|disc)", "max", 3), ("count$|qty$", "mean", 4)]
+CLASHING_RULES = [*OTHER_RULES, ("min$", "min", 0), ("prob", "min", 5)]
+
+
+@register("dekad_rules")
+def q_dekad_rules(spark, sf):
+    """A1 with a rule table of its own."""
+    return finalize(climate.dekad_aggregate(B.daily(spark, sf), spark.createDataFrame(OTHER_RULES, RU.RULE_SCHEMA)))
+
+
+@register("rule_conflicts")
+def q_rule_conflicts(spark, sf):
+    """Rules resolved per parameter that occurs, with the conflicts they have."""
+    found = RU.resolve(B.daily_raw(spark, sf), spark.createDataFrame(CLASHING_RULES, RU.RULE_SCHEMA))
+    return found.select("param", "rule", "n_rules", F.array_join("candidates", "/").alias("candidates"))
 
 
 @register("dekad36_mean")
 def q_dekad36_mean(spark, sf):
     """A2."""
-    return finalize(climate.collapse_dekads(climate.dekad_aggregate(B.daily(spark, sf))))
+    return finalize(climate.collapse_dekads(dekads(spark, sf)))
+
+
+def dekads(spark, sf) -> DataFrame:
+    """A1 on the wide daily rows: aggregated before they are melted."""
+    return climate.dekad_aggregate_wide(B.daily_wide(spark, sf), [p for p, _ in B.DAILY_PARAMS])
 
 
 def season(spark, sf) -> DataFrame:
-    return climate.season_table(B.daily(spark, sf))
+    return climate.seasons_of(dekads(spark, sf))
 
 
 @register("season_pairs")
@@ -686,7 +716,7 @@ def q_io_daily_csv(spark, sf):
 def q_io_dekads_parquet(spark, sf):
     """K3 → S6: dekads written by year, read back (all years)."""
     path = scratch_path(spark, "dekads")
-    K.write_by_year(climate.dekad_aggregate(B.daily(spark, sf)), path)
+    K.write_by_year(dekads(spark, sf), path)
     return finalize(R.read_dekads(spark, path).select("site_id", "name", "lat", "lon", "year", "month",
                                                        "dekad", "param", "value"))
 
@@ -920,14 +950,14 @@ def q_melt_params(spark, sf):
 def q_pivot_params(spark, sf):
     """Dekad values with one column per parameter."""
     params = [p for p, _ in B.DAILY_PARAMS]
-    return finalize(climate.pivot_params(climate.dekad_aggregate(B.daily(spark, sf)), params))
+    return finalize(climate.pivot_params(dekads(spark, sf), params))
 
 
 @register("pivot_dekads")
 def q_pivot_dekads(spark, sf):
     """``<P>_dec<N>`` columns per (site, name, year)."""
     params = [p for p, _ in B.DAILY_PARAMS]
-    return finalize(climate.pivot_dekads(climate.collapse_dekads(climate.dekad_aggregate(B.daily(spark, sf))), params))
+    return finalize(climate.pivot_dekads(climate.collapse_dekads(dekads(spark, sf)), params))
 
 
 @register("param_rules")
@@ -947,10 +977,8 @@ def q_canonical_panel(spark, sf):
 @register("union_batches")
 def q_union_batches(spark, sf):
     """Dekad rows and season rows in one table, columns matched by name."""
-    d = B.daily(spark, sf)
-    dek = climate.dekad_aggregate(d)
-    sea = climate.season_table(d)
-    return finalize(climate.union_all([dek, sea]))
+    dek = dekads(spark, sf)
+    return finalize(climate.union_all([dek, climate.seasons_of(dek)]))
 
 
 @register("io_panel_csv")
