@@ -867,6 +867,7 @@ def _n_rules_sql(p="param"):
 ORACLE["param_rules"] = with_("daily_raw") + f"""
 SELECT param, {rule_sql()} AS rule, {_n_rules_sql()} AS n_rules FROM (SELECT DISTINCT param FROM daily_raw)"""
 ORACLE["dekad_aggregate_long"] = ORACLE["dekad_aggregate"]
+ORACLE["incremental_dekads"] = ORACLE["dekad_aggregate"]
 ORACLE["dekad_rules"] = with_("dagg") + """
 SELECT site_id, name, round(lat, 6) AS lat, round(lon, 6) AS lon, year, month, dekad, param, round(value, 6) AS value
 FROM (SELECT *, CASE WHEN param IN ('PRICE_MAX', 'PRICE_MIN') THEN mx - mn WHEN param IN ('TAX', 'DISC_RANGE') THEN mx ELSE a END AS value FROM dagg)

@@ -917,6 +917,23 @@ def q_incremental_ingest(spark, sf):
                        .agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("value"), 4).alias("sum_value")), 4)
 
 
+@register("incremental_dekads")
+def q_incremental_dekads(spark, sf):
+    """S11 + A1: days arrive in three streams (odd years; even years; late days of
+    all), the second is written twice, two years are folded; then the dekads."""
+    from ..streaming import dekads as SD
+    src, out, ck = (scratch_path(spark, f"dekads-{x}") for x in ("in", "parts", "checkpoint"))
+    raw = B.daily_raw(spark, sf)
+    late = F.dayofmonth("date").isin(9, 19, 29)
+    odd = F.year("date") % 2 == 1
+    for part in (raw.where(odd & ~late), raw.where(~odd & ~late), raw.where(late)):
+        part.write.mode("append").parquet(src)
+        SD.ingest_dekads(spark, src, out, ck, raw.schema, max_files_per_trigger=1_000)
+    SD.apply_batch(raw.where(~odd & ~late).withColumn("value", C.sentinel_null("value")), 1, out)  # as after a crash
+    SD.compact(spark, out, [1996, 1997])
+    return finalize(SD.read_dekads(spark, out))
+
+
 # ---------------------------------------------------------------- remaining scalar / reshape operators
 @register("parse_feature_name")
 def q_parse_feature_name(spark, sf):
