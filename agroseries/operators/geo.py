@@ -2,17 +2,14 @@
 
 * G1  vertex-mean centroid of GeoJSON Point / Polygon / MultiPolygon, parsed
       with ``from_json`` per geometry type and reduced with ``aggregate``.
-* G2/G4 point-in-polygon as a **band join**: polygon edges are replicated into
-      the horizontal bands they span; a point meets only the edges of its band.
-      Even-odd crossing parity gives "inside"; an explicit on-segment test makes
-      the border rule selectable (``clip`` keeps border points, ``contains``
-      drops them).  Work per point is the band's edge count, not the polygon's.
+* G2/G4 even-odd point-in-polygon over cells that follow the boundary
+      (``operators/boundary.py``); an explicit on-segment test makes the border rule
+      selectable (``clip`` keeps border points, ``contains`` drops them).  A plain
+      band join over y (``point_in_polygon``) is kept for boundaries of few edges.
 * G3  regular grid from ``spark.range`` with integer steps (x = x0 + i·step, as
       ``arange``), so no floating accumulation and no driver-side list.
-* G5  surfaces over the grid: inverse-distance weighting (a per-row reduction
-      over the station array) or the multiquadric RBF, whose N×N weights come
-      from one driver solve (N = stations, guarded) and are then evaluated on
-      the distributed grid by a pandas UDF.
+* G5  inverse-distance surfaces over the grid: stations in blocks, each cell meets each
+      block once and the blocks' sums add up.
 """
 
 from __future__ import annotations
@@ -134,13 +131,15 @@ def star_polygon(points: DataFrame, x: str = "lon", y: str = "lat") -> DataFrame
 
 def clip_points(points: DataFrame, edges: DataFrame, x: str = "lon", y: str = "lat") -> DataFrame:
     """Points inside the boundary or on it (clip keeps the border)."""
-    p = point_in_polygon(points, edges, x, y)
+    from .boundary import inside
+    p = inside(points, edges, x, y)
     return p.filter(F.col("inside") | F.col("on_border")).drop("inside", "on_border")
 
 
 def mask_grid(grid: DataFrame, edges: DataFrame) -> DataFrame:
     """``inside`` = strictly inside (``contains`` excludes the border)."""
-    p = point_in_polygon(grid, edges, "x", "y")
+    from .boundary import inside
+    p = inside(grid, edges, "x", "y")
     return p.withColumn("inside", F.col("inside") & ~F.col("on_border")).drop("on_border")
 
 

@@ -788,6 +788,18 @@ cte("st_cls", ("st_clip", "dpanel"), f"""
        (SELECT quantile_cont(t.target, [0, 0.25, 0.5, 0.75, 1]) AS q FROM st_clip s
         JOIN (SELECT site_id, avg(yield_kg_ha) AS target FROM dpanel GROUP BY site_id) t ON s.site_id = t.site_id) e""")
 
+ORACLE["clip_geojson"] = with_("site") + """,
+ext AS (SELECT region_id AS code, min(lon) AS a, max(lon) AS b, min(lat) AS c, max(lat) AS d FROM site WHERE lon IS NOT NULL AND lat IS NOT NULL GROUP BY region_id),
+v AS (
+  SELECT code, 0 AS ring, [[a - 0.1, c - 0.1], [b + 0.1, c - 0.1], [b + 0.1, d + 0.1], [a - 0.1, d + 0.1], [a - 0.1, c - 0.1]] AS p FROM ext
+  UNION ALL SELECT code, 1, [[(a + b) / 2 - 0.5, (c + d) / 2], [(a + b) / 2, (c + d) / 2 + 0.5], [(a + b) / 2 + 0.5, (c + d) / 2], [(a + b) / 2, (c + d) / 2 - 0.5], [(a + b) / 2 - 0.5, (c + d) / 2]] FROM ext
+  UNION ALL SELECT code, 2, [[b + 0.2, c], [b + 1.2, c + 0.3], [b + 0.4, d], [b + 0.2, c]] FROM ext),
+i AS (SELECT code, p, unnest(range(1, len(p))) AS k FROM v),
+e AS (SELECT code, p[k][1] AS x1, p[k][2] AS y1, p[k + 1][1] AS x2, p[k + 1][2] AS y2 FROM i),
+pts AS (SELECT c_custkey, -47.9::DOUBLE - (c_custkey * 31 % 997)::DOUBLE * 0.0083::DOUBLE AS x, -22.3::DOUBLE - (c_custkey * 17 % 613)::DOUBLE * 0.0079::DOUBLE AS y FROM customer)
+SELECT c_custkey, code AS boundary FROM pts CROSS JOIN e GROUP BY ALL
+HAVING sum(CASE WHEN (y1 > y) <> (y2 > y) AND x < x1 + (y - y1) * (x2 - x1) / (y2 - y1) THEN 1 ELSE 0 END) % 2 = 1
+  OR bool_or((x2 - x1) * (y - y1) - (y2 - y1) * (x - x1) = 0 AND x BETWEEN least(x1, x2) AND greatest(x1, x2) AND y BETWEEN least(y1, y2) AND greatest(y1, y2))"""
 ORACLE["idw_surface"] = with_("gmask", "st_cls") + """
 SELECT i, j, round(CASE WHEN bool_or(d2 = 0) THEN max(CASE WHEN d2 = 0 THEN sz END)
                         ELSE sum(sz / pow(sqrt(d2), 2.0)) / sum(1.0 / pow(sqrt(d2), 2.0)) END, 6) AS z

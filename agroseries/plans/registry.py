@@ -633,7 +633,7 @@ def q_kmeans(spark, sf):
 
 
 # ---------------------------------------------------------------- geo
-from ..operators import geo as G  # noqa: E402
+from ..operators import boundary as BO, geo as G  # noqa: E402
 
 BOUNDARY_REGIONS = ["AMERICA", "ASIA"]
 
@@ -670,6 +670,32 @@ def q_clip_points(spark, sf):
     return finalize(G.clip_points(s, boundary_edges(spark, sf)).select("site_id", "name", "lat", "lon"))
 
 
+def region_boundaries(spark, sf) -> DataFrame:
+    """(code, geometry) of each region: a box around its sites with a diamond cut out
+    of its middle, and a triangle beside it."""
+    s = B.sites(spark, sf).where("lon IS NOT NULL AND lat IS NOT NULL")
+    ext = s.groupBy("region_id").agg(F.min("lon").alias("a"), F.max("lon").alias("b"), F.min("lat").alias("c"), F.max("lat").alias("d"))
+    ring = lambda *p: F.array(*(F.array(F.expr(x), F.expr(y)) for x, y in (*p, p[0])))
+    box = ring(("a - 0.1", "c - 0.1"), ("b + 0.1", "c - 0.1"), ("b + 0.1", "d + 0.1"), ("a - 0.1", "d + 0.1"))
+    hole = ring(("(a + b) / 2 - 0.5", "(c + d) / 2"), ("(a + b) / 2", "(c + d) / 2 + 0.5"), ("(a + b) / 2 + 0.5", "(c + d) / 2"), ("(a + b) / 2", "(c + d) / 2 - 0.5"))
+    beside = ring(("b + 0.2", "c"), ("b + 1.2", "c + 0.3"), ("b + 0.4", "d"))
+    return ext.select("region_id", F.array(F.array(box, hole), F.array(beside)).alias("coordinates"))
+
+
+@register("clip_geojson")
+def q_clip_geojson(spark, sf):
+    """S2 → G2: regions written as GeoJSON (two parts, one with a hole), read back and
+    turned into edges; which customers' points each region holds."""
+    path = scratch_path(spark, "regions")
+    feats = region_boundaries(spark, sf).select(
+        F.lit("Feature").alias("type"), F.struct(F.col("region_id").cast("string").alias("codarea")).alias("properties"),
+        F.struct(F.lit("MultiPolygon").alias("type"), "coordinates").alias("geometry"))
+    feats.write.mode("overwrite").json(path)
+    edges = BO.geometry_edges(R.read_boundaries(spark, path, collection=False))
+    pts = B.table(spark, sf, "customer").selectExpr("c_custkey", "-47.9D - CAST(c_custkey * 31 % 997 AS DOUBLE) * 0.0083D AS x", "-22.3D - CAST(c_custkey * 17 % 613 AS DOUBLE) * 0.0079D AS y")
+    return finalize(BO.locate(pts, edges).select("c_custkey", "boundary"))
+
+
 def boundary_grid(spark, sf):
     e = boundary_edges(spark, sf)
     b = e.agg(F.min(F.least("x1", "x2")), F.min(F.least("y1", "y2")),
