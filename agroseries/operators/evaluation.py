@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .ranges import prefix_sums, quantiles
+from .ranges import prefix_sums, quantiles, with_next
 
 MAX_LABELS = 200  # alignment and its k × k table are a driver-side step
 
@@ -226,6 +226,25 @@ def roc_points(scored: DataFrame, t: str = "y_true", c: str = "cls", s: str = "s
                       F.when(F.col("N") > 0, fp / F.col("N")).alias("fpr")).unionByName(start)
 
 
+def roc_points_thin(scored: DataFrame, t: str = "y_true", c: str = "cls", s: str = "score") -> DataFrame:
+    """M17 without collinear points: ``roc_points`` less those where the curve goes on
+    in the same direction, so every corner stays and the area is the same.
+
+    A point lies on the line through its neighbours when the step to it and the step
+    from it have parallel counts; the step from a threshold's point is the next lesser
+    score's counts.  The start and each class's last point stay.
+    """
+    pre = score_prefix(scored, t, c, s).withColumn("_down", -F.col("score"))
+    nxt = with_next(pre, ["cls"], "_down", ["pos", "neg"])
+    corner = F.col("pos_next").isNull() | (F.col("pos") * F.col("neg_next") != F.col("neg") * F.col("pos_next"))
+    kept = nxt.where(corner)
+    share = lambda all_, lt: F.when(F.col(all_) > 0, (F.col(all_) - F.col(lt)) / F.col(all_))
+    points = kept.select("cls", F.col("score").alias("threshold"), share("P", "pos_lt").alias("tpr"), share("N", "neg_lt").alias("fpr"))
+    start = pre.groupBy("cls").agg(F.max("P").alias("P"), F.max("N").alias("N")).select(
+        "cls", F.lit(float("inf")).alias("threshold"), F.when(F.col("P") > 0, F.lit(0.0)).alias("tpr"), F.when(F.col("N") > 0, F.lit(0.0)).alias("fpr"))
+    return points.unionByName(start)
+
+
 def youden(roc: DataFrame) -> DataFrame:
     """Threshold maximising TPR − FPR; ties → higher threshold (lower FPR).
 

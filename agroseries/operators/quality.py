@@ -27,18 +27,38 @@ def completeness(df: DataFrame, cols=None) -> DataFrame:
     return df.agg(*exprs)
 
 
-def expect_complete(df: DataFrame, cols=None, n_fields: int | None = None) -> DataFrame:
-    """Q1: raise when any listed column has a null/empty value, or when the table
-    has not the expected number of fields."""
+def incomplete_rows(df: DataFrame, cols=None) -> DataFrame:
+    """Q1 rows: those with a null or empty value, and ``missing``, the columns at fault."""
+    kinds = dict(df.dtypes)
+    faults = []
+    for c in list(cols or df.columns):
+        v = F.col(f"`{c}`")
+        empty = v.isNull() | (F.trim(v) == "") if kinds[c] == "string" else v.isNull()
+        faults.append(F.when(empty, F.lit(c)))
+    return df.withColumn("missing", F.array_compact(F.array(*faults))).where(F.size("missing") > 0)
+
+
+def expect_complete(df: DataFrame, cols=None, n_fields: int | None = None, sample: int = 5) -> DataFrame:
+    """Q1: raise when any listed column has a null/empty value, or when the table has not
+    the expected number of fields; the error shows up to ``sample`` rows."""
     if n_fields is not None and len(df.columns) != n_fields:
         raise ExpectationError(f"{len(df.columns)} fields instead of {n_fields}")
     row = completeness(df, cols).first().asDict()
     bad = {k[len("missing_"):]: v for k, v in row.items() if k.startswith("missing_") and v}
     if bad:
-        raise ExpectationError(f"incomplete columns: {bad}")
+        rows = [tuple(r) for r in incomplete_rows(df, cols).limit(sample).collect()]
+        raise ExpectationError(f"incomplete columns: {bad}; for example {rows}")
     return df
 
 
+def expect_no_bad_rows(quarantine: DataFrame, sample: int = 5) -> None:
+    """Q1 on files: raise with the number of rows by reason and up to ``sample`` lines."""
+    counts = {r["reason"]: r["n"] for r in quarantine.groupBy("reason").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "reason").limit(sample).collect()}
+    if counts:
+        rows = [(r["file"], r["reason"], r["line"]) for r in quarantine.limit(sample).collect()]
+        raise ExpectationError(f"malformed rows: {counts}; for example {rows}")
+
+
 def duplicate_keys(df: DataFrame, keys) -> DataFrame:
     """Q2: keys that occur more than once, with their count."""
     keys = list(keys)

@@ -45,3 +45,25 @@ def quantiles(df: DataFrame, by: list[str], col: str, probs: list[float]) -> Dat
     g = placed.groupBy(*by).agg(F.max("_n_all").alias("_all"), *aggs)
     part = lambda p: F.lit(p) * (F.col("_all") - 1) - F.floor(F.lit(p) * (F.col("_all") - 1))
     return g.select(*by, F.array(*[F.col(f"_lo{i}") + (F.col(f"_hi{i}") - F.col(f"_lo{i}")) * part(p) for i, p in enumerate(probs)]).alias("q"))
+
+
+def with_next(df: DataFrame, by: list[str], value: str, columns: list[str]) -> DataFrame:
+    """``df`` (one row per group and value) with ``<c>_next``, the columns of the group's
+    row of the next greater value (null at its end).
+
+    Rows are put in ranges of (group, value); inside a range the next row is a window
+    away, at its end it is the first row of the group's next range, taken from a table
+    of one row per range and group.  No task holds a whole group.
+    """
+    ranged = cut_lineage(df.repartitionByRange(*by, value).withColumn("_range", F.spark_partition_id()))
+    inside = Window.partitionBy("_range", *by).orderBy(value)
+    here = F.struct(*columns)
+    ranged = ranged.withColumns({"_next": F.lead(here).over(inside), "_last": F.lead(F.lit(True)).over(inside).isNull()})
+    firsts = ranged.groupBy(*by, "_range").agg(F.min(F.struct(F.col(value).alias("_v"), here.alias("_row"))).alias("_first"))
+    after = Window.partitionBy(*by).orderBy("_range")
+    firsts = firsts.select(F.col("_range").alias("_range_"), *[F.col(b).alias(f"{b}_") for b in by], F.lead("_first._row").over(after).alias("_then"))
+    same = F.col("_range") == F.col("_range_")
+    for b in by:
+        same = same & F.col(b).eqNullSafe(F.col(f"{b}_"))
+    found = F.when(F.col("_last"), F.col("_then")).otherwise(F.col("_next"))
+    return ranged.join(firsts, same).select(*df.columns, *[found[c].alias(f"{c}_next") for c in columns])

@@ -880,6 +880,33 @@ ORACLE["param_rules"] = with_("daily_raw") + f"""
 SELECT param, {rule_sql()} AS rule, {_n_rules_sql()} AS n_rules FROM (SELECT DISTINCT param FROM daily_raw)"""
 ORACLE["dekad_aggregate_long"] = ORACLE["dekad_aggregate"]
 ORACLE["incremental_dekads"] = ORACLE["dekad_aggregate"]
+ORACLE["roc_points_thin"] = with_("emb_pre") + """,
+n AS (SELECT *, lag(pos) OVER w AS pos_next, lag(neg) OVER w AS neg_next FROM emb_pre WINDOW w AS (PARTITION BY cls ORDER BY score))
+SELECT cls, round(score, 6) AS threshold, round(CASE WHEN P > 0 THEN (P - pos_lt) / P END, 6) AS tpr, round(CASE WHEN N > 0 THEN (N - neg_lt) / N END, 6) AS fpr
+FROM n WHERE pos_next IS NULL OR pos * neg_next <> neg * pos_next
+UNION ALL SELECT DISTINCT cls, 'inf'::DOUBLE, CASE WHEN P > 0 THEN 0.0 END, CASE WHEN N > 0 THEN 0.0 END FROM emb_pre"""
+ORACLE["io_bad_rows"] = """
+WITH k AS (SELECT l_orderkey % 40 AS kind, lpad(l_linenumber::VARCHAR, 7, '0') AS site_id, 'Site, ' || l_linenumber AS name, l_quantity::DOUBLE AS v FROM lineitem)
+SELECT site_id, name, NULL::VARCHAR AS reason, count(*) AS n, round(sum(CASE WHEN kind <> 11 THEN v END), 4) AS total, sum((kind = 11)::INTEGER)::BIGINT AS n_null
+FROM k WHERE kind NOT IN (1, 3, 5, 7, 9) GROUP BY ALL
+UNION ALL SELECT NULL, NULL, CASE kind WHEN 1 THEN 'fields 4 instead of 7' WHEN 3 THEN 'fields 8 instead of 7' WHEN 5 THEN 'missing site_id' WHEN 7 THEN 'type of date' ELSE 'type of value' END, count(*), NULL, NULL
+FROM k WHERE kind IN (1, 3, 5, 7, 9) GROUP BY ALL"""
+ORACLE["io_rewrite_year"] = with_("dekads") + """
+SELECT site_id, name, round(lat, 6) AS lat, round(lon, 6) AS lon, year, month, dekad, param, round(CASE WHEN year = 1998 THEN value * 2 + 1 ELSE value END, 6) AS value FROM dekads"""
+ORACLE["io_ordered_csv"] = with_("production") + """
+SELECT 0 AS line_no, 'site_id,name,year,planted_ha,harvested_ha' AS line
+UNION ALL SELECT row_number() OVER (ORDER BY site_id, year), concat_ws(',', site_id, name, year, planted_ha, harvested_ha) FROM production"""
+ORACLE["sql_dekads"] = ORACLE["dekad_aggregate"]
+ORACLE["sql_report"] = with_("site", "production") + """,
+t AS (SELECT coalesce(s.region, '?') AS region, p.year, sum(p.planted_ha) AS pl, sum(p.harvested_ha) AS ha, sum(p.produced_t) * 1000 / nullif(sum(p.harvested_ha), 0) AS y
+  FROM production p LEFT JOIN site s ON p.site_id = s.site_id GROUP BY ALL)
+SELECT region, year, round(pl, 4) AS planted_ha, round(CASE WHEN pl > 0 THEN (pl - ha) / pl * 100 ELSE 0 END, 4) AS loss_pct,
+  translate(format('{:,.1f}', round(pl, 4)), ',.', '.,') AS planted_text, coalesce(translate(format('{:,.2f}', y), ',.', '.,'), '-') AS yield_text FROM t"""
+ORACLE["sql_screen"] = with_("daily", "production") + """,
+yearly AS (SELECT site_id, param, year(date) AS year, avg(value) AS x FROM daily GROUP BY ALL),
+m AS (SELECT y.param, count(*) AS n, CASE WHEN stddev_pop(x) > 0 AND stddev_pop(yield_kg_ha) > 0 AND y.param <> 'ITEM_COUNT' THEN corr(x, yield_kg_ha) END AS r
+  FROM yearly y JOIN production p ON p.site_id = y.site_id AND p.year = y.year WHERE x IS NOT NULL AND yield_kg_ha IS NOT NULL GROUP BY y.param HAVING count(*) > 5)
+SELECT param, n, round(r, 5) AS r, CASE WHEN abs(r) > 0.7 THEN 'strong' WHEN abs(r) > 0.4 THEN 'moderate' WHEN r IS NOT NULL THEN 'weak' END AS strength FROM m"""
 ORACLE["dekad_rules"] = with_("dagg") + """
 SELECT site_id, name, round(lat, 6) AS lat, round(lon, 6) AS lon, year, month, dekad, param, round(value, 6) AS value
 FROM (SELECT *, CASE WHEN param IN ('PRICE_MAX', 'PRICE_MIN') THEN mx - mn WHEN param IN ('TAX', 'DISC_RANGE') THEN mx ELSE a END AS value FROM dagg)

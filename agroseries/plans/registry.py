@@ -602,6 +602,12 @@ def q_roc_points(spark, sf):
     return finalize(EV.roc_points(embedding_scores(spark, sf), "y_true", "cls", "score"))
 
 
+@register("roc_points_thin")
+def q_roc_points_thin(spark, sf):
+    """M17 ROC points without collinear ones."""
+    return finalize(EV.roc_points_thin(embedding_scores(spark, sf), "y_true", "cls", "score"))
+
+
 @register("youden")
 def q_youden(spark, sf):
     """M17 Youden optimum."""
@@ -943,6 +949,58 @@ def q_incremental_ingest(spark, sf):
                        .agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("value"), 4).alias("sum_value")), 4)
 
 
+def messy_lines(spark, sf) -> DataFrame:
+    """Daily rows of one parameter as CSV lines; some have a field too few or too many,
+    a value, a date or a key that does not fit."""
+    q = lambda c: F.coalesce(F.col(c).cast("string"), F.lit(""))
+    li = B.table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", "l_quantity", F.to_date("l_shipdate").cast("string").alias("day"))
+    kind = F.col("l_orderkey") % 40
+    site = F.when(kind == 5, F.lit("")).otherwise(F.lpad(F.col("l_linenumber").cast("string"), 7, "0"))
+    name = F.concat(F.lit('"Site, '), q("l_linenumber"), F.lit('"'))
+    day = F.when(kind == 7, F.lit("1995-13-41")).otherwise(F.col("day"))
+    value = F.when(kind == 9, F.lit("n/a")).when(kind == 11, F.lit("")).otherwise(q("l_quantity"))
+    line = F.concat_ws(",", site, name, F.lit("-22.5"), F.lit("-48.25"), day, value, F.lit("PREC_QTY"))
+    return li.select(F.when(kind == 1, F.substring_index(line, ",", 5)).when(kind == 3, F.concat(line, F.lit(",extra"))).otherwise(line).alias("value"))
+
+
+@register("io_bad_rows")
+def q_io_bad_rows(spark, sf):
+    """Q1 + S5 row by row: good rows by site, malformed ones by reason."""
+    path = scratch_path(spark, "messy")
+    messy_lines(spark, sf).write.text(path)
+    good, bad = R.read_daily_checked(spark, path)
+    return (good.groupBy("site_id", "name").agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("value"), 4).alias("total"), F.sum(F.col("value").isNull().cast("int")).alias("n_null"))
+                .select("site_id", "name", F.lit(None).cast("string").alias("reason"), "n", "total", "n_null")
+                .unionByName(bad.groupBy("reason").agg(F.count(F.lit(1)).alias("n")), allowMissingColumns=True))
+
+
+@register("io_rewrite_year")
+def q_io_rewrite_year(spark, sf):
+    """K3: all years written, then one year again with other values; all read back."""
+    path = scratch_path(spark, "years")
+    d = cut_lineage(dekads(spark, sf))
+    K.rewrite_years(d, path)
+    K.rewrite_years(d.where("year = 1998").withColumn("value", F.col("value") * 2 + 1), path)
+    return finalize(R.read_dekads(spark, path).select(d.columns))
+
+
+@register("io_ordered_csv")
+def q_io_ordered_csv(spark, sf):
+    """K5: the production panel as one ordered CSV in parts; each line with its number
+    in the whole file, found from the parts' names and the manifest."""
+    path = scratch_path(spark, "ordered")
+    p = B.production(spark, sf).select("site_id", "name", "year", "planted_ha", "harvested_ha")
+    manifest = K.write_ordered_csv(p, path, ["site_id", "year"])
+    lines = spark.read.text(path).select(F.col("_metadata.file_name").alias("part"), F.monotonically_increasing_id().alias("id"), "value")
+    from pyspark.sql import Window
+    # a part's lines by their place; the manifest (a row per part) says how many come before
+    at = F.row_number().over(Window.partitionBy("part").orderBy("id"))
+    before = F.coalesce(F.sum("n_rows").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    head = F.when(F.row_number().over(Window.orderBy("part")) == 1, F.lit(0)).otherwise(F.lit(1))
+    parts = manifest.select("part", before.alias("before"), head.alias("head"))
+    return lines.withColumn("at", at).join(parts, "part").select((F.col("before") + F.col("at") + F.col("head") - 1).alias("line_no"), F.col("value").alias("line"))
+
+
 @register("incremental_dekads")
 def q_incremental_dekads(spark, sf):
     """S11 + A1: days arrive in three streams (odd years; even years; late days of
@@ -960,6 +1018,42 @@ def q_incremental_dekads(spark, sf):
     return finalize(SD.read_dekads(spark, out))
 
 
+# ---------------------------------------------------------------- SQL text only
+from .. import sql as SQL  # noqa: E402
+
+SQL_DEKADS = """
+WITH keyed AS (SELECT *, agro_observed(value) AS v, year(date) AS year, month(date) AS month, agro_dekad(date) AS dekad, agro_dekad_rule(param) AS rule FROM agro_daily),
+parts AS (SELECT site_id, name, lat, lon, year, month, dekad, param, rule, sum(v) AS total, avg(v) AS mean, max(v) AS high, min(v) AS low FROM keyed
+  WHERE site_id IS NOT NULL AND name IS NOT NULL AND lat IS NOT NULL AND lon IS NOT NULL AND date IS NOT NULL AND param IS NOT NULL GROUP BY ALL),
+chosen AS (SELECT *, CASE rule WHEN 'sum' THEN coalesce(total, 0.0D) WHEN 'max' THEN high WHEN 'min' THEN low WHEN 'range' THEN high - low ELSE mean END AS value FROM parts)
+SELECT site_id, name, round(lat, 6) AS lat, round(lon, 6) AS lon, year, month, dekad, param, round(value, 6) AS value FROM chosen WHERE value IS NOT NULL"""
+
+SQL_REPORT = """
+WITH named AS (SELECT p.*, coalesce(s.region, '?') AS region FROM agro_production p LEFT JOIN agro_site s ON agro_site_code(p.site_id) = s.site_id),
+totals AS (SELECT region, year, sum(planted_ha) AS planted, sum(harvested_ha) AS harvested, sum(produced_t) * 1000 AS produced FROM named GROUP BY ALL)
+SELECT region, year, round(planted, 4) AS planted_ha, round(agro_loss_pct(planted, harvested), 4) AS loss_pct,
+  agro_br_number(round(planted, 4), 1) AS planted_text, agro_br_number(try_divide(produced, harvested), 2) AS yield_text
+FROM totals"""
+
+SQL_SCREEN = """
+WITH yearly AS (SELECT site_id, param, year(date) AS year, avg(v) AS x FROM (SELECT *, agro_observed(value) AS v FROM agro_daily) GROUP BY ALL),
+m AS (SELECT y.param, count(*) AS n, sum(x) AS sx, sum(yield_kg_ha) AS sy, sum(x * x) AS sxx, sum(yield_kg_ha * yield_kg_ha) AS syy, sum(x * yield_kg_ha) AS sxy
+  FROM yearly y JOIN agro_production p ON p.site_id = y.site_id AND p.year = y.year WHERE x IS NOT NULL AND yield_kg_ha IS NOT NULL GROUP BY y.param HAVING count(*) > 5),
+c AS (SELECT param, n, agro_pearson(n, sx, sy, sxx, syy, sxy) AS r FROM m)
+SELECT param, n, round(r, 5) AS r, agro_strength(r) AS strength FROM c"""
+
+
+def in_sql(text: str):
+    def run(spark, sf):
+        SQL.install(spark, sf)
+        return spark.sql(text)
+    return run
+
+
+for _name, _text in (("sql_dekads", SQL_DEKADS), ("sql_report", SQL_REPORT), ("sql_screen", SQL_SCREEN)):
+    register(_name)(in_sql(_text))
+
+
 # ---------------------------------------------------------------- remaining scalar / reshape operators
 @register("parse_feature_name")
 def q_parse_feature_name(spark, sf):

@@ -1,8 +1,8 @@
 """Readers for the raw inputs.
 
 All readers use explicit schemas (no inference) and return long DataFrames.
-Climate payloads carry their own header text and are read one file per row with
-``wholetext``: a file holds one site's series.  Production sheets are parsed as CSV
+Climate payloads carry their own header text; their lines are read with their place in
+the file, so a long file is split over tasks.  Production sheets are parsed as CSV
 of any width; header rows are found by their place, columns by their names.
 """
 
@@ -69,40 +69,45 @@ def read_boundaries(spark: SparkSession, path: str, collection: bool = True) ->
                          F.col("geometry.coordinates").alias("coords")))
 
 
+def payload_lines(spark: SparkSession, path: str) -> DataFrame:
+    """Lines of text files with their place: file, block (offset of the file split) and
+    id, ascending within a split.  A file is read by as many tasks as it has splits."""
+    return spark.read.text(path).select(
+        F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"),
+        F.monotonically_increasing_id().alias("id"), F.regexp_replace("value", "\r$", "").alias("line"))
+
+
 def read_point_payloads(spark: SparkSession, path: str, site_pattern: str = r"/payload_([^/]+?)\.[^/.]+$"):
     """S3: climate payload files → (long rows, quarantine).
 
-    Prose before ``-END HEADER-`` is dropped; files without the marker or
-    without YEAR/DOY columns go to the quarantine table with a reason.  The
-    CSV part is split into lines, the header zipped with each row, and YEAR
-    + DOY turned into a date (day 366 of a common year rolls over, T5).
-    Returns (site_id, date, param, value) with value still raw (sentinel kept).
+    Prose up to the last ``-END HEADER-`` is dropped; files without the marker or
+    without YEAR/DOY columns go to the quarantine table with a reason.  The first line
+    after the marker that is not blank names the columns; YEAR + DOY become a date (day
+    366 of a common year rolls over, T5).  Returns (site_id, date, param, value) with
+    value still raw (sentinel kept).
+
+    A file is split like any text: markers and headers are found by least and greatest
+    place per file (a row each, joined back to the lines), no file is gathered.
     """
-    files = (spark.read.text(path, wholetext=True)
-                  .select(F.col("_metadata.file_path").alias("file"), F.col("value").alias("text")))
-    has = F.col("text").contains(END_HEADER)
-    # Spark's trim removes spaces only; the body also starts with a line break
-    body = F.regexp_replace(F.element_at(F.split("text", END_HEADER), -1), r"^\s+|\s+$", "")
-    lines = F.split(F.regexp_replace(body, "\r", ""), "\n")
-    f = files.withColumns({"_ok": has, "_lines": F.when(has, lines)})
-    f = f.withColumn("_header", F.split(F.trim(F.col("_lines")[0]), ","))
-    ok_cols = F.array_contains("_header", "YEAR") & F.array_contains("_header", "DOY")
-    quarantine = f.filter(~F.col("_ok") | ~ok_cols).select(
-        "file", F.when(~F.col("_ok"), F.lit("missing header marker")).otherwise(F.lit("missing YEAR/DOY")).alias("reason"))
-    good = f.filter(F.col("_ok") & ok_cols)
-    rows = good.select("file", "_header", F.posexplode("_lines").alias("ln", "line")).filter(
-        (F.col("ln") > 0) & (F.trim("line") != ""))
-    cells = rows.select("file", "_header", F.split(F.trim("line"), ",").alias("cells"))
-    zipped = cells.select("file", F.arrays_zip("_header", "cells").alias("z"))
-    kv = zipped.select("file", F.col("z").alias("z"),
-                       F.filter("z", lambda e: e["_header"] == "YEAR")[0]["cells"].alias("Y"),
-                       F.filter("z", lambda e: e["_header"] == "DOY")[0]["cells"].alias("D"))
-    long = kv.select("file", "Y", "D", F.explode(F.filter("z", lambda e: ~e["_header"].isin("YEAR", "DOY"))).alias("e"))
+    lines = payload_lines(spark, path)
+    at = F.struct("block", "id")
+    # every file once, from its lines (Spark's readers pass over files of no bytes)
+    marks = lines.groupBy("file").agg(F.max(F.when(F.contains("line", F.lit(END_HEADER)), at)).alias("mark"))
+    # what follows the marker on its own line is part of the body
+    after = lines.join(marks.where("mark IS NOT NULL"), "file").where(at >= F.col("mark")).withColumn(
+        "line", F.when(at == F.col("mark"), F.element_at(F.split("line", END_HEADER), -1)).otherwise(F.col("line"))).where(F.trim("line") != "")
+    heads = after.groupBy("file").agg(F.min(F.struct(at.alias("at"), "line")).alias("head")).select("file", F.col("head.at").alias("head"), F.split(F.trim("head.line"), ",").alias("names"))
+    ok_cols = F.coalesce(F.array_contains("names", "YEAR") & F.array_contains("names", "DOY"), F.lit(False))
+    quarantine = marks.join(heads, "file", "left").where(F.col("mark").isNull() | ~ok_cols).select(
+        "file", F.when(F.col("mark").isNull(), F.lit("missing header marker")).otherwise(F.lit("missing YEAR/DOY")).alias("reason"))
+    cells = lines.join(heads.where(ok_cols), "file").where((at > F.col("head")) & (F.trim("line") != "")).select("file", "names", F.split(F.trim("line"), ",").alias("cells"))
+    named = lambda n: F.get("cells", F.array_position("names", n).cast("int") - 1)
+    pairs = F.filter(F.arrays_zip("names", "cells"), lambda e: e["names"].isNotNull() & ~e["names"].isin("YEAR", "DOY"))
+    long = cells.select("file", named("YEAR").alias("Y"), named("DOY").alias("D"), F.explode(pairs).alias("e"))
     out = long.select(
         F.regexp_extract("file", site_pattern, 1).alias("site_id"),
         date_from_doy(F.col("Y").cast("int"), F.col("D").cast("int")).alias("date"),
-        F.col("e._header").alias("param"),
-        F.col("e.cells").try_cast("double").alias("value"))
+        F.col("e.names").alias("param"), F.col("e.cells").try_cast("double").alias("value"))
     return out, quarantine
 
 
@@ -141,6 +146,55 @@ def read_daily(spark: SparkSession, path: str, partitioned_by_param: bool = True
                      sentinel_null("value").alias("value"))
 
 
+CORRUPT, FILE = "_corrupt", "_file"
+
+
+def read_csv_checked(spark: SparkSession, path: str, schema: T.StructType, required=None) -> tuple[DataFrame, DataFrame]:
+    """Q1 + S5/S8, row by row: CSV files by schema → (good rows, quarantine).
+
+    The quarantine has (file, reason, line) of every row that
+    * has another number of fields than the header (``fields``),
+    * holds a value that does not fit its column's type (``type of <column>``), or
+    * lacks a required value (``missing <column>``; ``required`` defaults to no column).
+    One scan of the lines serves both tables.  Quoted line breaks are not supported here
+    (such files are not splittable); empty lines are skipped.
+    """
+    required = list(required or [])
+    names = [f.name for f in schema]
+    raw = spark.read.text(path).select(F.col("_metadata.file_path").alias(FILE), F.regexp_replace("value", "^\ufeff|\r$", "").alias("line")).where(F.trim("line") != "")
+    # every file's (and part's) header line is the schema's names
+    header = ",".join(names)
+    rows = raw.where(F.regexp_replace("line", '"', "") != header)
+    texts = T.StructType([T.StructField(f"c{i}", T.StringType()) for i in range(len(names))] + [T.StructField("more", T.StringType())])
+    # one column more than the schema shows a field too many; the count comes from the parsed line
+    cells = rows.withColumn("cells", F.from_csv("line", texts.simpleString()[len("struct<"):-1].replace(":", " "), {"quote": '"', "escape": '"', "mode": "PERMISSIVE"}))
+    # separators outside quotes
+    fields = F.size(F.split(F.regexp_replace("line", '"(?:[^"]|"")*"', ""), ",", -1))
+    typed, reasons = [], [F.when(fields != len(names), F.concat(F.lit("fields "), fields.cast("string"), F.lit(f" instead of {len(names)}")))]
+    for i, f in enumerate(schema):
+        text = F.col("cells")[f"c{i}"]
+        blank = text.isNull() | (F.trim(text) == "")
+        value = text if isinstance(f.dataType, T.StringType) else F.when(~blank, F.trim(text).try_cast(f.dataType))
+        typed.append(value.alias(f.name))
+        if not isinstance(f.dataType, T.StringType):
+            reasons.append(F.when(~blank & value.isNull(), F.lit(f"type of {f.name}")))
+        if f.name in required:
+            reasons.append(F.when(blank, F.lit(f"missing {f.name}")))
+    checked = cells.withColumn("reason", F.coalesce(*reasons, F.lit(None).cast("string")))
+    return checked.where("reason IS NULL").select(*typed), checked.where("reason IS NOT NULL").select(F.col(FILE).alias("file"), "reason", "line")
+
+
+def read_daily_checked(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
+    """S5 with a quarantine: daily CSVs that hold the parameter as a column; rows without
+    a key, a date or of another shape are put aside, not guessed."""
+    schema = T.StructType([*DAILY_CSV.fields, T.StructField("param", T.StringType())])
+    good, bad = read_csv_checked(spark, path, schema, required=["site_id", "date", "param"])
+    dated = good.withColumn("_date", F.try_to_date("date", "yyyy-MM-dd"))
+    wrong = dated.where("_date IS NULL").select(F.lit(None).cast("string").alias("file"), F.lit("type of date").alias("reason"), F.concat_ws(",", *[F.coalesce(F.col(f.name).cast("string"), F.lit("")) for f in schema]).alias("line"))
+    rows = dated.where("_date IS NOT NULL").select("site_id", "name", "lat", "lon", F.col("_date").alias("date"), "param", sentinel_null("value").alias("value"))
+    return rows, bad.unionByName(wrong)
+
+
 def read_dekads(spark: SparkSession, path: str, years=None) -> DataFrame:
     """The year-partitioned dekad dataset; a year list prunes partitions."""
     df = spark.read.parquet(path)

@@ -30,6 +30,19 @@ def write_by_year(df: DataFrame, path: str, col: str = "year") -> None:
     df.write.mode("overwrite").partitionBy(col).parquet(path)
 
 
+def rewrite_years(df: DataFrame, path: str, col: str = "year", by: tuple[str, ...] = ("site_id",)) -> None:
+    """K3, one year at a time: the years that ``df`` has replace theirs in the dataset,
+    files of other years are not touched.
+
+    Rows are range partitioned by (year, site) and sorted, so a file holds a run of
+    sites and readers skip files and row groups by their statistics; a large year is
+    several files, however its rows arrive.
+    """
+    keys = [col, *by]
+    (df.repartitionByRange(*keys).sortWithinPartitions(*keys)
+       .write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(col).parquet(path))
+
+
 def fixed_digits(df: DataFrame, digits: int = 4) -> DataFrame:
     """Doubles as text with ``digits`` decimals, other columns as they are.
 
@@ -72,3 +85,31 @@ def write_text_files(df: DataFrame, path: str, key: str, order: str, text: str =
     """
     (df.repartition(key).sortWithinPartitions(key, order)
        .select(key, text).write.mode("overwrite").partitionBy(key).text(path))
+
+
+def write_ordered_csv(df: DataFrame, path: str, keys: list[str], bom: bool = True, header: bool = True) -> DataFrame:
+    """K1/K4/K5 as one ordered file in parts: the parts, joined in the order of their
+    names, are one CSV in the order of ``keys`` with one header line (and BOM) at its top.
+
+    Rows are range partitioned by the keys and sorted, so part numbers follow key order;
+    the header leads the first row of the first part.  A manifest (one JSON line per
+    part: part, n_rows, first, last) is written to ``<path>.manifest`` and returned.
+    Nothing passes through the driver.
+    """
+    spark = df.sparkSession
+    options = {"quote": '"', "escape": '"', "nullValue": "", "emptyValue": '""'}
+    names = ",".join('"' + c.replace('"', '""') + '"' if any(x in c for x in ',"') else c for c in df.columns)
+    top = (BOM if bom else "") + (names if header else "")
+    ordered = df.repartitionByRange(*keys).sortWithinPartitions(*keys)
+    line = F.to_csv(F.struct(*[F.col(f"`{c}`") for c in df.columns]), options)
+    first = F.monotonically_increasing_id() == 0  # the first row of partition 0
+    lead = F.lit(top + "\n" if header else top)
+    ordered.select(F.when(first, F.concat(lead, line)).otherwise(line).alias("value")).write.mode("overwrite").text(path)
+    written = spark.read.text(path).select(F.col("_metadata.file_name").alias("part"), F.monotonically_increasing_id().alias("id"), "value")
+    if top and not written.limit(1).count():  # a table without rows is a header
+        spark.range(1).select(F.lit(top).alias("value")).coalesce(1).write.mode("overwrite").text(path)
+        written = spark.read.text(path).select(F.col("_metadata.file_name").alias("part"), F.monotonically_increasing_id().alias("id"), "value")
+    rows = written.where(F.col("value") != F.lit(names)) if header else written  # readers strip the BOM
+    parts = rows.groupBy("part").agg(F.count(F.lit(1)).alias("n_rows"), F.min_by("value", "id").alias("first"), F.max_by("value", "id").alias("last"))
+    parts.repartitionByRange(1, "part").sortWithinPartitions("part").write.mode("overwrite").json(path + ".manifest")
+    return spark.read.schema(parts.schema).json(path + ".manifest")
