@@ -70,7 +70,8 @@ def impute_median(means: DataFrame, kept: DataFrame, feats: DataFrame) -> DataFr
     """
     n = feats.count()
     m = means.join(kept.select("site_id"), "site_id", "left_semi")
-    med = m.groupBy(*FEATURE_KEY).agg(F.median("value").alias("_median"))
+    # counted values in ranges: no task buffers a feature's values, whatever their number
+    med = quantiles(m, FEATURE_KEY, "value", [0.5]).select(*FEATURE_KEY, F.col("q")[0].alias("_median"))
     fb = bounded(feats.join(med, FEATURE_KEY, "left"))  # one row per feature
     spine = kept.select("site_id", F.explode(F.sequence(F.lit(0), F.lit(n - 1))).alias("idx"))
     grid = spine.join(fb, "idx").join(m, ["site_id", *FEATURE_KEY], "left")

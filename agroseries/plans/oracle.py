@@ -907,6 +907,11 @@ yearly AS (SELECT site_id, param, year(date) AS year, avg(value) AS x FROM daily
 m AS (SELECT y.param, count(*) AS n, CASE WHEN stddev_pop(x) > 0 AND stddev_pop(yield_kg_ha) > 0 AND y.param <> 'ITEM_COUNT' THEN corr(x, yield_kg_ha) END AS r
   FROM yearly y JOIN production p ON p.site_id = y.site_id AND p.year = y.year WHERE x IS NOT NULL AND yield_kg_ha IS NOT NULL GROUP BY y.param HAVING count(*) > 5)
 SELECT param, n, round(r, 5) AS r, CASE WHEN abs(r) > 0.7 THEN 'strong' WHEN abs(r) > 0.4 THEN 'moderate' WHEN r IS NOT NULL THEN 'weak' END AS strength FROM m"""
+ORACLE["pca_kmeans_invariants"] = with_("classes", "win") + """,
+f AS (SELECT count(*) AS n FROM (SELECT DISTINCT param, rel_year, dekad36 FROM win))
+SELECT 'components' AS "check", least((SELECT count(*) FROM classes), (SELECT n FROM f))::DOUBLE AS value
+UNION ALL SELECT 'sites projected', count(*) FROM classes UNION ALL SELECT 'sites in clusters', count(*) FROM classes
+UNION ALL SELECT c, 1 FROM (VALUES ('shares fall'), ('shares sum to one'), ('cumulative ends at one'), ('kept reach the target'), ('one fewer would not'), ('clusters within k'), ('cost not above one restart')) t(c)"""
 ORACLE["dekad_rules"] = with_("dagg") + """
 SELECT site_id, name, round(lat, 6) AS lat, round(lon, 6) AS lon, year, month, dekad, param, round(value, 6) AS value
 FROM (SELECT *, CASE WHEN param IN ('PRICE_MAX', 'PRICE_MIN') THEN mx - mn WHEN param IN ('TAX', 'DISC_RANGE') THEN mx ELSE a END AS value FROM dagg)

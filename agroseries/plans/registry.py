@@ -622,6 +622,36 @@ def q_pca_variance(spark, sf):
     return CL.variance_table(spark, explained).withColumn("kept", F.col("component") <= k)
 
 
+@register("pca_kmeans_invariants")
+def q_pca_kmeans_invariants(spark, sf):
+    """What does not depend on signs, on the solver or on where K-Means
+    starts, as (check, value)."""
+    long, sites = mining_table(spark, sf)
+    proj, explained, k = CL.pca_reduce(FE.site_vectors(long))
+    proj = cut_lineage(proj)
+    shares = CL.variance_table(spark, explained)
+    model, cost = CL.kmeans_best(proj, restarts=CL.KMEANS_RESTARTS)
+    _, once = CL.kmeans_best(proj, restarts=1)
+    pred = model.transform(proj)
+    one = lambda df, check, value: df.agg(F.lit(check).alias("check"), value.cast("double").alias("value"))
+    flag = lambda c: F.coalesce(F.bool_and(c), F.lit(False)).cast("int")
+    from pyspark.sql import Window
+    fall = shares.withColumn("before", F.lag("explained").over(Window.orderBy("component")))  # a row per component
+    kept, target = F.col("component") == k, CL.VARIANCE_TARGET
+    parts = [
+        one(shares, "components", F.count("*")), one(fall, "shares fall", flag(F.col("before").isNull() | (F.col("before") >= F.col("explained") - 1e-12))),
+        one(shares, "shares sum to one", flag(F.lit(True)) * (F.abs(F.sum("explained") - 1) < 1e-9).cast("int")),
+        one(shares, "cumulative ends at one", (F.abs(F.max("cumulative") - 1) < 1e-9).cast("int")),
+        one(shares, "kept reach the target", F.max(F.when(kept, (F.col("cumulative") >= target - 1e-12).cast("int")))),
+        one(shares, "one fewer would not", F.coalesce(F.max(F.when((F.col("component") == k - 1) & (F.col("component") >= CL.MIN_COMPONENTS), (F.col("cumulative") < target).cast("int"))), F.lit(1))),
+        one(proj, "sites projected", F.count("*")), one(pred, "sites in clusters", F.count("raw")),
+        one(pred, "clusters within k", flag(F.col("raw").between(0, CL.KMEANS_K - 1))),
+        one(shares.limit(1), "cost not above one restart", F.max(F.lit(int(cost <= once * (1 + 1e-9))))),
+    ]
+    from functools import reduce
+    return reduce(DataFrame.unionByName, parts)
+
+
 @register("kmeans")
 def q_kmeans(spark, sf):
     """M9 → M10 → M11 → M15 on site features (rows check)."""
