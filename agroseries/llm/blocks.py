@@ -8,6 +8,8 @@ each own a range of hashes answer them.
 
 from __future__ import annotations
 
+import ctypes
+import hashlib
 import os
 import tempfile
 import zipfile
@@ -49,6 +51,15 @@ def ship(spark: SparkSession) -> None:
     context._agroseries_shipped = True
 
 
+def give_back() -> None:
+    """Return freed memory of a Python worker, which later tasks reuse, to the system."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # another C library
+        pass
+
+
 def slices(texts: pa.Array, most: int = SLICE_BYTES) -> Iterator[tuple[int, int]]:
     """(start, count) of consecutive rows with about ``most`` bytes of text; a
     longer text is a slice of its own."""
@@ -93,45 +104,96 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x
 
 
+# --- hashes ---------------------------------------------------------------------------
+# Runs are hashed by polynomial sums modulo the prime 2**61 - 1: two different runs of at
+# most n values agree with a chance of about n / 2**61, whatever their pattern.  (Modulo
+# 2**64 every base gives the same sum for some pairs of patterns, such as the Thue-Morse
+# string and its complement.)  Triggers and anchors, where a clash only costs work, use
+# the cheaper sums modulo 2**64.
+_P = (1 << 61) - 1
+_PRIME = _U(_P)
+
+
+def _reduced(x: np.ndarray) -> np.ndarray:
+    """x modulo 2**61 - 1, for any 64-bit x."""
+    x = (x & _PRIME) + (x >> _U(61))
+    return np.where(x >= _PRIME, x - _PRIME, x)
+
+
+def times(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """a * b modulo 2**61 - 1, for a and b below it."""
+    low = _U((1 << 31) - 1)
+    a1, a0, b1, b0 = a >> _U(31), a & low, b >> _U(31), b & low
+    mid = a0 * b1 + a1 * b0
+    return _reduced(a1 * b1 * _U(2) + (mid >> _U(30)) + ((mid & _U((1 << 30) - 1)) << _U(31)) + a0 * b0)
+
+
 class _Powers:
-    """Powers of the base and of its inverse modulo 2**64, made when needed."""
+    """Powers of a base and of its inverse modulo 2**61 - 1, or modulo 2**64, made when needed."""
 
-    def __init__(self):
+    def __init__(self, modulus: int):
+        self.modulus = modulus
         self.up = self.down = np.ones(1, _U)
 
     def get(self, n: int) -> tuple[np.ndarray, np.ndarray]:
-        if len(self.up) < n:
-            inverse = pow(_BASE, -1, 2**64)
-            for name, base in (("up", _BASE), ("down", inverse)):
-                p = np.full(n, base, _U)
-                p[0] = 1
-                setattr(self, name, np.multiply.accumulate(p))
+        while len(self.up) < n:
+            size = len(self.up)
+            for name, base in (("up", _BASE), ("down", pow(_BASE, -1, self.modulus))):
+                own, step = getattr(self, name), _U(pow(base, size, self.modulus))
+                more = own * step if self.modulus == 2**64 else times(own, np.broadcast_to(step, own.shape))
+                setattr(self, name, np.concatenate([own, more]))
         return self.up[:n], self.down[:n]
 
 
-_POWERS = _Powers()
+_POWERS, _CHEAP = _Powers(_P), _Powers(2**64)
+_HALF = _U((1 << 30) - 1)
+_PIECE = 1 << 22  # terms below 2**41 that 64 bits can add up
+
+
+def _folded(x: np.ndarray) -> np.ndarray:
+    """A number a little above 2**61 at most that is x modulo 2**61 - 1."""
+    out = x >> _U(61)
+    out += x & _PRIME
+    return out
 
 
 def prefix(values: np.ndarray) -> np.ndarray:
-    """Running polynomial sums; ``span`` reads the hash of any run from them."""
+    """Running polynomial sums; ``span`` reads the hash of any run from them.  Values
+    are bytes or 64-bit hashes (taken modulo 2**61 - 1)."""
     up, _ = _POWERS.get(len(values) + 1)
     out = np.zeros(len(values) + 1, _U)
-    np.cumsum(values * up[:-1], out=out[1:])
+    carry = _U(0)
+    for i in range(0, len(values), _PIECE):
+        own, power = values[i : i + _PIECE], up[:-1][i : i + _PIECE]
+        if own.dtype == np.uint8:
+            own = own.astype(_U) + _U(1)
+            high, low = own * (power >> _U(30)), own * (power & _HALF)
+        else:
+            own = times(_reduced(own), power)
+            high, low = own >> _U(30), own & _HALF
+        high, low = np.cumsum(high, out=high), np.cumsum(low, out=low)
+        # 2**30 times a number modulo 2**61 - 1 is a turn of its bits
+        low += (high << _U(30)) & _PRIME
+        low += (high >> _U(31)) + carry
+        out[i + 1 : i + 1 + len(low)] = low = _folded(low)
+        carry = low[-1]
     return out
 
 
 def span(sums: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
     """Hash of the runs [start, end); equal runs have equal hashes anywhere."""
     _, down = _POWERS.get(len(sums))
-    return mix((sums[end] - sums[start]) * down[start])
+    return mix(times(_reduced(sums[end] + (_U(2 * _P) - sums[start])), down[start]))
 
 
-def rolling(sums: np.ndarray, k: int) -> np.ndarray:
-    """Hash of every run of k values."""
-    n = len(sums) - k
+def rolling(values: np.ndarray, k: int) -> np.ndarray:
+    """A cheap hash of every run of k values, for choices only: runs that differ may agree."""
+    n = len(values) + 1 - k
     if n <= 0:
         return np.zeros(0, _U)
-    _, down = _POWERS.get(len(sums))
+    up, down = _CHEAP.get(len(values) + 1)
+    sums = np.zeros(len(values) + 1, _U)
+    np.cumsum(values * up[:-1], out=sums[1:])
     return mix((sums[k:] - sums[:-k]) * down[:n])
 
 
@@ -154,6 +216,31 @@ def lower(raw: np.ndarray) -> np.ndarray:
     return _LOWER[raw]
 
 
+_TAIL = np.array([(1 << 8 * i) - 1 for i in range(9)], _U)
+LONG_WORD = 256
+
+
+def word_hashes(raw: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """64-bit hashes of the words [start, end): eight bytes at a time, each step mixed,
+    so that no pattern of bytes cancels; words beyond ``LONG_WORD`` bytes by BLAKE2."""
+    size = end - start
+    out = mix(size.astype(_U) * _U(0x9E3779B97F4A7C15) + _U(0x632BE59BD9B4E019))
+    padded = np.zeros(len(raw) + 8, np.uint8)
+    padded[: len(raw)] = raw
+    eight = np.ndarray((len(raw) + 1,), "<u8", buffer=padded, strides=(1,))
+    left = np.flatnonzero(size <= LONG_WORD)
+    at = 0
+    while len(left):
+        own = out[left] ^ (eight[start[left] + at] & _TAIL[np.minimum(size[left] - at, 8)])
+        out[left] = mix(own)
+        at += 8
+        left = left[size[left] > at]
+    data = memoryview(padded)
+    for i in np.flatnonzero(size > LONG_WORD).tolist():
+        out[i] = int.from_bytes(hashlib.blake2b(data[start[i] : end[i]], digest_size=8).digest(), "little")
+    return out
+
+
 class Words:
     """Words ``[^\\x20\\x09-\\x0D]+`` of a slice of texts: where each starts and
     ends in ``raw``, its document, its 64-bit hash and each document's range."""
@@ -172,7 +259,7 @@ class Words:
         self.end = np.flatnonzero(inside[1:-1] & (~inside[2:] | last[1:])) + 1
         self.range = np.searchsorted(self.start, at)
         self.doc = np.repeat(np.arange(len(at) - 1), np.diff(self.range))
-        self.hash = span(prefix(byte_values(self.raw)), self.start, self.end)
+        self.hash = word_hashes(self.raw, self.start, self.end)
 
     def __len__(self) -> int:
         return len(self.start)
@@ -183,7 +270,7 @@ def windows(values: np.ndarray, doc: np.ndarray, k: int) -> tuple[np.ndarray, np
     if len(values) < k:
         return np.zeros(0, np.int64), np.zeros(0, _U)
     start = np.flatnonzero(doc[: len(doc) - k + 1] == doc[k - 1 :])
-    return start, rolling(prefix(values), k)[start]
+    return start, span(prefix(values), start, start + k)
 
 
 def lowest(hashes: np.ndarray, wide: int) -> np.ndarray:
@@ -239,17 +326,33 @@ def as_table(rows: list[tuple], schema: pa.Schema) -> pa.Table:
 def alone(method):
     """A method as a function of one table; Spark counts arguments, self too."""
     def of_table(table):
-        return method(table)
+        try:
+            return method(table)
+        finally:
+            _trim()
     return of_table
 
 
 def paired(method):
     """A method as a function of two tables."""
     def of_tables(left, right):
-        return method(left, right)
+        try:
+            return method(left, right)
+        finally:
+            _trim()
     return of_tables
 
 
+_CALLS = [0]
+
+
+def _trim(every: int = 16) -> None:
+    """``give_back`` after some calls; a task has many groups."""
+    _CALLS[0] += 1
+    if _CALLS[0] % every == 0:
+        give_back()
+
+
 def fresh(docs: DataFrame, name: str) -> str:
     """A column name that the frame does not have yet."""
     taken = {c.lower() for c in docs.columns}

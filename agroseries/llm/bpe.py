@@ -20,6 +20,7 @@ from __future__ import annotations
 import base64
 import re
 from array import array
+from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
@@ -28,7 +29,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-CACHE_ENTRIES = 300_000  # pre-tokens and cuts that one Python worker remembers, each; then it starts anew
+from .blocks import give_back
+
+CACHE_ENTRIES = 200_000  # pre-tokens, cuts and pairs that a task remembers, each; then it starts anew
 
 
 class Vocabulary:
@@ -186,6 +189,11 @@ class Encoder:
         self.vocabulary, self.pieces = load(path), regex.compile(pattern).findall
         self.piece, self.cut = Remembered(self._piece), Remembered(self._cut)
 
+    def forget(self) -> None:
+        self.piece.clear()
+        self.cut.clear()
+        self.vocabulary.memo = {}
+
     def _piece(self, piece: str) -> bytes:
         return array("i", self.vocabulary.encode_piece(piece.encode())).tobytes()
 
@@ -214,11 +222,16 @@ def encoder(path: str, pattern: str) -> Encoder:
 def encode(text: Column, path: str, pattern: str) -> Column:
     """``array<int>`` of token ids of a text column, without special tokens."""
     @F.arrow_udf(T.ArrayType(T.IntegerType(), False))
-    def bpe_encode(texts: pa.Array) -> pa.Array:
+    def bpe_encode(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         own = encoder(path, pattern)
-        parts = [own.encode(t.as_py()) for t in texts]
-        ends = np.cumsum([0, *(len(p) // 4 for p in parts)]).astype(np.int32)
-        return pa.ListArray.from_arrays(pa.array(ends), pa.array(np.frombuffer(b"".join(parts), np.int32)))
+        try:
+            for texts in batches:
+                parts = [own.encode(t.as_py()) for t in texts]
+                ends = np.cumsum([0, *(len(p) // 4 for p in parts)]).astype(np.int32)
+                yield pa.ListArray.from_arrays(pa.array(ends), pa.array(np.frombuffer(b"".join(parts), np.int32)))
+        finally:  # Python workers outlive the task: what it remembers goes with it
+            own.forget()
+            give_back()
 
     # else Catalyst would write it once more into each expression that uses its result
     return bpe_encode.asNondeterministic()(text)

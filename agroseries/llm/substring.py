@@ -91,7 +91,7 @@ class Graph:
             sums = B.prefix(words.hash)
             whole = B.span(sums, words.range[:-1], words.range[1:]) + np.diff(words.range).astype(np.uint64)
             start, edge = B.windows(words.hash, words.doc, self.k)
-            grams = B.rolling(sums, self.gram)
+            grams = B.rolling(words.hash, self.gram)
             place = B.lowest(grams, self.k - self.gram + 1)[start] if len(start) else start
             out.append(Slice(words, ids[a : a + n], places[a : a + n], whole, start, edge, B.mix(grams[place]), place))  # least hashes are small: spread them
         return out

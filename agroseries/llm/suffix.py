@@ -55,13 +55,12 @@ class Parse:
         self.raw, self.at = B.bytes_of(texts)
         self.length = length
         n = len(self.raw)
-        sums = B.prefix(B.byte_values(self.raw))
         doc = np.repeat(np.arange(len(self.at) - 1, dtype=np.int32), np.diff(self.at))
         if n < length:
             start = low = np.zeros(0, np.int64)
             hashes = np.zeros(0, np.uint64)
         else:
-            hashes = B.rolling(sums, gram)
+            hashes = B.rolling(B.byte_values(self.raw), gram)
             low = B.lowest(hashes, length - gram + 1)
             start = np.flatnonzero(doc[: n - length + 1] == doc[length - 1 :])
             low = low[start]
@@ -76,8 +75,8 @@ class Parse:
         self.doc = doc[self.start]
         self.key = B.mix(hashes[low[first]]) if len(first) else hashes[:0]  # least hashes are small: spread them again
         if detail:
-            self.sums = sums
-            self.content = B.span(sums, self.start, self.start + self.windows + length - 1)
+            self.sums = B.prefix(self.raw)
+            self.content = B.span(self.sums, self.start, self.start + self.windows + length - 1)
 
     def windows_of(self, phrases: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Starts and hashes of all windows of the marked phrases."""
