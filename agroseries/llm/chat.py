@@ -82,10 +82,11 @@ def segments(turns: DataFrame, template: Template = Template()) -> DataFrame:
 
 
 def conversations(turns: DataFrame, template: Template = Template()) -> DataFrame:
-    """conv_id, formatted, loss_spans (start and length in code points), valid."""
+    """conv_id, formatted, loss_spans (start and length in code points), valid, first_bad
+    (the first place where the machine does not go on; null if it only may not end)."""
     own = segments(turns, template).groupBy("conv_id").agg(
         F.sort_array(F.collect_list(F.struct("place", "role", "segments"))).alias("turns"),
-        F.min("step_ok").alias("steps_ok"))
+        F.min("step_ok").alias("steps_ok"), F.min(F.when(~F.col("step_ok"), F.col("place"))).alias("first_bad"))
     flat = own.withColumn("all", F.flatten("turns.segments"))
     spans = F.expr("""
         filter(aggregate(`all`, named_struct('at', 0L, 'spans', cast(array() AS array<struct<start: bigint, length: bigint, loss: boolean>>)),
@@ -95,7 +96,7 @@ def conversations(turns: DataFrame, template: Template = Template()) -> DataFram
     return flat.select(
         "conv_id", F.array_join("all.text", "").alias("formatted"),
         F.transform(spans, lambda x: F.struct(x["start"], x["length"])).alias("loss_spans"),
-        (F.col("steps_ok") & F.element_at("turns.role", -1).isin(*template.last)).alias("valid"))
+        (F.col("steps_ok") & F.element_at("turns.role", -1).isin(*template.last)).alias("valid"), "first_bad")
 
 
 def read_back(formatted: DataFrame, template: Template = Template()) -> DataFrame:

@@ -58,3 +58,12 @@ def test_chat_is_reversible(shipped):
     assert chat.read_back(chat.conversations(turns.limit(0))).collect() == []
     parts = chat.segments(turns.where("conv_id = 5")).orderBy("place").collect()
     assert [s["loss"] for r in parts for s in r["segments"]] == [False] * 7 + [True, False]
+
+
+def test_machine_names_the_first_bad_turn(shipped):
+    from agroseries.llm import chat
+    roles = {1: ["user", "assistant"], 2: ["system", "user", "assistant", "tool", "tool", "assistant"], 3: ["assistant", "user"], 4: ["user", "user", "assistant"],
+             5: ["user"], 6: ["system", "user", "narrator", "assistant"], 7: ["user", "assistant"] * 3_000, 8: [None, "assistant"]}
+    turns = shipped.createDataFrame([(k, i, r, "x") for k, v in roles.items() for i, r in enumerate(v)], "conv_id bigint, turn int, role string, text string")
+    got = {r["conv_id"]: (r["valid"], r["first_bad"]) for r in chat.conversations(turns).collect()}
+    assert got == {1: (True, None), 2: (True, None), 3: (False, 1), 4: (False, 2), 5: (False, None), 6: (False, 3), 7: (True, None), 8: (False, 1)}

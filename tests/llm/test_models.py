@@ -277,3 +277,27 @@ def test_kneser_ney_sums_to_one():
     model = langid.fit_model(codes, counts)
     for context in (0, 5 * langid.SYMBOLS + 3, 40 * langid.SYMBOLS + 2, 63 * langid.SYMBOLS + 63):
         assert abs(np.exp(model.logp(context * langid.SYMBOLS + np.arange(langid.SYMBOLS))).sum() - 1) < 1e-9
+
+
+# --- op10: several scripts ----------------------------------------------------------------
+def test_languages_of_many_scripts(shipped):
+    """Each language has its own letters: scripts with thousands of letters do not blur,
+    and a script that nobody learned is turned away."""
+    import random
+    from agroseries.llm import langid
+    from pyspark.sql import functions as F
+    rng = random.Random(11)
+    letters = {"en": "etaoinshrdlu", "fr": "esaitnrulodéèà", "ru": "оеаинтсрвлкмдпу", "bg": "аиоетнрсвпкдъл", "el": "αοιετσνηυρπκμλ",
+               "zh": "".join(chr(0x4E00 + 7 * i) for i in range(900)), "ja": "のにはをたがでてとしれさある" * 20 + "".join(chr(0x4E00 + 7 * i) for i in range(0, 900, 3))}
+    words = {k: ["".join(rng.choice(v) for _ in range(rng.randrange(2, 7))) for _ in range(150)] for k, v in letters.items()}
+    text = lambda k, n: " ".join(rng.choice(words[k]) for _ in range(n))
+    rows = [(i, k, text(k, rng.randrange(8, 40))) for i, k in enumerate(list(letters) * 60)]
+    docs = shipped.createDataFrame(rows, "doc_id bigint, lang string, text string")
+    model = langid.fit(docs.where("doc_id % 4 <> 2"))
+    assert set(model.letters) == set(letters) and all(set(model.letters[k]) <= set(letters[k]) for k in letters)
+    got = docs.where("doc_id % 4 = 2").withColumn("found", langid.predict(docs, model)).collect()
+    assert sum(r["found"]["lang"] == r["lang"] for r in got) >= 0.97 * len(got)
+    assert sum(r["found"]["accepted"] for r in got) >= 0.97 * len(got)
+    other = shipped.createDataFrame([(1, "שלום עולם זה טקסט בעברית שאיש לא למד כאן"), (2, "สวัสดีชาวโลกนี่คือข้อความ"), (3, "123 !"), (4, None)], "doc_id bigint, text string")
+    found = {r["doc_id"]: r["f"] for r in other.select("doc_id", langid.predict(other, model).alias("f")).collect()}
+    assert not any(found[i]["accepted"] for i in (1, 2)) and found[3]["lang"] == found[4]["lang"] == "und"
