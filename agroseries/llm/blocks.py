@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from ..session import ensure_checkpoint_dir, scratch_path
 
 SLICE_BYTES = 1 << 20
-BATCH_BYTES = 8 << 20
+BATCH_BYTES = 4 << 20
 BLOCK_BYTES = 4 << 20
 
 _U = np.uint64
@@ -346,7 +346,7 @@ def paired(method):
 _CALLS = [0]
 
 
-def _trim(every: int = 16) -> None:
+def _trim(every: int = 4) -> None:
     """``give_back`` after some calls; a task has many groups."""
     _CALLS[0] += 1
     if _CALLS[0] % every == 0:

@@ -237,6 +237,32 @@ def encode(text: Column, path: str, pattern: str) -> Column:
     return bpe_encode.asNondeterministic()(text)
 
 
+def encode_checked(text: Column, path: str, pattern: str) -> Column:
+    """``struct<ids, round_trip>``: the ids of a text column (null: empty) and whether they
+    decode to it again; one Python worker a task does both."""
+    kind = T.StructType([T.StructField("ids", T.ArrayType(T.IntegerType(), False)), T.StructField("round_trip", T.BooleanType())])
+
+    @F.arrow_udf(kind)
+    def bpe_encode_checked(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        own, token = encoder(path, pattern), token_bytes(path).__getitem__
+        try:
+            for texts in batches:
+                parts, same = [], []
+                for t in texts:
+                    t = t.as_py() or ""
+                    ids = own.encode(t)
+                    parts.append(ids)
+                    same.append(b"".join(map(token, np.frombuffer(ids, np.int32).tolist())) == t.encode())
+                ends = np.cumsum([0, *(len(p) // 4 for p in parts)]).astype(np.int32)
+                lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.frombuffer(b"".join(parts), np.int32)))
+                yield pa.StructArray.from_arrays([lists, pa.array(same, pa.bool_())], ["ids", "round_trip"])
+        finally:
+            own.forget()
+            give_back()
+
+    return bpe_encode_checked.asNondeterministic()(text)
+
+
 def decode(ids: Column, path: str) -> Column:
     """The bytes of a column of token ids; null for null."""
     @F.arrow_udf(T.BinaryType())

@@ -268,12 +268,18 @@ def join(docs: DataFrame, key: str = "doc_id", text: str = "text", n: int = N, p
     told = dealt.groupBy(block).applyInArrow(B.alone(s.ask), "bucket int, block int, data binary, more binary").groupBy("bucket").applyInArrow(B.alone(s.tell), "bucket int, block int, data binary")
     sets = dealt.groupBy(block).cogroup(told.groupBy("block")).applyInArrow(B.paired(s.sets), "key bigint, row bigint, n bigint, sum bigint, xor bigint, grams array<bigint>")
     sets = B.written(sets.withColumn("rep", F.when(F.col("grams").isNotNull(), F.xxhash64("n", "sum", "xor"))).drop("sum", "xor"))
-    found = link_components(B.written(ordered(sets, percent)), percent)
+    classes = B.written(ordered(sets, percent))
+    found = link_components(classes, percent)
+    B.discard(classes)
     members = sets.where("rep IS NOT NULL").groupBy("rep").agg(F.min("key").alias("key"))
     grouped = members.join(found.withColumnRenamed("node", "rep"), "rep", "left").select("rep", "key", F.coalesce("component", "rep").alias("group"))
     least = grouped.groupBy("group").agg(F.min("key").alias("component"))
     labelled = grouped.select("rep", "group").join(least, "group")
-    out = sets.select("key", "row", "n", "rep").join(labelled, "rep", "left")
+    # what the result reads is small; the n-grams are not kept
+    named = B.written(labelled)
+    own = B.written(sets.select("key", "row", "n", "rep"))
+    B.discard(sets)
+    out = own.join(named, "rep", "left")
     return out.select("key", "row", F.col("n").alias("n_shingles"), F.coalesce("component", "key").alias("component"), "group")
 
 

@@ -33,10 +33,11 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .blocks import slices
+from .blocks import give_back, slices
 
 SYMBOLS = 64  # 0 border, 1 any other letter, then a language's own most frequent letters
 ROWS_PER_LANGUAGE = 2_000
+SLICE = 1 << 18  # bytes of text that are looked at together
 UNKNOWN = "und"
 RESULT = T.StructType([
     T.StructField("lang", T.StringType()), T.StructField("score", T.DoubleType()),
@@ -263,7 +264,7 @@ def _batches(fn):
     """A mapInArrow function that hands ``fn`` slices of bounded text."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in slices(batch.column("text")):
+            for part in slices(batch.column("text"), SLICE):
                 yield from fn(batch.slice(*part))
     return run
 
@@ -338,6 +339,8 @@ def predict(docs: DataFrame, classifier: Classifier, text: str = "text") -> Colu
     @F.arrow_udf(RESULT)
     def classify(texts: pa.Array) -> pa.Array:
         own = shared.value
-        return pa.concat_arrays([own.classify(texts.slice(*part)) for part in slices(texts)] or [pa.array([], RESULT_ARROW)])
+        found = [own.classify(texts.slice(*part)) for part in slices(texts, SLICE)]
+        give_back()
+        return pa.concat_arrays(found or [pa.array([], RESULT_ARROW)])
 
     return classify(F.col(text))

@@ -106,6 +106,7 @@ class Dedup:
     length: int
     gram: int
     buckets: int
+    characters: bool = False  # the text is shortened too, by whole characters
 
     # ---- what a block knows by itself
 
@@ -246,9 +247,19 @@ class Dedup:
         out = {name: table.column(name) for name in table.column_names if name != self.block}
         out["removed"] = pa.array([[{"start": a, "length": n} for a, n in s] for s in spans], schema.field("removed").type)
         out["kept"] = pa.array(kept_bytes, pa.binary())
+        if self.characters:
+            out[self.text] = pa.array([shortened(t, s) for t, s in zip(texts.to_pylist(), spans)], pa.binary()).cast(pa.string())
         return pa.table(out)
 
 
+def shortened(text: bytes | None, spans: list[tuple[int, int]]) -> bytes | None:
+    """A text without (start, length) spans; a character that a span cuts in two stays."""
+    if text is None or not spans:
+        return text
+    cuts = ((B.character(text, a), B.character_before(text, a + n)) for a, n in spans)
+    return B.without(text, [(a, b - a) for a, b in cuts if b > a])
+
+
 def joined(parts: list[np.ndarray], kind=np.uint64) -> np.ndarray:
     return np.concatenate(parts) if parts else np.zeros(0, kind)
 
@@ -293,13 +304,14 @@ def by_step(table: pa.Table) -> dict[int, dict[int, tuple]]:
     return out
 
 
-def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", length: int = LENGTH, gram: int = GRAM) -> DataFrame:
+def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", length: int = LENGTH, gram: int = GRAM, characters: bool = False) -> DataFrame:
     """``docs`` with ``removed`` (byte spans, in order) and ``kept`` (the bytes that
-    stay); columns of these names are replaced."""
+    stay); columns of these names are replaced.  With ``characters`` the text column is
+    shortened as ``whole_characters`` does."""
     docs = docs.drop("removed", "kept")
     size = B.text_bytes(docs, text)
     dealt, block = B.blocked(docs, key, text, size)
-    d = Dedup(key, text, block, length, gram, B.buckets_for(size))
+    d = Dedup(key, text, block, length, gram, B.buckets_for(size), characters)
     asked = "bucket int, block int, data binary, more binary, base bigint"
     told_as = "step int, bucket int, block int, data binary"
     own = dealt.select(block, key, text)
@@ -322,11 +334,7 @@ def whole_characters(docs: DataFrame, text: str = "text") -> DataFrame:
     in two: such a character stays."""
     @F.arrow_udf("string")
     def cut(texts: pa.Array, spans: pa.Array) -> pa.Array:
-        out = []
-        for t, s in zip(B.flat(texts).to_pylist(), spans.to_pylist()):
-            if t is not None and s:
-                t = B.without(t, [(a, b - a) for a, b in ((B.character(t, x["start"]), B.character_before(t, x["start"] + x["length"])) for x in s) if b > a])
-            out.append(t)
+        out = [shortened(t, [(x["start"], x["length"]) for x in s or ()]) for t, s in zip(B.flat(texts).to_pylist(), spans.to_pylist())]
         return pa.array(out, pa.binary()).cast(pa.string())
 
     return docs.withColumn(text, cut(text, "removed"))

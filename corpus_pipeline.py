@@ -34,7 +34,7 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 def drop_repeated_strings(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     blocks.ship(spark)
-    out = suffix.whole_characters(suffix.remove_repeats(docs))
+    out = suffix.remove_repeats(docs, characters=True)
     return out.withColumn("n_chars", F.char_length("text").cast(docs.schema["n_chars"].dataType)).select(docs.columns)
 
 
@@ -47,9 +47,8 @@ def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     import public_tokenizers
     blocks.ship(spark)
     path = public_tokenizers.path("byte_bpe_50k.tiktoken")
-    out = bpe.tokenize(docs, path, public_tokenizers.PATTERN)
-    same = bpe.decode(F.col("ids"), path) == F.coalesce("text", F.lit("")).cast("binary")
-    return out.select("doc_id", "lang", "source", "n_chars", F.size("ids").cast("long").alias("n_tokens"), "ids", same.alias("round_trip"))
+    out = docs.withColumn("made", bpe.encode_checked(F.col("text"), path, public_tokenizers.PATTERN))
+    return out.select("doc_id", "lang", "source", "n_chars", F.size("made.ids").cast("long").alias("n_tokens"), "made.ids", "made.round_trip")
 
 
 STAGES = [
