@@ -9,6 +9,7 @@ each own a range of hashes answer them.
 from __future__ import annotations
 
 import ctypes
+import gc
 import hashlib
 import os
 import tempfile
@@ -319,6 +320,13 @@ def discard(*frames: DataFrame | None) -> None:
             frame._scratch = None
 
 
+def settle(spark: SparkSession) -> None:
+    """Let Spark's cleaner remove the shuffle files of plans that are done: it follows
+    the driver's garbage collection, which may be hours away."""
+    gc.collect()
+    spark._jvm.System.gc()
+
+
 def as_table(rows: list[tuple], schema: pa.Schema) -> pa.Table:
     return pa.table([pa.array(c, f.type) for c, f in zip(zip(*rows), schema)], schema=schema) if rows else schema.empty_table()
 

@@ -180,18 +180,6 @@ def test_pitman_yor_sums_of_contexts(documents):
         assert any(tables[c] < customers[c] for c in customers)
 
 
-def test_seating():
-    from agroseries.llm import pitmanyor as m
-    n = np.array([0, 1, 2, 50, 5000])
-    t = m.seat(n, np.full(5, 3.0), 0.5, np.random.default_rng(1))
-    assert t[0] == 0 and t[1] == 1 and (t <= n).all() and t[4] > t[3] > 1
-    exact = np.mean([m.seat(np.array([200]), np.array([3.0]), 0.5, np.random.default_rng(i))[0] for i in range(400)])
-    mean = 1.0
-    for i in range(1, 200):
-        mean += 3 / (3 + i - 0.5 * mean)
-    assert abs(exact - mean) < 1
-
-
 PAGE = """<!DOCTYPE html><html><head><title>T</title><style>p{}</style><script>var t="</p>";</script></head><body>
 <header>Site</header><nav><ul><li><a href="/a">A</a></li></ul></nav><!-- x > y --><div class="cookie-notice">We use</div><div class="ad">Buy</div>
 %s<aside>more</aside><form>mail <input name=x></form><div id="comments"><p>I agree</p></div><footer>&copy; me</footer>%s"""
