@@ -354,7 +354,7 @@ def paired(method):
 _CALLS = [0]
 
 
-def _trim(every: int = 4) -> None:
+def _trim(every: int = 2) -> None:
     """``give_back`` after some calls; a task has many groups."""
     _CALLS[0] += 1
     if _CALLS[0] % every == 0:
