@@ -13,6 +13,7 @@ import gc
 import hashlib
 import os
 import tempfile
+import time
 import zipfile
 from collections.abc import Iterator
 
@@ -323,8 +324,10 @@ def discard(*frames: DataFrame | None) -> None:
 def settle(spark: SparkSession) -> None:
     """Let Spark's cleaner remove the shuffle files of plans that are done: it follows
     the driver's garbage collection, which may be hours away."""
-    gc.collect()
-    spark._jvm.System.gc()
+    for _ in range(2):  # the driver's Python lets go of plans first, then its JVM
+        gc.collect()
+        spark._jvm.System.gc()
+        time.sleep(0.5)
 
 
 def as_table(rows: list[tuple], schema: pa.Schema) -> pa.Table:
