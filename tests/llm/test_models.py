@@ -34,6 +34,27 @@ def test_top_k(shipped, monkeypatch):
     assert topk.top_k(frame.limit(0), F.col("id") % 50 == 0).collect() == []
 
 
+def test_top_k_leaves_pairs_out():
+    """Products of clustered vectors: a small part of all pairs, and the right ones;
+    floors that are met leave the results as they are."""
+    from agroseries.llm import topk
+    rng = np.random.default_rng(3)
+    centres = rng.normal(size=(40, 64))
+    x = np.floor(256 * (centres[rng.integers(0, 40, 6000)] + 0.3 * rng.normal(size=(6000, 64))))
+    x[17], x[5000:5020], x[30] = x[50], x[100], 0
+    ids = np.arange(6000) * 2
+    queries = np.flatnonzero(ids % 50 == 0)
+    every = x[queries] @ x.T
+    every[np.arange(len(queries)), queries] = -np.inf
+    want = np.lexsort((np.broadcast_to(ids, every.shape), -every), axis=1)[:, :5]
+    fifth = np.take_along_axis(every, want[:, 4:], axis=1)[:, 0]
+    for floors in (None, fifth):
+        place, found, score, products = topk.search(x, ids, x[queries], ids[queries], 5, (1, 4, 16), floors)
+        assert (found.reshape(-1, 5) == ids[want]).all() and (score.reshape(-1, 5) == np.take_along_axis(every, want, axis=1)).all()
+        assert len(queries) * 5 <= products < 0.3 * every.size
+    assert not len(topk.search(x, ids, x[queries], ids[queries], 5, (1, 4, 16), fifth + 1e9)[0])
+
+
 def test_decontaminate(shipped, empty):
     from agroseries.llm import decontam
     rng = random.Random(4)
