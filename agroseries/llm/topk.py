@@ -11,8 +11,8 @@ inner product from above.
 Each query goes through the levels from coarse to fine by itself: the vectors of
 the highest bounds are scored first, which lifts its threshold (the k-th best score
 so far), and the vectors whose bound lies below it are left out of the next level.
-Survivors are scored in order of their finest bounds until the next bound lies below
-the threshold.  The first column of the grid is searched first; its k-th best
+Survivors are scored in steps, those of the highest bounds first, and after each step
+the ones below the threshold are dropped.  The first column of the grid is searched first; its k-th best
 scores are the thresholds that the other columns begin with.
 
 Defined results: a vector that is null, empty, holds null or a non-finite
@@ -64,7 +64,9 @@ def nearest(x: np.ndarray, of_x: list[np.ndarray], q: np.ndarray, of_q: list[np.
         nonlocal at, score, floor, made
         scored[rows] = True
         made += len(rows)
-        at, score = np.concatenate([at, rows]), np.concatenate([score, x[rows] @ q])
+        new = x[rows] @ q
+        good = new >= floor
+        at, score = np.concatenate([at, rows[good]]), np.concatenate([score, new[good]])
         best = np.lexsort((at, -score))[:k]
         at, score = at[best], score[best]
         if len(score) == k:
@@ -73,17 +75,20 @@ def nearest(x: np.ndarray, of_x: list[np.ndarray], q: np.ndarray, of_q: list[np.
     rows = np.flatnonzero(~scored)
     bound = np.zeros(0)
     for mine, asked in zip(of_x, of_q):
-        bound = mine[rows] @ asked + slack[rows]
+        # gathering more than half of the rows costs more than their bounds
+        bound = (mine @ asked + slack)[rows] if 2 * len(rows) > len(x) else mine[rows] @ asked + slack[rows]
         if len(rows) > k:
             take(rows[np.argpartition(-bound, k - 1)[:k]])
         stay = (bound >= floor) & ~scored[rows]
         rows, bound = rows[stay], bound[stay]
-    order = np.argsort(-bound, kind="stable")
-    rows, bound = rows[order], bound[order]
-    n = 0
-    while n < len(rows) and bound[n] >= floor:
-        take(rows[n : n + STEP][bound[n : n + STEP] >= floor])
-        n += STEP
+    step = STEP
+    while len(rows) > step:
+        by_bound = np.argpartition(-bound, step - 1)
+        take(np.sort(rows[by_bound[:step]]))
+        rest = by_bound[step:]
+        rest = rest[bound[rest] >= floor]
+        rows, bound, step = rows[rest], bound[rest], 2 * step
+    take(rows)
     good = score >= floor
     return at[good], score[good], made
 
