@@ -7,12 +7,17 @@ how important a node is:
 * presentation: the entropy of the different sequences of children that it has;
 * content: the entropy of the different texts that its leaves hold.
 
-Both are normalised to 0..1 by the number of pages.  The composite importance of a
-branch mixes its own presentation (weight 1 - GAMMA ** leaves) with the mean content of
-its leaves.  A branch that looks and reads the same on all pages has low importance and
-is removed from every page.  Hosts with few pages say little, so only nodes on at
-least ``MIN_PAGES`` pages are judged; and a branch that holds most of a page's article
-stays.
+Both are normalised to 0..1 by the number of pages that have the node, and the content of
+a leaf counts by its length.  A host of few pages cannot show that a line is common, so
+content is measured a second time by the pages of all hosts that hold the line; the lesser
+of the two is taken.  The composite importance of a branch mixes its own presentation
+(weight 1 - GAMMA ** leaves) with the content of its leaves.  A branch is low if neither
+its composite importance nor its content reaches ``LOW`` of the content of all text on the
+host, and is removed from every page.  Text that is new on each page is thus never low,
+however alike its pages look.  What protects a branch is its own: one that holds
+most of the text of the pages it is on stays, and so does a heading, which goes only with
+what is around it.  All blocks are counted, those in menus and footers too; nodes on two
+pages or more are judged.
 
 Names weigh where the tree is silent.  Hidden elements, and those whose element or role
 is a menu, header, footer, aside or the like, have importance 0.  So have forms and
@@ -22,10 +27,10 @@ the page's text and no ``article`` or ``main`` lies outside them; headings never
 section's id inside ``article`` or ``main`` is a place to jump to and says nothing.  Where one
 ``article`` or ``main`` holds most of the text that is left, the text is taken from there.
 
-Statistics are two levels of sums over (host, node, hash), combined before they are
-shuffled, so a host with a third of all pages is no hot group.  The list of low
-branches is broadcast if it has at most ``BROADCAST_ROWS`` rows, joined on salted
-hosts otherwise.
+Statistics are sums over (host, node, hash), combined before they are shuffled, so a host
+with a third of all pages is no hot group; they are stored, so a page is parsed once for
+them and once for its text.  The list of low branches is broadcast if it has at most
+``BROADCAST_BYTES``, joined on salted hosts otherwise.
 
 Defined results: null or empty html gives an empty text; a null or odd url counts as
 host ''; markup that never closes is read as browsers do, without failing; rows are not
@@ -47,10 +52,11 @@ from pyspark.sql import functions as F
 from . import blocks as B
 
 GAMMA = 0.9
-MIN_PAGES = 8
-LOW = 0.1
-BROADCAST_ROWS = 20_000
+MIN_PAGES = 2
+LOW = 0.8
+BROADCAST_BYTES = 8 << 20
 SALTS = 32
+TEXT = "#"  # label of the text that stands in an element itself, a leaf beside the elements in it
 
 # fixed values: names of elements and words of classes, after the HTML standard and usage
 INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q ruby rt rp s samp small span strike strong sub sup time tt u var wbr".split())
@@ -187,6 +193,12 @@ def unmarked(blocks: list[Block]) -> list[Block]:
     return [b for b in own if most.issuperset(b.named)]
 
 
+def branches(path: str) -> list[str]:
+    """The leaf of text that stands in an element, and all nodes around it up to the root."""
+    steps = [*path.split("/"), TEXT]
+    return ["/".join(steps[:i]) for i in range(1, len(steps) + 1)]
+
+
 def main_text(html: str | None, low: frozenset[str]) -> str:
     """The blocks that stay, joined by one space."""
     if not html:
@@ -194,10 +206,8 @@ def main_text(html: str | None, low: frozenset[str]) -> str:
     blocks, _ = parse(html)
     own = unmarked(blocks)
     if low:
-        kept = [b for b in own if not any(b.path == x or b.path.startswith(x + "/") for x in low)]
-        # what holds most of the text is the article itself
-        if 2 * sum(len(b.text) for b in kept) > sum(len(b.text) for b in own):
-            own = kept
+        gone = {path: not low.isdisjoint(branches(path)) for path in {b.path for b in own}}
+        own = [b for b in own if not gone[b.path]]
     held: dict[int, int] = {}
     for b in own:
         held[b.article] = held.get(b.article, 0) + len(b.text)
@@ -212,23 +222,36 @@ def host(url: Column) -> Column:
 
 
 def style_nodes(pages: DataFrame) -> DataFrame:
-    """host, path, kind (0 content, 1 presentation), hash: a row for each leaf text
-    and each block element of a page; pages has host and html."""
+    """host, path, kind, hash, n, chars, total; pages has host and html.  A row for each
+    text of a leaf (kind 0), sequence of children (1) and branch with text (2) of a page: n
+    counts pages, chars is the text in it, total the text of the pages that have it."""
     def nodes(batches):
         for batch in batches:
             for a, n in B.slices(B.flat(batch.column("html"))):
-                out: dict[tuple, int] = {}
+                out: dict[tuple, list[int]] = {}
                 part = batch.slice(a, n)
                 for name, html in zip(part.column("host").to_pylist(), part.column("html").to_pylist()):
                     texts, shapes = parse(html or "")
-                    for row in {*((name, b.path, 0, hash64(b.text)) for b in unmarked(texts)), *((name, p, 1, hash64(c)) for p, c in shapes)}:
-                        out[row] = out.get(row, 0) + 1
+                    total = sum(len(b.text) for b in texts)
+                    held: dict[tuple, int] = {(name, p, 1, hash64(c) if c else 0): 0 for p, c in shapes}
+                    sizes: dict[str, int] = {}
+                    for b in texts:
+                        held[name, f"{b.path}/{TEXT}", 0, hash64(b.text)] = len(b.text)
+                        sizes[b.path] = sizes.get(b.path, 0) + len(b.text)
+                    for path, size in sizes.items():
+                        for x in branches(path):
+                            held[name, x, 2, 0] = held.get((name, x, 2, 0), 0) + size
+                    for row, size in held.items():
+                        sums = out.setdefault(row, [0, 0, 0])
+                        sums[0] += 1
+                        sums[1] += size
+                        sums[2] += total
                 if out:
-                    columns = list(zip(*out))
-                    yield pa.RecordBatch.from_arrays([pa.array(columns[0], pa.string()), pa.array(columns[1], pa.string()), pa.array(columns[2], pa.int32()),
-                                                      pa.array(columns[3], pa.int64()), pa.array(list(out.values()), pa.int64())], ["host", "path", "kind", "hash", "n"])
+                    keys, sums = list(zip(*out)), list(zip(*out.values()))
+                    yield pa.RecordBatch.from_arrays([pa.array(keys[0], pa.string()), pa.array(keys[1], pa.string()), pa.array(keys[2], pa.int32()),
+                                                      *(pa.array(c, pa.int64()) for c in (keys[3], *sums))], ["host", "path", "kind", "hash", "n", "chars", "total"])
 
-    return pages.mapInArrow(nodes, "host string, path string, kind int, hash bigint, n bigint")
+    return pages.mapInArrow(nodes, "host string, path string, kind int, hash bigint, n bigint, chars bigint, total bigint")
 
 
 def hash64(text: str) -> int:
@@ -236,20 +259,30 @@ def hash64(text: str) -> int:
     return int(np.uint64(xxhash.xxh64_intdigest(text.encode("utf-8", "surrogatepass"))).view(np.int64))
 
 
-def low_branches(pages: DataFrame, low: float = LOW, min_pages: int = MIN_PAGES) -> DataFrame:
-    """host, path of the branches of low composite importance."""
-    counted = style_nodes(pages).groupBy("host", "path", "kind", "hash").agg(F.sum("n").alias("n"))
-    entropy = F.when(F.sum("n") > 1, (F.log(F.sum("n")) - F.sum(F.col("n") * F.log("n")) / F.sum("n")) / F.log(F.sum("n"))).otherwise(1.0)
-    nodes = counted.groupBy("host", "path", "kind").agg(F.sum("n").alias("pages"), entropy.alias("importance"))
-    content = nodes.where("kind = 0").select("host", "path", "pages", "importance")
+def low_branches(counted: DataFrame, low: float = LOW, min_pages: int = MIN_PAGES) -> DataFrame:
+    """host, path of the branches of low importance, from ``style_nodes`` summed up."""
+    share = lambda n, of: F.when(of > 1, F.greatest(F.lit(0.0), 1 - F.log(n) / F.log(of))).otherwise(1.0)
+    branch = counted.where("kind = 2").select("host", "path", F.col("n").alias("pages"), (2 * F.col("chars") > F.col("total")).alias("most"))
+    texts = counted.where("kind = 0").select("host", "path", "hash", "n", "chars")
+    everywhere = texts.groupBy("hash").agg(F.sum("n").alias("all_n"))
+    # one row: pages with text
+    pages = branch.where("path = ''").agg(F.sum("pages").alias("all_pages"))
+    own = texts.join(branch.select("host", "path", "pages"), ["host", "path"]).join(everywhere, "hash").join(F.broadcast(pages))
+    importance = lambda n, of: F.sum(F.col("chars") * share(F.col(n), F.col(of))) / F.sum("chars")
+    content = own.groupBy("host", "path").agg(F.sum("chars").alias("chars"), F.least(importance("n", "pages"), importance("all_n", "all_pages")).alias("importance"))
     # a leaf counts for every branch it hangs on
     steps = F.split(F.col("path"), "/")
-    above = content.select("host", "pages", "importance", F.explode(F.transform(F.sequence(F.lit(2), F.size(steps)), lambda i: F.array_join(F.slice(steps, 1, i), "/"))).alias("branch"))
-    leaves = above.groupBy("host", "branch").agg(F.count("*").alias("leaves"), F.avg("importance").alias("content"), F.max("pages").alias("pages"))
-    shape = nodes.where("kind = 1").select("host", F.col("path").alias("branch"), F.col("importance").alias("presentation"))
-    weight = F.pow(F.lit(GAMMA), F.col("leaves"))
+    above = content.select("host", "chars", "importance", F.explode(F.transform(F.sequence(F.lit(2), F.size(steps)), lambda i: F.array_join(F.slice(steps, 1, i), "/"))).alias("path"))
+    mean = F.sum(F.col("chars") * F.col("importance")) / F.sum("chars")
+    leaves = above.groupBy("host", "path").agg(F.count("*").alias("leaves"), mean.alias("content"))
+    typical = content.groupBy("host").agg(mean.alias("typical"))
+    entropy = F.when(F.sum("n") > 1, (F.log(F.sum("n")) - F.sum(F.col("n") * F.log("n")) / F.sum("n")) / F.log(F.sum("n"))).otherwise(1.0)
+    shape = counted.where("kind = 1").groupBy("host", "path").agg(F.when(F.max(F.col("hash") != 0), entropy).alias("presentation"))
+    weight = F.when(F.col("presentation").isNull(), 1.0).otherwise(F.pow(F.lit(GAMMA), F.col("leaves")))
     composite = (1 - weight) * F.coalesce("presentation", F.lit(0.0)) + weight * F.col("content")
-    return leaves.join(shape, ["host", "branch"], "left").where((F.col("pages") >= min_pages) & (composite < low)).select("host", F.col("branch").alias("path"))
+    judged = branch.join(leaves, ["host", "path"]).join(shape, ["host", "path"], "left").join(typical, "host")
+    heading = F.col("path").rlike(rf"/h[1-6]([.#][^/]*)?(/{TEXT})?$")
+    return judged.where((F.col("pages") >= min_pages) & ~F.col("most") & ~heading & (F.greatest("content", composite) < low * F.col("typical"))).select("host", "path")
 
 
 def extract(pages: DataFrame, html: str = "html", url: str = "url", text: str = "text") -> DataFrame:
@@ -257,11 +290,14 @@ def extract(pages: DataFrame, html: str = "html", url: str = "url", text: str =
     pages = pages.drop(text) if text not in (html, url) else pages
     site = B.fresh(pages, "host")
     pages = pages.withColumn(site, host(F.col(url)))
-    low = B.kept(low_branches(pages.select(F.col(site).alias("host"), F.col(html).alias("html"))).groupBy("host").agg(F.collect_set("path").alias("low")))
-    rows = low.agg(F.count("*"), F.sum(F.size("low"))).first()
+    nodes = style_nodes(pages.select(F.col(site).alias("host"), F.col(html).alias("html")))
+    counted = B.written(nodes.groupBy("host", "path", "kind", "hash").agg(*(F.sum(c).alias(c) for c in ("n", "chars", "total"))))
+    low = B.kept(low_branches(counted).groupBy("host").agg(F.collect_set("path").alias("low")))
+    B.discard(counted)
+    size = low.agg(F.sum(F.octet_length("host") + F.octet_length(F.array_join("low", "//")) + 64).alias("n")).first()["n"]
     name = B.fresh(pages, "low")
     low = low.select(F.col("host").alias(site), F.col("low").alias(name))
-    if (rows[1] or 0) <= BROADCAST_ROWS:
+    if (size or 0) <= BROADCAST_BYTES:
         joined = pages.join(F.broadcast(low), site, "left")
     else:
         salt = B.fresh(pages, "salt")

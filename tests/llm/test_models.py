@@ -254,6 +254,78 @@ def test_style_tree_removes_what_all_pages_share(shipped):
     assert got[3] == "Story 3 tells of 9" and got[103] == "Box 3 Story 3"
 
 
+def test_style_tree_against_plain_loops(shipped):
+    """Importance of every branch, computed page by page."""
+    from agroseries.llm import extract
+    rng = random.Random(5)
+    lines = [f"line {i} " * rng.randrange(1, 5) for i in range(9)]
+    def page(host):
+        items = "".join(f"<li>{rng.choice(lines)}</li>" for _ in range(rng.randrange(3)))
+        head = "<h2>Story</h2>" if host != "b" else ""
+        own = "".join(f"<p>{rng.random()} told once</p>" if rng.random() < 0.8 else f"<p>{rng.choice(lines)}</p>" for _ in range(rng.randrange(4)))
+        return f"<div class=x>{rng.choice(lines[:2 if host == 'a' else 9])}<ul>{items}</ul></div><div class=y>{head}{own}</div>{rng.choice(['', lines[0]])}"
+    pages = [(h, page(h)) for h in "a" * 30 + "b" * 20 + "cc" + "d"]
+    found = extract.style_nodes(shipped.createDataFrame([*pages, ("e", None), ("e", "")], "host string, html string").repartition(3)).groupBy("host", "path", "kind", "hash").agg(
+        *(F.sum(c).alias(c) for c in ("n", "chars", "total")))
+    got = {tuple(r) for r in extract.low_branches(found).collect()}
+    parsed = [(h, *extract.parse(t)) for h, t in pages]
+    leaf = lambda b: b.path + "/#"
+    everywhere = Counter((t, p) for _, bs, _ in parsed for t, p in {(b.text, leaf(b)) for b in bs})
+    everywhere = {t: sum(n for (x, _), n in everywhere.items() if x == t) for t, _ in everywhere}
+    inside = lambda p, x: p == x or p.startswith(x + "/")
+    share = lambda n, of: max(0, 1 - math.log(n) / math.log(of)) if of > 1 else 1
+    want = set()
+    for h in "abcd":
+        own = [(bs, shapes) for x, bs, shapes in parsed if x == h]
+        content = {}
+        for p in {leaf(b) for bs, _ in own for b in bs}:
+            held = Counter(t for bs, _ in own for t in {b.text for b in bs if leaf(b) == p})
+            size, on = sum(len(t) * n for t, n in held.items()), sum(any(leaf(b) == p for b in bs) for bs, _ in own)
+            mean = lambda f: sum(len(t) * n * f(t, n) for t, n in held.items()) / size  # noqa: E731, B023
+            content[p] = size, min(mean(lambda t, n: share(n, on)), mean(lambda t, n: share(everywhere[t], len([1 for _, bs, _ in parsed if bs]))))  # noqa: B023
+        mean = lambda ps: sum(content[p][0] * content[p][1] for p in ps) / sum(content[p][0] for p in ps)  # noqa: E731, B023
+        for x in {"/".join(p.split("/")[:i]) for p in content for i in range(2, p.count("/") + 2)}:
+            under = [p for p in content if inside(p, x)]
+            on = [bs for bs, _ in own if any(inside(leaf(b), x) for b in bs)]
+            if len(on) < 2 or 2 * sum(len(b.text) for bs in on for b in bs if inside(leaf(b), x)) > sum(len(b.text) for bs in on for b in bs) or "/h2" in x:
+                continue
+            shapes = Counter(s for _, ss in own for p, s in set(ss) if p == x)
+            value = mean(under)
+            if any(shapes):
+                n, w = sum(shapes.values()), extract.GAMMA ** len(under)
+                varied = (math.log(n) - sum(c * math.log(c) for c in shapes.values()) / n) / math.log(n) if n > 1 else 1
+                value = max(value, (1 - w) * varied + w * value)
+            if value < extract.LOW * mean(content):
+                want.add((h, x))
+    assert got == want and ("a", "/div.x/#") in got and not {("a", "/div.y"), ("a", "/div.y/p"), ("b", "/div.y")} & got
+
+
+def test_style_tree_finds_articles_without_names(shipped):
+    """The given pages with classes and ids gone and every article a div: the tree
+    alone tells notices from the article."""
+    from agroseries.llm import extract
+    pages = shipped.read.parquet("/root/testdata/sf0.1/pages.parquet").select("page_id", "url", "html")
+    plain = F.regexp_replace(F.regexp_replace("html", r'(<\w+[^>]*?) (?:class|id)="[^"]*"', "$1"), r"<(/?)(?:article|main)\b", "<$1div")
+    named = F.udf(lambda t: " ".join(b.text for b in extract.parse(t or "")[0] if "/article" in b.path))
+    want = {r[0]: r[1] for r in pages.select("page_id", named("html")).collect()}
+    got = {r["page_id"]: r["text"] for r in extract.extract(pages).collect()}
+    bare = {r["page_id"]: r["text"] for r in extract.extract(pages.withColumn("html", plain)).collect()}
+    assert got == want
+    assert sum(bare[i] == t for i, t in want.items()) >= 0.9 * len(want)
+
+
+def test_style_tree_of_two_pages(shipped):
+    """Two pages tell a shared box from two stories; a heading that both share stays with
+    its story, and so does what is most of the page."""
+    from agroseries.llm import extract
+    page = "<div class=one>Read our rules</div><div class=two><h2>Story</h2><p>%s</p></div>"
+    rows = [(i, "http://two.org/", page % t) for i, t in enumerate(("Once there was a king who had it all", "The queen left early in the morning"))]
+    rows += [(10 + i, "http://copies.org/", page % "The same old story is told here twice") for i in range(2)]
+    got = {r[0]: r["text"] for r in extract.extract(shipped.createDataFrame(rows, "page_id bigint, url string, html string")).collect()}
+    assert got[0] == "Story Once there was a king who had it all" and got[1] == "Story The queen left early in the morning"
+    assert got[10] == got[11] and got[10].endswith("Story The same old story is told here twice")
+
+
 @pytest.fixture(scope="module")
 def labelled(shipped):
     rng = random.Random(1)
