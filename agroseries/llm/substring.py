@@ -40,6 +40,7 @@ from . import blocks as B
 
 K = 20
 GRAM = 10
+STRETCH = 16_384
 KEY_BYTES = 6  # of an anchor's hash; a clash only costs work
 ASKED = pa.schema([("bucket", pa.int32()), ("block", pa.int32()), ("data", pa.binary()), ("more", pa.binary())])
 TOLD = pa.schema([("step", pa.int32()), ("bucket", pa.int32()), ("block", pa.int32()), ("data", pa.binary())])
@@ -281,11 +282,14 @@ def summary(edge, after, ids, at, n=None):
 
 def compact(edges: DataFrame, buckets: int) -> DataFrame:
     """Nonbranching paths: bucket and hash of the head, first coordinate, length
-    and the exclusive or of the edges."""
-    source = Window.partitionBy("id").orderBy("start", "edge")
+    and the exclusive or of the edges.  A path ends where a stretch of ``STRETCH``
+    windows of its document does and the next one goes on from there, so no task holds a
+    whole document; the pieces cover the same words."""
+    edges = edges.withColumn("stretch", F.floor(F.col("start") / STRETCH))
+    source = Window.partitionBy("id", "stretch").orderBy("start", "edge")
     goes_on = (F.lag("start").over(source) == F.col("start") - 1) & (F.lag("next").over(source) == F.col("edge")) & (F.lag("n").over(source) == F.col("n"))
     numbered = edges.withColumn("head", F.when(goes_on, 0).otherwise(1)).withColumn("path", F.sum("head").over(source.rowsBetween(Window.unboundedPreceding, 0)))
-    paths = numbered.groupBy("id", "path").agg(
+    paths = numbered.groupBy("id", "stretch", "path").agg(
         F.min("start").alias("start"), F.count("*").alias("length"), F.bit_xor("edge").alias("fingerprint"), F.max(F.when(F.col("head") == 1, F.col("edge"))).alias("edge"))
     bucket = F.shiftrightunsigned(F.shiftrightunsigned("edge", 32) * buckets, 32).cast("int")
     return paths.select(bucket.alias("bucket"), "edge", "id", F.col("start").cast("long").alias("start"), "length", "fingerprint")

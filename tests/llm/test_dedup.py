@@ -1,4 +1,5 @@
 """op4, op5 and op7 against plain loops over the same texts."""
+import random
 from itertools import combinations
 
 import pytest
@@ -21,8 +22,10 @@ def repeats(rows, length):
     return first
 
 
-def test_substring_dedup(documents):
+@pytest.mark.parametrize("stretch", [5, 16_384])
+def test_substring_dedup(documents, monkeypatch, stretch):
     from agroseries.llm import substring
+    monkeypatch.setattr(substring, "STRETCH", stretch)
     k = 8
     out = substring.remove_repeats(documents, k=k, gram=4)
     assert {"n_words", "removed", "kept", "block", "ids"} <= set(out.columns) and out.count() == documents.count()
@@ -40,6 +43,24 @@ def test_substring_dedup(documents):
     assert changed > 8
 
 
+def test_substring_dedup_of_long_repeats(shipped, monkeypatch):
+    """A long document that repeats parts of itself and of which others hold parts: no
+    task gets more than a stretch of it, and all repeats go."""
+    from agroseries.llm import substring
+    monkeypatch.setattr(substring, "STRETCH", 64)
+    rng = random.Random(11)
+    line = lambda n: [f"w{rng.randrange(5000)}" for _ in range(n)]
+    long = line(1500)
+    long += line(30) + long[100:900] + line(20)
+    texts = [long, line(10) + long[300:1200] + line(10), long[63:1000], ["one"] + long, line(50)]
+    frame = shipped.createDataFrame([(i, " ".join(t)) for i, t in enumerate(texts)], "doc_id bigint, text string")
+    first = repeats(list(enumerate(texts)), 20)
+    for r in substring.remove_repeats(frame).collect():
+        words = texts[r["doc_id"]]
+        gone = {x for s in range(len(words) - 19) if first[tuple(words[s : s + 20])] != (r["doc_id"], s) for x in range(s, s + 20)}
+        assert r["kept"].split() == [w for i, w in enumerate(words) if i not in gone]
+
+
 def test_suffix_dedup(documents):
     from agroseries.llm import suffix
     out = suffix.remove_repeats(documents, length=30, gram=12)
