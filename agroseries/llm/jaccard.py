@@ -36,12 +36,14 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import blocks as B
+from .graph import components
 
 N = 5
 PERCENT = 75
 FRAGMENTS = 4
 BITMAP = 16  # words of 64 bits
 PAIRS_IN_CELL = 40_000
+PART = 4_096  # entries under one n-gram that meet at once
 PIVOT_ROUNDS = 2
 KEY_BYTES = 6
 ASKED = pa.schema([("bucket", pa.int32()), ("block", pa.int32()), ("data", pa.binary()), ("more", pa.binary())])
@@ -201,36 +203,24 @@ def links(pairs: DataFrame, n: int, classes: DataFrame, percent: int) -> DataFra
     return total.join(pairs, ["x", "y"]).where(reaches(F.col("overlap"), F.col("nx"), F.col("ny"), percent)).select("x", "y")
 
 
-def components(edges: DataFrame) -> DataFrame:
-    """node, component (its least node), of all nodes that have an edge; by
-    alternating large-star and small-star steps until every node hangs on its root."""
-    def least(near):
-        low = near.groupBy("u").agg(F.min("v").alias("m")).withColumn("m", F.least("u", "m"))
-        return near.join(low, "u"), low
-
-    def star(e):
-        moved, _ = least(e.union(e.select("y", "x")).toDF("u", "v"))
-        large = moved.where("v > u").select(F.col("v").alias("x"), F.col("m").alias("y")).where("x <> y")
-        moved, low = least(large.select(F.greatest("x", "y").alias("u"), F.least("x", "y").alias("v")))
-        return moved.select(F.col("v").alias("x"), F.col("m").alias("y")).union(low.select("u", "m")).where("x <> y").distinct()
-
-    state = B.kept(edges.where("x <> y").select(F.greatest("x", "y").alias("x"), F.least("x", "y").alias("y")).distinct())
-    while True:
-        state = B.kept(star(state))
-        # done when no parent is a child and every child has one parent
-        twice = state.groupBy("x").agg(F.count("*").alias("n"), F.lit(False).alias("p")).union(state.select("y", F.lit(0).alias("n"), F.lit(True)).distinct())
-        if not twice.groupBy("x").agg(F.sum("n").alias("n"), F.max("p").alias("p")).where("n > 1 OR (n > 0 AND p)").limit(1).count():
-            break
-    roots = state.select(F.col("y").alias("node")).distinct()
-    return state.select(F.col("x").alias("node"), F.col("y").alias("component")).union(roots.select("node", F.col("node").alias("component")))
-
-
 def with_components(index: DataFrame, found: DataFrame | None) -> DataFrame:
     if found is None:
         return index.withColumn("component", F.col("rep"))
     return index.join(found.withColumnRenamed("node", "rep"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
 
 
+def all_pairs(here: DataFrame) -> DataFrame:
+    """Every two entries x and y under one n-gram, once.  The entries of an n-gram are
+    dealt into parts of about ``PART``, and two parts meet in a cell of their own, so no
+    task gets all entries of a frequent n-gram."""
+    parts = here.groupBy("g").agg(F.count("*").alias("parts")).withColumn("parts", F.ceil(F.col("parts") / PART).cast("int"))
+    dealt = here.join(parts, "g").withColumn("part", F.pmod(F.xxhash64("rep"), F.col("parts")).cast("int"))
+    # F.sequence counts downwards where the end is less, so both ends are within the parts
+    x = dealt.withColumn("other", F.explode(F.sequence("part", F.col("parts") - 1))).withColumnRenamed("part", "low").withColumnRenamed("other", "high")
+    y = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), "part"))).withColumnRenamed("part", "high").withColumnRenamed("other", "low")
+    return x.alias("x").join(y.alias("y"), ["g", "low", "high"]).where("low < high OR x.rep < y.rep")
+
+
 def link_components(classes: DataFrame, percent: int = PERCENT) -> DataFrame:
     """node, component of all classes that have a link."""
     index, found = B.kept(prefixes(classes, percent)), None
@@ -245,7 +235,7 @@ def link_components(classes: DataFrame, percent: int = PERCENT) -> DataFrame:
             pivots = here.groupBy("g", "band").agg(F.min(pick).alias("p")).select("g", F.explode(F.sequence(F.col("band") - 1, F.col("band") + 1)).alias("band"), "p.rep", "p.n", "p.place", "p.component", "p.own", "p.bits")
             met = here.alias("x").join(pivots.alias("y"), ["g", "band"])
         else:
-            met = here.alias("x").join(here.alias("y"), "g").where("x.rep < y.rep")
+            met = all_pairs(here)
         met = met.where(F.col("x.component") != F.col("y.component")).where(may_link(percent))
         low = F.col("x.rep") < F.col("y.rep")
         pairs = B.kept(met.select(F.least("x.rep", "y.rep").alias("x"), F.greatest("x.rep", "y.rep").alias("y"),
