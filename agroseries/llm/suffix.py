@@ -3,26 +3,29 @@
 A rolling hash of ``GRAM`` bytes is the trigger: every window of ``length`` bytes
 belongs to its gram with the least hash (the leftmost, if equal), which depends on
 the window's bytes alone.  Consecutive windows with the same trigger form a phrase;
-a document is parsed into overlapping phrases, and equal windows lie under equal
-triggers wherever they occur.  The corpus order of the windows, which a suffix array
-cut at ``length`` bytes gives, is made from two parts:
-
-* the *parse*: which documents hold a phrase.  All windows of a phrase that an
-  earlier document holds are repeats, without looking into the phrase;
-* the *dictionary*: different phrases under one trigger.  Only these have their
-  windows (the suffixes of the phrase, cut at ``length``) put in order, each phrase
-  once, with the least document that holds it.
-
-Both orders are kept in shards: a block of documents sends each different trigger,
-phrase or window once to the task that owns its range of hashes, and gets one bit
-back.  Copies collapse before they are sent, no group is gathered by trigger or
-phrase, and a very frequent string costs one entry a block.
+a document is parsed into overlapping phrases, every window lies in one phrase, and
+equal windows lie under equal triggers wherever they occur.  The corpus order of the
+windows, which a suffix array cut at ``length`` bytes gives, is combined from two:
+
+* the *parse*: phrases in order, each with the least document that holds it.  All
+  windows of a phrase that an earlier document holds are repeats, without looking
+  into the phrase;
+* the *dictionary*: different phrases under one trigger.  Only these are looked into,
+  each once: their suffixes, cut at ``length``, are sorted by their bytes, and those
+  that agree in all of them stand side by side, the least document among them first.
+
+Both are kept in shards by trigger, as windows of different triggers differ: a block
+of documents sends each different trigger or phrase once to the task that owns its
+range of hashes, and gets one bit back for each (or for each window).  Copies collapse
+before they are sent.  Of a trigger with more than ``crowd`` phrases the dictionary is
+sharded by window instead, so no task holds all surroundings of a frequent string.
 
 1. Triggers that occur in one document only are dropped (most of them).
-2. Of the rest: has an earlier document the phrase; has the trigger several phrases?
-3. For first phrases under such triggers: has an earlier document the window?
+2. Of the rest: has an earlier document the phrase; has the trigger several phrases,
+   or a crowd?
+3. For first phrases under triggers with several: has an earlier document the window?
 
-Phrases and windows are told apart by 64-bit fingerprints.
+Windows are compared by their bytes, phrases by 64-bit fingerprints.
 
 Defined results: null text is empty; a null doc_id takes no part (kept whole, no
 document is later than it); rows that share a doc_id are not earlier than each
@@ -44,6 +47,9 @@ from . import blocks as B
 LENGTH = 50
 GRAM = 24
 KEY_BYTES = 6  # of a trigger's hash, in the first question; a clash only costs work
+CROWD = 1 << 16  # phrases under one trigger that one task sorts
+COUNT_BYTES = 2
+SORTED_WINDOWS = 1 << 17  # sorted at once, where triggers allow
 ASKED = pa.schema([("bucket", pa.int32()), ("block", pa.int32()), ("data", pa.binary()), ("more", pa.binary()), ("base", pa.int64())])
 TOLD = pa.schema([("step", pa.int32()), ("bucket", pa.int32()), ("block", pa.int32()), ("data", pa.binary())])
 
@@ -86,6 +92,36 @@ class Parse:
         return start, B.span(self.sums, start, start + self.length)
 
 
+def suffix_order(raw: np.ndarray, start: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
+    """The suffixes at ``start``, cut at ``length`` bytes, in the order of their bytes;
+    and where in that order one differs from the one before it."""
+    padded = np.concatenate([raw, np.zeros(8, np.uint8)])
+    eight = np.ndarray((len(raw) + 1,), ">u8", buffer=padded, strides=(1,))
+    words = []
+    for i in range(0, length, 8):
+        own = eight[start + i].astype(np.uint64)
+        if length - i < 8:
+            own >>= np.uint64(8 * (8 - (length - i)))
+        words.append(own)
+    order = np.lexsort(words[::-1])
+    fresh = np.ones(len(start), bool)
+    if len(start):
+        fresh[1:] = False
+        for own in words:
+            own = own[order]
+            fresh[1:] |= own[1:] != own[:-1]
+    return order, fresh
+
+
+def counted(start: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """For each i the n[i] numbers from start[i] on."""
+    return np.repeat(start - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))
+
+
+def offsets(n: np.ndarray) -> np.ndarray:
+    return np.concatenate([[0], np.cumsum(n)]).astype(np.int64)
+
+
 class Part(NamedTuple):
     """A slice of a block: its phrases, its documents' keys and places."""
 
@@ -94,11 +130,23 @@ class Part(NamedTuple):
     rows: np.ndarray
 
 
+class Entries(NamedTuple):
+    """What a block asks the dictionary: different phrases (or windows, of a crowd) by
+    route.  ``number`` is the entry of each occurrence, slice by slice."""
+
+    route: np.ndarray
+    windows: np.ndarray
+    first: np.ndarray  # least document of the block
+    start: np.ndarray  # in the texts of all slices
+    number: list[np.ndarray]
+    found: list[tuple[np.ndarray, np.ndarray, np.ndarray]]  # by slice: start, windows, document
+
+
 @dataclass(frozen=True)
 class Dedup:
     """The questions that blocks of documents ask, and how they are answered.
     Steps: 1 triggers, 2 phrases and (from bucket ``buckets`` on) triggers with
-    their least and greatest phrase, 3 windows."""
+    their least and greatest phrase and the number of phrases, 3 windows, 4 crowds."""
 
     key: str
     text: str
@@ -107,6 +155,7 @@ class Dedup:
     gram: int
     buckets: int
     characters: bool = False  # the text is shortened too, by whole characters
+    crowd: int = CROWD
 
     # ---- what a block knows by itself
 
@@ -126,36 +175,62 @@ class Dedup:
 
     def phrases(self, parts: list[Part], chosen: list[np.ndarray]):
         """Different phrases with their least document; triggers with their least
-        and greatest phrase."""
+        and greatest phrase and the number of different ones."""
         content = joined([x.parse.content[c] for x, c in zip(parts, chosen)])
         ids = joined([x.ids[x.parse.doc[c]] for x, c in zip(parts, chosen)], np.int64)
         keys = joined([x.parse.key[c] for x, c in zip(parts, chosen)])
-        return *B.least(content, ids), *B.least(keys, content), ~B.least(keys, ~content)[1]
-
-    def repeats(self, parts: list[Part], told: dict) -> tuple[list[np.ndarray], list[np.ndarray]]:
-        """By slice: phrases that an earlier document holds; phrases to look into."""
+        order = np.lexsort((content, keys))
+        own, own_content = keys[order], content[order]
+        cuts = B.grouped(own)
+        fresh = np.ones(len(own), np.int64)
+        fresh[1:] = (own[1:] != own[:-1]) | (own_content[1:] != own_content[:-1])
+        number = np.add.reduceat(fresh, cuts[:-1]) if len(own) else fresh
+        return *B.least(content, ids), own[cuts[:-1]], own_content[cuts[:-1]], own_content[cuts[1:] - 1], number
+
+    def repeats(self, parts: list[Part], told: dict) -> tuple[list[np.ndarray], list[np.ndarray], list[np.ndarray]]:
+        """By slice: phrases that an earlier document holds; phrases to look into;
+        phrases under a crowd."""
         chosen = self.shared(parts, told)
-        kept, first, keys, _, _ = self.phrases(parts, chosen)
+        kept, first, keys, _, _, _ = self.phrases(parts, chosen)
         seen = B.flags_for(kept, self.buckets, told.get(2, {}))
         several = B.flags_for(keys, self.buckets, told.get(2, {}), shift=self.buckets)
-        whole, inside = [], []
+        crowds = B.flags_for(keys, self.buckets, told.get(4, {}), shift=self.buckets)
+        whole, inside, crowded = [], [], []
         for x, c in zip(parts, chosen):
             place = np.searchsorted(kept, x.parse.content[c])
-            again, look = np.zeros((2, len(c)), bool)
+            again, look, crowd = np.zeros((3, len(c)), bool)
             again[c] = seen[place] | (first[place] < x.ids[x.parse.doc[c]])
-            look[c] = several[np.searchsorted(keys, x.parse.key[c])]
+            under = np.searchsorted(keys, x.parse.key[c])
+            look[c], crowd[c] = several[under], crowds[under]
             whole.append(again)
             inside.append(look & ~again)
-        return whole, inside
-
-    def suffixes(self, parts: list[Part], inside: list[np.ndarray]):
-        """By slice: starts, hashes and documents of the windows to put in order;
-        then the different ones with their least document."""
-        own = []
-        for x, c in zip(parts, inside):
-            start, hashes = x.parse.windows_of(c)
-            own.append((start, hashes, np.repeat(x.ids[x.parse.doc[c]], x.parse.windows[c])))
-        return own, *B.least(joined([h for _, h, _ in own]), joined([i for _, _, i in own], np.int64))
+            crowded.append(crowd)
+        return whole, inside, crowded
+
+    def dictionary(self, parts: list[Part], inside: list[np.ndarray], crowded: list[np.ndarray]) -> Entries:
+        """The phrases to look into; of a crowd, each window by itself."""
+        found, routes, contents = [], [], []
+        for x, c, crowd in zip(parts, inside, crowded):
+            p = x.parse
+            plain, split = np.flatnonzero(c & ~crowd), np.flatnonzero(c & crowd)
+            start, hashes = p.windows_of(split)
+            routes.append(np.concatenate([p.key[plain], hashes]))
+            contents.append(np.concatenate([p.content[plain], hashes]))
+            found.append((np.concatenate([p.start[plain], start]), np.concatenate([p.windows[plain], np.ones(len(start), np.int64)]),
+                          np.concatenate([x.ids[p.doc[plain]], np.repeat(x.ids[p.doc[split]], p.windows[split])])))
+        route, content, ids = joined(routes), joined(contents), joined([i for _, _, i in found], np.int64)
+        windows = joined([n for _, n, _ in found], np.int64)
+        order = np.lexsort((content, route))
+        fresh = np.ones(len(order), bool)
+        fresh[1:] = (route[order][1:] != route[order][:-1]) | (content[order][1:] != content[order][:-1])
+        heads = np.flatnonzero(fresh)
+        number = np.zeros(len(order), np.int64)
+        number[order] = np.cumsum(fresh) - 1
+        first = np.minimum.reduceat(ids[order], heads) if len(heads) else ids
+        picked = order[heads]
+        at = offsets(np.array([len(s) for s, _, _ in found], np.int64))
+        begin = joined([s + base for (s, _, _), base in zip(found, offsets(np.array([len(x.parse.raw) for x in parts], np.int64)))], np.int64)
+        return Entries(route[picked], windows[picked], first, begin[picked], [number[lo:hi] for lo, hi in zip(at[:-1], at[1:])], found)
 
     # ---- questions
 
@@ -177,22 +252,28 @@ class Dedup:
         if not len(table) or not len(told):
             return ASKED.empty_table()
         parts = self.parses(table)
-        kept, first, keys, low, high = self.phrases(parts, self.shared(parts, by_step(told)))
+        kept, first, keys, low, high, number = self.phrases(parts, self.shared(parts, by_step(told)))
+        number = np.minimum(number, (1 << 8 * COUNT_BYTES) - 1).astype(np.uint64) << np.uint64(64 - 8 * COUNT_BYTES)
         out = Asked(self.block_of(table))
         for b, lo, hi in B.by_bucket(kept, self.buckets):
             out.add_least(b, kept[lo:hi], first[lo:hi])
         for b, lo, hi in B.by_bucket(keys, self.buckets):
-            out.add(b + self.buckets, B.planes(keys[lo:hi]), B.planes(low[lo:hi]) + B.planes(high[lo:hi]))
+            out.add(b + self.buckets, B.planes(keys[lo:hi]), B.planes(low[lo:hi]) + B.planes(high[lo:hi]) + B.planes(number[lo:hi], COUNT_BYTES))
         return out.table()
 
     def ask_suffixes(self, table: pa.Table, told: pa.Table) -> pa.Table:
         if not len(table) or not len(told):
             return ASKED.empty_table()
         parts = self.parses(table)
-        _, kept, first = self.suffixes(parts, self.repeats(parts, by_step(told))[1])
+        e = self.dictionary(parts, *self.repeats(parts, by_step(told))[1:])
         out = Asked(self.block_of(table))
-        for b, lo, hi in B.by_bucket(kept, self.buckets):
-            out.add_least(b, kept[lo:hi], first[lo:hi])
+        raw = joined([x.parse.raw for x in parts], np.uint8)
+        # places within an owner's range let it sort its triggers some at a time
+        place = (e.route >> np.uint64(32)) * np.uint64(self.buckets) << np.uint64(32)
+        for b, lo, hi in B.by_bucket(e.route, self.buckets):
+            base = int(e.first[lo:hi].min())
+            more = B.planes(e.windows[lo:hi].astype(np.uint64)) + B.planes((e.first[lo:hi] - base).astype(np.uint64)) + B.planes(place[lo:hi])
+            out.add(b, raw[counted(e.start[lo:hi], e.windows[lo:hi] + self.length - 1)].tobytes(), more, base)
         return out.table()
 
     def block_of(self, table: pa.Table) -> int:
@@ -211,14 +292,38 @@ class Dedup:
         if table.column("bucket")[0].as_py() < self.buckets:
             return told_rows(table, 2, earlier(table))
         keys = [B.from_planes(x) for x in table.column("data").to_pylist()]
-        both = [B.from_planes(x[: len(x) // 2]) for x in table.column("more").to_pylist()], [B.from_planes(x[len(x) // 2 :]) for x in table.column("more").to_pylist()]
+        more = [(x, 8 * len(k)) for x, k in zip(table.column("more").to_pylist(), keys)]
         every = np.concatenate(keys)
-        known, low = B.least(every, np.concatenate(both[0]))
-        several = low != ~B.least(every, ~np.concatenate(both[1]))[1]
-        return told_rows(table, 2, [several[np.searchsorted(known, k)] for k in keys])
+        known, low = B.least(every, np.concatenate([B.from_planes(x[:n]) for x, n in more]))
+        several = low != ~B.least(every, ~np.concatenate([B.from_planes(x[n : 2 * n]) for x, n in more]))[1]
+        number = np.concatenate([B.from_planes(x[2 * n :], COUNT_BYTES) for x, n in more]) >> np.uint64(64 - 8 * COUNT_BYTES)
+        in_all = np.zeros(len(known), np.int64)
+        np.add.at(in_all, np.searchsorted(known, every), number.astype(np.int64))
+        crowded = several & (in_all > self.crowd)
+        places = [np.searchsorted(known, k) for k in keys]
+        return pa.concat_tables([told_rows(table, 2, [several[p] for p in places]), told_rows(table, 4, [crowded[p] for p in places])])
 
     def tell_suffixes(self, table: pa.Table) -> pa.Table:
-        return told_rows(table, 3, earlier(table))
+        """Sorts the suffixes of a shard of the dictionary; a bit for each window."""
+        data = table.column("data").to_pylist()
+        more = table.column("more").to_pylist()
+        entries = [len(x) // 24 for x in more]
+        windows, ids, place = ([B.from_planes(x[8 * i * n : 8 * (i + 1) * n]).astype(np.int64 if i < 2 else np.uint64) for x, n in zip(more, entries)] for i in range(3))
+        ids = np.concatenate([x + base for x, base in zip(ids, table.column("base").to_pylist())])
+        windows, place = np.concatenate(windows), np.concatenate(place)
+        raw = np.frombuffer(b"".join(data), np.uint8)
+        text_at, bit_at = offsets(windows + self.length - 1), offsets(windows)
+        seen = np.zeros(int(bit_at[-1]), bool)
+        order = np.argsort(place, kind="stable")
+        for lo, hi in pieces(place[order], windows[order], SORTED_WINDOWS):
+            own = order[lo:hi]
+            n = windows[own]
+            start, bit, document = counted(text_at[own], n), counted(bit_at[own], n), np.repeat(ids[own], n)
+            array, fresh = suffix_order(raw, start, self.length)
+            least = np.minimum.reduceat(document[array], np.flatnonzero(fresh))
+            seen[bit[array]] = least[np.cumsum(fresh) - 1] < document[array]
+        cuts = bit_at[offsets(np.array(entries, np.int64))]
+        return told_rows(table, 3, [seen[a:b] for a, b in zip(cuts[:-1], cuts[1:])])
 
     # ---- the result
 
@@ -230,12 +335,16 @@ class Dedup:
         if len(told):
             answers = by_step(told)
             parts = self.parses(table)
-            whole, inside = self.repeats(parts, answers)
-            own, kept, first = self.suffixes(parts, inside)
-            seen = B.flags_for(kept, self.buckets, answers.get(3, {}))
-            for x, again, (start, hashes, ids) in zip(parts, whole, own):
-                place = np.searchsorted(kept, hashes)
-                hit = start[seen[place] | (first[place] < ids)]
+            whole, inside, crowded = self.repeats(parts, answers)
+            e = self.dictionary(parts, inside, crowded)
+            bit_at = offsets(e.windows)
+            seen = np.zeros(int(bit_at[-1]), bool)
+            for b, lo, hi in B.by_bucket(e.route, self.buckets):
+                if b in answers.get(3, {}):
+                    seen[bit_at[lo] : bit_at[hi]] = B.from_bits(answers[3][b][0], int(bit_at[hi] - bit_at[lo]))
+            for x, again, number, (start, n, ids) in zip(parts, whole, e.number, e.found):
+                hit = seen[counted(bit_at[number], n)] | np.repeat(e.first[number] < ids, n)
+                hit = counted(start, n)[hit]
                 cover = np.zeros(len(x.parse.raw) + 1, np.int32)
                 np.add.at(cover, x.parse.start[again], 1)
                 np.add.at(cover, (x.parse.start + x.parse.windows + self.length - 1)[again], -1)
@@ -264,6 +373,18 @@ def joined(parts: list[np.ndarray], kind=np.uint64) -> np.ndarray:
     return np.concatenate(parts) if parts else np.zeros(0, kind)
 
 
+def pieces(values: np.ndarray, weights: np.ndarray, most: int) -> list[tuple[int, int]]:
+    """Ranges of a sorted array with a weight of about ``most``; equal values stay together."""
+    cuts = B.grouped(values)
+    total = offsets(weights)[cuts]
+    out, lo = [], 0
+    for i in range(1, len(cuts)):
+        if i == len(cuts) - 1 or total[i + 1] - total[lo] > most:
+            out.append((int(cuts[lo]), int(cuts[i])))
+            lo = i
+    return out
+
+
 class Asked:
     """Rows of a block's question: entries of one bucket in sorted order."""
 
@@ -304,14 +425,14 @@ def by_step(table: pa.Table) -> dict[int, dict[int, tuple]]:
     return out
 
 
-def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", length: int = LENGTH, gram: int = GRAM, characters: bool = False) -> DataFrame:
+def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", length: int = LENGTH, gram: int = GRAM, characters: bool = False, crowd: int = CROWD) -> DataFrame:
     """``docs`` with ``removed`` (byte spans, in order) and ``kept`` (the bytes that
     stay); columns of these names are replaced.  With ``characters`` the text column is
     shortened as ``whole_characters`` does."""
     docs = docs.drop("removed", "kept")
     size = B.text_bytes(docs, text)
     dealt, block = B.blocked(docs, key, text, size)
-    d = Dedup(key, text, block, length, gram, B.buckets_for(size), characters)
+    d = Dedup(key, text, block, length, gram, B.buckets_for(size), characters, crowd)
     asked = "bucket int, block int, data binary, more binary, base bigint"
     told_as = "step int, bucket int, block int, data binary"
     own = dealt.select(block, key, text)

@@ -61,9 +61,10 @@ def test_substring_dedup_of_long_repeats(shipped, monkeypatch):
         assert r["kept"].split() == [w for i, w in enumerate(words) if i not in gone]
 
 
-def test_suffix_dedup(documents):
+@pytest.mark.parametrize("crowd", [0, 2, 65_536])
+def test_suffix_dedup(documents, crowd):
     from agroseries.llm import suffix
-    out = suffix.remove_repeats(documents, length=30, gram=12)
+    out = suffix.remove_repeats(documents, length=30, gram=12, crowd=crowd)
     rows = [(r["doc_id"], (r["text"] or "").encode(), bytes(r["kept"]), r["removed"]) for r in out.collect()]
     first = repeats([(i, t) for i, t, _, _ in rows], 30)
     for key, text, kept, spans in rows:
@@ -79,6 +80,48 @@ def test_suffix_dedup(documents):
     assert {len(r["text"] or "") for r in whole}
 
 
+@pytest.mark.parametrize("length", [8, 13, 50, 56])
+def test_suffix_order(length):
+    """Suffixes cut at a length, in the order of their bytes, each group's first one marked."""
+    import numpy as np
+    from agroseries.llm import suffix
+    rng = random.Random(length)
+    text = b"".join(rng.choice([b"ab", b"\x00", b"\xff" * 3, b"abcabc" * 12]) for _ in range(200))
+    start = np.arange(len(text) - length + 1)
+    order, fresh = suffix.suffix_order(np.frombuffer(text, np.uint8), start, length)
+    cut = [text[s : s + length] for s in order.tolist()]
+    assert cut == sorted(text[s : s + length] for s in start.tolist())
+    assert fresh.tolist() == [i == 0 or cut[i] != cut[i - 1] for i in range(len(cut))]
+
+
+def test_suffix_pieces():
+    """Equal places stay together, other pieces hold about the weight asked for."""
+    import numpy as np
+    from agroseries.llm import suffix
+    places = np.array([1, 1, 1, 2, 3, 3, 4, 5, 6])
+    got = suffix.pieces(places, np.array([4, 4, 4, 1, 1, 1, 3, 5, 1]), 6)
+    assert got == [(0, 3), (3, 7), (7, 9)]
+    assert suffix.pieces(places[:0], places[:0], 6) == []
+
+
+@pytest.mark.parametrize("crowd", [10, 65_536])
+def test_suffix_dedup_of_a_frequent_line(shipped, crowd):
+    """One line in every document, with other surroundings each time: its trigger has a
+    crowd of phrases; what follows it repeats for some."""
+    from agroseries.llm import suffix
+    rng = random.Random(3)
+    noise = lambda n: "".join(chr(rng.randrange(97, 123)) for _ in range(n))
+    line = noise(60)
+    after = [noise(30) for _ in range(5)]
+    texts = [noise(80) + line + rng.choice(after) + noise(60) for _ in range(120)]
+    frame = shipped.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string").repartition(4)
+    first = repeats(list(enumerate(texts)), 50)
+    for r in suffix.remove_repeats(frame, crowd=crowd).collect():
+        i, text = r["doc_id"], texts[r["doc_id"]]
+        gone = {x for s in range(len(text) - 49) if first[tuple(text[s : s + 50])][0] < i for x in range(s, s + 50)}
+        assert bytes(r["kept"]).decode() == "".join(c for x, c in enumerate(text) if x not in gone)
+
+
 @pytest.mark.parametrize("name", ["substring", "suffix"])
 def test_dedup_of_nothing(empty, shipped, name):
     import importlib
@@ -126,9 +169,21 @@ def test_jaccard_components(documents, empty, texts, shipped):
     assert len(kept) >= n and len({x for x in kept if x[0] is not None}) == len([x for x in kept if x[0] is not None])
 
 
-def test_jaccard_chain_and_threshold(shipped):
+def test_jaccard_parts_of_an_ngram(shipped, monkeypatch):
+    """All pairs under an n-gram come once, whatever parts its entries are dealt into."""
+    from agroseries.llm import jaccard
+    monkeypatch.setattr(jaccard, "PART", 7)
+    rows = [(g, r) for g, n in ((1, 50), (2, 7), (3, 1), (4, 8)) for r in range(n)]
+    here = shipped.createDataFrame(rows, "g bigint, rep bigint")
+    got = [(r["g"], *sorted((r["a"], r["b"]))) for r in jaccard.all_pairs(here).selectExpr("g", "x.rep AS a", "y.rep AS b").collect()]
+    assert sorted(got) == sorted((g, a, b) for g, n in ((1, 50), (2, 7), (3, 1), (4, 8)) for a, b in combinations(range(n), 2))
+
+
+@pytest.mark.parametrize("part", [3, 4_096])
+def test_jaccard_chain_and_threshold(shipped, monkeypatch, part):
     """A chain whose ends do not link, a pair just at 75 percent, one just below."""
     from agroseries.llm import jaccard
+    monkeypatch.setattr(jaccard, "PART", part)
     words = [f"w{i}" for i in range(400)]
     chain = [(i, " ".join(words[i * 5 : i * 5 + 60])) for i in range(8)]
     seven = [f"v{i}" for i in range(11)]
