@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from contextlib import contextmanager
+
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -18,11 +20,32 @@ def write_sites(df: DataFrame, path: str, bom: bool = True) -> None:
     out.write.mode("overwrite").option("header", True).csv(path)
 
 
+OPEN_FOLDERS = 256        # parameters a task writes side by side; it sorts the rows of any others
+ROWS_PER_FILE = 2_000_000  # compressed files are not split by readers
+
+
+@contextmanager
+def setting(spark: SparkSession, key: str, value) -> None:
+    """A session setting for the time of a write."""
+    before = spark.conf.get(key, None)
+    spark.conf.set(key, str(value))
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before) if before is not None else spark.conf.unset(key)
+
+
 def write_daily(df: DataFrame, path: str) -> None:
-    """K2: long daily rows, one folder per parameter (not one file per pair)."""
-    (df.select("site_id", "name", "lat", "lon", F.date_format("date", "yyyy-MM-dd").alias("date"),
-               "value", "param")
-       .write.mode("overwrite").option("header", True).partitionBy("param").csv(path))
+    """K2: long daily rows, one folder per parameter (not one file per pair).
+
+    Site and place repeat in every line, so files are compressed; a task keeps a file
+    per folder open and does not sort its rows by folder first.
+    """
+    with setting(df.sparkSession, "spark.sql.maxConcurrentOutputFileWriters", OPEN_FOLDERS):
+        (df.select("site_id", "name", "lat", "lon", F.date_format("date", "yyyy-MM-dd").alias("date"),
+                   "value", "param")
+           .write.mode("overwrite").option("header", True).option("compression", "gzip").option("maxRecordsPerFile", ROWS_PER_FILE)
+           .partitionBy("param").csv(path))
 
 
 def write_by_year(df: DataFrame, path: str, col: str = "year") -> None:
