@@ -54,6 +54,8 @@ def resolve(params: DataFrame, rules: DataFrame, param: str = "param") -> DataFr
     import json
     table = F.from_json(F.lit(json.dumps([{"pattern": r["pattern"], "rule": r["rule"]} for r in rows])), "array<struct<pattern:string,rule:string>>")
     names = params.where(F.col(param).isNotNull()).select(F.col(param).alias("param")).distinct()
+    # a filter on what is found would be pushed below ``distinct`` to every row; it is not pushed below a generator
+    names = names.select(F.explode(F.array("param")).alias("param"))
     fits = F.filter(table, lambda r: F.rlike(F.lower("param"), r["pattern"]))
     found = names.select("param", F.array_distinct(F.transform(fits, lambda r: r["rule"])).alias("candidates"))
     return found.select("param", F.coalesce(F.get("candidates", F.lit(0)), F.lit("mean")).alias("rule"), F.size("candidates").alias("n_rules"), "candidates")
