@@ -37,6 +37,7 @@ not merged, other columns are left out.
 
 from __future__ import annotations
 
+import math
 from dataclasses import dataclass, field, replace
 from functools import lru_cache, reduce
 
@@ -269,17 +270,19 @@ class Seats:
         return keys, np.bincount(place[rare], (self.count - self.tables)[rare], len(keys)).astype(np.int64), place
 
 
-MOST_CUSTOMERS, MOST_TABLES = 2_048, 512  # of the table of Stirling numbers
+MOST_CUSTOMERS = 1_024   # of the table of Stirling numbers
+MOST_TABLES = 2**32 - 1  # that ``small`` can hold; no draw is cut
+LEAST = -37.0            # below the log of 2**-53
+TRIES = 16               # drawn at once for a dish of more than MOST_CUSTOMERS
 
 
 @lru_cache(maxsize=4)
 def stirling_logs(discount: float) -> np.ndarray:
     """log S(c, t) of the generalised Stirling numbers: S(c + 1, t) = S(c, t - 1) +
-    (c - discount t) S(c, t).  Beyond the last row the ratios S(c, t) / S(c, t - 1) hardly
-    depend on c any more, and only they matter."""
-    out = np.full((MOST_CUSTOMERS + 1, MOST_TABLES + 1), -np.inf)
+    (c - discount t) S(c, t), for up to MOST_CUSTOMERS customers."""
+    out = np.full((MOST_CUSTOMERS + 1, MOST_CUSTOMERS + 1), -np.inf)
     out[0, 0] = 0.0
-    t = np.arange(1, MOST_TABLES + 1)
+    t = np.arange(1, MOST_CUSTOMERS + 1)
     with np.errstate(divide="ignore", invalid="ignore"):
         for c in range(MOST_CUSTOMERS):
             stays = np.where(c > discount * t, np.log(np.maximum(c - discount * t, 1e-300)) + out[c, 1:], -np.inf)
@@ -294,23 +297,152 @@ def reseat(customers: np.ndarray, held: np.ndarray, word: np.ndarray, mass: np.n
 
     with the other tables T in the restaurant (``held``), and in its parent the dish's
     probability p (``word``) and the mass D = theta + customers (``mass``), from all of
-    which the dish's own tables have been taken out."""
+    which the dish's own tables have been taken out.  Up to MOST_CUSTOMERS customers all
+    P(t) are summed; for more, ``seat_many`` draws from the same distribution."""
     tables = np.minimum(customers, 1).astype(np.int64)
     logs = stirling_logs(discount)
-    most = np.minimum(customers, MOST_TABLES)
     wide = 2
-    while wide // 2 < MOST_TABLES:
-        here = np.flatnonzero((most > wide // 2 if wide > 2 else most > 1) & (most <= wide))
+    while wide // 2 < MOST_CUSTOMERS:
+        here = np.flatnonzero((customers > wide // 2 if wide > 2 else customers > 1) & (customers <= wide))
         for part in np.array_split(here, max(1, len(here) * wide >> 18)):
             if not len(part):
                 continue
             i = np.arange(wide)
             p, d = word[part, None], mass[part, None]
             steps = np.log(THETA + discount * (held[part, None] + i)) + np.log((p * d + i) / (d + i))
-            own = np.cumsum(steps, axis=1) + logs[np.minimum(customers[part], MOST_CUSTOMERS), 1 : wide + 1]
+            own = np.cumsum(steps, axis=1) + logs[customers[part], 1 : wide + 1]
             own = np.cumsum(np.exp(own - own.max(axis=1, keepdims=True)), axis=1)
             tables[part] = 1 + (own < random.random(len(part))[:, None] * own[:, -1:]).sum(axis=1)
         wide *= 2
+    many = np.flatnonzero(customers > MOST_CUSTOMERS)
+    if len(many):
+        tables[many] = seat_many(customers[many], *(np.asarray(x, float)[many] for x in (held, word, mass)), discount, random)
+    return tables
+
+
+def log_rising(x: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """log of x (x + 1) ... (x + n - 1), also where x is far greater than n."""
+    shift = sum(np.log1p(n / (x + j)) for j in range(10))
+    y = x + 10
+    rest = lambda z: 1 / (12 * z) - 1 / (360 * z**3) + 1 / (1260 * z**5)
+    return (y - 0.5) * np.log1p(n / y) + n * (np.log(y + n) - 1) + rest(y + n) - rest(y) - shift
+
+
+FEW = 256  # tables for which S(c, t) is summed in closed form
+
+
+@lru_cache(maxsize=4)
+def few_terms(discount: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of k = 1 to FEW: log and sign of Gamma(1 + d k) sin(pi d k) / pi; C(t, k) by (k, t)."""
+    k = np.arange(1, FEW + 1)
+    sine = np.sin(np.pi * (discount * k % 2)) / np.pi
+    with np.errstate(divide="ignore"):
+        logs = np.array([math.lgamma(1 + discount * x) for x in k]) + np.log(np.abs(sine))
+    return logs, -np.sign(sine) * (-1.0) ** k, np.array([[float(math.comb(t, x)) for t in k] for x in k])
+
+
+def stirling_few(customers: np.ndarray, discount: float) -> tuple[np.ndarray, np.ndarray]:
+    """log of S(c, t) / Gamma(c - d) for t = 1 to FEW and many customers, from
+
+        S(c, t) = sum over k of (-1)^k C(t, k) Gamma(c - d k) / Gamma(-d k) / (d^t t!),
+
+    and the number of leading t for which the sum loses few digits."""
+    logs, sign, choose = few_terms(discount)
+    k = np.arange(1, FEW + 1)
+    terms = np.exp(logs - log_rising(customers[:, None] - discount * k, (k - 1) * discount))
+    total, size = (terms * sign) @ choose, terms @ choose
+    good = size < 1e5 * total
+    factorial = np.cumsum(np.log(k * discount))
+    return np.log(np.where(good, total, 1)) - factorial, np.where(good.all(axis=1), FEW, good.argmin(axis=1))
+
+
+def tables_of(customers: np.ndarray, start: np.ndarray, limit: np.ndarray, discount: float, random: np.random.Generator) -> np.ndarray:
+    """Tables of Chinese restaurants of concentration ``start`` - discount, table by table:
+    of all but a table's first customer, who does not join it leaves for the next ones.
+    What has more than ``limit`` tables is not followed further."""
+    tables, left, open_ = np.zeros(len(customers), np.int64), customers.copy(), np.arange(len(customers))
+    while len(open_):
+        left = random.binomial(left - 1, random.beta(start[open_] + discount * tables[open_], 1 - discount))
+        tables[open_] += 1
+        stay = (left > 0) & (tables[open_] <= limit[open_])
+        open_, left = open_[stay], left[stay]
+    return tables
+
+
+def seat_many(customers: np.ndarray, held: np.ndarray, p: np.ndarray, mass: np.ndarray, discount: float, random: np.random.Generator) -> np.ndarray:
+    """``reseat`` for any number of customers.  Where all but 2**-53 of the probability is
+    known to lie at few tables, P(t) is summed in closed form.  Otherwise: a Chinese
+    restaurant of concentration a has P(t) ~ S(c, t) * prod over 0 < i < t of (a + d i), so
+    its draws, kept with a chance in proportion to
+
+        w(t) = prod over 0 < i < t of (theta + d (T + i)) (p D + i) / ((D + i) (a + d i)),
+
+    have the distribution asked for, whatever a is.  The factors of w cross 1 at most once
+    (their difference is linear in i), so its greatest value is at the crossing, at one
+    table or at c.  a is chosen so that the restaurant's mean is near the mode."""
+    own = THETA + discount * held
+    factor = lambda i: (own + discount * i) * (p * mass + i) / (mass + i)
+    factor_of = lambda at, i: (own[at, None] + discount * i) * ((p * mass)[at, None] + i) / (mass[at, None] + i)
+
+    def mean(start):
+        """Tables expected at concentration start - discount."""
+        a = start - discount
+        grown = np.exp(np.minimum(log_rising(start + discount, customers - 1) - log_rising(a + 1, customers - 1), 700))
+        return np.clip((grown * start - a) / discount, 1, customers)
+
+    # start = a + d, from next to nothing to all the restaurant's own
+    low, high = np.full(len(customers), np.log(1e-6)), np.log(own + discount)
+    for _ in range(40):
+        middle = (low + high) / 2
+        t = mean(np.exp(middle))
+        more = factor(t) > np.exp(middle) + discount * (t - 1)
+        low, high = np.where(more, middle, low), np.where(more, high, middle)
+    start = np.exp((low + high) / 2)
+
+    def log_w(t, at):
+        n, s, o, q, m = t - 1.0, start[at] / discount, own[at] / discount, (p * mass)[at], mass[at]
+        return log_rising(o + 1, n) - log_rising(s, n) + log_rising(q + 1, n) - log_rising(m + 1, n)
+
+    every = np.arange(len(customers))
+    a = start - discount
+    slope = own + discount * p * mass - a - discount * mass
+    with np.errstate(divide="ignore", invalid="ignore"):
+        cross = np.nan_to_num((a - own * p) * mass / slope, nan=1.0, posinf=1.0, neginf=1.0)
+    top = np.maximum(log_w(np.ones(len(customers)), every), log_w(customers.astype(float), every))
+    for step in (-1, 0, 1, 2):
+        top = np.maximum(top, log_w(np.clip(np.floor(cross) + step, 1, customers), every))
+    tables = np.zeros(len(customers), np.int64)
+    t = np.arange(1, FEW + 1)
+    for part in np.array_split(every, len(every) // 1_024 + 1):
+        logs, width = stirling_few(customers[part], discount)
+        steps = np.log(factor_of(part, t - 1.0))
+        steps[:, 0] = 0
+        own_p = np.where(t <= width[:, None], logs + np.cumsum(steps, axis=1), -np.inf)
+        most = own_p.max(axis=1)
+        sums = np.cumsum(np.exp(own_p - np.where(width > 0, most, 0)[:, None]), axis=1)
+        with np.errstate(divide="ignore"):
+            kept_share = np.log(sums[:, -1]) + most + math.lgamma(1 - discount) + log_rising(1 - discount, customers[part] - 1.0) - log_rising(a[part] + 1, customers[part] - 1.0)
+        # the restaurant has more than ``width`` tables with a chance of at most 1
+        few = (slope[part] < 0) & (cross[part] < width) & (log_w(np.maximum(width, 1).astype(float), part) - kept_share < LEAST)
+        drawn = 1 + (sums < random.random(len(part))[:, None] * sums[:, -1:]).sum(axis=1)
+        tables[part[few]] = drawn[few]
+    every = every[tables == 0]
+    # where w has fallen below the least number that ``random`` draws, nothing is kept
+    limit = customers.astype(float)
+    fallen = np.clip(np.floor(cross) + 2, 1, customers)[every]
+    until = limit[every]
+    for _ in range(64):
+        middle = np.floor((fallen + until) / 2)
+        low_there = log_w(middle, every) - top[every] < LEAST
+        fallen, until = np.where(low_there, fallen, middle), np.where(low_there, middle, until)
+    limit[every] = np.where(slope[every] < 0, until, customers[every])
+    while len(every):
+        some = np.repeat(every, TRIES)
+        t = tables_of(customers[some], start[some], limit[some], discount, random)
+        kept = (np.log(1 - random.random(len(some))) <= log_w(t.astype(float), some) - top[some]).reshape(-1, TRIES)
+        found, first = kept.any(axis=1), kept.argmax(axis=1)
+        tables[every[found]] = t.reshape(-1, TRIES)[found, first[found]]
+        every = every[~found]
     return tables
 
 
