@@ -149,27 +149,27 @@ def read_daily(spark: SparkSession, path: str, partitioned_by_param: bool = True
 CORRUPT, FILE = "_corrupt", "_file"
 
 
-def read_csv_checked(spark: SparkSession, path: str, schema: T.StructType, required=None) -> tuple[DataFrame, DataFrame]:
-    """Q1 + S5/S8, row by row: CSV files by schema → (good rows, quarantine).
+def checked_rows(spark: SparkSession, path: str, schema: T.StructType, required=None) -> DataFrame:
+    """Lines of CSV files with their file, the schema's columns and ``reason`` (null: a good row).
 
-    The quarantine has (file, reason, line) of every row that
-    * has another number of fields than the header (``fields``),
-    * holds a value that does not fit its column's type (``type of <column>``), or
-    * lacks a required value (``missing <column>``; ``required`` defaults to no column).
-    One scan of the lines serves both tables.  Quoted line breaks are not supported here
-    (such files are not splittable); empty lines are skipped.
+    A line is parsed once: the parsed cells leave a generator, below which no filter on
+    them is pushed (it would parse the line again for each cell that it looks at).
     """
     required = list(required or [])
     names = [f.name for f in schema]
-    raw = spark.read.text(path).select(F.col("_metadata.file_path").alias(FILE), F.regexp_replace("value", "^\ufeff|\r$", "").alias("line")).where(F.trim("line") != "")
+    value = F.col("value")
+    odd = F.startswith(value, F.lit("\ufeff")) | F.contains(value, F.lit("\r"))
+    raw = spark.read.text(path).select(F.col("_metadata.file_path").alias(FILE), F.when(odd, F.regexp_replace("value", "^\ufeff|\r$", "")).otherwise(value).alias("line")).where(F.trim("line") != "")
     # every file's (and part's) header line is the schema's names
     header = ",".join(names)
-    rows = raw.where(F.regexp_replace("line", '"', "") != header)
+    rows = raw.where(F.replace("line", F.lit('"'), F.lit("")) != header)
     texts = T.StructType([T.StructField(f"c{i}", T.StringType()) for i in range(len(names))] + [T.StructField("more", T.StringType())])
     # one column more than the schema shows a field too many; the count comes from the parsed line
-    cells = rows.withColumn("cells", F.from_csv("line", texts.simpleString()[len("struct<"):-1].replace(":", " "), {"quote": '"', "escape": '"', "mode": "PERMISSIVE"}))
+    parsed = F.from_csv("line", texts.simpleString()[len("struct<"):-1].replace(":", " "), {"quote": '"', "escape": '"', "mode": "PERMISSIVE"})
     # separators outside quotes
-    fields = F.size(F.split(F.regexp_replace("line", '"(?:[^"]|"")*"', ""), ",", -1))
+    bare = F.when(F.contains("line", F.lit('"')), F.regexp_replace("line", '"(?:[^"]|"")*"', "")).otherwise(F.col("line"))
+    cells = rows.select(FILE, "line", bare.alias("_bare"), F.explode(F.array(parsed)).alias("cells"))
+    fields = F.length("_bare") - F.length(F.replace("_bare", F.lit(","), F.lit(""))) + 1
     typed, reasons = [], [F.when(fields != len(names), F.concat(F.lit("fields "), fields.cast("string"), F.lit(f" instead of {len(names)}")))]
     for i, f in enumerate(schema):
         text = F.col("cells")[f"c{i}"]
@@ -180,19 +180,35 @@ def read_csv_checked(spark: SparkSession, path: str, schema: T.StructType, requi
             reasons.append(F.when(~blank & value.isNull(), F.lit(f"type of {f.name}")))
         if f.name in required:
             reasons.append(F.when(blank, F.lit(f"missing {f.name}")))
-    checked = cells.withColumn("reason", F.coalesce(*reasons, F.lit(None).cast("string")))
-    return checked.where("reason IS NULL").select(*typed), checked.where("reason IS NOT NULL").select(F.col(FILE).alias("file"), "reason", "line")
+    return cells.select(F.col(FILE).alias("file"), F.coalesce(*reasons, F.lit(None).cast("string")).alias("reason"), "line", F.struct(*typed).alias("row"))
+
+
+def read_csv_checked(spark: SparkSession, path: str, schema: T.StructType, required=None) -> tuple[DataFrame, DataFrame]:
+    """Q1 + S5/S8, row by row: CSV files by schema → (good rows, quarantine).
+
+    The quarantine has (file, reason, line) of every row that
+    * has another number of fields than the header (``fields``),
+    * holds a value that does not fit its column's type (``type of <column>``), or
+    * lacks a required value (``missing <column>``; ``required`` defaults to no column).
+    Each of the two tables is one scan of the lines.  Quoted line breaks are not supported
+    here (such files are not splittable); empty lines are skipped.
+    """
+    checked = checked_rows(spark, path, schema, required)
+    return checked.where("reason IS NULL").select("row.*"), checked.where("reason IS NOT NULL").select("file", "reason", "line")
 
 
 def read_daily_checked(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
     """S5 with a quarantine: daily CSVs that hold the parameter as a column; rows without
     a key, a date or of another shape are put aside, not guessed."""
     schema = T.StructType([*DAILY_CSV.fields, T.StructField("param", T.StringType())])
-    good, bad = read_csv_checked(spark, path, schema, required=["site_id", "date", "param"])
-    dated = good.withColumn("_date", F.try_to_date("date", "yyyy-MM-dd"))
-    wrong = dated.where("_date IS NULL").select(F.lit(None).cast("string").alias("file"), F.lit("type of date").alias("reason"), F.concat_ws(",", *[F.coalesce(F.col(f.name).cast("string"), F.lit("")) for f in schema]).alias("line"))
-    rows = dated.where("_date IS NOT NULL").select("site_id", "name", "lat", "lon", F.col("_date").alias("date"), "param", sentinel_null("value").alias("value"))
-    return rows, bad.unionByName(wrong)
+    checked = checked_rows(spark, path, schema, required=["site_id", "date", "param"])
+    dated = checked.withColumn("_date", F.try_to_date("row.date", "yyyy-MM-dd"))
+    rows = dated.where("reason IS NULL AND _date IS NOT NULL").select("row.site_id", "row.name", "row.lat", "row.lon", F.col("_date").alias("date"), "row.param", sentinel_null(F.col("row.value")).alias("value"))
+    fits = F.col("reason").isNull()  # but for its date
+    bad = dated.where("reason IS NOT NULL OR _date IS NULL").select(
+        F.when(~fits, F.col("file")).alias("file"), F.when(fits, F.lit("type of date")).otherwise(F.col("reason")).alias("reason"),
+        F.when(fits, F.concat_ws(",", *[F.coalesce(F.col(f"row.{f.name}").cast("string"), F.lit("")) for f in schema])).otherwise(F.col("line")).alias("line"))
+    return rows, bad
 
 
 def read_dekads(spark: SparkSession, path: str, years=None) -> DataFrame:
