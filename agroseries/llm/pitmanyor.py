@@ -273,7 +273,7 @@ class Seats:
 MOST_CUSTOMERS = 1_024   # of the table of Stirling numbers
 MOST_TABLES = 2**32 - 1  # that ``small`` can hold; no draw is cut
 LEAST = -37.0            # below the log of 2**-53
-TRIES = 16               # drawn at once for a dish of more than MOST_CUSTOMERS
+DROP = 45.0              # of log P(t), below which it is left
 
 
 @lru_cache(maxsize=4)
@@ -322,10 +322,16 @@ def reseat(customers: np.ndarray, held: np.ndarray, word: np.ndarray, mass: np.n
 
 def log_rising(x: np.ndarray, n: np.ndarray) -> np.ndarray:
     """log of x (x + 1) ... (x + n - 1), also where x is far greater than n."""
-    shift = sum(np.log1p(n / (x + j)) for j in range(10))
+    shift = 1 + n / x
+    for j in range(1, 10):
+        shift = shift * (1 + n / (x + j))
     y = x + 10
-    rest = lambda z: 1 / (12 * z) - 1 / (360 * z**3) + 1 / (1260 * z**5)
-    return (y - 0.5) * np.log1p(n / y) + n * (np.log(y + n) - 1) + rest(y + n) - rest(y) - shift
+
+    def rest(z):
+        r = 1 / z
+        return r * (1 / 12 - r * r * (1 / 360 - r * r / 1260))
+
+    return (y - 0.5) * np.log1p(n / y) + n * (np.log(y + n) - 1) + rest(y + n) - rest(y) - np.log(shift)
 
 
 FEW = 256  # tables for which S(c, t) is summed in closed form
@@ -341,111 +347,225 @@ def few_terms(discount: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return logs, -np.sign(sine) * (-1.0) ** k, np.array([[float(math.comb(t, x)) for t in k] for x in k])
 
 
-def stirling_few(customers: np.ndarray, discount: float) -> tuple[np.ndarray, np.ndarray]:
-    """log of S(c, t) / Gamma(c - d) for t = 1 to FEW and many customers, from
+def stirling_few(customers: np.ndarray, discount: float, most: int = FEW) -> tuple[np.ndarray, np.ndarray]:
+    """log of S(c, t) / Gamma(c - d) for t = 1 to most and many customers, from
 
         S(c, t) = sum over k of (-1)^k C(t, k) Gamma(c - d k) / Gamma(-d k) / (d^t t!),
 
     and the number of leading t for which the sum loses few digits."""
-    logs, sign, choose = few_terms(discount)
-    k = np.arange(1, FEW + 1)
+    logs, sign, choose = (x[..., :most] for x in few_terms(discount))
+    choose, k = choose[:most], np.arange(1, most + 1)
     terms = np.exp(logs - log_rising(customers[:, None] - discount * k, (k - 1) * discount))
     total, size = (terms * sign) @ choose, terms @ choose
     good = size < 1e5 * total
     factorial = np.cumsum(np.log(k * discount))
-    return np.log(np.where(good, total, 1)) - factorial, np.where(good.all(axis=1), FEW, good.argmin(axis=1))
-
-
-def tables_of(customers: np.ndarray, start: np.ndarray, limit: np.ndarray, discount: float, random: np.random.Generator) -> np.ndarray:
-    """Tables of Chinese restaurants of concentration ``start`` - discount, table by table:
-    of all but a table's first customer, who does not join it leaves for the next ones.
-    What has more than ``limit`` tables is not followed further."""
-    tables, left, open_ = np.zeros(len(customers), np.int64), customers.copy(), np.arange(len(customers))
-    while len(open_):
-        left = random.binomial(left - 1, random.beta(start[open_] + discount * tables[open_], 1 - discount))
-        tables[open_] += 1
-        stay = (left > 0) & (tables[open_] <= limit[open_])
-        open_, left = open_[stay], left[stay]
-    return tables
+    return np.log(np.where(good, total, 1)) - factorial, np.where(good.all(axis=1), most, good.argmin(axis=1))
+
+
+POINTS = 64    # of the integral of ``log_hits``, fewer where it is narrow
+STEP = 0.07    # its greatest
+AWAY = 4.0     # its path keeps this many times 1 / customers from 0
+SCAN = 64      # places at which a distribution is looked at to find where it lies
+NODES = 32     # of the interpolation of ``log_hits``
+CELLS = 64     # of the envelope; up to so many tables are summed one by one
+
+
+def _saddle(z: np.ndarray, discount: float) -> tuple[np.ndarray, ...]:
+    """At x = 1 / (1 + e^z), with y = 1 - x: log x, log y, and of log f(x) for
+    f(x) = 1 - y^d its value and first three derivatives by log x."""
+    log_x, log_y = -np.logaddexp(0, z), -np.logaddexp(0, -z)
+    log_f = np.log(-np.expm1(discount * log_y))
+    ratio = np.exp(-z)  # x / y
+    first = discount * np.exp((discount - 1) * log_y + log_x - log_f)
+    slope = (1 - discount) * ratio + 1 - first
+    second = first * slope
+    return log_x, log_f, first, second, second * slope + first * ((1 - discount) * ratio * (1 + ratio) - second)
+
+
+def _place(customers: np.ndarray, t: np.ndarray, discount: float) -> np.ndarray:
+    """z at which the first derivative of ``_saddle`` is customers / t."""
+    low, high = np.full(t.shape, -60.0 / (1 - discount)), np.full(t.shape, 40.0)
+    want = np.log(customers / t)
+    for _ in range(44):
+        middle = (low + high) / 2
+        log_y = -np.logaddexp(0, -middle)
+        more = np.log(discount) + (discount - 1) * log_y - np.logaddexp(0, middle) - np.log(-np.expm1(discount * log_y)) > want
+        low, high = np.where(more, middle, low), np.where(more, high, middle)
+    return (low + high) / 2
+
+
+def log_hits(customers: np.ndarray, t: np.ndarray, discount: float) -> np.ndarray:
+    """log of S(c, t) d^t t! / c!, for any c and t: the coefficient of x^c in
+    (1 - (1 - x)^d)^t, as an integral around 0 in the variable log x.  The path crosses the
+    real axis at the saddle, but not too near the cut from x = 1, and bends around it as
+    the steepest one does; a trapezoid rule on it is right to about ten digits.  Where c
+    is hardly above t, the path is a circle."""
+    customers, t = np.broadcast_arrays(np.asarray(customers, float), np.asarray(t, float))
+    shape, customers, t = t.shape, customers.ravel(), t.ravel()
+    z = np.minimum(_place(customers, t, discount), np.log(4 * customers))  # t = c has none
+    z = np.maximum(z, np.log(np.expm1(AWAY / customers)))
+    away, wide = np.logaddexp(0, z), np.sqrt(t * _saddle(z, discount)[3])
+    circle = (away > 0.5) & (wide < 12)
+    # standard deviations of the integrand from the cut, as far as it is like a normal one
+    apart = np.where(circle, 0, wide * away)
+    out = np.empty(len(t))
+    for low, high, points in ((0.6 / STEP, np.inf, 16), (4, 0.6 / STEP, 24), (-1, 4, POINTS)):
+        some = (apart > low) & (apart <= high)
+        if some.any():
+            out[some] = _integral(customers[some], t[some], z[some], circle[some], discount, points)
+    return out.reshape(shape)
+
+
+def _integral(customers: np.ndarray, t: np.ndarray, z: np.ndarray, circle: np.ndarray, discount: float, points: int) -> np.ndarray:
+    w, log_f, _, second, third = _saddle(z, discount)
+    away, wide = -w, np.sqrt(t * second)
+    step = np.where(circle, np.pi / points, np.minimum(0.6 / (wide * away), STEP))
+    bend = np.where(circle, 0, third / (6 * second))[..., None]
+    u = step[..., None] * np.arange(1, points + 1)
+    around, away = circle[..., None], away[..., None]
+    v = np.where(around, u, away * np.sinh(u))
+    h = bend * v * v + 1j * v
+    with np.errstate(all="ignore"):
+        small = -t * log_f < 1  # less 1, which adds nothing to the integral
+        log_y = _log_less(w[:, None] + h, -w < 0.7)
+        logs = t[:, None] * _log_less(discount * log_y, ~small)
+        base, value = np.where(small, 0, t * log_f), np.empty_like(logs)
+        value[small] = np.expm1(logs[small])
+        value[small] *= np.exp(-(customers[:, None] * h)[small])
+        value[~small] = np.exp((logs - base[:, None] - customers[:, None] * h)[~small])
+        value = (value * (1 - 2j * bend * v)).real * np.where(around, 1, away * np.cosh(u))
+        value[:, -1] *= np.where(circle, 0.5, 1)  # the two halves of a circle share its end
+        first = np.where(small, np.expm1(t * log_f), 1) * np.where(circle, 1, -w)
+        total = first + 2 * np.nan_to_num(value, nan=0.0, posinf=0.0, neginf=0.0).sum(axis=1)
+        return base - customers * w + np.log(step / (2 * np.pi) * total)
+
+
+def _log_less(x: np.ndarray, near: np.ndarray) -> np.ndarray:
+    """log(1 - e^x); near: rows where x comes near 0."""
+    out = np.empty_like(x)
+    out[near] = np.log(-np.expm1(x[near]))
+    out[~near] = np.log1p(-np.exp(x[~near]))
+    return out
+
+
+def _nodes(low: np.ndarray, high: np.ndarray) -> np.ndarray:
+    """NODES different integers from low to high, dense at both ends of log t."""
+    a, b = np.log(low), np.log(high)
+    share = (1 - np.cos(np.pi * np.arange(NODES) / (NODES - 1))) / 2
+    out = np.rint(np.exp(a[:, None] + (b - a)[:, None] * share))
+    up = np.arange(NODES)
+    out = np.maximum.accumulate(out - up, axis=1) + up  # each greater than the one before
+    return np.minimum(out, high[:, None] - up[::-1])
 
 
 def seat_many(customers: np.ndarray, held: np.ndarray, p: np.ndarray, mass: np.ndarray, discount: float, random: np.random.Generator) -> np.ndarray:
-    """``reseat`` for any number of customers.  Where all but 2**-53 of the probability is
-    known to lie at few tables, P(t) is summed in closed form.  Otherwise: a Chinese
-    restaurant of concentration a has P(t) ~ S(c, t) * prod over 0 < i < t of (a + d i), so
-    its draws, kept with a chance in proportion to
-
-        w(t) = prod over 0 < i < t of (theta + d (T + i)) (p D + i) / ((D + i) (a + d i)),
-
-    have the distribution asked for, whatever a is.  The factors of w cross 1 at most once
-    (their difference is linear in i), so its greatest value is at the crossing, at one
-    table or at c.  a is chosen so that the restaurant's mean is near the mode."""
-    own = THETA + discount * held
-    factor = lambda i: (own + discount * i) * (p * mass + i) / (mass + i)
-    factor_of = lambda at, i: (own[at, None] + discount * i) * ((p * mass)[at, None] + i) / (mass[at, None] + i)
-
-    def mean(start):
-        """Tables expected at concentration start - discount."""
-        a = start - discount
-        grown = np.exp(np.minimum(log_rising(start + discount, customers - 1) - log_rising(a + 1, customers - 1), 700))
-        return np.clip((grown * start - a) / discount, 1, customers)
-
-    # start = a + d, from next to nothing to all the restaurant's own
-    low, high = np.full(len(customers), np.log(1e-6)), np.log(own + discount)
-    for _ in range(40):
-        middle = (low + high) / 2
-        t = mean(np.exp(middle))
-        more = factor(t) > np.exp(middle) + discount * (t - 1)
-        low, high = np.where(more, middle, low), np.where(more, high, middle)
-    start = np.exp((low + high) / 2)
+    """``reseat`` for any number of customers, at a cost that does not grow with it.
+
+    1. *Where.*  Saddle points give P(t) to a few percent; what lies below e^-DROP of the
+       greatest P(t) is left, which is far below the least step of a random number.
+    2. *Few.*  Where that is few tables, P(t) is summed, in closed form if it has the digits.
+    3. *Many.*  S(c, t) is integrated at NODES numbers of tables and interpolated between
+       them, as the logarithm of what is smooth in log t.  A draw takes one of CELLS
+       intervals by an upper bound of P(t) in it, a t in the interval, and is kept with
+       the chance P(t) / bound."""
+    out = np.zeros(len(customers), np.int64)
+    for part in np.array_split(np.arange(len(customers)), len(customers) // 64 + 1):
+        if len(part):
+            out[part] = _seat_some(customers[part].astype(float), held[part], p[part], mass[part], discount, random)
+    return out
+
+
+def _seat_some(customers, held, p, mass, discount, random) -> np.ndarray:
+    own = THETA / discount + held
 
-    def log_w(t, at):
-        n, s, o, q, m = t - 1.0, start[at] / discount, own[at] / discount, (p * mass)[at], mass[at]
-        return log_rising(o + 1, n) - log_rising(s, n) + log_rising(q + 1, n) - log_rising(m + 1, n)
+    def rest(t, at):
+        """log P(t) without ``log_hits``, up to a constant."""
+        shape = (-1,) + (1,) * (t.ndim - 1)
+        o, q, m, n = own[at].reshape(shape), (p * mass)[at].reshape(shape), mass[at].reshape(shape), t - 1
+        return log_rising(o + 1, n) + log_rising(q + 1, n) - log_rising(m + 1, n) - log_rising(np.full(t.shape, 2.0), n)
 
     every = np.arange(len(customers))
-    a = start - discount
-    slope = own + discount * p * mass - a - discount * mass
-    with np.errstate(divide="ignore", invalid="ignore"):
-        cross = np.nan_to_num((a - own * p) * mass / slope, nan=1.0, posinf=1.0, neginf=1.0)
-    top = np.maximum(log_w(np.ones(len(customers)), every), log_w(customers.astype(float), every))
-    for step in (-1, 0, 1, 2):
-        top = np.maximum(top, log_w(np.clip(np.floor(cross) + step, 1, customers), every))
-    tables = np.zeros(len(customers), np.int64)
-    t = np.arange(1, FEW + 1)
-    for part in np.array_split(every, len(every) // 1_024 + 1):
-        logs, width = stirling_few(customers[part], discount)
-        steps = np.log(factor_of(part, t - 1.0))
-        steps[:, 0] = 0
-        own_p = np.where(t <= width[:, None], logs + np.cumsum(steps, axis=1), -np.inf)
-        most = own_p.max(axis=1)
-        sums = np.cumsum(np.exp(own_p - np.where(width > 0, most, 0)[:, None]), axis=1)
-        with np.errstate(divide="ignore"):
-            kept_share = np.log(sums[:, -1]) + most + math.lgamma(1 - discount) + log_rising(1 - discount, customers[part] - 1.0) - log_rising(a[part] + 1, customers[part] - 1.0)
-        # the restaurant has more than ``width`` tables with a chance of at most 1
-        few = (slope[part] < 0) & (cross[part] < width) & (log_w(np.maximum(width, 1).astype(float), part) - kept_share < LEAST)
-        drawn = 1 + (sums < random.random(len(part))[:, None] * sums[:, -1:]).sum(axis=1)
-        tables[part[few]] = drawn[few]
-    every = every[tables == 0]
-    # where w has fallen below the least number that ``random`` draws, nothing is kept
-    limit = customers.astype(float)
-    fallen = np.clip(np.floor(cross) + 2, 1, customers)[every]
-    until = limit[every]
-    for _ in range(64):
-        middle = np.floor((fallen + until) / 2)
-        low_there = log_w(middle, every) - top[every] < LEAST
-        fallen, until = np.where(low_there, fallen, middle), np.where(low_there, middle, until)
-    limit[every] = np.where(slope[every] < 0, until, customers[every])
-    while len(every):
-        some = np.repeat(every, TRIES)
-        t = tables_of(customers[some], start[some], limit[some], discount, random)
-        kept = (np.log(1 - random.random(len(some))) <= log_w(t.astype(float), some) - top[some]).reshape(-1, TRIES)
-        found, first = kept.any(axis=1), kept.argmax(axis=1)
-        tables[every[found]] = t.reshape(-1, TRIES)[found, first[found]]
-        every = every[~found]
+    c = customers[:, None]
+    low, high = _place(customers, np.ones(len(every)), discount), np.log(4 * customers)
+    for _ in range(4):
+        z = low[:, None] + (high - low)[:, None] * np.linspace(0, 1, SCAN)
+        w, log_f, first, second, _ = _saddle(z, discount)
+        t = np.clip(c / first, 1, c)
+        logs = t * log_f - c * w - np.log(t * second) / 2 + rest(t, every)
+        kept = logs > logs.max(axis=1, keepdims=True) - DROP
+        left, right = np.maximum(kept.argmax(axis=1) - 1, 0), np.minimum(SCAN - kept[:, ::-1].argmax(axis=1), SCAN - 1)
+        low, high = z[every, left], z[every, right]
+    least, most = np.floor(t[every, left]), np.minimum(np.ceil(t[every, right]), customers)
+    tables = np.zeros(len(every), np.int64)
+
+    for low, high in ((0, 16), (16, 64), (64, FEW)):
+        few = np.flatnonzero((most > low) & (most <= high))
+        if len(few):
+            logs, width = stirling_few(customers[few], discount, high)
+            t = np.broadcast_to(np.arange(1.0, high + 1), logs.shape)
+            # S(c, t) = hits c! / (d^t t!)
+            logs = logs + rest(t, few) + log_rising(np.full(t.shape, 2.0), t - 1) + t * np.log(discount)
+            logs = np.where(t <= width[:, None], logs, -np.inf)
+            closed = most[few] <= width
+            closed[closed] = (logs[np.arange(len(few)), width - 1] - logs.max(axis=1))[closed] < LEAST
+            if closed.any():
+                tables[few[closed]] = 1 + _one_of(logs[closed], random)
+    some = np.flatnonzero((tables == 0) & (most - least < CELLS))
+    if len(some):
+        t = least[some, None] + np.arange(CELLS)
+        inside = t <= most[some, None]
+        t = np.where(inside, t, least[some, None])
+        tables[some] = least[some] + _one_of(np.where(inside, log_hits(c[some], t, discount) + rest(t, some), -np.inf), random)
+    many = np.flatnonzero(tables == 0)
+    if len(many):
+        tables[many] = _by_envelope(customers[many], least[many], most[many], lambda t: rest(t, many), discount, random)
     return tables
 
 
+def _one_of(logs: np.ndarray, random: np.random.Generator) -> np.ndarray:
+    sums = np.cumsum(np.exp(logs - logs.max(axis=1, keepdims=True)), axis=1)
+    return (sums <= random.random(len(logs))[:, None] * sums[:, -1:]).sum(axis=1)
+
+
+def interpolated(customers: np.ndarray, least: np.ndarray, most: np.ndarray, discount: float):
+    """``log_hits`` between least and most, as a function of t (a row each)."""
+    smooth = lambda t: log_rising((customers - most + 1)[:, None], most[:, None] - t) - np.log(t)
+    nodes = _nodes(least, most)
+    values = log_hits(customers[:, None], nodes, discount) + smooth(nodes)
+    scale = 4 / np.log(most / least)[:, None]
+    apart = np.log(nodes[:, :, None] / nodes[:, None, :]) * scale[:, :, None] + np.eye(NODES)
+    weights = 1 / apart.prod(axis=2)
+
+    def at(t):
+        away = np.log(t[:, :, None] / nodes[:, None, :])
+        near = weights[:, None, :] / np.where(away == 0, 1, away)
+        between = (near * values[:, None, :]).sum(axis=2) / near.sum(axis=2)
+        exact = (np.where(away == 0, values[:, None, :], 0)).sum(axis=2)
+        return np.where((away == 0).any(axis=2), exact, between) - smooth(t)
+
+    return at
+
+
+def _by_envelope(customers, least, most, rest, discount, random) -> np.ndarray:
+    hits = interpolated(customers, least, most, discount)
+    logs_at = lambda t: hits(t) + rest(t)
+    edges = np.floor(least[:, None] + (most - least + 1)[:, None] * np.linspace(0, 1, CELLS + 1))
+    logs = logs_at(np.minimum(edges, most[:, None]))
+    bend = np.abs(np.diff(logs, 2, axis=1, prepend=logs[:, :1], append=logs[:, -1:]))
+    bound = np.maximum(logs[:, :-1], logs[:, 1:]) + np.maximum(bend[:, :-1], bend[:, 1:]) / 4
+    cells = bound + np.log(np.diff(edges, axis=1))
+    out, every = np.zeros(len(customers), np.int64), np.arange(len(customers))
+    while len(every):
+        cell = _one_of(cells[every], random)
+        wide = edges[every, cell + 1] - edges[every, cell]
+        t = np.ones(len(customers)) * least
+        t[every] = edges[every, cell] + np.floor(random.random(len(every)) * wide)
+        kept = np.log(1 - random.random(len(every))) <= logs_at(t[:, None])[every, 0] - bound[every, cell]
+        out[every[kept]] = t[every[kept]]
+        every = every[~kept]
+    return out
+
+
 @dataclass
 class Shared:
     """What every task knows: of fixed size.  One entry per sweep in the lists."""
