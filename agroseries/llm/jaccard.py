@@ -255,6 +255,8 @@ def link_components(classes: DataFrame, percent: int = PERCENT) -> DataFrame:
         if fresh is not None and fresh.limit(1).count():
             edges = fresh if found is None else found.select(F.col("node").alias("x"), F.col("component").alias("y")).union(fresh)
             found = B.kept(components(edges))
+        del here, open_grams, met, pairs, fresh
+        B.settle(classes.sparkSession)
     return found if found is not None else classes.sparkSession.createDataFrame([], "node bigint, component bigint")
 
 
@@ -268,7 +270,10 @@ def join(docs: DataFrame, key: str = "doc_id", text: str = "text", n: int = N, p
     told = dealt.groupBy(block).applyInArrow(B.alone(s.ask), "bucket int, block int, data binary, more binary").groupBy("bucket").applyInArrow(B.alone(s.tell), "bucket int, block int, data binary")
     sets = dealt.groupBy(block).cogroup(told.groupBy("block")).applyInArrow(B.paired(s.sets), "key bigint, row bigint, n bigint, sum bigint, xor bigint, grams array<bigint>")
     sets = B.written(sets.withColumn("rep", F.when(F.col("grams").isNotNull(), F.xxhash64("n", "sum", "xor"))).drop("sum", "xor"))
+    del own, dealt, told  # nor are the shuffles of whole texts and questions, once no plan holds them
+    B.settle(docs.sparkSession)
     classes = B.written(ordered(sets, percent))
+    B.settle(docs.sparkSession)
     found = link_components(classes, percent)
     B.discard(classes)
     members = sets.where("rep IS NOT NULL").groupBy("rep").agg(F.min("key").alias("key"))
@@ -279,6 +284,8 @@ def join(docs: DataFrame, key: str = "doc_id", text: str = "text", n: int = N, p
     named = B.written(labelled)
     own = B.written(sets.select("key", "row", "n", "rep"))
     B.discard(sets)
+    del found, members, grouped, least, labelled
+    B.settle(docs.sparkSession)
     out = own.join(named, "rep", "left")
     return out.select("key", "row", F.col("n").alias("n_shingles"), F.coalesce("component", "key").alias("component"), "group")
 
