@@ -193,3 +193,14 @@ def test_star_components(shipped):
         for a, b in edges:
             root[a] = root[b] = min(root[a], root[b])
     assert got == {v: r for v, r in root.items() if any(v in e and e[0] != e[1] for e in edges)}
+
+
+def test_jaccard_frees_shuffles_of_texts(shipped, monkeypatch):
+    """What the sets were made from is let go before the classes are made."""
+    from agroseries.llm import blocks as B, jaccard
+    rows = [(i, f"one two three four five six seven eight nine {i // 2}") for i in range(8)]
+    steps, settle, ordered = [], B.settle, jaccard.ordered
+    monkeypatch.setattr(B, "settle", lambda spark: steps.append("settle") or settle(spark))
+    monkeypatch.setattr(jaccard, "ordered", lambda *a: steps.append("classes") or ordered(*a))
+    got = jaccard.join(shipped.createDataFrame(rows, "doc_id bigint, text string")).collect()
+    assert len(got) == 8 and steps[:2] == ["settle", "classes"] and steps[2:].count("settle") >= 2
