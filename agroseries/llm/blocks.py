@@ -413,17 +413,26 @@ def by_bucket(sorted_hashes: np.ndarray, buckets: int) -> list[tuple[int, int, i
     return list(zip(owner[cuts[:-1]].tolist(), cuts[:-1].tolist(), cuts[1:].tolist()))
 
 
-def planes(values: np.ndarray, width: int = 8) -> bytes:
-    """The upper ``width`` bytes of 64-bit values, byte plane by byte plane: the
+def planes(values: np.ndarray, width: int = 8, of: str = "u8") -> bytes:
+    """The upper ``width`` bytes of values of type ``of``, byte plane by byte plane: the
     planes of sorted values or small numbers compress well in a shuffle."""
-    return values.astype(">u8").view(np.uint8).reshape(-1, 8)[:, :width].T.tobytes()
-
-
-def from_planes(data: bytes, width: int = 8) -> np.ndarray:
+    own = values.astype("<" + of)
+    size = own.itemsize
+    own = own.view(np.uint8).reshape(-1, size)
+    out = np.empty((width, len(own)), np.uint8)
+    for i in range(width):
+        out[i] = own[:, size - 1 - i]
+    return out.tobytes()
+
+
+def from_planes(data: bytes, width: int = 8, low: bool = False) -> np.ndarray:
+    """64-bit values from the planes of their upper bytes, or of the lower ones, in both
+    cases the highest first."""
     own = np.frombuffer(data, np.uint8).reshape(width, -1)
     out = np.zeros((own.shape[1], 8), np.uint8)
-    out[:, :width] = own.T
-    return out.view(">u8").ravel().astype(_U)
+    for i in range(width):
+        out[:, (width if low else 8) - 1 - i] = own[i]
+    return out.view("<u8").ravel().astype(_U, copy=False)
 
 
 def bits(flags: np.ndarray) -> bytes:
@@ -464,6 +473,41 @@ def within(known: np.ndarray, values: np.ndarray) -> np.ndarray:
     return known[np.minimum(np.searchsorted(known, values), len(known) - 1)] == values
 
 
+def places(known: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Place of each value in a sorted array, and whether it occurs there (the place
+    says nothing if not)."""
+    if not len(known):
+        return np.zeros(len(values), np.int64), np.zeros(len(values), bool)
+    at = np.minimum(np.searchsorted(known, values), len(known) - 1)
+    return at, known[at] == values
+
+
+class Spread:
+    """``places`` for values in no order: hashes are spread evenly, so a value is first
+    looked for where its upper bits begin, and searched for only if it is beyond."""
+
+    def __init__(self, known: np.ndarray):
+        self.known = known
+        if len(known):
+            self.low, span = known[0], int(known[-1] - known[0])
+            self.shift = _U(max(span.bit_length() - (4 * len(known)).bit_length(), 0))
+            self.first = np.zeros((span >> int(self.shift)) + 2, np.int32)
+            np.cumsum(np.bincount(((known - self.low) >> self.shift).astype(np.int64), minlength=len(self.first) - 1), out=self.first[1:])
+
+    def places(self, values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        known = self.known
+        if not len(known):
+            return places(known, values)
+        cell = np.minimum((np.maximum(values, self.low) - self.low) >> self.shift, _U(len(self.first) - 2))
+        at = np.minimum(self.first[cell], len(known) - 1).astype(np.int64)
+        found = known[at]
+        some = np.flatnonzero(found < values)
+        at[some], there = places(known, values[some])
+        found = found == values
+        found[some] = there
+        return at, found
+
+
 def runs(flags: np.ndarray, at: np.ndarray) -> list[tuple[int, int, int]]:
     """(document, start, end) of the runs of true flags, cut at documents' ends;
     ``at`` holds the documents' offsets and places count from a document's start."""

@@ -73,11 +73,11 @@ SCORES = "key bigint, learned boolean, n_tokens bigint, n_known bigint, base_sco
 
 def small(values: np.ndarray) -> bytes:
     """Integers below 2**32 as byte planes."""
-    return values.astype(">u4").view(np.uint8).reshape(-1, 4).T.tobytes()
+    return B.planes(values, 4, "u4")
 
 
 def from_small(data: bytes) -> np.ndarray:
-    return np.ascontiguousarray(np.frombuffer(data, np.uint8).reshape(4, -1).T).view(">u4").ravel().astype(np.int64)
+    return B.from_planes(data, 4, low=True).view(np.int64)
 
 
 def tokens(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -104,31 +104,51 @@ class Routing:
     usual: np.ndarray     # sorted hashes
     parts: np.ndarray = field(init=False)  # sorted hashes of their parts
     part_of: np.ndarray = field(init=False)
+    begins: np.ndarray = field(init=False)  # the upper 16 bits with which a frequent word begins
+    by_number: np.ndarray = field(init=False)  # ``usual``, then 0 for the others
 
     def __post_init__(self):
         every = B.mix(self.frequent[:, None] + np.arange(1, PARTS + 1, dtype=_U)[None, :]).ravel()
         order = np.argsort(every)
         object.__setattr__(self, "parts", every[order])
         object.__setattr__(self, "part_of", np.repeat(np.arange(len(self.frequent)), PARTS)[order])
+        begins = np.zeros(1 << 16, bool)
+        begins[self.frequent >> _U(48)] = True
+        object.__setattr__(self, "begins", begins)
+        by_number = np.zeros(USUAL + 1, _U)
+        by_number[: len(self.usual)] = self.usual
+        object.__setattr__(self, "by_number", by_number)
+
+    def hot(self, words: np.ndarray) -> np.ndarray:
+        """Which words are frequent; most of the others have another beginning."""
+        out = self.begins[words >> _U(48)]
+        some = np.flatnonzero(out)
+        out[some] = B.within(self.frequent, words[some])
+        return out
 
     def split(self, token: np.ndarray, context: np.ndarray) -> np.ndarray:
         """Tokens, with frequent words replaced by their parts."""
-        hot = B.within(self.frequent, token)
+        hot = np.flatnonzero(self.hot(token))
         out = token.copy()
         out[hot] = B.mix(token[hot] + (B.mix(context[hot]) >> _U(58)) + _U(1))
         return out
 
-    def pack(self, contexts: np.ndarray) -> bytes:
-        """Usual contexts by number, the others by hash."""
-        usual = B.within(self.usual, contexts)
-        number = np.where(usual, np.searchsorted(self.usual, contexts), USUAL).astype(">u2")
-        return number.view(np.uint8).reshape(-1, 2).T.tobytes() + B.planes(contexts[~usual])
+    def numbers(self, contexts: np.ndarray) -> np.ndarray:
+        """Of sorted contexts the number among the usual ones, or USUAL."""
+        if not len(self.usual):
+            return np.full(len(contexts), USUAL, np.uint16)
+        at = np.searchsorted(self.usual, contexts)
+        return np.where(self.usual[np.minimum(at, len(self.usual) - 1)] == contexts, at, USUAL).astype(np.uint16)
+
+    def pack(self, contexts: np.ndarray, numbers: np.ndarray, place: np.ndarray) -> bytes:
+        """The contexts at these places, usual ones by number, the others by hash."""
+        number = numbers[place]
+        return B.planes(number, 2, "u2") + B.planes(contexts[place[number == USUAL]])
 
     def unpack(self, data: bytes, n: int) -> np.ndarray:
-        number = np.ascontiguousarray(np.frombuffer(data, np.uint8, 2 * n).reshape(2, -1).T).view(">u2").ravel()
-        usual, out = number < USUAL, np.empty(n, _U)
-        out[usual] = self.usual[number[usual]]
-        out[~usual] = B.from_planes(data[2 * n :])
+        number = B.from_planes(data[: 2 * n], 2, low=True).view(np.int64)
+        out = self.by_number[number]
+        out[np.flatnonzero(number == USUAL)] = B.from_planes(data[2 * n :])
         return out
 
     def whole(self, words: np.ndarray) -> np.ndarray:
@@ -145,12 +165,19 @@ def coded(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     them apart."""
     n = len(values)
     room = _U(max(n.bit_length(), 1))
-    keys = np.sort((values >> room << room) | np.arange(n, dtype=_U))
-    order = (keys & ((_U(1) << room) - _U(1))).astype(np.int64)
+    keys = values >> room
+    keys <<= room
+    keys |= np.arange(n, dtype=_U)
+    keys.sort()
+    upper = keys >> room
+    alike = upper[1:] == upper[:-1]
+    del upper
+    keys &= (_U(1) << room) - _U(1)
+    order = keys.view(np.int64)
     own = values[order]
     new = np.ones(n, bool)
     np.not_equal(own[1:], own[:-1], out=new[1:])
-    if (new[1:] & (own[1:] >> room == own[:-1] >> room)).any():
+    if (new[1:] & alike).any():
         order = np.argsort(values)
         own = values[order]
         np.not_equal(own[1:], own[:-1], out=new[1:])
@@ -166,10 +193,18 @@ def coded_pairs(pair: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     if (int(word.max(initial=0)) + 1) * many >> (63 - int(room)):
         found, place = np.unique(pair, return_inverse=True)
         return found, place
-    keys = np.sort((word * many + context).astype(_U) << room | np.arange(len(pair), dtype=_U))
-    order, own = (keys & ((_U(1) << room) - _U(1))).astype(np.int64), keys >> room
-    new = np.ones(len(pair), bool)
+    word *= many
+    word += context
+    del context
+    keys = word.view(_U)
+    keys <<= room
+    keys |= np.arange(len(pair), dtype=_U)
+    keys.sort()
+    own, new = keys >> room, np.ones(len(pair), bool)
     np.not_equal(own[1:], own[:-1], out=new[1:])
+    del own
+    keys &= (_U(1) << room) - _U(1)
+    order = keys.view(np.int64)
     place = np.empty(len(pair), np.int64)
     place[order] = np.cumsum(new) - 1
     return pair[order[new]], place
@@ -179,7 +214,9 @@ def pairs_of(word: np.ndarray, context: np.ndarray) -> tuple[np.ndarray, np.ndar
     """Different words and contexts in order, then for every token its pair as
     word place << PLACE | context place."""
     (words, at), (contexts, of) = coded(word), coded(context)
-    return words, contexts, (at << PLACE) | of
+    at <<= PLACE
+    at |= of
+    return words, contexts, at
 
 
 def split_pairs(pairs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -188,10 +225,10 @@ def split_pairs(pairs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 def rows_by_bucket(words: np.ndarray, contexts: np.ndarray, pairs: np.ndarray, routing: Routing):
     """(bucket, words, pairs per word, contexts, from pair, to pair)."""
-    at = np.searchsorted(pairs, np.arange(len(words) + 1) << PLACE)
+    at, numbers = np.searchsorted(pairs, np.arange(len(words) + 1) << PLACE), routing.numbers(contexts)
     for b, lo, hi in B.by_bucket(words, routing.buckets):
         x, y = at[lo], at[hi]
-        yield b, B.planes(words[lo:hi]), small(np.diff(at[lo : hi + 1])), routing.pack(contexts[split_pairs(pairs[x:y])[1]]), x, y
+        yield b, B.planes(words[lo:hi]), small(np.diff(at[lo : hi + 1])), routing.pack(contexts, numbers, split_pairs(pairs[x:y])[1]), x, y
 
 
 def read_pairs(routing: Routing, words: bytes, sizes: bytes, contexts: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -251,11 +288,17 @@ class Seats:
         words, word, context = read_pairs(routing, row["words"], row["sizes"], row["contexts"])
         return cls(words, *(from_small(row[c]) for c in ("totals", "singles", "parent")), word, context, from_small(row["counts"]), from_small(row["tables"]))
 
-    def row(self, bucket: int, sweep: int, routing: Routing) -> tuple:
+    def row(self, bucket: int, routing: Routing) -> tuple:
+        """As the row of a start; a sweep changes only the last two of it."""
         sizes = np.bincount(self.word, minlength=len(self.words))
-        return (bucket, sweep, bucket, B.planes(self.words), small(sizes), routing.pack(self.context),
+        contexts, place = coded(self.context)
+        return (bucket, 0, bucket, B.planes(self.words), small(sizes), routing.pack(contexts, routing.numbers(contexts), place),
                 *(small(x) for x in (self.count, self.totals, self.singles, self.parent, self.tables)))
 
+    def row_after(self, before: dict, sweep: int) -> tuple:
+        return (before["bucket"], sweep, before["bucket"], *(before[c] for c in ("words", "sizes", "contexts", "counts", "totals", "singles")),
+                small(self.parent), small(self.tables))
+
     @property
     def of_word(self) -> np.ndarray:
         return self.singles + np.bincount(self.word, self.tables, len(self.words)).astype(np.int64)
@@ -263,11 +306,11 @@ class Seats:
     def less(self, routing: Routing) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Contexts that are not frequent, the customers less tables they have here, and
         for each pair the place of its context in them (or the number of contexts)."""
-        rare = ~B.within(routing.frequent, self.context)
-        keys = B.unique(self.context[rare])
-        place = np.full(len(rare), len(keys))
-        place[rare] = np.searchsorted(keys, self.context[rare])
-        return keys, np.bincount(place[rare], (self.count - self.tables)[rare], len(keys)).astype(np.int64), place
+        rare = np.flatnonzero(~routing.hot(self.context))
+        keys, at = coded(self.context[rare])
+        place = np.full(len(self.context), len(keys))
+        place[rare] = at
+        return keys, np.bincount(at, (self.count - self.tables)[rare], len(keys)).astype(np.int64), place
 
 
 MOST_CUSTOMERS = 1_024   # of the table of Stirling numbers
@@ -344,7 +387,17 @@ def few_terms(discount: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     sine = np.sin(np.pi * (discount * k % 2)) / np.pi
     with np.errstate(divide="ignore"):
         logs = np.array([math.lgamma(1 + discount * x) for x in k]) + np.log(np.abs(sine))
-    return logs, -np.sign(sine) * (-1.0) ** k, np.array([[float(math.comb(t, x)) for t in k] for x in k])
+    return logs, -np.sign(sine) * (-1.0) ** k, binomials()
+
+
+@lru_cache(maxsize=1)
+def binomials() -> np.ndarray:
+    """C(t, k) by (k, t) from 1 to FEW, each the nearest double."""
+    row, rows = [1] + [0] * FEW, []
+    for _ in range(FEW):
+        row = [1, *(a + b for a, b in zip(row, row[1:]))]
+        rows.append([float(x) for x in row[1:]])
+    return np.array(rows).T.copy()
 
 
 def stirling_few(customers: np.ndarray, discount: float, most: int = FEW) -> tuple[np.ndarray, np.ndarray]:
@@ -671,12 +724,14 @@ def train(docs: DataFrame, text: str, learn: Column, size: int) -> tuple[DataFra
         own = Owned.merged(as_known.value, list(zip(*(table.column(c).to_pylist() for c in ("words", "sizes", "contexts", "counts")))))
         sizes = np.bincount(own.word, minlength=len(own.words))
         bucket = table.column("bucket")[0].as_py()
-        return B.as_table([(bucket, FULL, bucket, B.planes(own.words), small(sizes), as_known.value.pack(own.context), small(own.count), b"", b"", b"", b"")], ROWS)
+        contexts, place = coded(own.context)
+        packed = as_known.value.pack(contexts, as_known.value.numbers(contexts), place)
+        return B.as_table([(bucket, FULL, bucket, B.planes(own.words), small(sizes), packed, small(own.count), b"", b"", b"", b"")], ROWS)
 
     def begin(batches):
         for batch in batches:
             for row in batch.to_pylist():
-                yield from B.as_table([Seats.start(read_owned(row, as_known.value), as_known.value).row(row["bucket"], 0, as_known.value)], ROWS).to_batches()
+                yield from B.as_table([Seats.start(read_owned(row, as_known.value), as_known.value).row(row["bucket"], as_known.value)], ROWS).to_batches()
                 B.give_back()
 
     as_text = "bucket int, words binary, sizes binary, contexts binary, counts binary"
@@ -745,7 +800,7 @@ def seated(rows: DataFrame, shared: Shared) -> None:
     def of_row(shared, row):
         seats, routing = Seats.read(row, shared.routing), shared.routing
         whole, of_word, m = routing.whole(seats.words), seats.of_word, len(routing.frequent)
-        plain, hot = whole < 0, B.within(routing.frequent, seats.context)
+        plain, hot = whole < 0, np.flatnonzero(routing.hot(seats.context))
         return {"all": [of_word.sum(), seats.parent[plain].sum()], "words": np.bincount(whole[~plain], of_word[~plain], m),
                 "less": np.bincount(np.searchsorted(routing.frequent, seats.context[hot]), (seats.count - seats.tables)[hot], m)}
 
@@ -806,9 +861,9 @@ def swept(rows: DataFrame, shared: Shared, sweep: int) -> DataFrame:
         place = own.less(shared.routing)[2]
         answers = sorted(zip(told.column("sender").to_pylist(), told.column("tables").to_pylist()))
         tables = np.concatenate([*(from_small(t) for _, t in answers), np.zeros(1, np.int64)])[place]
-        hot = B.within(shared.routing.frequent, own.context)
+        hot = np.flatnonzero(shared.routing.hot(own.context))
         tables[hot] = shared.contexts[sweep][np.searchsorted(shared.routing.frequent, own.context[hot])]
-        return B.as_table([shared.swept(own, row["bucket"], sweep, tables).row(row["bucket"], sweep + 1, shared.routing)], ROWS)
+        return B.as_table([shared.swept(own, row["bucket"], sweep, tables).row_after(row, sweep + 1)], ROWS)
 
     told = lacking(rows, shared.routing).groupBy("bucket").cogroup(rows.groupBy("bucket")).applyInArrow(B.paired(tell), "bucket int, sender int, tables binary")
     return B.written(rows.groupBy("bucket").cogroup(told.groupBy("bucket")).applyInArrow(B.paired(seat_all), AS_ROWS))
@@ -825,13 +880,21 @@ class Scorer:
         pair and its document."""
         routing = self.shared.value.routing
         texts = B.flat(table.column(self.text))
-        parts = []
+        held, docs = [], []
         for a, n in B.slices(texts):
-            token, context, doc = tokens(texts.slice(a, n))
-            parts.append((routing.split(token, context), context, doc + a))
-        word, context, doc = (np.concatenate(x) for x in zip(*parts))
-        words, contexts, pair = pairs_of(word, context)
-        return words, contexts, *coded_pairs(pair), doc
+            token, _, doc = tokens(texts.slice(a, n))
+            held.append(token)
+            docs.append((doc + a).astype(np.int32))
+        token, doc = np.concatenate(held), np.concatenate(docs)
+        del held, docs
+        # a context is the token before, as the end of a text is also what comes before the next one
+        contexts, of = coded(token)
+        words, at = coded(routing.split(token, np.roll(token, 1)))
+        del token
+        at <<= PLACE
+        at |= np.roll(of, 1)
+        del of
+        return words, contexts, *coded_pairs(at), doc
 
     def ask(self, table: pa.Table) -> pa.Table:
         words, contexts, pairs, *_ = self.read(table)
@@ -854,7 +917,7 @@ class Scorer:
             own = Owned(np.zeros(0, _U), np.zeros(0, np.int64), np.zeros(0, _U), np.zeros(0, np.int64))
         totals, of_pair = own.totals, np.zeros(len(own.word), np.int64)
         begun = Seats.start(own, routing)
-        customers, tables, contexts = [], [], []
+        many, customers, tables, contexts = np.flatnonzero(own.count > 1), [], [], []
         for sweep in AVERAGED:
             customers.append(np.ones(len(own.words), np.int64))
             tables.append(np.ones(len(own.words), np.int64))
@@ -864,22 +927,22 @@ class Scorer:
                 seats = replace(begun, parent=from_small(row["parent"]), tables=from_small(row["tables"]))
                 at = np.searchsorted(own.words, seats.words)
                 customers[-1][at], tables[-1][at] = seats.of_word, seats.parent
-                of_pair[own.count > 1] += seats.tables - 1
+                of_pair[many] += seats.tables - 1
             for row in rows.get(LESS + sweep, ()):
                 contexts[-1][np.searchsorted(own.words, B.from_planes(row["words"]))] -= from_small(row["counts"])
         of_words = np.stack([totals, *customers, *tables, *contexts])
-        every = B.unique(own.context)
-        have = (own.word << PLACE) | np.searchsorted(every, own.context)
+        every, place = coded(own.context)
+        have, of_every = (own.word << PLACE) | place, B.Spread(every)
         out = []
         for block, *row in zip(*(asked.column(c).to_pylist() for c in ("block", "words", "sizes", "contexts"))):
             words, word, context = read_pairs(routing, *row)
-            found = B.within(own.words, words)
-            place = np.searchsorted(own.words, words)
-            pair = (place[word] << PLACE) | np.searchsorted(every, context)
-            seen = found[word] & B.within(every, context) & B.within(have, pair)
-            at = np.searchsorted(have, pair[seen])
+            place, found = B.places(own.words, words)
+            of_context, known_context = of_every.places(context)
+            seen = np.flatnonzero(found[word] & known_context)
+            at, both = B.places(have, (place[word[seen]] << PLACE) | of_context[seen])
+            seen, at = seen[both], at[both]
             pairs, of = np.zeros((2, len(word)), np.int64), np.zeros((len(of_words), len(words)), np.int64)
-            pairs[:, seen] = own.count[at], of_pair[at]
+            pairs[0, seen], pairs[1, seen] = own.count[at], of_pair[at]
             of[:, found] = of_words[:, place[found]]
             out.append((bucket, block, small(pairs.ravel()), small(of.ravel())))
         return B.as_table(out, TOLD)
