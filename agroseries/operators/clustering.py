@@ -19,6 +19,8 @@ MIN_COMPONENTS = 5
 KMEANS_K = 4
 KMEANS_RESTARTS = 20
 KMEANS_MAX_ITER = 500
+KMEANS_PARTITIONS = 16  # fewer rows than ``KMEANS_ROWS`` a partition are dealt over no more than these
+KMEANS_ROWS = 10_000
 SEED = 42
 EPS = 1e-9
 
@@ -60,23 +62,41 @@ def variance_table(spark, explained) -> DataFrame:
     return spark.createDataFrame(rows, "component int, explained double, cumulative double")
 
 
+def dealt_by_rows(data: DataFrame) -> DataFrame:
+    """The cached ``data`` (one row per site) in partitions by its number of rows, cached.
+
+    A fit runs some twenty jobs with a task per partition.  The sites' rows come in as
+    many partitions as shuffles have, a number that is set by the size of the raw tables;
+    beyond ``KMEANS_PARTITIONS`` they are dealt anew by site, each partition in order, so
+    that where K-Means starts no longer hangs on that number.
+    """
+    n = data.rdd.getNumPartitions()
+    if n <= KMEANS_PARTITIONS:
+        return data
+    need = max(KMEANS_PARTITIONS, -(-data.count() // KMEANS_ROWS))
+    return data if n <= need else data.repartition(need, "site_id").sortWithinPartitions("site_id").cache()
+
+
 def kmeans_best(df: DataFrame, k: int = KMEANS_K, restarts: int = KMEANS_RESTARTS,
                 max_iter: int = KMEANS_MAX_ITER, seed: int = SEED, col: str = "pca"):
     """``restarts`` fits with consecutive seeds; the lowest training cost wins
     (ties: the lowest seed).
 
-    The input is cached once; fits are submitted from a few driver threads,
-    so their Spark jobs run concurrently on the cluster.
+    The input is cached once, in as many partitions as its rows need; fits are
+    submitted from a few driver threads, so their Spark jobs run concurrently on
+    the cluster.
     """
     from concurrent.futures import ThreadPoolExecutor
     data = df.select("site_id", col).cache()
+    dealt = dealt_by_rows(data)
 
     def fit(r):
-        m = KMeans(k=k, maxIter=max_iter, seed=seed + r, featuresCol=col, predictionCol="raw").fit(data)
+        m = KMeans(k=k, maxIter=max_iter, seed=seed + r, featuresCol=col, predictionCol="raw").fit(dealt)
         return r, m, m.summary.trainingCost
 
     with ThreadPoolExecutor(max_workers=min(4, restarts)) as ex:
         fits = list(ex.map(fit, range(restarts)))
+    dealt.unpersist()
     data.unpersist()
     _, model, cost = min(fits, key=lambda f: (f[2], f[0]))
     return model, cost

@@ -71,3 +71,31 @@ def test_lines_are_parsed_once(spark, tmp_path):
         ("type of date", "0000001,A,1.0,2.0,2000-13-01,5.0,X", True), ("type of lat", lines[4], False)]
     for table in (good, bad):
         assert table._jdf.queryExecution().optimizedPlan().toString().count("from_csv") == 1
+
+
+def test_kmeans_tasks_grow_with_rows_not_with_shuffle_partitions(spark, monkeypatch):
+    """Each fit runs some twenty jobs over the sites' partitions."""
+    from pyspark.ml.linalg import Vectors
+    from agroseries.operators import clustering as CL
+    fitted = []
+
+    class Fits(CL.KMeans):
+        def fit(self, data):
+            fitted.append(data.rdd.getNumPartitions())
+            return super().fit(data)
+
+    monkeypatch.setattr(CL, "KMeans", Fits)
+    rows = [(f"{i:07}", Vectors.dense([float(i * 37 % 11), float(i * 53 % 7)])) for i in range(30)]
+    sites = spark.createDataFrame(rows, ["site_id", "pca"])
+    at = lambda n: CL.kmeans_best(sites.repartition(n, "site_id"), restarts=2, max_iter=20)
+    (a, cost_a), (b, cost_b) = at(40), at(64)
+    assert fitted == [CL.KMEANS_PARTITIONS] * 4
+    assert cost_a == cost_b and [list(c) for c in a.clusterCenters()] == [list(c) for c in b.clusterCenters()]
+    # no row is left out, few partitions stay as they came, and many rows keep more of them
+    assert a.summary.cluster.count() == 30 and sum(a.summary.clusterSizes) == 30
+    few = sites.repartition(5, "site_id").cache()
+    assert CL.dealt_by_rows(few) is few
+    monkeypatch.setattr(CL, "KMEANS_ROWS", 1)
+    many = CL.dealt_by_rows(sites.repartition(64, "site_id").cache())
+    assert many.rdd.getNumPartitions() == 30 and sorted(r.site_id for r in many.collect()) == [r[0] for r in rows]
+    spark.catalog.clearCache()
